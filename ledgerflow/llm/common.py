@@ -61,11 +61,17 @@ def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", once: bool = False) -> DataFrame:
-    """The rows of docs whose id stands in keys (null ids match null), with the columns of docs.
+def row_hash(text_col: str = "text") -> Column:
+    """Tells rows of one id, or of none, apart by their texts."""
+    return F.xxhash64(F.col(text_col))
 
-    keys: one column, distinct ids. once: of rows that repeat an id, one stays.
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose (id, row_hash) stands in keys, one of each such pair, with the columns of docs.
+
+    keys: distinct (doc_id, row_hash); null ids match null.
     """
-    mine = keys.select(F.col(keys.columns[0]).alias("__key"))
-    out = docs.join(mine, docs[id_col].eqNullSafe(mine["__key"]), "left_semi")
-    return out.dropDuplicates([id_col]) if once else out
+    mine = keys.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
+    hashed = docs.withColumn("__row_hash", row_hash(text_col))
+    out = hashed.join(mine, (hashed["__row_hash"] == mine["__hash"]) & hashed[id_col].eqNullSafe(mine["__id"]), "left_semi")
+    return out.dropDuplicates(["__row_hash", id_col]).drop("__row_hash")

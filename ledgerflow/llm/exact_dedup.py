@@ -2,7 +2,8 @@
 
 Rows group by the MD5 of the text without white space. Groups of one row are done. For the others the texts meet the
 text of the group's first row in a join, which splits a group of any size over tasks; rows whose bytes differ (a
-collision) are grouped anew by their bytes. No step holds a group in one task: counts and survivors are aggregates.
+collision) are grouped anew by their bytes. No step holds a group in one task: counts and
+survivors are aggregates, and they are written before a join, so that the join alone decides how its keys are dealt.
 
 Defined cases: a null text is an empty one, and all empty texts are equal; a null id is a document of its own kind that
 survives only where its group has no row with an id and the same length; rows that repeat an id and a text count each
@@ -16,23 +17,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, keep_rows, staged, whole_text
+from .common import WHITESPACE, keep_rows, row_hash, staged, table, whole_text
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, WHITESPACE, "")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) per row of docs.
-
-    The row that stays is the one with the most code points, then the smallest id.
-    """
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("norm", normalised(F.col("text")))
-    marks = staged(texts.select("doc_id", F.length("text").alias("n"), content_hash(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256")), "marks")
-    multi = marks.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id")).where("rows > 1")
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("doc_id"), row_hash(text_col).alias("row_hash"), whole_text(text_col).alias("text")).withColumn("norm", normalised(F.col("text")))
+    marks = staged(texts.select("doc_id", "row_hash", F.length("text").alias("n"), content_hash(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256")), "marks")
+    multi = staged(marks.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id")).where("rows > 1"), "multi")
     alike = staged(texts.select("doc_id", content_hash(F.col("norm")).alias("h"), "norm").join(multi, "h").select("h", "doc_id", "norm", "first_id"), "alike")
-    first = alike.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("first_norm"))
+    first = staged(alike.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("first_norm")), "first")
     apart = staged(alike.join(first, "h").where(F.encode("norm", "UTF-8") != F.encode("first_norm", "UTF-8")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("sub")).distinct(), "collisions")
     if apart.isEmpty():
         keyed = marks.withColumn("sub", F.lit(""))
@@ -41,19 +38,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keyed = marks.join(apart, same, "left").select(marks["*"], F.coalesce(apart["sub"], F.lit("")).alias("sub"))
     # bitwise not turns the order of ids round without overflow
     groups = keyed.groupBy("h", "sub").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n", F.bitwise_not("doc_id").alias("turned"))).alias("best"))
-    groups = groups.select("h", "sub", "group_size", F.bitwise_not("best.turned").alias("keep_id"))
-    return keyed.join(groups, ["h", "sub"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = staged(groups.select("h", "sub", "group_size", F.bitwise_not("best.turned").alias("keep_id"), F.col("best.n").alias("most")), "groups")
+    out = keyed.join(groups, ["h", "sub"])
+    return out.select("doc_id", "row_hash", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), (F.col("n") == F.col("most")).alias("longest"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) per row of docs.
+
+    The row that stays is the one with the most code points, then the smallest id.
+    """
+    return _grouped(docs, id_col, text_col, content_hash).drop("row_hash", "longest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group, with the columns of docs."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select("keep_id").distinct()
-    return keep_rows(docs, kept, id_col, once=True)
+    kept = _grouped(docs, id_col, text_col, F.md5).where("kept AND longest").groupBy("text_sha256", "doc_id").agg(F.min("row_hash").alias("row_hash"))
+    return keep_rows(docs, kept, id_col, text_col)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentence_pieces, token_counts
+from . import exact_dedup, mixing, near_dedup, sentence_pieces, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_sentence_pieces": sentence_pieces.op7_sentence_pieces,
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
