@@ -6,12 +6,13 @@ get smaller, after one or two for most documents. Slots agree with the probabili
 variance than independent hashes.
 
 Documents with equal sets form a class, and only its smallest id goes on. BANDS bands of ROWS slots put the classes into
-buckets: at similarity 0.75 two classes miss each other with probability 5e-6. No bucket gives all its pairs. In each
-round one class of a bucket, its hub, meets the bucket's other classes that are not yet in its component; the pairs are
-confirmed on the full sets and the links grouped; a hub is then done with. As soon as the classes outside of each
-bucket's largest component are few, these meet all classes of the bucket that are in other components, which ends the search.
-The work of each round is linear in the bucket rows, and every pair of a bucket is either confirmed, refused, or within one
-component already.
+buckets: at similarity 0.75 two classes miss each other with probability 5e-6. No bucket gives all its pairs. First each
+class meets the smallest of its bucket, the hub; the pairs are confirmed on the full sets and the links grouped. Most
+buckets are then within one component and done. The classes of the others go into new buckets, by those of their rarest shingles
+of which similar sets must share one. There, if the classes outside of each bucket's largest component are few, they meet all
+classes of the bucket that are in other components, which ends the search; else a hub of each bucket, from its smallest
+component, meets these, is done with, and the next round follows. The work of a round is linear in the bucket rows, and
+every pair of a bucket is either confirmed, refused, or within one component already.
 
 Defined cases: a null text is an empty one; a document without words has an empty set and is linked with nothing; with fewer
 than five words the sequence of words is the one shingle; rows without an id are linked by equal sets only; rows that
@@ -131,18 +132,32 @@ def _sets(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full sets are similar; the texts of the classes in pairs are read anew."""
-    pairs = staged(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = staged(needed.join(classes.select("node", F.col("row_hash").alias("own")), "node"), "needed")
+def _full_sets(nodes: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, set) of the classes in nodes; the text of one row of each is read anew."""
+    needed = staged(nodes.distinct().join(classes.select("node", F.col("row_hash").alias("own")), "node"), "needed")
     own = texts.join(needed, (texts["doc_id"] == needed["node"]) & (texts["row_hash"] == needed["own"]), "left_semi")
-    sets = staged(own.dropDuplicates(["doc_id", "row_hash"]).select("doc_id", "text").mapInArrow(_sets, "node long, set array<long>"), "sets")
+    return staged(own.dropDuplicates(["doc_id", "row_hash"]).select("doc_id", "text").mapInArrow(_sets, "node long, set array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose full sets are similar."""
     a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return staged(pairs.join(a, "a").join(b, "b").where(100 * both >= SIMILAR * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "links")
 
 
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(key, node, n): of each set the rarest elements, as many as similar sets must share one of, without those that no other set has.
+
+    A set of n elements whose similarity with another is 0.75 or more misses at most n - ceil(0.75 n) of its own.
+    """
+    each = sets.select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("key"))
+    counts = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "counts")
+    held = each.join(counts, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("held"))
+    length = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - (F.col("n") - F.size("held"))
+    return held.where(length > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), length.cast("int"))).alias("e")).select("e.key", "node", "n")
+
+
 def _alike(n: str, other: str):
     """Whether sets of these sizes can be similar."""
     return 100 * F.least(n, other) >= SIMILAR * F.greatest(n, other)
@@ -157,31 +172,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "keys")
     # rows of one bucket are the classes that still have to meet others of it
     rows = staged(members.join(shared, "key"), "rows")
-    links, found = None, None
+    links, found, sets = None, None, None
     while True:
         held = rows if found is None else rows.join(found, "node", "left")
         held = staged(held.select("key", "node", "n", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component")), "held")
         parts = staged(held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("hub")), "parts")
-        # the hub comes from the smallest component first; main is the largest
-        buckets = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("main"), F.min(F.struct("size", "component", "hub")).alias("least"))
-        buckets = staged(buckets.where("k > 1").select("key", "size", F.col("size").alias("all"), F.col("main.component").alias("main"), F.col("main.size").alias("main_size"), F.col("least.component").alias("hub_component"), F.col("least.hub.node").alias("hub"), F.col("least.hub.n").alias("hub_n")), "buckets")
+        # main is the largest component of a bucket; the hub comes from the smallest
+        buckets = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"), F.min(F.struct("size", "component", "hub")).alias("least"))
+        buckets = staged(buckets.where("k > 1").select("key", "all", F.col("main.component").alias("main"), F.col("main.size").alias("main_size"), F.col("least.component").alias("hub_component"), F.col("least.hub.node").alias("hub"), F.col("least.hub.n").alias("hub_n")), "buckets")
         work = buckets.agg(F.sum(F.col("all") * (F.col("all") - F.col("main_size"))).alias("pairs"), F.sum("all").alias("rows")).first()
         if not work["rows"]:
             break
-        last = work["pairs"] <= LAST_ROUND * work["rows"]
+        if links is not None and sets is None:
+            open_rows = held.join(buckets.select("key"), "key", "left_semi")
+            sets = _full_sets(open_rows.select("node"), texts, classes)
+            rows = staged(_prefixes(sets), "prefixes")
+            continue
+        last = sets is not None and work["pairs"] <= LAST_ROUND * work["rows"]
         if last:
             minor = staged(held.join(buckets.select("key", "main"), "key").where("component <> main").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), "minor")
         else:
             minor = buckets.select("key", "hub", "hub_n", "hub_component")
         met = held.join(minor, "key").where(F.col("component") != F.col("hub_component")).where(_alike("n", "hub_n"))
-        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        new = _confirmed(pairs, texts, classes)
+        pairs = staged(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+        new = _confirmed(pairs, sets if sets is not None else _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), texts, classes))
         links = new if links is None else links.unionByName(new)
         found = components(links)
         if last:
             break
-        rest = held.join(buckets.select("key", F.col("hub").alias("done")), "key").where("node <> done")
-        rows = staged(rest.select("key", "node", "n"), "rows")
+        if sets is not None:
+            rest = held.join(buckets.select("key", F.col("hub").alias("done")), "key").where("node <> done")
+            rows = staged(rest.select("key", "node", "n"), "rows")
     known = classes.select("mark", F.col("n").alias("size"), "node")
     if found is not None:
         known = known.join(found, "node", "left").select("mark", "size", F.coalesce("component", "node").alias("top"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, sentence_pieces, token_counts, toxicity
+from . import exact_dedup, mixing, near_dedup, pii, sentence_pieces, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_pii": pii.op2_pii,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_sentence_pieces": sentence_pieces.op7_sentence_pieces,
     "op8_mixing": mixing.op8_mixing,
