@@ -1,12 +1,17 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline over documents: toxic documents go, exact and near copies go, sources are mixed, texts are encoded.
+
+Every stage takes the rows that its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from ledgerflow.llm import exact_dedup, mixing, sentence_pieces
-from ledgerflow.llm.common import table
+from ledgerflow.llm import exact_dedup, mixing, near_dedup, sentence_pieces, toxicity
+from ledgerflow.llm.common import staged, table
 
 STAGES = [
+    ("toxicity", lambda spark, docs, sf_dir: toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))),
     ("exact_dedup", lambda spark, docs, sf_dir: exact_dedup.exact_dedup(docs)),
+    ("near_dedup", lambda spark, docs, sf_dir: near_dedup.near_dedup(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
     ("sentence_pieces", lambda spark, docs, sf_dir: sentence_pieces.digests(sentence_pieces.encode_decode(docs))),
 ]
@@ -15,8 +20,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str):
     """The stages one after another, each written as Parquet and read again."""
-    from ledgerflow.llm.common import staged
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)

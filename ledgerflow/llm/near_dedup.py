@@ -7,12 +7,11 @@ variance than independent hashes.
 
 Documents with equal sets form a class, and only its smallest id goes on. BANDS bands of ROWS slots put the classes into
 buckets: at similarity 0.75 two classes miss each other with probability 5e-6. No bucket gives all its pairs. First each
-class meets the smallest of its bucket, the hub; the pairs are confirmed on the full sets and the links grouped. Most
+class meets one of its bucket, the hub; the pairs are confirmed on the full sets and the links grouped. Most
 buckets are then within one component and done. The classes of the others go into new buckets, by those of their rarest shingles
-of which similar sets must share one. There, if the classes outside of each bucket's largest component are few, they meet all
-classes of the bucket that are in other components, which ends the search; else a hub of each bucket, from its smallest
-component, meets these, is done with, and the next round follows. The work of a round is linear in the bucket rows, and
-every pair of a bucket is either confirmed, refused, or within one component already.
+of which similar sets must share one. There hubs from a bucket's smallest components meet the classes of other
+components, are done with, and the next round follows. The work of a round is linear in the bucket rows: as fewer buckets stay
+open, each gets more hubs. Every pair of a bucket is either confirmed, refused, or within one component already.
 
 Defined cases: a null text is an empty one; a document without words has an empty set and is linked with nothing; with fewer
 than five words the sequence of words is the one shingle; rows without an id are linked by equal sets only; rows that
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import keep_rows, row_hash, staged, table, whole_text
@@ -34,8 +34,8 @@ WORDS, SLOTS, ROWS = 5, 128, 4
 BANDS = SLOTS // ROWS
 #: Links have 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-#: The last round may compare this many pairs for each bucket row.
-LAST_ROUND = 4
+#: Hubs of a round times open bucket rows, for each bucket row of the first round.
+PAIRS_PER_ROW = 2
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 400_000
 FRACTION = np.uint64(40)
@@ -172,37 +172,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "keys")
     # rows of one bucket are the classes that still have to meet others of it
     rows = staged(members.join(shared, "key"), "rows")
-    links, found, sets = None, None, None
+    links, found, sets, first_rows = None, None, None, 0
     while True:
         held = rows if found is None else rows.join(found, "node", "left")
         held = staged(held.select("key", "node", "n", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component")), "held")
         parts = staged(held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("hub")), "parts")
-        # main is the largest component of a bucket; the hub comes from the smallest
-        buckets = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"), F.min(F.struct("size", "component", "hub")).alias("least"))
-        buckets = staged(buckets.where("k > 1").select("key", "all", F.col("main.component").alias("main"), F.col("main.size").alias("main_size"), F.col("least.component").alias("hub_component"), F.col("least.hub.node").alias("hub"), F.col("least.hub.n").alias("hub_n")), "buckets")
-        work = buckets.agg(F.sum(F.col("all") * (F.col("all") - F.col("main_size"))).alias("pairs"), F.sum("all").alias("rows")).first()
-        if not work["rows"]:
+        buckets = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"))
+        buckets = staged(buckets.where("k > 1").select("key", "all", F.col("main.component").alias("main")), "buckets")
+        left = buckets.agg(F.sum("all").alias("rows")).first()["rows"]
+        if not left:
             break
         if links is not None and sets is None:
             open_rows = held.join(buckets.select("key"), "key", "left_semi")
             sets = _full_sets(open_rows.select("node"), texts, classes)
             rows = staged(_prefixes(sets), "prefixes")
             continue
-        last = sets is not None and work["pairs"] <= LAST_ROUND * work["rows"]
-        if last:
-            minor = staged(held.join(buckets.select("key", "main"), "key").where("component <> main").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), "minor")
-        else:
-            minor = buckets.select("key", "hub", "hub_n", "hub_component")
-        met = held.join(minor, "key").where(F.col("component") != F.col("hub_component")).where(_alike("n", "hub_n"))
+        first_rows = first_rows or left
+        each = 1 if sets is None else max(1, PAIRS_PER_ROW * first_rows // left)
+        # hubs stand for the smallest components of a bucket, never for its largest
+        rank = F.row_number().over(W.partitionBy("key").orderBy("size", "component"))
+        minor = parts.join(buckets.select("key", "main"), "key").where("component <> main").withColumn("rank", rank).where(F.col("rank") <= each)
+        hubs = staged(minor.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("component").alias("hub_component")), "hubs")
+        met = held.join(hubs, "key").where(F.col("component") != F.col("hub_component")).where(_alike("n", "hub_n"))
         pairs = staged(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
         new = _confirmed(pairs, sets if sets is not None else _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), texts, classes))
         links = new if links is None else links.unionByName(new)
         found = components(links)
-        if last:
-            break
         if sets is not None:
-            rest = held.join(buckets.select("key", F.col("hub").alias("done")), "key").where("node <> done")
-            rows = staged(rest.select("key", "node", "n"), "rows")
+            open_rows = held.join(buckets.select("key"), "key", "left_semi")
+            rows = open_rows.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
+            rows = staged(rows, "rows")
     known = classes.select("mark", F.col("n").alias("size"), "node")
     if found is not None:
         known = known.join(found, "node", "left").select("mark", "size", F.coalesce("component", "node").alias("top"))

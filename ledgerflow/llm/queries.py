@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, pii, sentence_pieces, token_counts, toxicity
+from . import exact_dedup, mixing, near_dedup, pii, sentence_pieces, sharding, token_counts, toxicity, vector_search, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_pii": pii.op2_pii,
+    "op3_sharding": sharding.op3_sharding,
+    "op4_vector_search": vector_search.op4_vector_search,
+    "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_sentence_pieces": sentence_pieces.op7_sentence_pieces,
     "op8_mixing": mixing.op8_mixing,
@@ -15,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_sharding": sharding.OP3_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
