@@ -147,15 +147,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(key, node, n): of each set the rarest elements, as many as similar sets must share one of, without those that no other set has.
+    """(key, node, n, rest): of each set the rarest elements, as many as similar sets must share one of, without those that no other set has.
 
-    A set of n elements whose similarity with another is 0.75 or more misses at most n - ceil(0.75 n) of its own.
+    A set of n elements whose similarity with another is 0.75 or more misses at most n - ceil(0.75 n) of its own. rest counts
+    the element and what follows in the order by rarity; the first element that two sets share bounds the intersection by
+    either rest, so rows whose rest is too small for the smallest set of their bucket are left out.
     """
     each = sets.select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("key"))
     counts = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "counts")
     held = each.join(counts, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("held"))
     length = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - (F.col("n") - F.size("held"))
-    return held.where(length > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), length.cast("int"))).alias("e")).select("e.key", "node", "n")
+    found = held.where(length > 0).select("node", "n", F.size("held").cast("long").alias("size"), F.posexplode(F.slice("held", F.lit(1), length.cast("int"))).alias("p", "e"))
+    found = staged(found.select("e.key", "node", "n", (F.col("size") - F.col("p")).alias("rest")), "elements")
+    least = staged(found.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "least"), "least")
+    enough = _bound("rest", "n", F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILAR / 100)))
+    return found.join(least, "key").where(enough).select("key", "node", "n", "rest")
+
+
+def _bound(most, n, other):
+    """Whether an intersection of `most` elements can make sets of these sizes similar."""
+    most, n, other = (F.col(x) if isinstance(x, str) else x for x in (most, n, other))
+    return most * (100 + SIMILAR) >= SIMILAR * (n + other)
 
 
 def _alike(n: str, other: str):
@@ -168,15 +180,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row_hash"), whole_text(text_col).alias("text"))
     marks = staged(texts.mapInArrow(_signed, "doc_id long, row_hash long, n long, mark string, bands array<long>"), "marks")
     classes = staged(marks.where("n > 0").groupBy("mark", "n").agg(F.min("doc_id").alias("node"), F.min_by("row_hash", "doc_id").alias("row_hash"), F.first("bands").alias("bands")), "classes")
-    members = classes.where("node IS NOT NULL").select("node", "n", F.explode("bands").alias("key"))
+    members = classes.where("node IS NOT NULL").select("node", "n", F.col("n").alias("rest"), F.explode("bands").alias("key"))
     shared = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "keys")
     # rows of one bucket are the classes that still have to meet others of it
     rows = staged(members.join(shared, "key"), "rows")
     links, found, sets, first_rows = None, None, None, 0
     while True:
         held = rows if found is None else rows.join(found, "node", "left")
-        held = staged(held.select("key", "node", "n", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component")), "held")
-        parts = staged(held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("hub")), "parts")
+        held = staged(held.select("key", "node", "n", "rest", (F.col("node") if found is None else F.coalesce("component", "node")).alias("component")), "held")
+        parts = staged(held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n", "rest")).alias("hub")), "parts")
         buckets = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"))
         buckets = staged(buckets.where("k > 1").select("key", "all", F.col("main.component").alias("main")), "buckets")
         left = buckets.agg(F.sum("all").alias("rows")).first()["rows"]
@@ -192,15 +204,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         # hubs stand for the smallest components of a bucket, never for its largest
         rank = F.row_number().over(W.partitionBy("key").orderBy("size", "component"))
         minor = parts.join(buckets.select("key", "main"), "key").where("component <> main").withColumn("rank", rank).where(F.col("rank") <= each)
-        hubs = staged(minor.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("component").alias("hub_component")), "hubs")
-        met = held.join(hubs, "key").where(F.col("component") != F.col("hub_component")).where(_alike("n", "hub_n"))
+        hubs = staged(minor.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest"), F.col("component").alias("hub_component")), "hubs")
+        met = held.join(hubs, "key").where(F.col("component") != F.col("hub_component")).where(_alike("n", "hub_n") & _bound(F.least("rest", "hub_rest"), "n", "hub_n"))
         pairs = staged(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
         new = _confirmed(pairs, sets if sets is not None else _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), texts, classes))
         links = new if links is None else links.unionByName(new)
         found = components(links)
         if sets is not None:
             open_rows = held.join(buckets.select("key"), "key", "left_semi")
-            rows = open_rows.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
+            rows = open_rows.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "rest")
             rows = staged(rows, "rows")
     known = classes.select("mark", F.col("n").alias("size"), "node")
     if found is not None:
