@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import features
+from . import decisions, features, statistics
 
-_PARTS = (features,)
+_PARTS = (features, statistics, decisions)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
