@@ -112,16 +112,25 @@ def revealing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = staged(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
+    n = texts.count()
     entities = each.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.countDistinct("doc_id").alias("n_e"))
-    terms = pairs.select("term").distinct()
+    # documents that hold a term beside any entity are a lower bound of n_t, and drop what can't reach the threshold
+    around = beside.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct("doc_id").alias("n_t"))
+    rated = pairs.join(staged(entities, "entities"), "entity").join(staged(around, "around"), "term").withColumn("ratio", _ratio(n))
+    rated = staged(rated.where(F.col("ratio") >= GENERALISE).drop("ratio", "n_t"), "candidates")
+    if rated.isEmpty():
+        return rated.select("entity", "term", F.lit(0.0).alias("ratio"))
+    terms = rated.select("term").distinct()
     held = texts.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _SPACE))).alias("term")).join(terms, "term", "left_semi")
-    # a term that most documents hold adds up before the shuffle
     counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = texts.count()
-    rated = pairs.join(staged(entities, "entities"), "entity").join(staged(counts, "terms"), "term")
+    rated = rated.join(staged(counts, "terms"), "term").withColumn("ratio", _ratio(n))
+    return staged(rated.select("entity", "term", "ratio").where(F.col("ratio") >= GENERALISE), "revealing")
+
+
+def _ratio(n: int) -> Column:
+    """PMI / IC of n_te, n_t and n_e among n documents."""
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    return staged(rated.select("entity", "term", F.coalesce(F.try_divide(pmi, ic), F.lit(0.0)).alias("ratio")).where(F.col("ratio") >= GENERALISE), "revealing")
+    return F.coalesce(F.try_divide(pmi, F.log2(F.lit(float(n)) / F.col("n_e"))), F.lit(0.0))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
