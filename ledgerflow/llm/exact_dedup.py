@@ -30,7 +30,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     multi = staged(marks.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id")).where("rows > 1"), "multi")
     alike = staged(texts.select("doc_id", content_hash(F.col("norm")).alias("h"), "norm").join(multi, "h").select("h", "doc_id", "norm", "first_id"), "alike")
     first = staged(alike.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("first_norm")), "first")
-    apart = staged(alike.join(first, "h").where(F.encode("norm", "UTF-8") != F.encode("first_norm", "UTF-8")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("sub")).distinct(), "collisions")
+    apart = staged(alike.join(first, "h").where(F.encode("norm", "UTF-8") != F.encode("first_norm", "UTF-8")).select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"), F.concat(F.lit("="), F.col("norm")).alias("sub")).distinct(), "collisions")
     if apart.isEmpty():
         keyed = marks.withColumn("sub", F.lit(""))
     else:

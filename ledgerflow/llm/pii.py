@@ -122,7 +122,7 @@ def revealing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
         return rated.select("entity", "term", F.lit(0.0).alias("ratio"))
     terms = rated.select("term").distinct()
     held = texts.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _SPACE))).alias("term")).join(terms, "term", "left_semi")
-    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = held.groupBy("term").agg(F.countDistinct("doc_id").alias("n_t"))
     rated = rated.join(staged(counts, "terms"), "term").withColumn("ratio", _ratio(n))
     return staged(rated.select("entity", "term", "ratio").where(F.col("ratio") >= GENERALISE), "revealing")
 
