@@ -217,3 +217,53 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, 0 where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def country_default(dataset: Column, country: Column) -> Column:
+    """US for the card and online sources, unknown for others, where no country is given."""
+    return F.coalesce(country, F.when(dataset.isin("card", "online"), "US").otherwise("unknown"))
+
+
+def refund_flags() -> dict[str, Column]:
+    """Refund columns of sources that report none."""
+    return {"is_refund": F.lit(0), "refund_risk": F.lit(0)}
+
+
+def risk_flags(home: Column, seen: Column, category: Column, risky: tuple[str, ...]) -> dict[str, Column]:
+    return {"country_mismatch": F.coalesce((home != seen).cast("int"), F.lit(0)), "risky_category": F.coalesce(category.isin(*risky).cast("int"), F.lit(0))}
+
+
+def fill(df: DataFrame, policy: dict) -> DataFrame:
+    """Nulls filled by column: a value, or "median" for the exact median of the column."""
+    medians = [c for c, v in policy.items() if v == "median"]
+    fixed = {c: v for c, v in policy.items() if v != "median"}
+    out = df.na.fill(fixed) if fixed else df
+    if medians:
+        row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in medians])
+        out = out.crossJoin(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in medians}).drop(*[f"__{c}" for c in medians])  # one row
+    return out
+
+
+def usable_features(df: DataFrame, wanted: list[str], ids: tuple[str, ...] = ()) -> list[str]:
+    """Those of the wanted columns that df has, without ids and texts."""
+    kinds = dict(df.dtypes)
+    return [c for c in wanted if c in kinds and c not in ids and kinds[c] != "string"]
+
+
+def event_time_of(*candidates: Column) -> Column:
+    return F.coalesce(*candidates)
+
+
+def entity_of(card: Column, account: Column, user: Column) -> Column:
+    """Card, else account, else user, marked by its kind."""
+    named = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(f"{kind}:"), c.cast("string")))
+    return F.coalesce(named("card", card), named("account", account), named("user", user))
+
+
+def deductible_ratio(deductible: Column, premium: Column) -> Column:
+    return F.try_divide(deductible, premium * 12)
+
+
+def family_fit(options: Column, members: Column) -> Column:
+    """Share of the family's members (array of kinds) that the plan's options (array of kinds) cover."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(members, options)).cast("double"), F.size(F.array_distinct(members))), F.lit(0.0))

@@ -195,3 +195,17 @@ def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 1000) ->
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
     k = int(want)
     return ranked.agg((at(k) + (at(min(k + 1, n - 1 - below)) - at(k)) * F.lit(want - k)).alias("quantile"))
+
+
+def top_summary(df: DataFrame, score: str, tie: str, confidence: str, quality: str, n: int = 20) -> DataFrame:
+    """One row over the n highest scores: means of confidence and quality, share of low confidence."""
+    top = df.orderBy(F.desc(score), tie).limit(n)
+    return top.agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("confidence"), F.avg(quality).alias("quality"), F.avg((F.col(confidence) < 0.5).cast("double")).alias("low_share"))
+
+
+def attribution_correlations(wide: DataFrame, features: list[str]) -> DataFrame:
+    """(a, b, corr) of the attributions of every two features; wide has a column for each."""
+    pairs = [(a, b) for k, a in enumerate(features) for b in features[k + 1 :]]
+    both = lambda a, b: F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+    row = wide.agg(*[both(a, b).alias(f"{a}|{b}") for a, b in pairs]).unpivot([], [f"{a}|{b}" for a, b in pairs], "key", "corr")
+    return row.select(F.split("key", r"\|")[0].alias("a"), F.split("key", r"\|")[1].alias("b"), "corr")

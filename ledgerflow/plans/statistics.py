@@ -275,7 +275,22 @@ def cosine_match(spark, sf_dir):
     return ru.with_one_row(e, anchor).select("vec_id", near(s.cosine(F.col("embedding"), F.col("anchor")), 5).alias("cos"))
 
 
-QUERIES = {f.__name__: f for f in (account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
+def account_flags(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    nul = lambda m, c: F.when(k % m != 0, c)
+    df = df.select("o_orderkey", nul(3, k).alias("card"), nul(2, k + 1).alias("account"), k.alias("user"), nul(5, F.col("o_totalprice")).alias("amount"), nul(7, F.lit("x")).alias("kind"), F.when(k % 4 == 0, "card").otherwise("bank").alias("dataset"))
+    df = s.fill(df, {"kind": "UNK", "amount": "median"})
+    flags = s.risk_flags(F.col("card") % 5, k % 5 + k % 2, F.col("kind"), ("UNK",)) | s.refund_flags()
+    return df.select("o_orderkey", s.entity_of(F.col("card"), F.col("account"), F.col("user")).alias("entity"), near("amount", 3).alias("amount"), "kind", s.country_default(F.col("dataset"), F.lit(None).cast("string")).alias("country"), *[c.alias(n) for n, c in flags.items()])
+
+
+def top_anomalies(spark, sf_dir):
+    df = txn_ties(spark, sf_dir).withColumns({"score": (F.col("transaction_id") * 7919 % 1000) / 1000.0, "confidence": (F.col("transaction_id") % 10) / 10.0, "quality": (F.col("transaction_id") % 7) / 7.0})
+    return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
+
+
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
@@ -284,6 +299,8 @@ _EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, epoch_us(o_orderd
 _codes = [c for c in s.CATEGORIES if c[0] == "card"]
 _quote = lambda x: "'" + x.replace("'", "''") + "'"
 ORACLE_SQL = {name: near_sql(sql) for name, sql in {
+    "account_flags": "WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS c, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderkey + 1 END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS p FROM orders) SELECT k AS o_orderkey, CASE WHEN c IS NOT NULL THEN concat('card:', c) WHEN a IS NOT NULL THEN concat('account:', a) ELSE concat('user:', k) END AS entity, NEAR(coalesce(p, (SELECT quantile_cont(p, 0.5) FROM x)), 3) AS amount, CASE WHEN k % 7 <> 0 THEN 'x' ELSE 'UNK' END AS kind, CASE WHEN k % 4 = 0 THEN 'US' ELSE 'unknown' END AS country, coalesce(CAST(c % 5 <> k % 5 + k % 2 AS INT), 0) AS country_mismatch, CAST(k % 7 = 0 AS INT) AS risky_category, 0 AS is_refund, 0 AS refund_risk FROM x",
+    "top_anomalies": f"{_T}, t AS (SELECT transaction_id % 10 / 10.0::DOUBLE AS c, transaction_id % 7 / 7.0::DOUBLE AS q FROM txn ORDER BY transaction_id * 7919 % 1000 DESC, transaction_id LIMIT 20) SELECT count(*) AS n, NEAR(avg(c), 4) AS confidence, NEAR(avg(q), 4) AS quality, NEAR(avg(CAST(c < 0.5 AS INT)), 4) AS low_share FROM t",
     "account_stats": f"{_T} SELECT cc_num, {_STATS} FROM txn GROUP BY cc_num",
     "robust_z": f"{_T}, c AS (SELECT operation_type, quantile_cont(amount, 0.995) AS cap FROM txn GROUP BY 1), w AS (SELECT txn.*, least(amount, cap) AS w FROM txn JOIN c USING (operation_type)), q AS (SELECT operation_type, quantile_cont(w, 0.5) AS m, quantile_cont(w, 0.75) - quantile_cont(w, 0.25) AS r FROM w GROUP BY 1) SELECT transaction_id, NEAR(w, 4) AS capped, NEAR((w - m) / nullif(r, 0), 4) AS robust_z FROM w JOIN q USING (operation_type)",
     "category_z": f"{_T} SELECT transaction_id, NEAR((abs(amount) - avg(amount) OVER p) / coalesce(nullif(stddev_samp(amount) OVER p, 0), 1), 4) AS category_z FROM txn WINDOW p AS (PARTITION BY operation_type)",
