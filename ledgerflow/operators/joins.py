@@ -28,22 +28,24 @@ def pair_all(profiles: DataFrame, items: DataFrame) -> DataFrame:
     return profiles.crossJoin(items)
 
 
-def as_of(df: DataFrame, facts: DataFrame, time: str, fact_time: str, value: str, *keys: str, bucket: int = 30 * 86_400_000_000) -> DataFrame:
-    """df with the latest value at or before each row's time.
+def as_of(df: DataFrame, facts: DataFrame, time: str, fact_time: str, value: str, *keys: str, bucket: int = 86_400_000_000) -> DataFrame:
+    """df with the latest value at or before each row's time; null before the first.
 
-    Rows and facts meet in time buckets by key, so that no window holds a whole key; what was valid when a bucket
-    began is carried over from a window over the facts of the buckets alone.
+    A fact is valid until the next one of its keys. Facts repeat for each time bucket that they are valid in, so both sides
+    meet by an equality and the rows of df pass no window: a small table of facts broadcasts, and a large one
+    joins with split partitions where a bucket is hot.
     """
-    marked = df.withColumn("__b", F.floor(F.col(time) / bucket)).withColumn("__fact", F.lit(0)).withColumn("__t", F.col(time)).withColumn("__v", F.lit(None).cast("double"))
-    rates = facts.select(*keys, F.col(fact_time).alias("__t"), F.col(value).cast("double").alias("__v")).withColumn("__b", F.floor(F.col("__t") / bucket)).withColumn("__fact", F.lit(1))
-    inside = W.partitionBy(*keys, "__b").orderBy("__t", F.desc("__fact")).rowsBetween(W.unboundedPreceding, 0)
-    out = marked.unionByName(rates, allowMissingColumns=True).withColumn("__near", F.last("__v", ignorenulls=True).over(inside)).where("__fact = 0")
-    last = rates.groupBy(*keys, "__b").agg(F.max_by("__v", "__t").alias("__last"))
-    used = df.select(*keys, F.floor(F.col(time) / bucket).alias("__b")).distinct().withColumn("__need", F.lit(True))
-    steps = used.join(last, [*keys, "__b"], "full")
-    carried = F.last("__last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    steps = steps.withColumn("__carried", carried).where("__need").select(*keys, "__b", "__carried")
-    return out.join(steps, [*keys, "__b"], "left").select(*[F.col(c) for c in df.columns], F.coalesce("__near", "__carried").alias(value))
+    order = W.partitionBy(*keys).orderBy(fact_time)
+    valid = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(fact_time).alias("__from"), F.lead(fact_time).over(order).alias("__to"), F.col(value).alias(value))
+    last = df.agg(F.max(time).alias("__last"))  # one row
+    valid = valid.crossJoin(F.broadcast(last)).where(F.col("__from") <= F.col("__last")).where(F.col("__to").isNull() | (F.col("__to") > F.col("__from")))
+    upto = F.floor(F.coalesce("__to", "__last") / bucket)
+    valid = valid.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__from") / bucket), upto))).drop("__last")
+    keyed = df.withColumn("__at", F.floor(F.col(time) / bucket))
+    same = (F.col("__at") == F.col("__b")) & (F.col(time) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(time) < F.col("__to")))
+    for k in keys:
+        same = same & (keyed[k] == F.col(f"__{k}"))
+    return keyed.join(valid, same, "left").select(*[keyed[c] for c in df.columns], value)
 
 
 def in_range(df: DataFrame, bands: DataFrame, value: str, low: str, high: str, bucket: int = 50_000) -> DataFrame:

@@ -22,6 +22,15 @@ def global_index(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     return part.withColumn("__i", inside).join(F.broadcast(offsets.select("__p", "before")), "__p").withColumn(out, F.col("__i") + F.col("before")).drop("__p", "__i", "before")
 
 
+def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """df with the sum of value up to each row in a total order, by ranges and offsets as in global_index."""
+    part = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).checkpoint()
+    sums = part.groupBy("__p").agg(F.sum(value).alias("s"))
+    before = sums.select("__p", F.coalesce(F.sum("s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(W.partitionBy("__p").orderBy(order))
+    return part.withColumn("__in", inside).join(F.broadcast(before), "__p").withColumn(out, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")  # one row a partition
+
+
 def chrono_split(df: DataFrame, *order: str, train: float = 0.8, calibrate: float = 0.1) -> DataFrame:
     """part: train, calibrate (the last of the training rows) or test, by place in time."""
     df = global_index(df, *order)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .select import running_total
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col)
@@ -190,8 +192,8 @@ def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 1000) ->
         return v.agg(F.max("v").alias("quantile"))
     below = v.where(F.col("v") < low).count()
     want = q * (n - 1) - below
-    inside = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c")).orderBy("v")
-    ranked = inside.withColumn("upto", F.sum("c").over(W.orderBy("v")))  # distinct values of the bracket only
+    inside = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_total(inside, "v", "c", "upto")
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
     k = int(want)
     return ranked.agg((at(k) + (at(min(k + 1, n - 1 - below)) - at(k)) * F.lit(want - k)).alias("quantile"))

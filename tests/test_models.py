@@ -51,3 +51,12 @@ def test_null_merchants_are_capped_as_one(spark):
 def test_tau_guards(spark):
     df = spark.createDataFrame([(-1.0,), (-2.0,)], "s double")
     assert rules.tau(df, "s", 0.01).first()["tau"] < 0
+
+
+def test_as_of_by_key_with_ties_and_gaps(spark):
+    from ledgerflow.operators import joins
+
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", 10), (3, "a", 99), (4, "b", 10), (5, "a", 1), (6, None, 50)], "id long, k string, t long")
+    rates = spark.createDataFrame([("a", 5, 1.0), ("a", 10, 2.0), ("a", 10, 2.0), ("b", 11, 3.0), ("a", 500, 9.0)], "k string, rt long, rate double")
+    got = joins.as_of(rows, rates, "t", "rt", "rate", "k", bucket=20)
+    assert sorted((r["id"], r["rate"]) for r in got.collect()) == [(1, 1.0), (2, 2.0), (3, 2.0), (4, None), (5, None), (6, None)]
