@@ -66,6 +66,28 @@ def row_hash(text_col: str = "text") -> Column:
     return F.xxhash64(F.col(text_col))
 
 
+#: Bits of a sieve: this many for each key, between two bounds; the upper one is a broadcast of 16 MB.
+SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 20, 1 << 27
+
+
+def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key may stand in keys (a table with one column), and few others: a bitmap of bounded size meets the rows before any shuffle.
+
+    Beyond SIEVE_MOST / SIEVE_BITS keys more and more other rows pass, so what follows still joins with the keys.
+    """
+    n, bits = keys.count(), SIEVE_LEAST
+    while bits < min(SIEVE_BITS * n, SIEVE_MOST):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = place(keys.columns[0])
+    bitmap = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    found = rows.withColumn("__place", place(key)).withColumn("__bucket", F.bitmap_bucket_number("__place"))
+    found = found.join(F.broadcast(bitmap), "__bucket")  # SIEVE_MOST / 32768 rows of 4 KB at most
+    bit = F.bitmap_bit_position("__place")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose (id, row_hash) stands in keys, one of each such pair, with the columns of docs.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep_rows, row_hash, staged, table, whole_text
+from .common import keep_rows, row_hash, sieve, staged, table, whole_text
 from .components import components
 
 WORDS, SLOTS, ROWS = 5, 128, 4
@@ -37,7 +37,7 @@ SIMILAR = 75
 #: Hubs of a round times open bucket rows, for each bucket row of the first round.
 PAIRS_PER_ROW = 2
 #: Distinct words whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 FRACTION = np.uint64(40)
 _MASK = (1 << 64) - 1
 
@@ -115,10 +115,12 @@ def _signed(batches: Iterator) -> Iterator:
     import xxhash
 
     for batch in batches:
-        sets = [shingles(t) for t in batch.column(2).to_pylist()]
-        marks = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-        bands = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "n", "mark", "bands"])
+        for k in range(0, batch.num_rows, 256):
+            rows = batch.slice(k, 256)
+            sets = [shingles(t) for t in rows.column(2).to_pylist()]
+            marks = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
+            bands = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "n", "mark", "bands"])
 
 
 def _sets(batches: Iterator) -> Iterator:
@@ -135,7 +137,9 @@ def _sets(batches: Iterator) -> Iterator:
 def _full_sets(nodes: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, set) of the classes in nodes; the text of one row of each is read anew."""
     needed = staged(nodes.distinct().join(classes.select("node", F.col("row_hash").alias("own")), "node"), "needed")
-    own = texts.join(needed, (texts["doc_id"] == needed["node"]) & (texts["row_hash"] == needed["own"]), "left_semi")
+    texts = sieve(texts, "doc_id", needed.select("node"))
+    # an inner join: a semi join would be moved below the sieve, and all texts shuffled
+    own = texts.join(needed, (texts["doc_id"] == needed["node"]) & (texts["row_hash"] == needed["own"])).select(texts["*"])
     return staged(own.dropDuplicates(["doc_id", "row_hash"]).select("doc_id", "text").mapInArrow(_sets, "node long, set array<long>"), "sets")
 
 

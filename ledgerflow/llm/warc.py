@@ -35,6 +35,11 @@ def base32_sha1(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
+def _uri(folder: str) -> str:
+    """The folder as pyarrow names it: Spark's s3a is its s3."""
+    return "s3" + folder[3:] if folder[:6] in ("s3a://", "s3n://") else folder
+
+
 def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
@@ -91,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         import pandas as pd
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(_uri(folder))
         store.create_dir(root, recursive=True)
         out = None
         try:
@@ -134,7 +139,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
         import pyarrow as pa
         from pyarrow import fs
 
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = fs.FileSystem.from_uri(_uri(folder))
         for batch in batches:
             rows, start = batch.to_pylist(), 0
             while start < len(rows):

@@ -366,3 +366,13 @@ def test_pipeline_against_its_parts(spark):
     for r in rows[:20]:
         assert r["decoded_sha256"] == hashlib.sha256(left[r["doc_id"]].replace("▁", " ").encode()).hexdigest()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "sentence_pieces"]
+
+
+def test_sieve_loses_no_key(spark):
+    from ledgerflow.llm.common import sieve
+
+    rows = spark.range(20_000).withColumn("__bucket_like", F.lit(1))
+    keys = spark.range(0, 20_000, 37).select(F.col("id").alias("k"))
+    got = {r["id"] for r in sieve(rows, "id", keys).collect()}
+    assert set(range(0, 20_000, 37)) <= got and len(got) < 1200
+    assert sieve(rows, "id", keys.limit(0)).count() == 0
