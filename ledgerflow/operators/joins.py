@@ -63,13 +63,21 @@ def members(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFra
     return df.join(keys, on, "left_semi"), df.join(keys, on, "left_anti")
 
 
-def shared_pairs(uses: DataFrame, by: str, who: str, most: int = 500) -> DataFrame:
-    """(a, b, shared): pairs a < b and how many keys they share; keys with more than `most` users say nothing and are left out."""
-    uses = uses.select(by, who).distinct()
-    few = uses.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n").between(2, most)).select(by)
-    uses = uses.join(few, by, "left_semi")
-    a, b = uses.select(by, F.col(who).alias("a")), uses.select(by, F.col(who).alias("b"))
-    return a.join(b, by).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def shared_pairs(uses: DataFrame, by: str, who: str, block: int = 500) -> DataFrame:
+    """(a, b, shared): pairs a < b and how many keys they share.
+
+    The users of a key are dealt by hash over blocks of about `block`, and blocks meet pairwise, so that a hot key's pairs
+    are found by many tasks and none is lost.
+    """
+    uses = uses.select(by, who).where(F.col(by).isNotNull() & F.col(who).isNotNull()).distinct()
+    sizes = uses.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    dealt = uses.join(sizes, by).withColumn("__blocks", F.ceil(F.col("__n") / block))
+    dealt = dealt.withColumn("__k", F.pmod(F.xxhash64(who), F.col("__blocks")))
+    # each pair of blocks i <= j is one cell: a row is on the left of the cells of its row, on the right of those of its column
+    left = dealt.select(by, F.col(who).alias("x"), F.col("__k").alias("__i"), F.explode(F.sequence(F.col("__k"), F.col("__blocks") - 1)).alias("__j"))
+    right = dealt.select(by, F.col(who).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k"))).alias("__i"), F.col("__k").alias("__j"))
+    met = left.join(right, [by, "__i", "__j"]).where("__i < __j OR x < y")
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def cycles(edges: DataFrame, within: int, src: str = "src", dst: str = "dst", time: str = "us", id_col: str = "o_orderkey") -> DataFrame:

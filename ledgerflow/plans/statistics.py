@@ -167,10 +167,18 @@ def fx_asof(spark, sf_dir):
     return out.select("transaction_id", "rate", near(F.col("amount") * F.col("rate"), 2).alias("eur"))
 
 
-def shared_device(spark, sf_dir):
+def _device_uses(spark, sf_dir):
     o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
-    uses = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("l_partkey").alias("device"), F.col("o_custkey").alias("customer")).where("customer % 3 = 0")
-    return j.shared_pairs(uses, "device", "customer", most=500)
+    return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("l_partkey").alias("device"), F.col("o_custkey").alias("customer"))
+
+
+def shared_device(spark, sf_dir):
+    return j.shared_pairs(_device_uses(spark, sf_dir).where("customer % 3 = 0"), "device", "customer")
+
+
+def shared_device_all(spark, sf_dir):
+    """The pairs of all customers; shared_device has those of a third, which its SQL fixes."""
+    return j.shared_pairs(_device_uses(spark, sf_dir), "device", "customer")
 
 
 def cycles(spark, sf_dir):
@@ -290,7 +298,7 @@ def top_anomalies(spark, sf_dir):
     return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
 
 
-QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, shared_device_all, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
@@ -335,6 +343,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "profile_items": "SELECT c_custkey, r_regionkey, NEAR(c_acctbal * (r_regionkey + 1), 2) AS x FROM customer, region WHERE c_custkey <= 20",
     "fx_asof": f"{_T}, f(d, rate) AS (VALUES {', '.join(f"(epoch_us(TIMESTAMP '{d} 00:00:00'), {r}::DOUBLE)" for d, r in _RATES)}) SELECT transaction_id, rate, NEAR(amount * rate, 2) AS eur FROM txn ASOF LEFT JOIN f ON us >= d",
     "shared_device": "WITH u AS (SELECT DISTINCT l_partkey AS d, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0) SELECT a.c AS a, b.c AS b, count(*) AS shared FROM u a JOIN u b ON a.d = b.d AND a.c < b.c GROUP BY 1, 2",
+    "shared_device_all": "WITH u AS (SELECT DISTINCT l_partkey AS d, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.c AS a, b.c AS b, count(*) AS shared FROM u a JOIN u b ON a.d = b.d AND a.c < b.c GROUP BY 1, 2",
     "cycles": f"WITH {_EDGES} SELECT a.o_orderkey AS first, b.o_orderkey AS second, c.o_orderkey AS third FROM e a JOIN e b ON a.dst = b.src AND b.us > a.us JOIN e c ON b.dst = c.src AND c.us > b.us AND c.dst = a.src WHERE c.us - a.us <= {20 * 86_400_000_000} AND a.src <> a.dst AND b.src <> b.dst",
     "fan_in_out": f"WITH {_EDGES} SELECT coalesce(o.src, i.dst) AS node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT src, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM e GROUP BY 1) i ON o.src = i.dst",
     "semi_anti": f"{_T}, k AS (SELECT DISTINCT merchant_name FROM txn WHERE is_fraud = 1 AND merchant_name < 'M2') SELECT count(*) AS n, 'in' AS side FROM txn WHERE merchant_name IN (SELECT merchant_name FROM k) UNION ALL SELECT count(*), 'out' FROM txn WHERE merchant_name NOT IN (SELECT merchant_name FROM k)",
