@@ -81,11 +81,15 @@ def shared_pairs(uses: DataFrame, by: str, who: str, block: int = 500) -> DataFr
 
 
 def cycles(edges: DataFrame, within: int, src: str = "src", dst: str = "dst", time: str = "us", id_col: str = "o_orderkey") -> DataFrame:
-    """A to B to C to A in rising time, all within a span."""
+    """A to B to C to A in rising time, all within a span; edges meet by node and by the first edge's time bucket, which spans `within`."""
     e = edges.where(F.col(src) != F.col(dst))
     a, b, c = (e.select(F.col(src).alias(f"s{k}"), F.col(dst).alias(f"d{k}"), F.col(time).alias(f"t{k}"), F.col(id_col).alias(k)) for k in ("first", "second", "third"))
-    two = a.join(b, (F.col("dfirst") == F.col("ssecond")) & (F.col("tsecond") > F.col("tfirst")) & (F.col("tsecond") - F.col("tfirst") <= within))
-    three = two.join(c, (F.col("dsecond") == F.col("sthird")) & (F.col("dthird") == F.col("sfirst")) & (F.col("tthird") > F.col("tsecond")) & (F.col("tthird") - F.col("tfirst") <= within))
+    bucket = lambda k: F.floor(F.col(f"t{k}") / max(1, within))
+    a = a.withColumn("__w", bucket("first"))
+    # a later edge stands in the first one's bucket or in the next
+    b, c = (x.withColumn("__w", F.explode(F.array(bucket(k), bucket(k) - 1))) for x, k in ((b, "second"), (c, "third")))
+    two = a.join(b, (a["__w"] == b["__w"]) & (F.col("dfirst") == F.col("ssecond")) & (F.col("tsecond") > F.col("tfirst")) & (F.col("tsecond") - F.col("tfirst") <= within)).drop(b["__w"])
+    three = two.join(c, (two["__w"] == c["__w"]) & (F.col("dsecond") == F.col("sthird")) & (F.col("dthird") == F.col("sfirst")) & (F.col("tthird") > F.col("tsecond")) & (F.col("tthird") - F.col("tfirst") <= within))
     return three.select("first", "second", "third")
 
 

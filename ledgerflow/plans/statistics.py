@@ -197,6 +197,23 @@ def _edges(spark, sf_dir):
     return e.where("o_orderkey % 20 = 0").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), micros("o_orderdate").alias("us"), "o_orderkey")
 
 
+def cycles_all(spark, sf_dir):
+    """Cycles of all order lines; cycles has those of one order in twenty, which its SQL fixes."""
+    return j.cycles(_edges_all(spark, sf_dir), 20 * 86_400_000_000, id_col="line")
+
+
+def fan_in_out_all(spark, sf_dir):
+    return j.fan(_edges_all(spark, sf_dir))
+
+
+def _edges_all(spark, sf_dir):
+    """A payment for each order line, from customer to supplier; accounts are their keys, numbered alike."""
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
+    from .views import micros
+
+    return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), micros("o_orderdate").alias("us"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+
+
 def semi_anti(spark, sf_dir):
     df = txn_ties(spark, sf_dir)
     some = df.where("is_fraud = 1").select("merchant_name").distinct().where("merchant_name < 'M2'")
@@ -298,12 +315,13 @@ def top_anomalies(spark, sf_dir):
     return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
 
 
-QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, shared_device_all, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, shared_device_all, cycles, cycles_all, fan_in_out, fan_in_out_all, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
 _STATS = "NEAR(avg(amount), 2) AS mean, NEAR(coalesce(stddev_samp(amount), 0), 2) AS std, NEAR(quantile_cont(amount, 0.5), 2) AS median, NEAR(quantile_cont(amount, 0.9), 2) AS p90, NEAR(quantile_cont(amount, 0.99), 2) AS p99"
 _EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, epoch_us(o_orderdate) AS us, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND o_orderkey % 20 = 0)"
+_EDGES_ALL = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch_us(o_orderdate) AS us, concat(l_orderkey, '-', l_linenumber) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _codes = [c for c in s.CATEGORIES if c[0] == "card"]
 _quote = lambda x: "'" + x.replace("'", "''") + "'"
 ORACLE_SQL = {name: near_sql(sql) for name, sql in {
@@ -346,6 +364,8 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "shared_device_all": "WITH u AS (SELECT DISTINCT l_partkey AS d, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.c AS a, b.c AS b, count(*) AS shared FROM u a JOIN u b ON a.d = b.d AND a.c < b.c GROUP BY 1, 2",
     "cycles": f"WITH {_EDGES} SELECT a.o_orderkey AS first, b.o_orderkey AS second, c.o_orderkey AS third FROM e a JOIN e b ON a.dst = b.src AND b.us > a.us JOIN e c ON b.dst = c.src AND c.us > b.us AND c.dst = a.src WHERE c.us - a.us <= {20 * 86_400_000_000} AND a.src <> a.dst AND b.src <> b.dst",
     "fan_in_out": f"WITH {_EDGES} SELECT coalesce(o.src, i.dst) AS node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT src, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM e GROUP BY 1) i ON o.src = i.dst",
+    "cycles_all": f"WITH {_EDGES_ALL} SELECT a.line AS first, b.line AS second, c.line AS third FROM e a JOIN e b ON a.dst = b.src AND b.us > a.us JOIN e c ON b.dst = c.src AND c.us > b.us AND c.dst = a.src WHERE c.us - a.us <= {20 * 86_400_000_000} AND a.src <> a.dst AND b.src <> b.dst",
+    "fan_in_out_all": f"WITH {_EDGES_ALL} SELECT coalesce(o.src, i.dst) AS node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT src, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM e GROUP BY 1) i ON o.src = i.dst",
     "semi_anti": f"{_T}, k AS (SELECT DISTINCT merchant_name FROM txn WHERE is_fraud = 1 AND merchant_name < 'M2') SELECT count(*) AS n, 'in' AS side FROM txn WHERE merchant_name IN (SELECT merchant_name FROM k) UNION ALL SELECT count(*), 'out' FROM txn WHERE merchant_name NOT IN (SELECT merchant_name FROM k)",
     "range_risk": f"{_T} SELECT CASE WHEN floor(amount) BETWEEN 0 AND 49999 THEN 'low' WHEN floor(amount) BETWEEN 50000 AND 149999 THEN 'mid' WHEN floor(amount) BETWEEN 150000 AND 299999 THEN 'high' END AS band, count(*) AS n FROM txn GROUP BY 1",
     "prefix_reference": f"{_T} SELECT CASE left(CAST(transaction_id AS VARCHAR), 1) WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '9' THEN 'nine' END AS issuer, count(*) AS n FROM txn GROUP BY 1",

@@ -1,5 +1,6 @@
 """Joins against brute force, with hot keys."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -21,3 +22,20 @@ def test_hot_device_keeps_its_links(spark):
 def test_shared_device_all_has_all_customers(spark):
     found = catalogue.QUERIES["shared_device_all"](spark, DATA)
     assert found.where("a % 3 <> 0 OR b % 3 <> 0").count() > 0
+
+
+def test_cycles_by_brute_force(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(8), rng.randrange(8), rng.randrange(-40, 300), k) for k in range(150)]
+    e = [x for x in edges if x[0] != x[1]]
+    want = sorted((a[3], b[3], c[3]) for a in e for b in e if a[1] == b[0] and b[2] > a[2] for c in e if b[1] == c[0] and c[1] == a[0] and b[2] < c[2] <= a[2] + 30)
+    found = j.cycles(spark.createDataFrame(edges, "src long, dst long, us long, o_orderkey long"), 30)
+    assert want and sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_fan_in_out_all_has_all_orders(spark):
+    found = catalogue.QUERIES["fan_in_out_all"](spark, DATA)
+    orders, lines = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("orders", "lineitem"))
+    pairs = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("o_custkey", "l_suppkey").distinct().count()
+    total = found.selectExpr("sum(fan_out)", "sum(fan_in)").first()
+    assert tuple(total) == (pairs, pairs)
