@@ -90,9 +90,11 @@ def session_metrics(df: DataFrame, session: str, relevant: str, score: str, tie:
     return each.agg(F.avg(zero(F.try_divide("s", "n"))).alias("map"), F.avg(zero(F.try_divide(F.lit(1.0), F.col("first")))).alias("mrr"), F.avg(zero(F.try_divide("top", "n"))).alias("recall"), F.avg("value").alias("value"))
 
 
-def group_correlation(df: DataFrame, session: str, a: str, b: str, groups: int = 10) -> DataFrame:
-    first = df.select(session).distinct().orderBy(session).limit(groups)
-    return df.join(first, session, "left_semi").groupBy(session).agg(F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))).alias("c")).agg(F.avg("c").alias("mean_corr"))
+def group_correlation(df: DataFrame, session: str, a: str, b: str, groups: int | None = None) -> DataFrame:
+    """The mean correlation over the groups: all of them, or the first few where `groups` is given."""
+    if groups is not None:
+        df = df.join(df.select(session).distinct().orderBy(session).limit(groups), session, "left_semi")
+    return df.groupBy(session).agg(F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))).alias("c")).agg(F.avg("c").alias("mean_corr"))
 
 
 def gates(metrics: DataFrame, limits: DataFrame) -> DataFrame:

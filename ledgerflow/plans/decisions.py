@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -94,8 +96,19 @@ def descriptor_rules(spark, sf_dir):
 def profile_features(spark, sf_dir):
     """Features of later rows from the profile of earlier ones; customers without a profile get defaults."""
     df = txn_ties(spark, sf_dir)
-    p = st.customer_profile(df.where("transaction_id % 3 = 0 AND cc_num < 90"), "cc_num", "amount", "operation_type", "merchant_name")
-    out = df.where("transaction_id % 3 = 1").join(p, "cc_num", "left")
+    return _profiled(df.where("transaction_id % 3 = 0 AND cc_num < 90"), df.where("transaction_id % 3 = 1"))
+
+
+def profile_features_all(spark, sf_dir):
+    """Every row is profile, up to the middle of the time span, or scored, after it."""
+    df = txn_ties(spark, sf_dir)
+    df = ru.with_one_row(df, df.agg(F.floor((F.min("us") + F.max("us")) / 2).alias("middle")))
+    return _profiled(df.where("us <= middle"), df.where("us > middle"))
+
+
+def _profiled(earlier, later):
+    p = st.customer_profile(earlier, "cc_num", "amount", "operation_type", "merchant_name")
+    out = later.join(p, "cc_num", "left")
     z = s.guarded_z(F.col("amount"), F.col("mean_amount"), F.col("std_amount"))
     return out.select("transaction_id", near(z).alias("z"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce((F.col("usual") == F.col("operation_type")).cast("int"), F.lit(0)).alias("usual"))
 
@@ -204,32 +217,53 @@ def best_threshold(spark, sf_dir):
     return m.best_threshold(m.confusion(_scored(spark, sf_dir), "score", "is_fraud", [0.1, 0.3, 0.5, 0.7, 0.9]))
 
 
-def _sessions(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")  # noqa: E741
+def _sessions_all(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
     return l.select(F.col("l_orderkey").alias("session"), F.col("l_suppkey").alias("item"), s.relevance(F.col("l_returnflag") == "R", F.col("l_returnflag") == "A").alias("rel"), F.floor(F.col("l_quantity") / 10).alias("score"), F.struct("l_quantity", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax").alias("tie"), "l_quantity")
 
 
-def ndcg(spark, sf_dir):
-    return m.ndcg(_sessions(spark, sf_dir), "session", "rel", "score", 3).select(*_n("ndcg", places=6), "sessions")
+def _sessions(spark, sf_dir):
+    """A tenth of the sessions, which the SQL of its queries fixes; those named _all have all."""
+    return _sessions_all(spark, sf_dir).where("session % 10 = 0")
+
+
+def ndcg(spark, sf_dir, sessions=_sessions):
+    return m.ndcg(sessions(spark, sf_dir), "session", "rel", "score", 3).select(*_n("ndcg", places=6), "sessions")
+
+
+def ndcg_all(spark, sf_dir):
+    return ndcg(spark, sf_dir, _sessions_all)
 
 
-def position_ctr(spark, sf_dir):
+def position_ctr(spark, sf_dir, sessions=_sessions):
     from pyspark.sql import Window as W
 
-    df = _sessions(spark, sf_dir).withColumn("position", F.row_number().over(W.partitionBy("session").orderBy("tie")))
+    df = sessions(spark, sf_dir).withColumn("position", F.row_number().over(W.partitionBy("session").orderBy("tie")))
     ctr = df.groupBy("position").agg(F.sum((F.col("rel") >= 1).cast("long")).alias("clicks"), F.count(F.lit(1)).alias("n"))
     return ctr.select("position", "clicks", "n", near(s.propensity_weight(F.try_divide("clicks", "n")), 6).alias("ipw"))
 
 
-def session_metrics(spark, sf_dir):
-    df = _sessions(spark, sf_dir).withColumn("relevant", (F.col("rel") == 3).cast("int"))
+def position_ctr_all(spark, sf_dir):
+    return position_ctr(spark, sf_dir, _sessions_all)
+
+
+def session_metrics(spark, sf_dir, sessions=_sessions):
+    df = sessions(spark, sf_dir).withColumn("relevant", (F.col("rel") == 3).cast("int"))
     return m.session_metrics(df, "session", "relevant", "score", "tie", "l_quantity", 2).select(*_n("map", "mrr", "recall", "value", places=6))
 
 
+def session_metrics_all(spark, sf_dir):
+    return session_metrics(spark, sf_dir, _sessions_all)
+
+
 def group_correlation(spark, sf_dir):
     return m.group_correlation(_sessions(spark, sf_dir), "session", "rel", "l_quantity", 50).select(*_n("mean_corr", places=5))
 
 
+def group_correlation_all(spark, sf_dir):
+    return m.group_correlation(_sessions_all(spark, sf_dir), "session", "rel", "l_quantity").select(*_n("mean_corr", places=5))
+
+
 def quality_gates(spark, sf_dir):
     df = _scored(spark, sf_dir)
     auc = m.roc_auc(df, "score", "is_fraud").select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
@@ -274,7 +308,7 @@ def metric_lift(spark, sf_dir):
     return out.select("candidate", *_n("lift1", "lift2", places=6), ((F.col("lift1") >= 0.01) | (F.col("lift2") >= 0.02)).alias("take"))
 
 
-QUERIES = {f.__name__: f for f in (rule_alerts_capped, rules_b_scores, rules_c_scores, tau_per_category, tau_global, hybrid_alert, alert_summary, alert_concentration, decision_reasons, shadow_comparison, descriptor_rules, profile_features, chrono_split, expanding_folds, time_quantile_split, session_split, hash_split, seeded_flags, cap_per_entity, top_scores, best_order, dedupe, category_thresholds, threshold_eval, minimum_support, segment_membership, contamination_guard, union_sources, set_difference, avg_precision, avg_precision_by_category, pr_curve, roc_auc, precision_at_k, cost_curve, best_threshold, ndcg, position_ctr, session_metrics, group_correlation, quality_gates, operating_cost, rule_quality, quality_checks, snapshot, validity_flags, metric_lift)}
+QUERIES = {f.__name__: f for f in (rule_alerts_capped, rules_b_scores, rules_c_scores, tau_per_category, tau_global, hybrid_alert, alert_summary, alert_concentration, decision_reasons, shadow_comparison, descriptor_rules, profile_features, profile_features_all, chrono_split, expanding_folds, time_quantile_split, session_split, hash_split, seeded_flags, cap_per_entity, top_scores, best_order, dedupe, category_thresholds, threshold_eval, minimum_support, segment_membership, contamination_guard, union_sources, set_difference, avg_precision, avg_precision_by_category, pr_curve, roc_auc, precision_at_k, cost_curve, best_threshold, ndcg, ndcg_all, position_ctr, position_ctr_all, session_metrics, session_metrics_all, group_correlation, group_correlation_all, quality_gates, operating_cost, rule_quality, quality_checks, snapshot, validity_flags, metric_lift)}
 
 _ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
 _FEATURES = f"""f AS (SELECT *, abs(amount) AS a, floor(us / {_DAY}.0)::BIGINT AS day, CAST(row_number() OVER (PARTITION BY cc_num, merchant_name ORDER BY ord) = 1 AS INT) AS is_new,
@@ -338,3 +372,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "validity_flags": "SELECT CAST(o_totalprice - 1000 < 0 AS INT) AS neg_amount, CAST(o_orderdate > TIMESTAMP '1998-01-01' + INTERVAL 90 DAY AS INT) AS future, CAST(o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 730 DAY OR o_orderdate < TIMESTAMP '1993-01-01' AS INT) AS stale, count(*) AS n FROM orders GROUP BY 1, 2, 3",
     "metric_lift": f"{_S}, b AS (SELECT avg(score) AS p1, avg(score * score) AS p2 FROM x), t AS (SELECT 'a' AS candidate, avg(score) AS q1, avg(score * score) AS q2 FROM x WHERE transaction_id % 4 <> 0 UNION ALL SELECT 'b', avg(score), avg(score * score) FROM x WHERE transaction_id % 4 <> 1) SELECT candidate, NEAR(q1 - p1, 6) AS lift1, NEAR(q2 - p2, 6) AS lift2, q1 - p1 >= 0.01 OR q2 - p2 >= 0.02 AS take FROM t, b",
 }.items()}
+_TENTH, _FIRST = " WHERE l_orderkey % 10 = 0", " WHERE session IN (SELECT session FROM k)"
+_HALVES = {"WHERE transaction_id % 3 = 0 AND cc_num < 90": "WHERE us <= (SELECT (min(us) + max(us)) // 2 FROM txn)", "WHERE transaction_id % 3 = 1": "WHERE us > (SELECT (min(us) + max(us)) // 2 FROM txn)"}
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(_TENTH, "").replace(_FIRST, "") for name in ("ndcg", "position_ctr", "session_metrics", "group_correlation")}
+ORACLE_SQL["profile_features_all"] = reduce(lambda sql, cut: sql.replace(*cut), _HALVES.items(), ORACLE_SQL["profile_features"])

@@ -131,7 +131,7 @@ def reconstruction_error(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")  # noqa: E741
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
     df = l.select(F.col("l_orderkey").alias("session"), F.col("l_suppkey").alias("item"), s.relevance(F.col("l_returnflag") == "R", F.col("l_returnflag") == "A").alias("rel"), "l_quantity", "l_discount", F.struct("l_quantity", "l_partkey", "l_extendedprice", "l_discount", "l_tax").alias("tie"))
     df = df.withColumn("position", F.row_number().over(W.partitionBy("session").orderBy("tie")))
     ctr = df.groupBy("position").agg(F.avg((F.col("rel") > 0).cast("double")).alias("ctr"))

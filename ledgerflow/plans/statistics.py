@@ -87,7 +87,15 @@ def banded_amounts(spark, sf_dir):
 
 
 def daily_rate(spark, sf_dir):
-    df = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").withColumn("is_fraud", (F.col("o_orderkey") % 40 == 0).cast("int"))
+    return _daily_rate(read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"))
+
+
+def daily_rate_all(spark, sf_dir):
+    return _daily_rate(read(spark, sf_dir, "orders"))
+
+
+def _daily_rate(orders):
+    df = orders.withColumn("is_fraud", (F.col("o_orderkey") % 40 == 0).cast("int"))
     return st.daily_rate(df, "o_orderdate", "is_fraud").select(F.col("day").cast("string").alias("day"), "n", *_n("rate", places=6))
 
 
@@ -154,7 +162,15 @@ def fact_dimensions(spark, sf_dir):
 
 
 def profile_items(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey <= 20").select("c_custkey", "c_acctbal")
+    return _profile_items(spark, sf_dir, read(spark, sf_dir, "customer").where("c_custkey <= 20"))
+
+
+def profile_items_all(spark, sf_dir):
+    return _profile_items(spark, sf_dir, read(spark, sf_dir, "customer"))
+
+
+def _profile_items(spark, sf_dir, customers):
+    c = customers.select("c_custkey", "c_acctbal")
     return j.pair_all(c, read(spark, sf_dir, "region")).select("c_custkey", "r_regionkey", (F.col("c_acctbal") * (F.col("r_regionkey") + 1)).alias("x")).select("c_custkey", "r_regionkey", *_n("x", places=2))
 
 
@@ -315,7 +331,7 @@ def top_anomalies(spark, sf_dir):
     return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
 
 
-QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, shared_device_all, cycles, cycles_all, fan_in_out, fan_in_out_all, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, daily_rate_all, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, profile_items_all, fx_asof, shared_device, shared_device_all, cycles, cycles_all, fan_in_out, fan_in_out_all, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
@@ -383,3 +399,4 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "leak_check": r"SELECT c AS column, p AS pattern, CAST(n AS BIGINT) AS n FROM (SELECT 'text' AS c, 'email' AS p, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+')) AS n FROM documents UNION ALL SELECT 'text', 'card', count(*) FILTER (regexp_matches(text, '[0-9]{13,19}')) FROM documents UNION ALL SELECT 'lang', 'email', 0 UNION ALL SELECT 'lang', 'card', 0)",
     "cosine_match": "WITH a AS (SELECT embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id = 0) SELECT vec_id, NEAR(list_cosine_similarity(embedding::DOUBLE[], a), 5) AS cos FROM embeddings, a",
 }.items()}
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(cut, "") for name, cut in {"daily_rate": " WHERE o_orderkey % 7 = 0", "profile_items": " WHERE c_custkey <= 20"}.items()}
