@@ -53,17 +53,18 @@ def directory(sized: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataF
     return staged(done, "directory")
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, bytes, shard, shard_bytes) per row of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(whole_text(text_col)).cast("long").alias("bytes"))
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, depth: int = DEPTH, row_col: str | None = None) -> DataFrame:
+    """(doc_id, bytes, shard, shard_bytes) per row of docs, and row_col where it is given."""
+    kept = ["doc_id", "bytes"] + ([row_col] if row_col else [])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(whole_text(text_col)).cast("long").alias("bytes"), *kept[2:])
     rows = staged(rows.withColumn("h", prefix_hash(F.col("doc_id"))).withColumn("task", F.spark_partition_id()), "rows")
     buckets = directory(rows, limit, depth)
     depths = [r["depth"] for r in buckets.select("depth").distinct().orderBy("depth").collect()]  # depth + 1 values at most
     placed = rows.withColumn("probe", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), (F.shiftright("h", DEPTH - d) if d else F.lit(0).cast("long")).alias("prefix")) for d in depths])) if depths else F.lit(None).cast("struct<depth:int,prefix:bigint>"))
-    placed = placed.select("doc_id", "bytes", "h", "task", "probe.*").join(buckets.withColumnRenamed("bytes", "bucket_bytes"), ["depth", "prefix"])
+    placed = placed.select(*kept, "h", "task", "probe.*").join(buckets.withColumnRenamed("bytes", "bucket_bytes"), ["depth", "prefix"])
     name = _name(F.col("depth"), F.col("prefix"))
     over = (F.col("bucket_bytes") > limit) & (F.col("rows") > 1)
-    fits = placed.where(~over).select("doc_id", "bytes", name.alias("shard"), F.col("bucket_bytes").alias("shard_bytes"))
+    fits = placed.where(~over).select(*kept, name.alias("shard"), F.col("bucket_bytes").alias("shard_bytes"))
     same = placed.where(over).withColumn("shard", name)
     if buckets.where((F.col("bytes") > limit) & (F.col("rows") > 1)).isEmpty():
         return fits
@@ -72,17 +73,21 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     in_task = F.sum("bytes").over(W.partitionBy("shard", "task").orderBy("bytes", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     dealt = same.withColumn("upto", in_task).join(before.select("shard", "task", "before"), ["shard", "task"])
     # each further shard takes half a limit of running bytes, so that a row over its edge still fits
-    dealt = staged(dealt.select("doc_id", "bytes", F.concat_ws("-", "shard", F.floor((F.col("before") + F.col("upto") - F.col("bytes")) / F.lit(max(1, limit // 2)))).alias("shard")), "dealt")
+    dealt = staged(dealt.select(*kept, F.concat_ws("-", "shard", F.floor((F.col("before") + F.col("upto") - F.col("bytes")) / F.lit(max(1, limit // 2)))).alias("shard")), "dealt")
     alone = F.when(F.col("bytes") > limit // 2, F.concat_ws("-", "shard", F.lit("alone"), F.monotonically_increasing_id())).otherwise(F.col("shard"))
     dealt = staged(dealt.withColumn("shard", alone), "dealt")
     sizes = dealt.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"))
-    return fits.unionByName(dealt.join(sizes, "shard").select("doc_id", "bytes", "shard", "shard_bytes"))
+    return fits.unionByName(dealt.join(sizes, "shard").select(*kept, "shard", "shard_bytes"))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", limit: int = LIMIT) -> None:
-    """docs as Parquet, one folder for each shard."""
-    own = staged(shards(docs, id_col, limit=limit).groupBy(F.col("doc_id").alias("__id")).agg(F.min("shard").alias("shard")), "owners")
-    docs.join(own, docs[id_col].eqNullSafe(own["__id"])).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """docs as Parquet, one folder for each shard.
+
+    Rows get a number and are staged with it, so that each goes to its own shard also where ids repeat or are null.
+    """
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    own = shards(numbered, id_col, limit=limit, row_col="__row").select("__row", "shard")
+    numbered.join(own, "__row").drop("__row").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

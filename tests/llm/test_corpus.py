@@ -123,6 +123,17 @@ def test_shards_are_written(spark, tmp_path):
     assert back.count() == 100 and back.select("shard").distinct().count() >= 5
 
 
+def test_shards_of_one_id_are_written_apart(spark, tmp_path):
+    texts = [(7, "y" * 90)] * 60 + [(None, "z" * 80)] * 40 + [(k, "x" * 50) for k in range(100, 160)]
+    sharding.write_shards(docs(spark, texts), str(tmp_path / "s"), limit=1000)
+    back = spark.read.parquet(str(tmp_path / "s")).select("doc_id", "text", F.col("shard").cast("string").alias("shard"), "h").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter(texts) and all(r["h"] == "x" for r in back)
+    sizes = Counter()
+    for r in back:
+        sizes[r["shard"]] += len(r["text"])
+    assert max(sizes.values()) <= 1000
+
+
 def brute_nearest(ids, x, queries_, k):
     out = []
     for q in queries_:
