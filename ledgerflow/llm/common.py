@@ -70,11 +70,8 @@ def row_hash(text_col: str = "text") -> Column:
 SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 20, 1 << 27
 
 
-def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose key may stand in keys (a table with one column), and few others: a bitmap of bounded size meets the rows before any shuffle.
-
-    Beyond SIEVE_MOST / SIEVE_BITS keys more and more other rows pass, so what follows still joins with the keys.
-    """
+def _probed(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with __seen: whether the key may stand in keys (a table with one column), by a bitmap of bounded size that meets the rows before any shuffle."""
     n, bits = keys.count(), SIEVE_LEAST
     while bits < min(SIEVE_BITS * n, SIEVE_MOST):
         bits *= 2
@@ -82,18 +79,42 @@ def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     at = place(keys.columns[0])
     bitmap = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
     found = rows.withColumn("__place", place(key)).withColumn("__bucket", F.bitmap_bucket_number("__place"))
-    found = found.join(F.broadcast(bitmap), "__bucket")  # SIEVE_MOST / 32768 rows of 4 KB at most
+    found = found.join(F.broadcast(bitmap), "__bucket", "left")  # SIEVE_MOST / 32768 rows of 4 KB at most
     bit = F.bitmap_bit_position("__place")
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+    return found.withColumn("__seen", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
+
+
+def sieve(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key may stand in keys, and few others.
+
+    Beyond SIEVE_MOST / SIEVE_BITS keys more and more other rows pass, so what follows still joins with the keys.
+    """
+    return _probed(rows, key, keys).where("__seen").select(*rows.columns)
+
+
+def sifted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that sieve() lets pass, and the rows whose key certainly doesn't stand in keys."""
+    probed = _probed(rows, key, keys)
+    return tuple(probed.where(c).select(*rows.columns) for c in ("__seen", "NOT __seen"))
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row of docs as one struct `row`, beside columns of ours: so no column of docs can clash with them. select("row.*") unpacks."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose (id, row_hash) stands in keys, one of each such pair, with the columns of docs.
+def without_rows(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose (id, row_hash) pairs names with drop, and with one row of each pair that it names without; the columns of docs.
 
-    keys: distinct (doc_id, row_hash); null ids match null.
+    pairs: distinct (doc_id, row_hash, drop), all pairs with several rows among them; null ids match null. Rows that pairs doesn't name pass the
+    sieve's complement and are never shuffled. Rows of one pair become one ahead of the join, in each task first. An empty
+    table stays empty; columns of docs may have any names.
     """
-    mine = keys.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
-    hashed = docs.withColumn("__row_hash", row_hash(text_col))
-    out = hashed.join(mine, (hashed["__row_hash"] == mine["__hash"]) & hashed[id_col].eqNullSafe(mine["__id"]), "left_semi")
-    return out.dropDuplicates(["__row_hash", id_col]).drop("__row_hash")
+    pairs = staged(pairs.select("doc_id", "row_hash", "drop", F.xxhash64("doc_id", "row_hash").alias("pair")), "pairs")
+    rows = packed(docs, F.col(id_col).alias("doc_id"), row_hash(text_col).alias("row_hash")).withColumn("pair", F.xxhash64("doc_id", "row_hash"))
+    named, others = sifted(rows, "pair", pairs.select("pair"))
+    named = named.dropDuplicates(["pair", "doc_id", "row_hash"])
+    gone = pairs.where("drop").select(F.col("pair").alias("gone"), F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash"))
+    stay = named.join(gone, (F.col("pair") == F.col("gone")) & (F.col("row_hash") == F.col("gone_hash")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return others.select("row.*").unionByName(stay.select("row.*"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep_rows, row_hash, sieve, staged, table, whole_text
+from .common import row_hash, sieve, staged, table, whole_text, without_rows
 from .components import components
 
 WORDS, SLOTS, ROWS = 5, 128, 4
@@ -231,8 +231,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one document of each group, with the columns of docs."""
-    kept = near_groups(docs, id_col, text_col).where("kept").select("doc_id", "row_hash").distinct()
-    return keep_rows(docs, kept, id_col, text_col)
+    pairs = near_groups(docs, id_col, text_col).groupBy("doc_id", "row_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    return without_rows(docs, pairs.where("NOT kept OR rows > 1").select("doc_id", "row_hash", (~F.col("kept")).alias("drop")), id_col, text_col)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
