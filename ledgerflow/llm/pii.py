@@ -1,27 +1,30 @@
 r"""Personal data: base patterns, and terms that reveal them, by an information-theoretic test; DataFrame operations only.
 
 Base spans are the leftmost non-overlapping matches of four patterns, kept if they pass their check (all parts of an address at most
-255; 13 to 19 digits with a Luhn sum; 9 to 15 digits). Positions come from the lengths of what lies between matches. The patterns are
-those of the contract with possessive loops, and they start only where a run of their characters starts or a match
-has just ended, so that no text takes quadratic time or deep recursion.
-
-A protected entity is a distinct value. The terms within CONTEXT code points of it are counted: n_te documents hold the
-term beside the entity, n_t of all N documents hold the term, n_e the entity. PMI = log2(N n_te / (n_t n_e)) is what the term
-tells of the entity, and IC = -log2(n_e / N) is all that there is to tell. Terms seen beside an entity in SUPPORT or more
-distinct contexts (copies of a passage count once) with PMI / IC from GENERALISE on are generalised, from REMOVE on removed,
-wherever they stand in documents that hold the entity.
-
-Defined cases: a null text is an empty one without spans; rows that repeat an id are reported each and count as one document;
-rows without an id are reported, and count as one document together; an empty table gives an empty result; further
-columns are left out by find() and kept by sanitise().
+255; 13 to 19 digits with a Luhn sum; 9 to 15 digits). Positions are running sums of the lengths of matches and of what lies between
+them. The patterns are those of the contract with possessive loops, and they start only where a run of their characters starts or a match
+has just ended. Running sums take n log n steps in the number of matches; pieces of a text are cut out of chunks of it, so no text
+takes quadratic time or deep recursion.
+
+A protected entity is a distinct value, a term a run of three or more letters and digits in lower case. Everything is counted in
+occurrences of terms: N in all documents, n_t of the term, m_e of any terms within CONTEXT code points of the entity, n_te of the term there.
+PMI = log2(N n_te / (n_t m_e)) is what the term tells of the entity, and IC = -log2(m_e / N) is all that there is to tell; PMI / IC is 1
+for a term that stands nowhere else. Every pair is tested, those seen once too: the log-likelihood ratio G2 must exceed
+SIGNIFICANT (95 %), as a few occurrences in a small corpus tell nothing. Terms with PMI / IC from GENERALISE on are generalised, from REMOVE
+on removed, in all documents, those without a base span included, where they overlap no base span.
+
+Defined cases: a null text is an empty one without spans; rows that repeat an id, or have none, are reported each and counted each;
+an empty table gives an empty result; further columns are left out by find() and kept by sanitise(), whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, staged, table, whole_text
+from .common import packed, row_hash, sieve, sifted, staged, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _HOST = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -31,25 +34,55 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_IN = r"[\p{L}\p{M}\p{N}]"
+TERM = rf"{_IN}{{3,}}+"
 CONTEXT = 80
-SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.9
-_SPACE = r"[\x20\x09-\x0D]+"
+#: The 95 % quantile of the chi-squared distribution with one degree of freedom.
+SIGNIFICANT = 3.84
+#: Code points of a chunk.
+CHUNK = 256
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once for each row however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The array of join over values up to each place, in log n rounds: in round k each place meets the one 2^k before it."""
+
+    def rounds(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.log2(F.greatest(F.size(v), F.lit(2)))).cast("int") - 1, F.lit(0))
+        strides = F.transform(F.sequence(F.lit(0), last), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+        meet = lambda acc, stride: F.transform(acc, lambda x, i: F.when(i >= stride, join(x, F.get(acc, i - stride))).otherwise(x))
+        return F.aggregate(strides, v, meet)
+
+    return let(values, rounds)
+
+
+def chunks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points of a text from start to end, read from its chunks alone."""
+    first = (start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, ((end - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(held, start % CHUNK + 1, end - start)).otherwise("")
+
+
 def spans_of(text: Column, pattern: Column, kind: Column) -> Column:
     """array<struct<kind, start, end, value>> of all matches; code points, end exclusive."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(hits, F.length)
-    total = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
 
-    def span(hit: Column, k: Column) -> Column:
-        start = total(between, k + 1) + total(sizes, k)
-        return F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value"))
+    def placed(found: Column) -> Column:
+        hits = found["hits"]
+        steps = F.zip_with(F.transform(found["between"], F.length), F.concat(F.array(F.lit(0)), F.transform(hits, F.length)), lambda a, b: a + b)
+        starts = F.slice(running(steps, lambda a, b: a + b), F.lit(1), F.size(hits))
+        return F.zip_with(hits, starts, lambda hit, start: F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value")))
 
-    return F.transform(hits, span)
+    return let(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("between")), placed)
 
 
 def _digits(value: Column) -> Column:
@@ -78,8 +111,6 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-
-
 def _passing(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: _passes(kind, s["value"]))
 
@@ -93,44 +124,103 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(_SPANS)
     found = []
     for kind in KINDS:
-        needed = F.contains(text, F.lit("@" if kind == "email" else "+")) if kind in ("email", "phone") else text.rlike(r"[0-9]+\.[0-9]" if kind == "ip" else "[0-9][\\x20-]?[0-9]")
+        needed = F.contains(text, F.lit("@" if kind == "email" else "+")) if kind in ("email", "phone") else text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else "[0-9][\\x20-]?[0-9]")
         all_spans = spans_of(text, F.lit(PATTERNS[kind]), F.lit(kind))
         found.append(F.when(needed, _passing(all_spans, kind)).otherwise(none))
     return F.concat(*found)
 
 
-def revealing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, ratio) of the terms that reveal an entity; found: (doc_id, text, base), texts: (doc_id, text) of all documents."""
-    each = found.select("doc_id", "text", F.explode("base").alias("s"))
-    each = each.select("doc_id", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.substring("text", F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT))).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("after"), "s.start")
-    # words that the context cuts are left out
-    before = F.when(F.col("start") > CONTEXT, F.regexp_replace("before", r"^[^\x20\x09-\x0D]++", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", r"[^\x20\x09-\x0D]+$", "")).otherwise(F.col("after"))
-    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", before, after)), _SPACE), lambda w: F.length(w) >= 3))
-    beside = staged(each.select("doc_id", "entity", F.xxhash64("before", "after").alias("context"), F.explode(words).alias("term")), "beside")
-    pairs = beside.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("n_te")).where(F.col("contexts") >= SUPPORT)
-    pairs = staged(pairs, "pairs")
+def _contexts(text: Column, base: Column) -> Column:
+    """array<struct<entity, terms>>: the terms that lie whole within CONTEXT code points of each base span."""
+
+    def around(whole: Column) -> Column:
+        chunks, length = whole["chunks"], whole["length"]
+
+        def one(s: Column) -> Column:
+            before = piece(chunks, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
+            after = piece(chunks, s["end"], F.least(s["end"] + CONTEXT, length))
+            # terms that the context or the entity cuts are left out
+            before = F.when(s["start"] > CONTEXT, F.regexp_replace(before, rf"^{_IN}++", "")).otherwise(before)
+            before = F.when(s["value"].rlike(rf"^{_IN}"), F.regexp_replace(before, rf"{_IN}++$", "")).otherwise(before)
+            after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, rf"{_IN}++$", "")).otherwise(after)
+            after = F.regexp_replace(after, rf"^{_IN}++", "")
+            return F.struct(F.md5(F.concat_ws(":", s["kind"], F.lower(s["value"]))).alias("entity"), _terms(F.concat_ws(" ", before, after)).alias("terms"))
+
+        return F.transform(base, one)
+
+    return let(F.struct(chunks_of(text).alias("chunks"), F.length(text).alias("length")), around)
+
+
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+
+
+def revealing_terms(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, term, ratio) of the terms that reveal an entity; marked: rows with contexts, texts: (text) of all documents."""
+    each = marked.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.entity", F.explode("c.terms").alias("term"))
+    pairs = staged(each.groupBy("entity", F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_te")), "beside")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    n = texts.count()
-    entities = each.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.countDistinct("doc_id").alias("n_e"))
-    # documents that hold a term beside any entity are a lower bound of n_t, and drop what can't reach the threshold
-    around = beside.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct("doc_id").alias("n_t"))
-    rated = pairs.join(staged(entities, "entities"), "entity").join(staged(around, "around"), "term").withColumn("ratio", _ratio(n))
-    rated = staged(rated.where(F.col("ratio") >= GENERALISE).drop("ratio", "n_t"), "candidates")
-    if rated.isEmpty():
-        return rated.select("entity", "term", F.lit(0.0).alias("ratio"))
-    terms = rated.select("term").distinct()
-    held = texts.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _SPACE))).alias("term")).join(terms, "term", "left_semi")
-    counts = held.groupBy("term").agg(F.countDistinct("doc_id").alias("n_t"))
-    rated = rated.join(staged(counts, "terms"), "term").withColumn("ratio", _ratio(n))
-    return staged(rated.select("entity", "term", "ratio").where(F.col("ratio") >= GENERALISE), "revealing")
-
-
-def _ratio(n: int) -> Column:
-    """PMI / IC of n_te, n_t and n_e among n documents."""
-    pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    return F.coalesce(F.try_divide(pmi, F.log2(F.lit(float(n)) / F.col("n_e"))), F.lit(0.0))
+    counts = staged(texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_t")), "terms")
+    n = counts.agg(F.sum("n_t")).first()[0]
+    m = pairs.groupBy("entity").agg(F.sum("n_te").alias("m_e"))
+    rated = pairs.join(m, "entity").join(counts, "term").withColumn("n_te", F.least("n_te", "n_t"))
+    rated = rated.withColumn("ratio", disclosed(n)).where((F.col("ratio") >= GENERALISE) & (significance(n) >= SIGNIFICANT))
+    return staged(rated.select("entity", "term", "ratio"), "revealing")
+
+
+def disclosed(n: int) -> Column:
+    """PMI / IC of n_te, n_t and m_e among n occurrences."""
+    pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("m_e")))
+    return F.coalesce(F.try_divide(pmi, F.log2(F.lit(float(n)) / F.col("m_e"))), F.lit(0.0))
+
+
+def significance(n: int) -> Column:
+    """The log-likelihood ratio G2 of the four counts that n_te, n_t, m_e and n make."""
+    te, t, e, all_ = F.col("n_te"), F.col("n_t"), F.col("m_e"), F.lit(float(n))
+
+    def part(seen: Column, row: Column, col: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * all_ / (row * col))).otherwise(0.0)
+
+    return 2 * (part(te, t, e) + part(t - te, t, all_ - e) + part(e - te, all_ - t, e) + part(all_ - t - e + te, all_ - t, all_ - e))
+
+
+def _apart(terms: Column, base: Column) -> Column:
+    """The spans of terms that overlap no base span; both in order of start, terms without overlaps."""
+    as_rows = lambda spans, is_term: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_term).alias("term"), s["end"].alias("end"), s["value"].alias("value")))
+
+    def split(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda r: F.when(r["term"] == 0, r["end"]).otherwise(0)), F.greatest)
+        # a base span that begins within a term is the next row
+        cut = lambda r, i: F.coalesce((F.get(rows, i + 1)["term"] == 0) & (F.get(rows, i + 1)["start"] < r["end"]), F.lit(False))
+        whole = F.zip_with(rows, reach, lambda r, m: F.struct(r.alias("r"), m.alias("reach")))
+        own = F.filter(whole, lambda z, i: (z["r"]["term"] == 1) & (z["reach"] <= z["r"]["start"]) & ~cut(z["r"], i))
+        return F.transform(own, lambda z: z["r"])
+
+    return let(F.sort_array(F.concat(as_rows(base, 0), as_rows(terms, 1))), split)
+
+
+def _added(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, added) of the documents that hold revealing terms, one row for each (doc_id, row_hash)."""
+    told = staged(terms.groupBy("term").agg(F.max("ratio").alias("ratio")), "told")
+    held = texts.select("doc_id", "row_hash", F.explode(F.array_distinct(F.transform(_terms(F.col("text")), F.lower))).alias("term"))
+    held = sieve(held, "term", told.select("term")).join(told.select("term"), "term", "left_semi")
+    pairs = staged(held.select("doc_id", "row_hash", F.xxhash64("doc_id", "row_hash").alias("pair")).distinct(), "holding")
+    own = sieve(texts.withColumn("pair", F.xxhash64("doc_id", "row_hash")), "pair", pairs.select("pair")).dropDuplicates(["pair", "doc_id", "row_hash"])
+    spans = _apart(spans_of(F.col("text"), F.lit(TERM), F.lit("term")), base_spans(F.col("text")))
+    each = own.select("doc_id", "row_hash", "pair", F.explode(spans).alias("s")).select("doc_id", "row_hash", "pair", "s.start", "s.end", "s.value", F.lower("s.value").alias("term"))
+    each = sieve(each, "term", told.select("term")).join(told, "term")
+    kind = F.when(F.col("ratio") >= REMOVE, "term_removed").otherwise("term_generalised")
+    spans = F.sort_array(F.collect_list(F.struct("start", "end", "value", kind.alias("kind"))))
+    added = each.groupBy("pair", "doc_id", "row_hash").agg(spans.alias("spans"))
+    return staged(added.select("pair", "doc_id", "row_hash", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("added")), "added")
+
+
+def _joined_by_pair(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows with the further columns of spans, a table with one row for each (pair, doc_id, row_hash)."""
+    own = spans.withColumnsRenamed({"pair": "own_pair", "doc_id": "own_id", "row_hash": "own_hash"})
+    same = (F.col("pair") == F.col("own_pair")) & (F.col("row_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    return rows.join(own, same, "left").drop("own_pair", "own_id", "own_hash")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,47 +230,45 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), row_hash(text_col).alias("row_hash"), whole_text(text_col).alias("text"))
     marked = texts.withColumn("base", base_spans(F.col("text")))
-    found = staged(marked.where(F.size("base") > 0), "found")
-    terms = revealing_terms(found, texts)
-    none = F.array().cast(_SPANS)
+    marked = marked.withColumn("contexts", F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"))))
+    marked = staged(marked.select("doc_id", "row_hash", "base", "contexts"), "marked")
+    none, rows = F.array().cast(_SPANS), marked.select("doc_id", "row_hash", "base")
+    terms = revealing_terms(marked, texts)
     if terms.isEmpty():
-        added = found.select("doc_id", "row_hash", "base", none.alias("added"))
-    else:
-        entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))))
-        own = found.select("doc_id", "row_hash", entity.alias("entity")).join(terms, "entity").groupBy("doc_id", "row_hash", "term").agg(F.max("ratio").alias("ratio"))
-        own = staged(own.groupBy("doc_id", "row_hash").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "ratio")))).alias("terms")), "own")
-        with_terms = found.join(own, found["doc_id"].eqNullSafe(own["doc_id"]) & (found["row_hash"] == own["row_hash"]), "left").select(found["*"], own["terms"])
-        quoted = F.array_join(F.transform(F.map_keys("terms"), lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
-        pattern = F.concat(F.lit(r"(?iu)(?<![^\x20\x09-\x0D])(?:"), quoted, F.lit(r")(?![^\x20\x09-\x0D])"))
-        hits = spans_of(F.col("text"), pattern, F.lit("term"))
-        ratio = lambda s: F.coalesce(F.try_element_at(F.col("terms"), F.lower(s["value"])), F.lit(GENERALISE))
-        named = F.transform(hits, lambda s: F.struct(F.when(ratio(s) >= REMOVE, "term_removed").otherwise("term_generalised").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-        apart = F.filter(named, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        added = with_terms.select("doc_id", "row_hash", "base", F.when(F.col("terms").isNull(), none).otherwise(apart).alias("added"))
-    rest = marked.where(F.size("base") == 0).select("doc_id", "row_hash", "base", none.alias("added"))
-    return added.unionByName(rest)
+        return rows.withColumn("added", none)
+    added = _added(texts, terms)
+    named, others = sifted(rows.withColumn("pair", F.xxhash64("doc_id", "row_hash")), "pair", added.select("pair"))
+    found = _joined_by_pair(named, added).select("doc_id", "row_hash", "base", F.coalesce("added", none).alias("added"))
+    return found.unionByName(others.drop("pair").withColumn("added", none))
 
 
 def sanitised(text: Column, base: Column, added: Column) -> Column:
-    """The text with base spans named by kind and terms generalised to a word or removed; where base spans overlap, the first counts."""
-    spans = F.array_sort(F.concat(base, added), lambda a, b: a["start"] - b["start"])
-    shown = lambda s: F.when(s["kind"] == "term_removed", "").when(s["kind"] == "term_generalised", "[word]").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with base spans named by kind and terms generalised to a word or removed; spans that overlap are replaced together, under the first one's name."""
+    shown = lambda kind: F.when(kind == "term_removed", "").when(kind == "term_generalised", "[word]").otherwise(F.concat(F.lit("["), kind, F.lit("]")))
+    spans = F.sort_array(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def with_reach(x: Column) -> Column:
+        return let(F.struct(x["chunks"].alias("chunks"), x["spans"].alias("spans"), running(F.transform(x["spans"], lambda s: s["end"]), F.greatest).alias("reach")), put)
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), shown(s)).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(acc)
+    def put(x: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(x["reach"], k - 1), F.lit(0))
+        one = lambda s, k: F.concat(piece(x["chunks"], at(k), s["start"]), F.when(s["start"] >= at(k), shown(s["kind"])).otherwise(""))
+        return F.concat(F.array_join(F.transform(x["spans"], one), ""), piece(x["chunks"], at(F.size(x["spans"])), F.length(text)))
 
-    return F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(F.struct(chunks_of(text).alias("chunks"), spans.alias("spans")), with_reach)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the sanitised text in place of the text."""
-    spans = find(docs, id_col, text_col).where(F.size("base") > 0).dropDuplicates(["doc_id", "row_hash"])
-    spans = staged(spans.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), F.col("base").alias("__base"), F.col("added").alias("__added")), "spans")
-    out = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]) & (row_hash(text_col) == spans["__hash"]), "left")
-    text = F.when(F.col("__id").isNull() & F.col("__hash").isNull(), F.col(text_col)).otherwise(sanitised(whole_text(text_col), F.col("__base"), F.col("__added")))
-    return out.withColumn(text_col, text).select(*docs.columns)
+    """docs with the sanitised text in place of the text; rows without spans keep theirs, and are not shuffled."""
+    spans = find(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("added") > 0)).dropDuplicates(["doc_id", "row_hash"])
+    spans = staged(spans.withColumn("pair", F.xxhash64("doc_id", "row_hash")), "spans")
+    rows = packed(docs, F.col(id_col).alias("doc_id"), row_hash(text_col).alias("row_hash")).withColumn("pair", F.xxhash64("doc_id", "row_hash"))
+    named, others = sifted(rows, "pair", spans.select("pair"))
+    named = _joined_by_pair(named, spans).select("row", "base", "added")
+    own = F.col("row")[text_col]
+    text = F.when(F.col("base").isNull(), own).otherwise(sanitised(whole_text(own), F.col("base"), F.col("added")))
+    new = named.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    return new.unionByName(others.select("row.*"))
 
 
 def _joined(spans: Column) -> Column:

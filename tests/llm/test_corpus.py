@@ -387,3 +387,76 @@ def test_sieve_loses_no_key(spark):
     got = {r["id"] for r in sieve(rows, "id", keys).collect()}
     assert set(range(0, 20_000, 37)) <= got and len(got) < 1200
     assert sieve(rows, "id", keys.limit(0)).count() == 0
+
+
+def terms_brute(texts):
+    """The added spans of each text by counting: (PMI / IC, G2) of every pair of entity and term."""
+    token = re.compile(r"[^\W_]{3,}")
+    entities = {}
+    for text in texts:
+        spans = [m for kind, pattern in PATTERNS.items() for m in re.finditer(pattern, text) if f"{kind}:{m.start()}:{m.end()}" in base(text).split(",")]
+        for m in spans:
+            near = [t for t in re.finditer(r"[^\W_]+", text) if len(t.group()) >= 3 and (max(0, m.start() - 80) <= t.start() and t.end() <= m.start() or m.end() <= t.start() and t.end() <= m.end() + 80)]
+            entities.setdefault(m.group().lower(), Counter()).update(t.group().lower() for t in near)
+    counts = Counter(t.group().lower() for text in texts for t in token.finditer(text))
+    n, best = sum(counts.values()), {}
+    for beside in entities.values():
+        m_e = sum(beside.values())
+        for term, n_te in beside.items():
+            n_te, n_t = min(n_te, counts[term]), counts[term]
+            cells = [(n_te, n_t, m_e), (n_t - n_te, n_t, n - m_e), (m_e - n_te, n - n_t, m_e), (n - n_t - m_e + n_te, n - n_t, n - m_e)]
+            g2 = 2 * sum(x * np.log(x * n / (r * c)) for x, r, c in cells if x > 0)
+            ratio = np.log2(n * n_te / (n_t * m_e)) / np.log2(n / m_e) if n > m_e else 0
+            if ratio >= 0.75 and g2 >= 3.84:
+                best[term] = max(best.get(term, 0), ratio)
+    out = []
+    for text in texts:
+        taken = [tuple(map(int, b.split(":")[1:])) for b in base(text).split(",") if b]
+        kinds = [(t, best.get(t.group().lower(), 0)) for t in token.finditer(text)]
+        out.append([f"term_{'removed' if r >= 0.9 else 'generalised'}:{t.start()}:{t.end()}" for t, r in kinds if r and all(t.end() <= a or b <= t.start() for a, b in taken)])
+    return out
+
+
+def test_pii_terms_against_counting(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(3, 5))) for _ in range(60)]
+    names = ["Zorro", "Quixote", "Yvaine", "Moriarty"]
+    texts = []
+    for k in range(250):
+        text = [rng.choice(words) for _ in range(rng.randint(1, 60))]
+        if k % 5 == 0:
+            who = rng.choice(names)
+            text.insert(rng.randrange(len(text)), f"{who}, {who.lower()}@mail.example" + rng.choice(["", " +1 (777) 555-7427", " 10.2.3.4"]))
+        if k % 17 == 0:
+            text.append(rng.choice(names).upper())
+        texts.append(" ".join(text))
+    texts.append("Solo solo@alone.example met")  # an entity of one context
+    rows = {r["doc_id"]: pii_terms(r) for r in pii.find(docs(spark, [*enumerate(texts)])).collect()}
+    want = terms_brute(texts)
+    assert [rows[k] for k in range(len(texts))] == want
+    assert any(w and not base(t) for w, t in zip(want, texts)) and rows[len(texts) - 1]
+
+
+def test_pii_of_many_matches_is_not_quadratic(spark):
+    import time
+
+    def timed(n, run):
+        text = " ".join(f"u{k}@h{k % 9}.example" for k in range(n))
+        begun = time.time()
+        row = next(r for r in run(docs(spark, [(1, text), (2, "b " * 10)]).coalesce(1)).collect() if r["doc_id"] == 1)
+        return time.time() - begun, row, len(text)
+
+    least = timed(20, pii.find)[0]  # what the jobs take whatever the text
+    seconds, row, end = timed(20_000, pii.find)
+    assert seconds - least < 10 and len(row["base"]) == 20_000 and row["base"][-1]["end"] == end
+    seconds, row, _ = timed(20_000, pii.sanitise)
+    assert seconds - least < 20 and row["text"] == " ".join(["[email]"] * 20_000)
+
+
+def test_pii_sanitise_with_clashing_columns_and_overlaps(spark):
+    rows = [(1, "tel +10.2.3.4 5678 x", "x"), (2, "none here tel tel tel", "y"), (None, "a@b.co", None), (None, None, None)]
+    names = ["__id", "__hash", "__base", "row", "pair", "base", "added", "row_hash", "__seen"]
+    df = spark.createDataFrame([(i, t, *[v] * len(names)) for i, t, v in rows], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    got = pii.sanitise(df)
+    assert got.columns == df.columns
+    assert sorted((str(r["doc_id"]), str(r["text"]), str(r["pair"])) for r in got.collect()) == [("1", "tel [phone] x", "x"), ("2", "none here tel tel tel", "y"), ("None", "None", "None"), ("None", "[email]", "None")]
