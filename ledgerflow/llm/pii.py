@@ -9,8 +9,9 @@ takes quadratic time or deep recursion.
 A protected entity is a distinct value, a term a run of three or more letters and digits in lower case. Everything is counted in
 occurrences of terms: N in all documents, n_t of the term, m_e of any terms within CONTEXT code points of the entity, n_te of the term there.
 PMI = log2(N n_te / (n_t m_e)) is what the term tells of the entity, and IC = -log2(m_e / N) is all that there is to tell; PMI / IC is 1
-for a term that stands nowhere else. Every pair is tested, those seen once too: the log-likelihood ratio G2 must exceed
-SIGNIFICANT (95 %), as a few occurrences in a small corpus tell nothing. Terms with PMI / IC from GENERALISE on are generalised, from REMOVE
+for a term that stands nowhere else. Every pair is tested, those seen once too: the log-likelihood ratio G2 must be so large that chance alone
+gives fewer than CHANCE such pairs among all entities and terms there are, and is significant at LEVEL: every context holds some rare term,
+but in a large corpus only what comes back beside the same entity is more than that. Terms with PMI / IC from GENERALISE on are generalised, from REMOVE
 on removed, in all documents, those without a base span included, where they overlap no base span.
 
 Defined cases: a null text is an empty one without spans; rows that repeat an id, or have none, are reported each and counted each;
@@ -19,6 +20,7 @@ an empty table gives an empty result; further columns are left out by find() and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +40,8 @@ _IN = r"[\p{L}\p{M}\p{N}]"
 TERM = rf"{_IN}{{3,}}+"
 CONTEXT = 80
 GENERALISE, REMOVE = 0.75, 0.9
-#: The 95 % quantile of the chi-squared distribution with one degree of freedom.
-SIGNIFICANT = 3.84
+#: Pairs that may pass the test by chance, and the level of the test of one pair at most.
+CHANCE, LEVEL = 1.0, 0.05
 #: Code points of a chunk.
 CHUNK = 256
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -162,13 +164,23 @@ def revealing_terms(marked: DataFrame, texts: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
     counts = staged(texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_t")), "terms")
-    n = counts.agg(F.sum("n_t")).first()[0]
+    n, terms = counts.agg(F.sum("n_t"), F.count(F.lit(1))).first()
     m = pairs.groupBy("entity").agg(F.sum("n_te").alias("m_e"))
+    least = least_g2(m.count() * terms)
     rated = pairs.join(m, "entity").join(counts, "term").withColumn("n_te", F.least("n_te", "n_t"))
-    rated = rated.withColumn("ratio", disclosed(n)).where((F.col("ratio") >= GENERALISE) & (significance(n) >= SIGNIFICANT))
+    rated = rated.withColumn("ratio", disclosed(n)).where((F.col("ratio") >= GENERALISE) & (significance(n) >= least))
     return staged(rated.select("entity", "term", "ratio"), "revealing")
 
 
+def least_g2(pairs: int) -> float:
+    """The quantile of the chi-squared distribution with one degree of freedom that leaves a share of CHANCE / pairs, LEVEL at most, above it."""
+    share, low, high = min(LEVEL, CHANCE / max(pairs, 1)), 0.0, 1000.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.erfc(math.sqrt(middle / 2)) > share else (low, middle)
+    return high
+
+
 def disclosed(n: int) -> Column:
     """PMI / IC of n_te, n_t and m_e among n occurrences."""
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("m_e")))
