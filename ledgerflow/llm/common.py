@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Deleting these six characters deletes the class [\x20\x09-\x0D].
@@ -46,16 +49,59 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Remove this application's staged tables; for long-lived sessions, once their results are written."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives keep(df, name), which stages what shall stay; all other tables staged inside are removed at its end."""
+    _made.append([])
+    kept = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        kept.append(_made[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _made.pop():
+            removed(spark, path)
+        if _made:
+            _made[-1].extend(kept)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Remove this application's staged tables; for long-lived sessions, once their results are written."""
+    removed(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with the sum of a column over the rows before each in a total order, by sums {out: column}.
+
+    Rows are dealt by ranges of the order; sums inside a range get those of the ranges before, one row a range. No task sees all rows.
+    """
+    part = staged(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    ahead = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = part.groupBy("__part").agg(*[F.sum(c).alias(f"__{out}") for out, c in sums.items()])
+    before = totals.select("__part", *[F.coalesce(F.sum(f"__{out}").over(ahead), F.lit(0)).alias(f"__{out}") for out in sums])
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    found = part.withColumns({out: F.coalesce(F.sum(c).over(inside), F.lit(0)) for out, c in sums.items()}).join(before, "__part")
+    return found.withColumns({out: F.col(out) + F.col(f"__{out}") for out in sums}).drop("__part", *[f"__{out}" for out in sums])
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -6,7 +6,10 @@ below the rate's fraction, so a lost task that runs again takes the same copies.
 
 Targets: the sources share `share` of all tokens by weight; no target exceeds `cap` times its source's size. In the
 order of cap / weight, the sources that reach their cap come first; the level is what is left over for each unit of
-weight. This has one row a source and is the only step that sees the sources in an order.
+weight. 
+How near: each draw is independent, so what a source takes differs from its target by a deviation of sqrt(f (1 - f) sum of squared
+sizes), f the fraction of its rate; `taken_deviation` gives it. A source of many documents is near its target, one of few long documents
+may miss it by as much as one of these.
 
 Defined cases: a null text has size 0 and is taken like any other; rows without a source form one source, the last;
 rows that repeat an id are taken alike; a source of size 0 has target 0 and none of its rows is taken; an empty table
@@ -16,10 +19,9 @@ gives an empty result; further columns are kept as they are.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table, whole_text
+from .common import WORD, packed, running_sums, staged, table, whole_text
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
@@ -32,16 +34,22 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size, target) from rows (source, size); weights repeat over the sources by code point, null last."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))).cast("int") + 1)
-    ordered = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    steps = by_source.withColumn("weight", w).withColumn("bound", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("bound") / F.col("weight"))
-    steps = steps.withColumn("total", F.sum("source_size").over(W.partitionBy()) * F.lit(share))
-    steps = steps.withColumn("before", F.coalesce(F.sum("bound").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    steps = steps.withColumn("level", (F.col("total") - F.col("before")) / F.sum("weight").over(ordered.rowsBetween(0, W.unboundedFollowing)))
-    steps = steps.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy()))
-    return steps.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("bound")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    """(source, source_size, target) from rows (source, size); weights repeat over the sources by code point, null last.
+
+    Places and levels are running sums over ranges of the sources, so sources may be as many as documents.
+    """
+    by_name = F.col("source").asc_nulls_last()
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    placed = running_sums(by_source, [by_name], {"place": "one"})
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod("place", F.lit(len(weights))).cast("int") + 1)
+    steps = placed.withColumn("weight", w).withColumn("bound", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("bound") / F.col("weight"))
+    steps = running_sums(steps, [F.col("ratio"), by_name], {"before": "bound", "weight_before": "weight"})
+    steps = staged(steps.select("source", "source_size", "weight", "bound", "ratio", "before", "weight_before"), "steps")
+    whole = steps.agg((F.sum("source_size") * F.lit(share)).alias("total"), F.sum("weight").alias("weights"))  # one row
+    level = (F.col("total") - F.col("before")) / (F.col("weights") - F.col("weight_before"))
+    levels = steps.crossJoin(F.broadcast(whole)).agg(F.max(F.when(level <= F.col("ratio"), level)).alias("level"))  # one row
+    target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("bound")).otherwise(F.col("level") * F.col("weight"))
+    return steps.crossJoin(F.broadcast(levels)).select("source", "source_size", target.alias("target"))
 
 
 def copies_of(id_col: Column, rate: Column, seed: str = SEED) -> Column:
@@ -62,15 +70,24 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED) -> Data
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; the columns of docs.
+    """docs with every row repeated as often as the mix takes it; the columns of docs, whatever their names.
 
     The rows carry their whole text past no shuffle: only the targets, one row a source, meet them.
     """
     sizes = docs.select("source", word_count(whole_text()).alias("size"))
-    targets = staged(source_targets(sizes).select(F.col("source").alias("__source"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("__rate")), "targets")
-    out = docs.join(targets, docs["source"].eqNullSafe(targets["__source"]))
-    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies_of(F.col(id_col), F.col("__rate"), seed))))
-    return out.select(*[docs[c] for c in docs.columns])
+    targets = staged(source_targets(sizes).select("source", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")), "targets")
+    rows = packed(docs, F.col("source").alias("own"), F.col(id_col).alias("id"))
+    out = rows.join(targets, F.col("own").eqNullSafe(F.col("source")))
+    copies = F.explode(F.array_repeat(F.lit(0), copies_of(F.col("id"), F.col("rate"), seed)))
+    return out.select("row", copies.alias("copy")).select("row.*")
+
+
+def taken_deviation(mixed: DataFrame) -> DataFrame:
+    """(source, source_size, target, taken, deviation) from mix_table()'s rows: the standard deviation of what the draws take."""
+    rate = F.coalesce(F.try_divide(F.first("target"), F.first("source_size")), F.lit(0.0))
+    f = rate - F.floor(rate)
+    squares = F.sum((F.col("size") * F.col("size")).cast("double"))
+    return mixed.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.sqrt(f * (1 - f) * squares).alias("deviation"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

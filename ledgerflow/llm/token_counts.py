@@ -6,7 +6,7 @@ its pair merges if it still stands there. The count is initial symbols minus mer
 of words are remembered in a table of bounded size for each worker.
 
 Defined cases: a null text is an empty one and has 0 tokens; nulls elsewhere, repeated rows and further columns pass
-through; texts of any length take n log n time in the length of their longest word; an empty table gives an empty result.
+through, but one of the name of the new column, which gives way to it; texts of any length take n log n time in the length of their longest word; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -3,7 +3,9 @@
 Vectors are turned by a random orthogonal matrix, which spreads their length evenly over the dimensions, and lie in column blocks. For a
 query the blocks of a list are read one after another. After each block a hypothesis test compares the distance over the
 dimensions read so far, scaled up to all, with the K-th best distance found: candidates beyond (1 + EPSILON / sqrt(dimensions))
-times that are abandoned. Those that remain get their exact distance on the original vectors.
+times that are abandoned. Those that remain get their exact distance on the original vectors. A query reads its nearest list
+first; the K-th distance found there goes with it to the other lists as their bound, which each chunk tightens by the exact
+distances of those that look nearest after the first block.
 
 Lists are the cells of centroids fitted on a bounded sample, which also gives the number of lists to probe: the least
 that holds TARGET of the sample's true neighbours. All rows are indexed. Equal vectors are scanned once and
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 K = 10
-#: Vectors that the index is fitted on at most, and their bytes; lists at most; sample queries that set the probes.
-SAMPLE, SAMPLE_BYTES, LISTS, TRIALS = 20_000, 64 << 20, 256, 200
+#: Vectors that the index is fitted on at most, and their bytes; of the sample for each list at least; sample queries that set the probes.
+SAMPLE, SAMPLE_BYTES, PER_LIST, TRIALS = 20_000, 64 << 20, 32, 200
 TARGET = 0.98
 #: Vectors of a chunk of a list, queries of a chunk, dimensions of a column block, and the slack of the test.
-CHUNK, QUERIES, BLOCK, EPSILON = 4096, 512, 16, 2.1
+CHUNK, QUERIES, BLOCK, EPSILON = 8192, 4096, 16, 2.1
 SEED = 11
 
 
@@ -48,11 +50,12 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Index:
     """Centroids, the rotation and how many lists a query probes."""
 
-    def __init__(self, sample: np.ndarray, k: int = K):
+    def __init__(self, sample: np.ndarray, k: int = K, total: int | None = None):
         rng = np.random.default_rng(SEED)
         n, d = sample.shape
         self.rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        lists = int(min(LISTS, max(1, np.sqrt(n))))
+        # lists grow with the table, as far as the sample can place them
+        lists = int(max(1, min(np.sqrt(total or n), n // PER_LIST)))
         self.centroids = sample[rng.choice(n, lists, replace=False)]
         for _ in range(12):
             cell = self.cells(sample)
@@ -74,36 +77,34 @@ class Index:
     def cells(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([_squares(x[i : i + 4096], self.centroids).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
-    def probed(self, x: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
-        """The lists that each query reads: `probes` of them, and on until they hold k vectors."""
+    def probed(self, x: np.ndarray, sizes: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The lists that each query reads: first the nearest, until they hold k vectors, then up to `probes` of them."""
         order = np.argsort(_squares(x, self.centroids), axis=1)
         held = np.cumsum(sizes[order], axis=1)
-        enough = [max(self.probes, int(np.searchsorted(h, k)) + 1) for h in held]
-        return [o[:e] for o, e in zip(order, enough)]
+        enough = [int(np.searchsorted(h, k)) + 1 for h in held]
+        return [(o[:e], o[e : max(self.probes, e)]) for o, e in zip(order, enough)]
 
 
-def scan(base: np.ndarray, turned: np.ndarray, query: np.ndarray, turned_query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, exact squared distances) of the k nearest vectors of one list chunk, found by the adaptive scan."""
+def scan(base: np.ndarray, turned: np.ndarray, query: np.ndarray, turned_query: np.ndarray, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(places, exact squared distances) of the k nearest vectors of one list chunk that lie within bound (squared), found by the adaptive scan."""
     n, d = base.shape
     exact = lambda at: ((base[at] - query) ** 2).sum(1)
-    first = min(n, max(2 * k, 64))
-    alive = np.arange(first)
-    best_at, best = alive, exact(alive)
-    if n > first:
-        bound = np.partition(best, k - 1)[k - 1]
-        alive, partial = np.arange(first, n), np.zeros(n - first)
-        for start in range(0, d, BLOCK):
-            end = min(d, start + BLOCK)
-            partial += ((turned[start:end, alive] - turned_query[start:end, None]) ** 2).sum(0)
-            keep = partial * d / end <= bound * (1 + EPSILON / np.sqrt(end)) ** 2 if end < d else partial <= bound * (1 + 1e-9)
-            alive, partial = alive[keep], partial[keep]
-            if not len(alive):
-                break
-        best_at, best = np.r_[best_at, alive], np.r_[best, exact(alive)]
+    alive, partial = np.arange(n), np.zeros(n)
+    for start in range(0, d, BLOCK):
+        end = min(d, start + BLOCK)
+        partial += ((turned[start:end, alive] - turned_query[start:end, None]) ** 2).sum(0)
+        if not start and n >= k:
+            m = min(n, max(2 * k, 64))
+            bound = min(bound, np.partition(exact(np.argpartition(partial, m - 1)[:m]), k - 1)[k - 1])
+        keep = partial * d / end <= bound * (1 + EPSILON / np.sqrt(end)) ** 2 if end < d else partial <= bound * (1 + 1e-9)
+        alive, partial = alive[keep], partial[keep]
+        if not len(alive):
+            break
+    best = exact(alive)
     if len(best) > k:
         kept = best <= np.partition(best, k - 1)[k - 1]
-        best_at, best = best_at[kept], best[kept]
-    return best_at, best
+        alive, best = alive[kept], best[kept]
+    return alive, best
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,43 +123,49 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     distinct = staged(rows.groupBy("h").agg(F.min(F.struct("id", "v")).alias("m"), F.max("q").alias("q")).select("h", F.col("m.v").alias("v"), F.coalesce("q", F.lit(False)).alias("q")), "distinct")
     size = min(SAMPLE, SAMPLE_BYTES // (8 * d))
     sample = np.array([r["v"] for r in distinct.select("v", F.xxhash64("h").alias("o")).orderBy("o").limit(size).select("v").collect()])
-    index = Index(sample, k)
+    index = Index(sample, k, distinct.count())
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(list=index.cells(np.array(b["v"].tolist()).reshape(-1, d)).astype("int32"))
 
     placed = staged(distinct.mapInPandas(place, "h string, v array<double>, q boolean, list int"), "placed")
-    counts = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # one row a list, at most LISTS
+    counts = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # one row a list, at most SAMPLE / PER_LIST
     sizes = np.array([counts.get(j, 0) for j in range(len(index.centroids))])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lists = index.probed(np.array(b["v"].tolist()).reshape(-1, d), sizes, k + 1)
-            yield b[["h", "v"]].assign(list=lists).explode("list").astype({"list": "int32"})
+            for first, lists in enumerate(zip(*index.probed(np.array(b["v"].tolist()).reshape(-1, d), sizes, k + 1))):
+                yield b[["h", "v"]].assign(list=lists, first=first == 0).explode("list").dropna(subset="list").astype({"list": "int32"})
 
-    queries = placed.where("q").select("h", "v").mapInPandas(probe, "h string, v array<double>, list int")
-    loads = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
-    loads = staged(loads.join(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "list"), "loads")
+    queries = staged(placed.where("q").select("h", "v").mapInPandas(probe, "h string, v array<double>, list int, first boolean"), "queries")
+    chunks = staged(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "chunks")
     one_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    base = placed.join(loads, "list").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks"))).withColumn("part", F.explode(one_of("parts"))).select("list", "chunk", "part", "h", "v")
-    asked = queries.join(loads, "list").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).withColumn("chunk", F.explode(one_of("chunks")))
-    asked = asked.select("list", F.col("chunk").cast("long").alias("chunk"), F.col("part").cast("int").alias("part"), "h", "v")
+    keys = ["list", "chunk", "part"]
 
     def found(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
         if len(b) and len(q):
             x, y = np.array(b["v"].tolist()), np.array(q["v"].tolist())
             turned, turned_y, names = np.ascontiguousarray((x @ index.rotation).T), y @ index.rotation, b["h"].to_numpy()
-            for j, name in enumerate(q["h"]):
-                at, squares = scan(x, turned, y[j], turned_y[j], k + 1)
-                out.append(pd.DataFrame({"asked": name, "h": names[at], "score": np.sqrt(squares)}))
-        return pd.concat(out) if out else pd.DataFrame({"asked": [], "h": [], "score": []})
-
-    keys = ["list", "chunk", "part"]
-    hits = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(found, "asked string, h string, score double")
-    # k + 1 distinct vectors are enough for every query with this vector
-    order = W.partitionBy("asked").orderBy("score", "h")
+            out = [scan(x, turned, y[j], turned_y[j], k + 1, bound * bound * (1 + 1e-9)) for j, bound in enumerate(q["bound"])]
+            asked = np.repeat(q["h"].to_numpy(), [len(at) for at, _ in out])
+            return pd.DataFrame({"asked": asked, "h": names[np.concatenate([at for at, _ in out])], "score": np.sqrt(np.concatenate([x for _, x in out]))})
+        return pd.DataFrame({"asked": [], "h": [], "score": []})
+
+    def scanned(asking: DataFrame) -> DataFrame:
+        """The k + 1 nearest distinct vectors that each of asking (h, v, list, bound) finds in its lists; enough for every query with this vector."""
+        loads = asking.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+        loads = staged(loads.join(chunks, "list"), "loads")
+        base = placed.join(loads, "list").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks"))).withColumn("part", F.explode(one_of("parts"))).select("list", "chunk", "part", "h", "v")
+        asked = asking.join(loads, "list").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).withColumn("chunk", F.explode(one_of("chunks")))
+        asked = asked.select("list", F.col("chunk").cast("long").alias("chunk"), F.col("part").cast("int").alias("part"), "h", "v", "bound")
+        hits = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(found, "asked string, h string, score double")
+        hits = hits.withColumn("r", F.rank().over(W.partitionBy("asked").orderBy("score"))).where(F.col("r") <= k + 1)
+        return staged(hits.select("asked", "h", "score"), "hits")
+
+    near = scanned(queries.where("first").withColumn("bound", F.lit(float("inf"))))
+    bounds = near.groupBy("asked").agg(F.when(F.count(F.lit(1)) > k, F.max("score")).otherwise(float("inf")).alias("bound")).withColumnRenamed("asked", "h")
+    hits = near.unionByName(scanned(queries.where("NOT first").join(bounds, "h")))
     hits = hits.withColumn("r", F.rank().over(W.partitionBy("asked").orderBy("score"))).where(F.col("r") <= k + 1)
     hits = staged(hits.select("asked", "h", "score"), "hits")
     members = hits.join(ids, "h").select("asked", F.col("id").alias("vec_id"), "score")

@@ -7,8 +7,8 @@ that a lost or repeated task left are never read. Reading sorts the selected ind
 neighbouring ranges into one read, parses the records and checks the digest of each payload.
 
 Defined cases: a null payload is an empty one; a null URL is written as the record's id; a row without an id is a response
-only where no row with an id has its payload; rows that repeat the smallest id are responses each; an empty table gives
-an empty result; further columns are left out.
+only where no row with an id has its payload; rows that repeat the smallest id are responses each; record ids of rows that repeat
+a page id, or have none, get a fragment of their own; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table, whole_text, work_path
+from .common import removed, sifted, staged, table, whole_text, work_path
 
 #: Records with payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Bytes after which a task begins another archive; of index ranges dealt to one task; of one read; between ranges joined in one read.
+#: Bytes after which a task begins another archive; that one task reads; of one read; between ranges joined in one read.
 ARCHIVE, SPAN, READ, GAP = 1 << 29, 32 << 20, 8 << 20, 64 << 10
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, url string, digest string, type string, refers_to long, path string, offset long, length long"
@@ -40,23 +40,23 @@ def _uri(folder: str) -> str:
     return "s3" + folder[3:] if folder[:6] in ("s3a://", "s3n://") else folder
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, copy: int | None = None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}{'' if copy is None else f'#{copy}'}>"
 
 
 def _page(urn: str) -> int | None:
-    number = urn.strip("<>").rpartition(":")[2]
+    number = urn.strip("<>").rpartition(":")[2].partition("#")[0]
     return int(number) if number else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record; a revisit keeps the response's header, not its payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, copy: int | None = None, date: str = DATE) -> bytes:
+    """One record; a revisit keeps the response's header, not its payload. copy tells rows of one page id apart."""
     from urllib.parse import quote
 
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if kind == "response" else head
-    target = _urn(page_id).strip("<>") if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
+    target = _urn(page_id, copy).strip("<>") if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]")
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id, copy)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -77,14 +77,26 @@ def parse(data: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, payload, sha1, type, refers_to) per row of pages (page_id, url, html)."""
+    """(page_id, url, payload, sha1, type, refers_to, copy) per row of pages (page_id, url, html).
+
+    Payloads that stand once pass the sieve's complement: they meet no join, so no shuffle carries them.
+    """
     payload = F.encode(whole_text("html"), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("sha1"), F.octet_length("html").alias("n"))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
+    narrow = staged(rows.select("page_id", "sha1"), "digests")
+    firsts = narrow.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     firsts = staged(firsts.select("sha1", "first"), "firsts")
-    found = rows.join(firsts, "sha1", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.coalesce("n", F.lit(0)) >= least_bytes)
-    return found.select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    repeats = staged(narrow.groupBy("page_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR page_id IS NULL").select(F.col("page_id").alias("again")), "repeats")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("n") >= least_bytes)
+    several, single = sifted(rows, "sha1", firsts.select("sha1"))
+    found = several.join(firsts, "sha1", "left").select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    found = found.unionByName(single.select("page_id", "url", "payload", "sha1", F.lit("response").alias("type"), F.lit(None).cast("long").alias("refers_to")))
+    if repeats.isEmpty():
+        return found.withColumn("copy", F.lit(None).cast("long"))
+    some, own = sifted(found, "page_id", repeats)
+    some = some.join(repeats.withColumn("met", F.lit(True)), F.col("page_id").eqNullSafe(F.col("again")), "left")
+    some = some.withColumn("copy", F.when(F.col("met"), F.monotonically_increasing_id())).drop("again", "met")
+    return some.unionByName(own.withColumn("copy", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -109,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
                         path = f"{root}/{uuid.uuid4().hex}.warc"
                         out = store.open_output_stream(path)
                     digest, at = base32_sha1(row["sha1"]), out.tell()
-                    out.write(record(row["page_id"], row["url"], row["payload"], digest, row["type"], row["refers_to"]))
+                    out.write(record(row["page_id"], row["url"], row["payload"], digest, row["type"], row["refers_to"], row["copy"]))
                     index.append((row["page_id"], row["url"], digest, row["type"], row["refers_to"], path, at, out.tell() - at))
                 if index:
                     from pyarrow import RecordBatch
@@ -161,12 +173,20 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                 yield pa.RecordBatch.from_pylist(out, schema=_arrow(RECORD))
                 start = end
 
-    dealt = index.select("path", "offset", "length", "url").withColumn("span", F.floor(F.col("offset") / SPAN))
-    dealt = dealt.repartition("path", "span").sortWithinPartitions("path", "offset")
-    found = dealt.select("path", "offset", "length", "url").mapInArrow(read, RECORD)
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // SPAN), spark.sparkContext.defaultParallelism)
+    # ranges dealt to so many tasks by number: adaptive execution would join them by the bytes of the index, not of the archives
+    dealt = index.select("path", "offset", "length", "url").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
+    found = dealt.mapInArrow(read, RECORD)
     return found if with_payload else found.drop("payload")
 
 
+def remove_archives(spark, folder: str) -> None:
+    """Remove the archives of a folder, once what was read of them is written elsewhere."""
+    removed(spark, folder)
+
+
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "archives")
     index = write_archives(table(spark, sf_dir, "pages"), folder)

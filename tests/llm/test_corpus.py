@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -400,6 +401,7 @@ def terms_brute(texts):
             entities.setdefault(m.group().lower(), Counter()).update(t.group().lower() for t in near)
     counts = Counter(t.group().lower() for text in texts for t in token.finditer(text))
     n, best = sum(counts.values()), {}
+    share = min(0.05, 1 / (len(entities) * len(counts)))
     for beside in entities.values():
         m_e = sum(beside.values())
         for term, n_te in beside.items():
@@ -407,7 +409,7 @@ def terms_brute(texts):
             cells = [(n_te, n_t, m_e), (n_t - n_te, n_t, n - m_e), (m_e - n_te, n - n_t, m_e), (n - n_t - m_e + n_te, n - n_t, n - m_e)]
             g2 = 2 * sum(x * np.log(x * n / (r * c)) for x, r, c in cells if x > 0)
             ratio = np.log2(n * n_te / (n_t * m_e)) / np.log2(n / m_e) if n > m_e else 0
-            if ratio >= 0.75 and g2 >= 3.84:
+            if ratio >= 0.75 and math.erfc(math.sqrt(max(g2, 0) / 2)) <= share:
                 best[term] = max(best.get(term, 0), ratio)
     out = []
     for text in texts:
@@ -460,3 +462,115 @@ def test_pii_sanitise_with_clashing_columns_and_overlaps(spark):
     got = pii.sanitise(df)
     assert got.columns == df.columns
     assert sorted((str(r["doc_id"]), str(r["text"]), str(r["pair"])) for r in got.collect()) == [("1", "tel [phone] x", "x"), ("2", "none here tel tel tel", "y"), ("None", "None", "None"), ("None", "[email]", "None")]
+
+
+CLASHING = ["row", "pair", "own", "id", "rate", "__rate", "__source", "__copy", "copy", "__row_hash", "row_hash", "h", "drop", "gone", "__seen", "__place", "__bucket", "n_tokens", "score", "norm", "size"]
+
+
+def clashing(spark, rows):
+    """(doc_id, text, source) with columns of names that the operators use inside."""
+    return spark.createDataFrame([(i, t, s, *[f"v{i}"] * len(CLASHING)) for i, t, s in rows], f"doc_id long, text string, source string, {', '.join(f'`{c}` string' for c in CLASHING)}")
+
+
+def test_clashing_columns_pass_through(spark):
+    long = " ".join(f"w{k % 977}" for k in range(120_000))
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "ab c d e f", "s"), (3, None, None), (None, "q r s t u v", None), (4, long, "t"), (5, long + " x", "t")]
+    df = clashing(spark, rows)
+    whole = lambda out: sorted((str(r["doc_id"]), r["row"], r["n_tokens"]) for r in out.collect())
+    exact = exact_dedup.exact_dedup(df)
+    assert exact.columns == df.columns and whole(exact) == sorted((i, f"v{i}", f"v{i}") for i in ("1", "3", "4", "5", "None"))
+    near = near_dedup.near_dedup(df)
+    assert near.columns == df.columns and whole(near) == sorted((i, f"v{i}", f"v{i}") for i in ("1", "2", "3", "4", "None"))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and {r["row"] for r in mixed.collect()} <= {f"v{i}" for i in (1, 2, 3, 4, 5, None)}
+    counted = token_counts.with_token_counts(df)
+    assert sorted(counted.columns) == sorted(df.columns) and all(isinstance(r["n_tokens"], int) for r in counted.collect())
+    cleaned = pii.sanitise(df)
+    assert cleaned.columns == df.columns and cleaned.count() == len(rows)
+    clean = toxicity.drop_toxic(df, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert clean.columns == df.columns and clean.count() == len(rows)
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    rows = [(k, f"document number {k} speaks of {k * 7} things and of {k % 5} others", ["a", "b", None][k % 3]) for k in range(60)]
+    rows += [(100, None, "a"), (101, "", None), (102, " \n", "b"), (103, long, "a"), (104, long + " end", "a"), (103, long, "a"), (None, "no id but five words here", None), (None, None, None)]
+    docs_ = clashing(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs_ = docs_, stage(spark, docs_, str(tmp_path))
+        assert docs_.columns == before.columns, name
+    left = docs_.collect()
+    assert not {r["doc_id"] for r in left} & {100, 101, 104} and all(r["row"] == f"v{r['doc_id']}" for r in left)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs_, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == len(left)
+    for text in (None, "solo"):
+        empty = clashing(spark, []) if text is None else clashing(spark, [(1, None, None)])
+        for _, stage in corpus_pipeline.STAGES:
+            empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() <= 2 and (text or empty.count() == 0)
+
+
+def test_workspace_removes_what_it_staged(spark):
+    from ledgerflow.llm.common import staged, workspace
+
+    with workspace(spark) as keep:
+        inner = staged(spark.range(5), "inner")
+        out = keep(inner.where("id > 2"), "out")
+    assert out.count() == 2
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FileNotFound|does not exist"):
+        inner.collect()
+
+
+def test_mixing_is_as_near_as_its_draws(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = mixing.taken_deviation(mixing.mix_table(documents)).collect()
+    # each within four deviations, and their sum of squares as chance has it
+    scores = [(r["taken"] - r["target"]) / r["deviation"] for r in rows if r["deviation"]]
+    assert scores and max(map(abs, scores)) <= 4 and np.mean(np.square(scores)) < 2.5
+    assert all(abs(r["taken"] - r["target"]) < 1e-6 for r in rows if not r["deviation"])
+
+
+def test_targets_of_many_sources(spark):
+    sizes = spark.range(3000).select(F.format_string("s%04d", "id").alias("source"), (F.col("id") % 97 + 1).alias("size"))
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    total = sum(k % 97 + 1 for k in range(3000))
+    assert sum(got.values()) == pytest.approx(1.5 * total)
+    level = {got[f"s{k:04d}"] / (5, 2, 1)[k % 3] for k in range(3000) if got[f"s{k:04d}"] < 2 * (k % 97 + 1) - 1e-9}
+    assert max(level) == pytest.approx(min(level))
+
+
+def test_scan_keeps_its_bound():
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((3000, 32)), rng.standard_normal(32)
+    turn = np.linalg.qr(rng.standard_normal((32, 32)))[0]
+    d = ((x - q) ** 2).sum(1)
+    want = np.sort(d)[:11]
+    at, squares = vector_search.scan(x, np.ascontiguousarray((x @ turn).T), q, q @ turn, 11)
+    assert len(set(want.round(9)) & set(squares.round(9))) >= 10 and np.allclose(d[at], squares)
+    at, squares = vector_search.scan(x, np.ascontiguousarray((x @ turn).T), q, q @ turn, 11, want[4])
+    assert (squares <= want[4] * (1 + 1e-6)).all() and 4 <= len(at) <= 5
+
+
+def test_warc_is_read_by_several_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.concat(F.lit("<p>"), F.col("id") % 90).alias("html"))
+    folder = f"file://{tmp_path}/w"
+    rows = warc.read_records(warc.write_archives(pages, folder), folder)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == spark.sparkContext.defaultParallelism
+    assert rows.where("record_type = 'response'").count() == 90 and rows.select("page_id").distinct().count() == 400
+    warc.remove_archives(spark, folder)
+    assert not (tmp_path / "w").exists()
+
+
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (None, "u", "c"), (None, "u", None), (2, "u", "b")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    index = warc.write_archives(pages.repartition(3), folder).collect()
+    ids = []
+    for r in index:
+        with open(r["path"], "rb") as file:
+            file.seek(r["offset"])
+            ids.append(warc.parse(file.read(r["length"]))["WARC-Record-ID"])
+    assert len(set(ids)) == len(index) == 6 and "<urn:page:2>" in ids and {warc._page(i) for i in ids} == {1, 2, None}
