@@ -1,22 +1,22 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
-
-Training takes a sample of labelled documents of bounded size, near copies left out. The ordinary dictionary holds the words that
-most ordinary documents of the sample share. The toxic one holds the same and, after it, the words that a far greater
-share of toxic documents has, so that ordinary passages compress alike under both. A text is cut at spaces into windows of about
-WINDOW bytes; what a window saves under the toxic dictionary is its gain. A logistic curve over the largest, the two largest,
-the summed and the mean gain is calibrated on the sample; score 0.5 is the threshold.
-
-Words are chosen here by document frequency rather than by the library's trainer: with dictionaries from that trainer,
-which keeps the fragments that all texts share, the scores of check_s's held-out rows had AUC 0.78 against 0.98.
-
-Defined cases: a null text is an empty one and has one empty window; documents that labels mark both ways, or not at all, are not learnt
-from; without labels of both kinds all scores are 0; rows that repeat an id are scored each; an empty table gives an
-empty result; score columns take the place of columns of these names.
+"""Toxicity: compression distance with zstandard dictionaries, trained apart on ordinary and on toxic text.
+
+Training takes a sample of labelled documents of bounded size, near copies left out. The library trains the ordinary dictionary on pieces of
+ordinary documents. The toxic documents are dealt over FOLDS parts, and the library trains a small toxic dictionary on each part's windows that
+the ordinary dictionary compresses worst: what ordinary text doesn't have stands there. A text is cut at white space into
+windows of about WINDOW bytes; what a window saves with a toxic dictionary at hand beside the ordinary one, over the ordinary one alone, is its gain.
+Fragments of prose that a toxic dictionary keeps by chance differ from part to part, toxic words don't, so a window counts by the mean
+gain of all toxic dictionaries and by the second smallest. A logistic curve over the largest, the two largest, the summed
+and the mean of both is calibrated on the sample; score 0.5 is the threshold.
+
+Defined cases: a null text is an empty one and has no window; documents that labels mark both ways, or not at all, are not learnt
+from; samples too small for the library's trainer are dictionaries as they are; without labels of both kinds all scores are 0; rows that
+repeat an id are scored each; an empty table gives an empty result; score columns take the place of columns of these names.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,22 +25,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table, whole_text
+from .common import packed, staged, table, whole_text
 
-#: Labelled documents that training takes at most, by class, and the longest that it takes.
+#: Labelled documents that training takes at most, by class, of those that are no longer than this.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 3000, 9000, 100_000
-#: Words of either dictionary at most; bytes of the ordinary one.
-TOXIC_WORDS, ORDINARY_WORDS, ORDINARY_BYTES = 1000, 50_000, 262_144
-#: A toxic word stands in this share of the toxic documents at least, and that many times the ordinary documents' share.
-LEAST_SHARE, LEAST_RATIO = 0.006, 8.0
-WINDOW, LEVEL, LEAST_GAIN = 32, 3, 3
+#: Pieces of ordinary documents that the ordinary dictionary is trained on at most, and their code points.
+PIECES, PIECE = 6000, 2048
+#: Bytes of the ordinary dictionary and of a toxic one at most, and the share of its samples' bytes that a dictionary holds at most.
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SHARE, TOXIC_SHARE = 262_144, 4096, 4, 9
+#: Toxic dictionaries; windows that each toxic document gives to one at least, and windows of all together at least.
+FOLDS, WORST, WORST_IN_ALL = 5, 3, 5000
+#: The trainer's segment and match sizes for toxic and ordinary text.
+SEGMENT, ORDINARY_SEGMENT, MATCH = 24, 32, 8
+WINDOW, LEVEL, LEAST_GAIN = 32, 3, 2
 THRESHOLD = 0.5
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
     weights: tuple[float, ...]
 
 
@@ -48,35 +53,60 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0
 
 
+def _trained(samples: list[bytes], size: int, share: int, segment: int) -> bytes:
+    """The content of a dictionary that the library trains on the samples."""
+    import zstandard
+
+    total = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(max(512, min(size, total // share)), samples, k=segment, d=MATCH).as_bytes()
+    except zstandard.ZstdError:  # too few samples, or too small ones
+        return b" ".join(samples)[-size:]
+
+
 @functools.lru_cache(maxsize=4)
-def _compressors(ordinary: bytes, toxic: bytes):
+def _compressors(ordinary: bytes, toxic: tuple[bytes, ...]):
     import zstandard
 
     found = []
-    for content in (ordinary, ordinary + toxic):
-        trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        trained.precompute_compress(level=LEVEL)
-        found.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+    for content in (ordinary, *[ordinary + t for t in toxic]):
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=LEVEL)
+        found.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
     return found
 
 
 def windows(text: str) -> Iterator[bytes]:
-    """The whole text in windows of WINDOW bytes and on to the next space, twice that at most."""
-    data, at = text.encode("utf-8", "replace").lower(), 0
+    """The whole text in lower case, in windows of WINDOW bytes and on to the next white space, twice that at most."""
+    data, at = text.lower().encode("utf-8", "replace"), 0
     while at < len(data):
-        end = data.find(b" ", at + WINDOW, at + 2 * WINDOW)
-        end = end if end >= 0 else at + 2 * WINDOW
+        upto = min(len(data), at + 2 * WINDOW)
+        space = _SPACE.search(data, at + WINDOW, upto)
+        end = space.start() if space else upto
         yield data[at:end]
         at = end
 
 
-def gains(text: str, ordinary: bytes, toxic: bytes) -> list[float]:
-    """Largest, two largest, sum and mean of what the windows save under the toxic dictionary."""
+def worst_windows(text: str, ordinary: bytes, n: int) -> list[bytes]:
+    """The windows that the ordinary dictionary compresses worst for their length."""
+    (plain,) = _compressors(ordinary, ())
+    return sorted(windows(text), key=lambda w: -len(plain(w)) / max(len(w), MATCH))[:n]
+
+
+def gains(text: str, ordinary: bytes, toxic: tuple[bytes, ...]) -> list[float]:
+    """Largest, two largest, sum and mean of what the windows save: by the mean of the toxic dictionaries, then by the second smallest."""
     if not toxic:
-        return [0.0] * 4
-    plain, other = _compressors(ordinary, toxic)
-    saved = sorted((len(plain(w)) - len(other(w)) for w in windows(text)), reverse=True) or [0]
-    return [float(saved[0]), float(sum(saved[:2])), float(np.log1p(sum(x for x in saved if x >= LEAST_GAIN))), float(sum(saved) / len(saved))]
+        return [0.0] * 8
+    plain, *others = _compressors(ordinary, toxic)
+    saved = np.array([[n - len(other(w)) for other in others] for w in windows(text) for n in (len(plain(w)),)], float).reshape(-1, len(others))
+    if not len(saved):
+        return [0.0] * 8
+    saved.sort(axis=1)
+    out = []
+    for x in (saved.mean(1), saved[:, min(1, len(others) - 1)]):
+        top = np.sort(x)[::-1]
+        out += [float(top[0]), float(top[:2].sum()), float(np.log1p(top[top >= LEAST_GAIN].sum())), float(top.mean())]
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -89,41 +119,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_from: Column | None = None) -> Model:
-    """learn_from: a condition on labels' rows; by default those that are not held out."""
-    learn_from = ~held_out(F.col(id_col)) if learn_from is None else learn_from
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn_from: Column) -> DataFrame:
+    """(toxic, doc_id, text): the labelled documents to learn from, of bounded number and length, near copies left out."""
     marked = labels.where(learn_from).where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    ranked = marked.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = staged(ranked.where("toxic = 1").limit(TOXIC_SAMPLE).unionByName(ranked.where("toxic = 0").limit(ORDINARY_SAMPLE)), "sample_ids")
     texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    # the draw is among those short enough, so that it is as large as it may be
+    ranked = marked.join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = staged(ranked.where("toxic = 1").limit(TOXIC_SAMPLE).unionByName(ranked.where("toxic = 0").limit(ORDINARY_SAMPLE)), "sample_ids")
     words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
     size = F.size("words")
     # near copies share the least hash of their runs of five words
     least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(size - 4, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("words", k, 5), " "))))
     sample = texts.join(ids, "doc_id").withColumn("words", words).withColumn("least", least)
-    sample = staged(sample.groupBy("toxic", "least").agg(F.min_by(F.struct("doc_id", "text", "words"), "doc_id").alias("d")).select("toxic", "d.*"), "sample")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic_docs, ordinary_docs = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic_docs or not ordinary_docs:
-        return Model(b"", b"", (0.0,))
-    counts = sample.select("toxic", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    counts = staged(counts.where("t + o > 1"), "words")
-    share, other = F.col("t") / toxic_docs, (F.col("o") + 0.5) / ordinary_docs
-    telling = (F.col("t") >= max(3.0, LEAST_SHARE * toxic_docs)) & (share >= LEAST_RATIO * other)
-    toxic = [r["word"] for r in counts.where(telling).orderBy(F.desc("t"), "word").limit(TOXIC_WORDS).collect()]
-    common = [r["word"] for r in counts.where(~telling).orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS).collect()]
-    # what stands last is nearest and costs least
-    ordinary_bytes = " ".join(common).encode()[:ORDINARY_BYTES]
-    toxic_bytes = (" " + " ".join(reversed(toxic)) + " ").encode() if toxic else b""
+    return staged(sample.groupBy("toxic", "least").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("toxic", "d.*"), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_from: Column | None = None) -> Model:
+    """learn_from: a condition on labels' rows; by default those that are not held out."""
+    sample = _sample(docs, labels, id_col, text_col, ~held_out(F.col(id_col)) if learn_from is None else learn_from)
+    pieces = F.regexp_extract_all(F.lower("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    pieces = sample.where("toxic = 0").select("doc_id", F.posexplode(pieces).alias("at", "piece")).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(PIECES)
+    ordinary = _trained([r["piece"].encode("utf-8", "replace") for r in pieces.select("piece").collect()], ORDINARY_BYTES, ORDINARY_SHARE, ORDINARY_SEGMENT)  # PIECES rows at most
+
+    each = max(WORST, -(-WORST_IN_ALL // max(1, sample.where("toxic = 1").count())))
+
+    @F.pandas_udf("array<binary>")
+    def worst(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([worst_windows(t, ordinary, each) for t in batch], dtype=object)
+
+    rows = sample.where("toxic = 1").select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), "doc_id", worst("text").alias("windows")).orderBy("doc_id").collect()  # bounded by TOXIC_SAMPLE, WORST and WORST_IN_ALL
+    parts = [[bytes(w) for r in rows if r["fold"] == k for w in r["windows"]] for k in range(FOLDS)]
+    toxic = tuple(_trained(part, TOXIC_BYTES, TOXIC_SHARE, SEGMENT) for part in parts if part)
+    if not ordinary or not toxic:
+        return Model(b"", (), (0.0,))
 
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([gains(t, ordinary_bytes, toxic_bytes) for t in batch], dtype=object)
+            yield pd.Series([gains(t, ordinary, toxic) for t in batch], dtype=object)
 
-    rows = sample.select("toxic", measured("text").alias("x")).collect()
+    rows = sample.select("toxic", "doc_id", measured("text").alias("x")).orderBy("doc_id").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
-    return Model(ordinary_bytes, toxic_bytes, tuple(map(float, _logistic(x, y))))
+    return Model(ordinary, toxic, tuple(map(float, _logistic(x, y))))
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -136,7 +174,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             if len(weights) == 1:
                 yield pd.Series(np.zeros(len(batch)))
             else:
-                x = np.array([gains(t, ordinary, toxic) for t in batch]).reshape(-1, 4)
+                x = np.array([gains(t, ordinary, toxic) for t in batch]).reshape(len(batch), -1)
                 yield pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))))
 
     return docs.withColumn("score", score(whole_text(text_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -145,7 +183,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with the columns of docs."""
     model = fit(docs, labels)
-    kept = with_scores(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text().alias("text")), model)
+    kept = with_scores(packed(docs, whole_text().alias("text")), model)
     return kept.where("predicted = 0").select("row.*")
 
 

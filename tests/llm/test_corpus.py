@@ -574,3 +574,29 @@ def test_warc_record_ids_are_unique(spark, tmp_path):
             file.seek(r["offset"])
             ids.append(warc.parse(file.read(r["length"]))["WARC-Record-ID"])
     assert len(set(ids)) == len(index) == 6 and "<urn:page:2>" in ids and {warc._page(i) for i in ids} == {1, 2, None}
+
+
+@pytest.mark.parametrize("folder, least, caught", [("sf0.1", 0.75, 0.4), ("check_s", 0.95, 0.8)])
+def test_toxicity_of_documents_on_held_out_rows(spark, folder, least, caught):
+    """Held-out labels of the documents themselves: ranking, and what is caught and left alone at 0.5. Few labels train weaker dictionaries."""
+    folder = f"/root/testdata/{folder}"
+    if not os.path.isdir(folder):
+        pytest.skip(f"no {folder}")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL")
+    documents = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    model = toxicity.fit(documents, labels)
+    held = documents.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id")
+    rows = toxicity.with_scores(held, model).select("doc_id", "toxic", "score", "predicted").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
+    bad, good = ([r for r in rows if r["toxic"] == y] for y in (1, 0))
+    good_scores = np.sort([r["score"] for r in good])
+    wins = np.mean([(np.searchsorted(good_scores, b["score"], "left") + np.searchsorted(good_scores, b["score"], "right")) / 2 / len(good) for b in bad])
+    print(folder, "AUC", wins, "caught", np.mean([r["predicted"] for r in bad]), "left alone", np.mean([1 - r["predicted"] for r in good]))
+    assert len(bad) > 40 and wins >= least
+    assert np.mean([r["predicted"] == 0 for r in good]) >= 0.95 and np.mean([r["predicted"] == 1 for r in bad]) >= caught
+
+
+def test_toxicity_sees_capitals_and_lines():
+    words = list(toxicity.windows("ÉÈ" * 8 + "\nNEXT line\tand more of it " * 6))
+    assert b"".join(words).decode().startswith("éèéè") and all(len(w) <= 64 for w in words)
+    assert all(w[:1] in b" \n\t" for w in words[1:])
