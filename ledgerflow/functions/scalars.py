@@ -49,6 +49,10 @@ def categories(spark) -> DataFrame:
     return spark.createDataFrame(CATEGORIES, "dataset string, code string, category string, subcategory string, category_group string")
 
 
+#: Spellings of a country, in lower case.
+COUNTRIES = {"US": ("us", "usa", "u.s.", "united states"), "GB": ("gb", "uk", "united kingdom", "great britain"), "DE": ("de", "germany", "deutschland"), "FR": ("fr", "france")}
+
+
 def synonyms(spark, kinds: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(synonym, canonical) as a table."""
     rows = [(s, k) for k, names in (kinds or TRANSACTION_TYPES).items() for s in names]
@@ -80,9 +84,14 @@ def lenient_time(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:s
 
 
 def merchant_proxy(domain: Column, brand: Column) -> Column:
+    """The mail domain stands for the merchant, else the card's brand."""
     return F.coalesce(domain, brand, F.lit("UNK"))
 
 
+def card_proxy(card: Column) -> Column:
+    return F.coalesce(card.cast("long"), F.lit(-1).cast("long"))
+
+
 def token(value: Column, salt: str) -> Column:
     """SHA-256 of salt and value; null stays null. Cast numbers to long first: 7919.0 has another token than 7919."""
     return F.sha2(F.concat(F.lit(f"{salt}:"), value.cast("string")), 256)
@@ -195,7 +204,8 @@ def propensity_weight(ctr: Column) -> Column:
 
 
 def hashed_bin(value: Column, bins: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(bins))
+    """A bin by the value's MD5, which any engine computes alike; null is a value."""
+    return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % bins
 
 
 def redact(text: Column) -> Column:
@@ -204,6 +214,11 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(out, r"[0-9]{13,19}", "[CARD]")
 
 
+def redact_with_signals(text: Column, signals: dict[str, str]) -> dict[str, Column]:
+    """The masked text, and a 0/1 flag for each allow-listed pattern of the original one."""
+    return {"text": redact(text)} | {name: F.coalesce(text.rlike(p).cast("int"), F.lit(0)) for name, p in signals.items()}
+
+
 def tags(categories: Column) -> Column:
     return F.coalesce(F.from_json(categories, "array<string>"), F.array().cast("array<string>"))
 
@@ -239,8 +254,11 @@ def fill(df: DataFrame, policy: dict) -> DataFrame:
     fixed = {c: v for c, v in policy.items() if v != "median"}
     out = df.na.fill(fixed) if fixed else df
     if medians:
-        row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in medians])
-        out = out.crossJoin(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in medians}).drop(*[f"__{c}" for c in medians])  # one row
+        from ..operators.quantiles import quantiles
+
+        for c in medians:
+            out = out.crossJoin(F.broadcast(quantiles(df, c, {f"__{c}": 0.5})))  # one row
+        out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in medians}).drop(*[f"__{c}" for c in medians])
     return out
 
 

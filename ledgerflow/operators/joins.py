@@ -35,8 +35,17 @@ def as_of(df: DataFrame, facts: DataFrame, time: str, fact_time: str, value: str
     meet by an equality and the rows of df pass no window: a small table of facts broadcasts, and a large one
     joins with split partitions where a bucket is hot.
     """
-    order = W.partitionBy(*keys).orderBy(fact_time)
-    valid = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(fact_time).alias("__from"), F.lead(fact_time).over(order).alias("__to"), F.col(value).alias(value))
+    # the next fact stands in the same bucket, or is the first of the next bucket that has any: one row a bucket
+    at = [f"__{k}" for k in keys]
+    own = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(fact_time).alias("__from"), F.col(value).alias(value)).withColumn("__b", F.floor(F.col("__from") / bucket))
+    starts = own.groupBy(*at, "__b").agg(F.min("__from").alias("__first"))
+    starts = starts.select(*at, "__b", F.lead("__first").over(W.partitionBy(*at).orderBy("__b")).alias("__after"))
+    starts = starts.withColumnsRenamed({c: f"{c}_s" for c in [*at, "__b"]})
+    met = F.col("__b") == F.col("__b_s")
+    for c in at:
+        met = met & F.col(c).eqNullSafe(F.col(f"{c}_s"))
+    inside = F.lead("__from").over(W.partitionBy(*at, "__b").orderBy("__from"))
+    valid = own.withColumn("__in", inside).join(starts, met).select(*at, "__from", F.coalesce("__in", "__after").alias("__to"), value)
     last = df.agg(F.max(time).alias("__last"))  # one row
     valid = valid.crossJoin(F.broadcast(last)).where(F.col("__from") <= F.col("__last")).where(F.col("__to").isNull() | (F.col("__to") > F.col("__from")))
     upto = F.floor(F.coalesce("__to", "__last") / bucket)

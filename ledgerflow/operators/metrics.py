@@ -23,7 +23,7 @@ def curve(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
     whole = W.partitionBy(*keys)
     offsets = sums.select(*keys, "__part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("op"), F.coalesce(F.sum("pn").over(above), F.lit(0)).alias("on"), F.sum("pp").over(whole).alias("all_pos"), F.sum("pn").over(whole).alias("all_n"))
     inside = W.partitionBy(*keys, "__part").orderBy(F.desc("score"))
-    out = ranged.withColumn("tp", F.sum("pos").over(inside)).withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(offsets), [*keys, "__part"])  # one row a key and partition
+    out = ranged.withColumn("tp", F.sum("pos").over(inside)).withColumn("upto", F.sum("n").over(inside)).join(offsets, [*keys, "__part"])  # adaptive execution knows their size
     out = out.withColumn("tp", F.col("tp") + F.col("op")).withColumn("upto", F.col("upto") + F.col("on"))
     return out.select(*keys, "score", "pos", F.col("n"), "tp", "upto", (F.col("tp") / F.col("upto")).alias("precision"), F.try_divide("tp", "all_pos").alias("recall"), "all_pos", "all_n")
 
@@ -107,6 +107,23 @@ def operating_cost(rate: float, daily: int = 10_000, each: float = 2.5) -> tuple
     return alerts, alerts * each
 
 
+def alert_cost(df: DataFrame, alert: Column, daily: int = 10_000, each: float = 2.5) -> DataFrame:
+    """One row: alerts a day at the alert rate of df, and their cost."""
+    row = df.agg(F.floor(F.avg(alert.cast("double")) * daily).alias("daily_alerts"))
+    return row.withColumn("cost", F.col("daily_alerts") * F.lit(each))
+
+
+def lift_table(metrics: DataFrame, name: str, base: str, columns: list[str], needed: dict[str, float]) -> DataFrame:
+    """Each candidate's mean metrics less those of the base, and whether one rises by what is needed; metrics: (name, fold, columns)."""
+    mean = metrics.groupBy(name).agg(*[F.avg(c).alias(c) for c in columns])
+    own = mean.where(F.col(name) == base).select(*[F.col(c).alias(f"__{c}") for c in columns])  # one row
+    out = mean.where(F.col(name) != base).crossJoin(F.broadcast(own)).withColumns({f"lift_{c}": F.col(c) - F.col(f"__{c}") for c in columns})
+    take = F.lit(False)
+    for c, least in needed.items():
+        take = take | (F.col(f"lift_{c}") >= least)
+    return out.withColumn("take", take).drop(*[f"__{c}" for c in columns])
+
+
 def rule_quality(df: DataFrame, rules: list[str], label: str) -> DataFrame:
     """(rule, hits, precision, recall) of 0/1 rule columns."""
     long = df.unpivot([label], rules, "rule", "hit")
@@ -120,7 +137,8 @@ def quality_checks(df: DataFrame, checks: dict) -> DataFrame:
     return df.agg(*[c.cast("double").alias(n) for n, c in checks.items()]).unpivot([], list(checks), "check", "value")
 
 
-def snapshot_id(df: DataFrame, time: str) -> DataFrame:
-    """Time range, rows and a content hash that does not depend on their order."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("content"))
+def snapshot_id(df: DataFrame, time: str, content: list[Column]) -> DataFrame:
+    """Time range, rows and a content hash that does not depend on their order: the sum of the first 48 bits of each row's MD5, nulls marked."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in content])
+    h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(h).alias("content"))

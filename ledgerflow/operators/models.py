@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline
@@ -12,12 +13,18 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import staged
 from . import metrics, select
+from .quantiles import quantiles
 
 
 def fit_imputer(df: DataFrame, numbers: list[str], names: list[str]) -> DataFrame:
     """One row: exact medians and most frequent values."""
-    return df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in numbers], *[F.mode(c, True).alias(c) for c in names])
+    rows = [quantiles(df, c, {c: 0.5}) for c in numbers]
+    for c in names:
+        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+        rows.append(counts.orderBy(F.desc("__n"), c).limit(1).agg(F.max(c).alias(c)))
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), rows)  # one row each
 
 
 def impute(df: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -57,9 +64,11 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
     return df.crossJoin(F.broadcast(row)).withColumn("weight", F.when(F.col(label) == 1, F.col("__w")).otherwise(1.0)).drop("__w")
 
 
-def fit_boosted(train: DataFrame, columns: list[str], label: str, depth: int = 4, rounds: int = 20, rate: float = 0.1) -> GBTClassificationModel:
+def fit_boosted(train: DataFrame, columns: list[str], label: str, depth: int = 4, rounds: int = 20, rate: float = 0.1, held: str | None = None, tolerance: float = 0.01) -> GBTClassificationModel:
+    """Boosted trees weighed by class. held: a boolean column; its rows are not learnt from, and rounds stop where their error falls by less than the tolerance."""
     df = assemble(with_weights(train, label), columns).withColumn("label", F.col(label).cast("double"))
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=rate, seed=3).fit(df)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=rate, seed=3)
+    return (trees.setParams(validationIndicatorCol=held, validationTol=tolerance) if held else trees).fit(df)
 
 
 def probability(model, df: DataFrame, columns: list[str], out: str = "p") -> DataFrame:
@@ -121,6 +130,43 @@ def ablation(train: DataFrame, test: DataFrame, blocks: dict[str, list[str]], la
     return rows
 
 
+def compare_variants(train: DataFrame, test: DataFrame, variants: dict[str, list[str]], label: str, tie: str, **params) -> DataFrame:
+    """(variant, features, ap, auc, p_at): a model for each list of columns, on the same rows."""
+    rows = None
+    for name, columns in variants.items():
+        scored = staged(probability(fit_boosted(train, columns, label, **params), test, columns).select(tie, "p", label), "variant")
+        row = metrics.average_precision(scored, "p", label).crossJoin(metrics.roc_auc(scored, "p", label)).crossJoin(metrics.precision_at(scored, "p", label, 0.01, tie).select(F.col("precision").alias("p_at")))
+        row = row.select(F.lit(name).alias("variant"), F.lit(len(columns)).alias("features"), "ap", "auc", "p_at")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def selected_features(model: GBTClassificationModel, columns: list[str], share: float = 0.9) -> list[str]:
+    """The most important columns that make up a share of the model's importance."""
+    weights = sorted(zip(model.featureImportances.toArray(), columns), reverse=True)
+    out, total = [], 0.0
+    for weight, column in weights:
+        if total >= share:
+            break
+        out, total = [*out, column], total + weight
+    return out
+
+
+def candidate_lift(df: DataFrame, base: list[str], candidates: dict[str, list[str]], label: str, order: list[str], tie: str, needed: dict[str, float] | None = None, **params) -> DataFrame:
+    """(candidate, p_half, p_one, lifts, take): precision at 0.5 and 1 % with each candidate's columns added to the base, averaged over expanding time folds."""
+    folds = staged(select.expanding_folds(df, *order), "folds")
+    rows = None
+    for name, more in {"": [], **candidates}.items():
+        columns = [*base, *more]
+        for k in (0, 1):
+            own = folds.where(F.col("fold") == k)
+            scored = staged(probability(fit_boosted(own.where("part = 'train'"), columns, label, **params), own.where("part = 'test'"), columns).select(tie, "p", label), "scored")
+            half, one = (metrics.precision_at(scored, "p", label, share, tie).select(F.col("precision").alias(n)) for n, share in (("p_half", 0.005), ("p_one", 0.01)))
+            row = half.crossJoin(one).withColumns({"candidate": F.lit(name), "fold": F.lit(k)})  # one row each
+            rows = row if rows is None else rows.unionByName(row)
+    return metrics.lift_table(rows, "candidate", "", ["p_half", "p_one"], needed or {"p_half": 0.01, "p_one": 0.02})
+
+
 def contributions(model: GBTClassificationModel, df: DataFrame, columns: list[str], id_col: str, top: int = 5) -> DataFrame:
     """(id, feature, contribution): how far each step of a row's path through every tree moves the expected value, by feature.
 

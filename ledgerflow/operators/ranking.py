@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import joins, models
+
 # Fixed values of the ranking features.
 INCOMES = {"low": 30_000, "medium": 60_000, "high": 120_000}
 
@@ -29,6 +31,13 @@ def switching(has_policy: Column, insurer: Column, current: Column) -> Column:
     return F.when(has_policy & (insurer != current), 1).otherwise(0)
 
 
+def rank_items(customers: DataFrame, items: DataFrame, features: dict[str, Column], model, customer: str, item: str, top: int | None = None) -> DataFrame:
+    """(customer, item, score, rank): every customer with every item of a catalogue, featurised, scored by a fitted ranker and sorted; ties by item."""
+    pairs = joins.pair_all(customers, items).withColumns(features)
+    out = models.ranked(model, pairs, list(features), customer, item).select(customer, item, "score", "rank")
+    return out if top is None else out.where(F.col("rank") <= top)
+
+
 def diversified(df: DataFrame, session: str, item: str, score: str, vector: str, k: int = 10, share: float = 0.7) -> DataFrame:
     """Maximal marginal relevance: each place goes to the item with the best score less its likeness to those chosen. One session is one small group."""
     kinds = dict(df.dtypes)

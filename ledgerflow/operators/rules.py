@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def quantile_row(df: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
     """One row with a column for each quantile."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in at.values()]))
-    return df.agg(q.alias("q")).select(*[F.col("q")[k].alias(name) for k, name in enumerate(at)])
+    return quantiles(df, value, at)
 
 
 def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -49,13 +50,16 @@ def rules_c(df: DataFrame, fitted: DataFrame, amount: str = "abs_amount") -> Dat
 def tau(df: DataFrame, score: str, rate: float) -> DataFrame:
     """One row, tau: the score quantile of an alert rate; not positive, that of the positive scores, and without these a stricter one."""
     s = F.col(score)
-    row = df.agg(F.percentile(s, F.lit(1 - rate)).alias("all"), F.percentile(F.when(s > 0, s), F.lit(1 - rate)).alias("positive"), F.percentile(s, F.lit(1 - min(rate / 2, 0.001))).alias("strict"))
+    row = quantiles(df, s, {"all": 1 - rate, "strict": 1 - min(rate / 2, 0.001)})
+    row = with_one_row(row, quantiles(df.where(s > 0), s, {"positive": 1 - rate}))
     return row.select(F.when(F.col("all") > 0, F.col("all")).otherwise(F.coalesce("positive", "strict")).alias("tau"))
 
 
 def tau_per_category(df: DataFrame, score: str, category: str, rate: float, least: int = 50, stored: DataFrame | None = None) -> DataFrame:
     """(category, tau_category) of categories with enough rows; stored thresholds win, values that are not positive become the global one."""
-    own = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.percentile(score, F.lit(1 - rate)).alias("own")).where(F.col("n") >= least)
+    rows = df.where(F.col(category).isNotNull())
+    counts = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    own = counts.join(quantiles(rows, score, {"own": 1 - rate}, category), category)
     own = with_one_row(own, tau(df, score, rate)).select(category, F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("tau")).alias("tau_category"))
     if stored is None:
         return own
@@ -101,7 +105,9 @@ def concentration(alerts: DataFrame, key: str) -> DataFrame:
 def shadow(a: DataFrame, b: DataFrame, key: str, score: str, cut: float, shift: float = 0.2, rate_change: float = 0.1) -> DataFrame:
     """One row that compares two models on the same rows, with flags for a large shift."""
     both = a.select(key, F.col(score).alias("a")).join(b.select(key, F.col(score).alias("b")), key)
-    stats = both.agg(*[f.alias(f"{n}_{x}") for x in "ab" for n, f in (("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("p99", F.percentile(x, F.lit(0.99))), ("rate", F.avg((F.col(x) >= cut).cast("double"))))])
+    stats = both.agg(*[f.alias(f"{n}_{x}") for x in "ab" for n, f in (("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("rate", F.avg((F.col(x) >= cut).cast("double"))))])
+    for x in "ab":
+        stats = with_one_row(stats, quantiles(both, x, {f"p99_{x}": 0.99}))
     change = lambda n: F.abs(F.coalesce(F.try_divide(F.col(f"{n}_b") - F.col(f"{n}_a"), F.abs(f"{n}_a")), F.lit(0.0)))
     moved = F.greatest(change("mean"), change("std"), change("p99")) > shift
     return stats.withColumn("score_shift", moved.cast("int")).withColumn("rate_shift", (change("rate") > rate_change).cast("int"))

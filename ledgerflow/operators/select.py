@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_share
+from . import quantiles
 
 
 def global_index(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
@@ -22,15 +23,6 @@ def global_index(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     return part.withColumn("__i", inside).join(F.broadcast(offsets.select("__p", "before")), "__p").withColumn(out, F.col("__i") + F.col("before")).drop("__p", "__i", "before")
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """df with the sum of value up to each row in a total order, by ranges and offsets as in global_index."""
-    part = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).checkpoint()
-    sums = part.groupBy("__p").agg(F.sum(value).alias("s"))
-    before = sums.select("__p", F.coalesce(F.sum("s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.sum(value).over(W.partitionBy("__p").orderBy(order))
-    return part.withColumn("__in", inside).join(F.broadcast(before), "__p").withColumn(out, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")  # one row a partition
-
-
 def chrono_split(df: DataFrame, *order: str, train: float = 0.8, calibrate: float = 0.1) -> DataFrame:
     """part: train, calibrate (the last of the training rows) or test, by place in time."""
     df = global_index(df, *order)
@@ -55,7 +47,7 @@ def expanding_folds(df: DataFrame, *order: str, cuts: tuple[tuple[float, float],
 
 
 def time_quantile_split(df: DataFrame, time: str, at: float = 0.85) -> DataFrame:
-    cut = df.agg(F.percentile(time, F.lit(at)).alias("__cut"))  # one row
+    cut = quantiles.quantiles(df, time, {"__cut": at})  # one row
     return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(time) < F.col("__cut"), "train").otherwise("test")).drop("__cut")
 
 
@@ -68,8 +60,10 @@ def traffic(df: DataFrame, key: str, share: float, salt: str) -> DataFrame:
     return df.withColumn("treated", (hash_share(F.col(key), salt) < share).cast("int"))
 
 
-def stratified(df: DataFrame, label: str, shares: dict, seed: int = 7) -> DataFrame:
-    return df.sampleBy(label, shares, seed)
+def stratified(df: DataFrame, label: str, shares: dict, key: str, salt: str = "strata") -> DataFrame:
+    """A share of the rows of each label, drawn by a hash of their key, so that reruns agree; labels without a share give none."""
+    share = F.coalesce(*[F.when(F.col(label) == value, F.lit(float(p))) for value, p in shares.items()], F.lit(0.0))
+    return df.where(hash_share(F.col(key), salt) < share)
 
 
 def cap_per_key(df: DataFrame, key: str, n: int, tie: str, salt: str = "cap") -> DataFrame:
@@ -82,11 +76,9 @@ def top_n(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def kth_largest(df: DataFrame, key: str, value: str, share: float, tie: str) -> DataFrame:
-    """(key, threshold): the k-th largest value, k = max(1, int(n share))."""
-    ranked = df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(value), tie))).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(key)))
-    k = F.greatest(F.lit(1), F.floor(F.col("__n") * share))
-    return ranked.where(F.col("__r") == k).select(key, F.col(value).alias("threshold"))
+def kth_largest(df: DataFrame, key: str, value: str, share: float, tie: str | None = None) -> DataFrame:
+    """(key, threshold): the k-th largest value, k = max(1, int(n share)). Ties have one value, so their order doesn't matter."""
+    return quantiles.kth_largest(df, key, value, share)
 
 
 def best_row(df: DataFrame, key: str, by: str, *cols: str) -> DataFrame:
@@ -112,7 +104,7 @@ def segments(df: DataFrame, key: str, top: int = 4) -> DataFrame:
 def legit_below(df: DataFrame, label: str, amount: str, at: float = 0.995) -> DataFrame:
     """Legitimate rows under the amount quantile of the legitimate ones."""
     legit = df.where(F.col(label) == 0)
-    cut = legit.agg(F.percentile(amount, F.lit(at)).alias("__cut"))  # one row
+    cut = quantiles.quantiles(legit, amount, {"__cut": at})  # one row
     return legit.crossJoin(F.broadcast(cut)).where(F.col(amount) < F.col("__cut")).drop("__cut")
 
 

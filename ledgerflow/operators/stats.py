@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .select import running_total
+from . import quantiles as qs
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -24,15 +24,23 @@ def frequency(df: DataFrame, col: str, out: str = "freq") -> DataFrame:
 
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(key).agg(F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.9)).alias("p90"), F.percentile(v, F.lit(0.99)).alias("p99"))
+    moments = df.groupBy(key).agg(F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"))
+    return by_key(moments, qs.quantiles(df, value, {"median": 0.5, "p90": 0.9, "p99": 0.99}, key), key)
+
+
+def by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The columns of two tables with one row a key, null a key like others."""
+    b = b.withColumnRenamed(key, "__key")
+    return a.join(b, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def robust_fit(df: DataFrame, key: str, value: str, cap_at: float = 0.995) -> DataFrame:
     """(key, cap, median, iqr): the statistics are those of the capped values."""
-    caps = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.percentile(value, F.lit(cap_at)).alias("cap"))
-    capped = df.join(caps, key).withColumn("__w", F.when(F.col(value).isNotNull(), F.least(value, "cap")))
-    quartiles = F.percentile("__w", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return capped.groupBy(key).agg(F.first("cap").alias("cap"), quartiles.alias("q")).select(key, "cap", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    rows = df.where(F.col(key).isNotNull()).select(key, value)
+    caps = qs.quantiles(rows, value, {"cap": cap_at}, key)
+    capped = rows.join(caps, key).withColumn("__w", F.when(F.col(value).isNotNull(), F.least(value, "cap")))
+    quartiles = qs.quantiles(capped, "__w", {"q1": 0.25, "median": 0.5, "q3": 0.75}, key)
+    return caps.join(quartiles, key).select(key, "cap", "median", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def robust_apply(df: DataFrame, fitted: DataFrame, key: str, value: str) -> DataFrame:
@@ -122,8 +130,8 @@ def chain_merchants(df: DataFrame, merchant: str, at: float = 0.9) -> DataFrame:
 
 
 def drift_snapshot(df: DataFrame, category: str, amount: str) -> DataFrame:
-    q = F.percentile(amount, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return df.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(amount).isNull().cast("double")).alias("null_rate"), q.alias("q")).select(category, "n", "null_rate", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"))
+    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(amount).isNull().cast("double")).alias("null_rate"))
+    return by_key(counts, qs.quantiles(df, amount, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, category), category)
 
 
 def new_share(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -138,7 +146,8 @@ def bucket_of(value: str, edges: Column) -> Column:
 
 def psi(base: DataFrame, now: DataFrame, value: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability index and KL divergence over the baseline's quantile bins."""
-    edges = base.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("edges"))  # one row
+    cuts = {f"e{k}": k / bins for k in range(1, bins)}
+    edges = qs.quantiles(base, value, cuts).select(F.array(*cuts).alias("edges"))  # one row
     shares = []
     for name, df in (("b", base), ("c", now)):
         counts = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(bucket_of(value, F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -165,7 +174,8 @@ def histogram(df: DataFrame, value: str, label: str, bins: int = 50) -> DataFram
 
 
 def latency(df: DataFrame, value: str, limit: float) -> DataFrame:
-    return df.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"), F.avg((F.col(value) < limit).cast("double")).alias("under"))
+    row = df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.avg((F.col(value) < limit).cast("double")).alias("under"))
+    return row.crossJoin(F.broadcast(qs.quantiles(df, value, {"p95": 0.95}))).select("mean", "p95", "max", "under")  # one row each
 
 
 def correlations(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -180,23 +190,26 @@ def target_encoding(train: DataFrame, key: str, label: str, smooth: float = 10.0
     return sums.crossJoin(F.broadcast(overall)).select(key, ((F.col("s") + smooth * F.col("overall")) / (F.col("n") + smooth)).alias("encoded"))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 1000) -> DataFrame:
-    """One row: the interpolated quantile, by a bracket from a sketch and an exact rank inside it.
+def target_encoding_by_fold(folds: DataFrame, key: str, label: str, smooth: float = 10.0) -> DataFrame:
+    """folds (fold, part) with `encoded`: the value's mean label among the training rows of its fold, unknown values get the overall mean."""
+    train = folds.where("part = 'train'")
+    overall = train.groupBy(F.col("fold").alias("__f")).agg(F.avg(F.col(label).cast("double")).alias("__all"))  # one row a fold
+    sums = train.groupBy(F.col("fold").alias("__g"), F.col(key).alias("__k")).agg(F.sum(F.col(label).cast("double")).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    out = folds.join(overall, F.col("fold") == F.col("__f")).join(sums, (F.col("fold") == F.col("__g")) & F.col(key).eqNullSafe(F.col("__k")), "left")
+    encoded = F.coalesce((F.col("__s") + smooth * F.col("__all")) / (F.col("__n") + smooth), F.col("__all"))
+    return out.withColumn("encoded", encoded).drop("__f", "__all", "__g", "__k", "__s", "__n")
+
+
+def iqr_scaled(df: DataFrame, value: str, out: str) -> DataFrame:
+    """The value's distance from the median in inter-quartile ranges; no range gives null."""
+    q = qs.quantiles(df, value, {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75})
+    scaled = F.try_divide(F.col(value) - F.col("__q2"), F.nullif(F.col("__q3") - F.col("__q1"), F.lit(0.0)))
+    return df.crossJoin(F.broadcast(q)).withColumn(out, scaled).drop("__q1", "__q2", "__q3")  # one row
 
-    `percentile` keeps all distinct values of its group in one task; this keeps those of the bracket only.
-    """
-    v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    slack = 2.0 / accuracy
-    low, high, n = v.agg(F.percentile_approx("v", max(0.0, q - slack), accuracy), F.percentile_approx("v", min(1.0, q + slack), accuracy), F.count(F.lit(1))).first()
-    if not n:
-        return v.agg(F.max("v").alias("quantile"))
-    below = v.where(F.col("v") < low).count()
-    want = q * (n - 1) - below
-    inside = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_total(inside, "v", "c", "upto")
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    k = int(want)
-    return ranked.agg((at(k) + (at(min(k + 1, n - 1 - below)) - at(k)) * F.lit(want - k)).alias("quantile"))
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row: the interpolated quantile, by a bracket from a sketch and an exact rank inside it, whatever the table's size."""
+    return qs.quantiles(df, value, {"quantile": q}, small=0)
 
 
 def top_summary(df: DataFrame, score: str, tie: str, confidence: str, quality: str, n: int = 20) -> DataFrame:
@@ -205,6 +218,11 @@ def top_summary(df: DataFrame, score: str, tie: str, confidence: str, quality: s
     return top.agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("confidence"), F.avg(quality).alias("quality"), F.avg((F.col(confidence) < 0.5).cast("double")).alias("low_share"))
 
 
+def top_categories(df: DataFrame, score: str, tie: str, category: str, n: int = 20) -> DataFrame:
+    """(category, n) among the n highest scores."""
+    return value_counts(df.orderBy(F.desc(score), tie).limit(n), category)
+
+
 def attribution_correlations(wide: DataFrame, features: list[str]) -> DataFrame:
     """(a, b, corr) of the attributions of every two features; wide has a column for each."""
     pairs = [(a, b) for k, a in enumerate(features) for b in features[k + 1 :]]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decisions, features, modelling, statistics
+from . import decisions, extras, features, modelling, statistics
 
-_PARTS = (features, statistics, decisions, modelling)
+_PARTS = (features, statistics, decisions, modelling, extras)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

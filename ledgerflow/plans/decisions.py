@@ -273,8 +273,7 @@ def quality_gates(spark, sf_dir):
 
 
 def operating_cost(spark, sf_dir):
-    alerts = F.floor(F.avg((F.col("score") >= 0.98).cast("double")) * 10_000)
-    return _scored(spark, sf_dir).agg(alerts.alias("daily_alerts")).withColumn("cost", F.col("daily_alerts") * F.lit(2.5))
+    return m.alert_cost(_scored(spark, sf_dir), F.col("score") >= 0.98)
 
 
 def rule_quality(spark, sf_dir):
@@ -288,7 +287,8 @@ def quality_checks(spark, sf_dir):
 
 
 def snapshot(spark, sf_dir):
-    return m.snapshot_id(txn(spark, sf_dir), "us").select("first", "last", "n", F.col("content").cast("string").alias("content"))
+    content = [F.col(c) for c in ("transaction_id", "cc_num", "operation_type", "merchant_name", "is_fraud", "us")] + [F.floor(F.col("amount") * 100 + 0.37)]
+    return m.snapshot_id(txn(spark, sf_dir), "us", content).select("first", "last", "n", F.col("content").cast("string").alias("content"))
 
 
 def validity_flags(spark, sf_dir):
@@ -302,10 +302,8 @@ def metric_lift(spark, sf_dir):
     """Lift of candidate features over the baseline, and whether to take them."""
     df = _scored(spark, sf_dir)
     rows = [df.where(f"transaction_id % 4 <> {k}").agg(F.lit(name).alias("candidate"), F.avg("score").alias("p1"), F.avg(F.col("score") * F.col("score")).alias("p2")) for name, k in (("baseline", 9), ("a", 0), ("b", 1))]
-    t = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    base = t.where("candidate = 'baseline'").select(F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-    out = ru.with_one_row(t.where("candidate <> 'baseline'"), base).withColumns({"lift1": F.col("p1") - F.col("b1"), "lift2": F.col("p2") - F.col("b2")})
-    return out.select("candidate", *_n("lift1", "lift2", places=6), ((F.col("lift1") >= 0.01) | (F.col("lift2") >= 0.02)).alias("take"))
+    out = m.lift_table(rows[0].unionByName(rows[1]).unionByName(rows[2]), "candidate", "baseline", ["p1", "p2"], {"p1": 0.01, "p2": 0.02})
+    return out.withColumnsRenamed({"lift_p1": "lift1", "lift_p2": "lift2"}).select("candidate", *_n("lift1", "lift2", places=6), "take")
 
 
 QUERIES = {f.__name__: f for f in (rule_alerts_capped, rules_b_scores, rules_c_scores, tau_per_category, tau_global, hybrid_alert, alert_summary, alert_concentration, decision_reasons, shadow_comparison, descriptor_rules, profile_features, profile_features_all, chrono_split, expanding_folds, time_quantile_split, session_split, hash_split, seeded_flags, cap_per_entity, top_scores, best_order, dedupe, category_thresholds, threshold_eval, minimum_support, segment_membership, contamination_guard, union_sources, set_difference, avg_precision, avg_precision_by_category, pr_curve, roc_auc, precision_at_k, cost_curve, best_threshold, ndcg, ndcg_all, position_ctr, position_ctr_all, session_metrics, session_metrics_all, group_correlation, group_correlation_all, quality_gates, operating_cost, rule_quality, quality_checks, snapshot, validity_flags, metric_lift)}
@@ -369,6 +367,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "operating_cost": f"{_S} SELECT CAST(floor(avg(CAST(score >= 0.98 AS INT)) * 10000) AS BIGINT) AS daily_alerts, floor(avg(CAST(score >= 0.98 AS INT)) * 10000) * 2.5::DOUBLE AS cost FROM x",
     "rule_quality": f"WITH {TIES_SQL}, r AS (SELECT 'r1' AS rule, CAST(amount > 200000 AS INT) AS hit, is_fraud FROM txn UNION ALL SELECT 'r2', CAST(transaction_id % 8 = 0 AS INT), is_fraud FROM txn) SELECT rule, CAST(sum(hit) AS BIGINT) AS hits, NEAR(coalesce(avg(is_fraud) FILTER (hit = 1), 0), 6) AS precision, NEAR(coalesce(avg(hit) FILTER (is_fraud = 1), 0), 6) AS recall FROM r GROUP BY 1",
     "quality_checks": "SELECT 'rows' AS \"check\", count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'null_price', avg(CAST(o_totalprice IS NULL AS INT)) FROM orders UNION ALL SELECT 'negative', sum(CAST(o_totalprice < 0 AS INT))::DOUBLE FROM orders UNION ALL SELECT 'bad_status', sum(CAST(o_orderstatus NOT IN ('F', 'O', 'P') AS INT))::DOUBLE FROM orders",
+    "snapshot": f"WITH {TXN_SQL} SELECT min(us) AS first, max(us) AS last, count(*) AS n, CAST(sum(('0x' || substr(md5(concat_ws('|', transaction_id, cc_num, coalesce(operation_type, '\\N'), coalesce(merchant_name, '\\N'), is_fraud, us, coalesce(CAST(CAST(floor(amount * 100 + 0.37::DOUBLE) AS BIGINT) AS VARCHAR), '\\N'))), 1, 12))::BIGINT) AS VARCHAR) AS content FROM txn",
     "validity_flags": "SELECT CAST(o_totalprice - 1000 < 0 AS INT) AS neg_amount, CAST(o_orderdate > TIMESTAMP '1998-01-01' + INTERVAL 90 DAY AS INT) AS future, CAST(o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 730 DAY OR o_orderdate < TIMESTAMP '1993-01-01' AS INT) AS stale, count(*) AS n FROM orders GROUP BY 1, 2, 3",
     "metric_lift": f"{_S}, b AS (SELECT avg(score) AS p1, avg(score * score) AS p2 FROM x), t AS (SELECT 'a' AS candidate, avg(score) AS q1, avg(score * score) AS q2 FROM x WHERE transaction_id % 4 <> 0 UNION ALL SELECT 'b', avg(score), avg(score * score) FROM x WHERE transaction_id % 4 <> 1) SELECT candidate, NEAR(q1 - p1, 6) AS lift1, NEAR(q2 - p2, 6) AS lift2, q1 - p1 >= 0.01 OR q2 - p2 >= 0.02 AS take FROM t, b",
 }.items()}

@@ -57,7 +57,9 @@ def boosted_alerts(spark, sf_dir):
     df = forest.score(df, nodes, COLUMNS).withColumns({"abs_amount": F.abs("amount"), "is_new_merchant": F.col("new_merchant")})
     df = ru.rules_b(df, ru.quantile_row(train.withColumn("abs_amount", F.abs("amount")), "abs_amount", {"p995": 0.995}))
     columns = [*COLUMNS, "anomaly", "rule_score"]
-    model = models.fit_boosted(df.where("part = 'train'"), columns, "is_fraud", 3, 8)
+    learnt = df.where("part = 'train'")
+    last = learnt.agg(F.max("idx")).first()[0] or 0
+    model = models.fit_boosted(learnt.withColumn("held", F.col("idx") > 0.9 * last), columns, "is_fraud", 3, 8, held="held")
     held = models.probability(model, df.where("part = 'calibrate'"), columns)
     scored = models.calibrated(models.fit_calibration(held, "p", "is_fraud"), models.probability(model, df.where("part = 'test'"), columns), "p")
     cuts = select.kth_largest(held, "operation_type", "p", 0.01, "transaction_id")
@@ -168,6 +170,19 @@ def _events_stream(spark, sf_dir, per_trigger=1):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern may name a file or a folder
 
 
+def _events_in_files(spark, sf_dir, files=3):
+    """The events as a stream of several files, one a batch: by ranges of time, in order."""
+    e = read(spark, sf_dir, "events")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    path = scratch(spark, "events")
+    step = (high - low) / files
+    for k in range(files):
+        part = e.where(F.col("ts") >= F.lit(low + k * step)) if k else e
+        part = part.where(F.col("ts") < F.lit(low + (k + 1) * step)) if k < files - 1 else part
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _payments(events):
     from .views import micros
 
@@ -182,10 +197,37 @@ def _run(spark, df, mode="append"):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stream_velocity(spark, sf_dir):
-    """The batch velocity features from keyed state, row by row."""
+def _keyed_state(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = _run(spark, jobs.score_stream(_payments(_events_stream(spark, sf_dir)).drop("event_time")))
+
+
+def stream_decisions(spark, sf_dir):
+    """Rules on each arriving row, over features from keyed state and a threshold of all rows."""
+    _keyed_state(spark)
+    fitted = ru.quantile_row(txn(spark, sf_dir).withColumn("abs_amount", F.abs("amount")), "abs_amount", {"p995": 0.995})
+    out = _run(spark, jobs.decide_stream(_payments(_events_stream(spark, sf_dir)).drop("event_time"), fitted))
+    return out.select("transaction_id", "rule_high", "rule_new_high", "rule_rapid", "rule_score", "alert")
+
+
+def stream_late_rows(spark, sf_dir):
+    """Rows in time and late rows of a stream whose second file repeats the times of the first."""
+    e = read(spark, sf_dir, "events")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    path, out = scratch(spark, "events"), scratch(spark, "split")
+    for k in (0, 1):
+        half = e.where(F.col("event_id") % 2 == k)
+        half = half if k else half.where(F.col("ts") <= F.lit(low + (high - low) * 0.75))
+        half.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.split_stream(_payments(stream), out, f"{out}-log").awaitTermination()
+    read_back = lambda side: spark.read.parquet(f"{out}/{side}").agg(F.count(F.lit(1)).alias("n"), F.sum("transaction_id").alias("ids")).withColumn("side", F.lit(side))
+    return read_back("main").unionByName(read_back("late"))
+
+
+def stream_velocity(spark, sf_dir):
+    """The batch velocity features from keyed state, over several batches."""
+    _keyed_state(spark)
+    out = _run(spark, jobs.score_stream(_payments(_events_in_files(spark, sf_dir)).drop("event_time")))
     return out.select("transaction_id", "cnt_1h", "cnt_6h", "cnt_24h", near("sum_24h").alias("sum_24h"), "new_merchant", "uniq_7d", "same_30d")
 
 
@@ -252,18 +294,22 @@ def lookup_versions(spark, sf_dir):
     return sinks.load_lookup(spark, path, "frequency").select("merchant_name", near("freq", 6).alias("freq"))
 
 
-QUERIES = {f.__name__: f for f in (isolation_forest, forest_grid, boosted_alerts, alert_reasons, attribution_summary, segment_models, grid_search, feature_ablation, forest_classifier, impute_medians, standardised, one_hot_merchants, hashed_merchants, rank_scaling, reconstruction_error, learned_ranking, diversified_ranking, plan_features, oversampled, stream_velocity, stream_dedupe, stream_alert_rate, stream_sliding_counts, stream_append, late_rows, partitioned_append, relational_append, alert_files, lookup_versions)}
+QUERIES = {f.__name__: f for f in (isolation_forest, forest_grid, boosted_alerts, alert_reasons, attribution_summary, segment_models, grid_search, feature_ablation, forest_classifier, impute_medians, standardised, one_hot_merchants, hashed_merchants, rank_scaling, reconstruction_error, learned_ranking, diversified_ranking, plan_features, oversampled, stream_velocity, stream_decisions, stream_late_rows, stream_dedupe, stream_alert_rate, stream_sliding_counts, stream_append, late_rows, partitioned_append, relational_append, alert_files, lookup_versions)}
 
 _PAIR = "cc_num, merchant_name"
 _PLAN = "['Bronze', 'Silver', 'Gold', 'Platinum'][1 + p_partkey % 4]"
 ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "impute_medians": f"WITH {TIES_SQL}, x AS (SELECT transaction_id, CASE WHEN transaction_id % 10 <> 0 THEN amount END AS a, CASE WHEN transaction_id % 11 <> 0 THEN operation_type END AS o FROM txn), t AS (SELECT * FROM x WHERE transaction_id % 2 = 0), m AS (SELECT o FROM t WHERE o IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, o LIMIT 1) SELECT transaction_id, NEAR(coalesce(a, (SELECT quantile_cont(a, 0.5) FROM t)), 3) AS amount, coalesce(o, (SELECT o FROM m)) AS operation_type FROM x",
+    "hashed_merchants": f"WITH {TIES_SQL} SELECT ('0x' || substr(md5(merchant_name), 1, 8))::BIGINT % 16 AS bin, count(*) AS n FROM txn GROUP BY 1",
     "standardised": f"WITH {TIES_SQL} SELECT transaction_id, NEAR((amount - avg(amount) OVER ()) / stddev_samp(amount) OVER (), 5) AS z FROM txn",
     "one_hot_merchants": f"WITH {TIES_SQL} SELECT transaction_id, CAST(count(*) OVER (PARTITION BY merchant_name) >= 406 AS INT) AS known FROM txn",
     "rank_scaling": f"WITH {TIES_SQL} SELECT transaction_id, NEAR(percent_rank() OVER (PARTITION BY operation_type ORDER BY amount), 6) AS rank_share FROM txn",
     "plan_features": f"WITH p AS (SELECT *, {_PLAN} AS plan, p_partkey AS k FROM part) SELECT p_partkey, NEAR((CASE WHEN k % 3 > 0 THEN 0.3 ELSE 0 END)::DOUBLE + (CASE WHEN k % 2 = 0 THEN 0.2 ELSE 0 END)::DOUBLE + (CASE WHEN k % 5 > 2 AND k % 7 < 3 THEN 0.2 ELSE 0 END)::DOUBLE + (CASE WHEN k % 5 > 2 AND k % 11 < 4 THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN k % 13 = 0 AND plan IN ('Gold', 'Platinum') THEN 0.2 ELSE 0 END)::DOUBLE, 4) AS coverage, CASE WHEN (k % 80 + 18 < 30 AND plan IN ('Bronze', 'Silver')) OR (k % 80 + 18 BETWEEN 30 AND 54 AND plan IN ('Silver', 'Gold')) OR (k % 80 + 18 >= 55 AND plan IN ('Gold', 'Platinum')) THEN 1 ELSE 0 END AS age_fit, NEAR(p_retailprice * 12 / 60000, 6) AS affordability FROM p",
     "stream_velocity": _sql(f"""SELECT transaction_id, count(*) {_over(1, _H)} AS cnt_1h, count(*) {_over(6, _H)} AS cnt_6h, count(*) {_over(1, _D)} AS cnt_24h, NEAR(sum(abs(amount)) {_over(1, _D)}, 4) AS sum_24h, CAST(row_number() {_seq(_PAIR)} = 1 AS INT) AS new_merchant,
  count(DISTINCT merchant_name) {_over(7, _D)} AS uniq_7d, count(*) {_over(30, _D, _PAIR)} AS same_30d FROM o""", TXN_SQL),
+    "stream_decisions": _sql(f"""SELECT transaction_id, a AS rule_high, CAST(a = 1 AND is_new AS INT) AS rule_new_high, CAST(n >= 10 AS INT) AS rule_rapid, a * 1.5::DOUBLE + CAST(a = 1 AND is_new AS INT) + CAST(n >= 10 AS INT) * 0.5::DOUBLE AS rule_score, CAST(a * 1.5::DOUBLE + CAST(a = 1 AND is_new AS INT) + CAST(n >= 10 AS INT) * 0.5::DOUBLE >= 2 AS INT) AS alert
+ FROM (SELECT transaction_id, CAST(abs(amount) >= (SELECT quantile_cont(abs(amount), 0.995) FROM txn) AS INT) AS a, row_number() {_seq(_PAIR)} = 1 AS is_new, count(*) {_over(1, _D)} AS n FROM o)""", TXN_SQL),
+    "stream_late_rows": f"WITH {TXN_SQL}, t AS (SELECT *, (SELECT min(us) + (max(us) - min(us)) * 3 // 4 FROM txn) AS cut FROM txn), f AS (SELECT *, transaction_id % 2 = 0 AS first FROM t WHERE transaction_id % 2 = 1 OR us <= cut), l AS (SELECT transaction_id, NOT first AND us < (SELECT max(us) FROM f WHERE first) - 3600000000 AS late FROM f) SELECT count(*) AS n, CAST(sum(transaction_id) AS BIGINT) AS ids, CASE WHEN late THEN 'late' ELSE 'main' END AS side FROM l GROUP BY 3",
     "stream_dedupe": f"WITH {TXN_SQL} SELECT transaction_id FROM txn",
     "stream_alert_rate": f"WITH {TXN_SQL}, d AS (SELECT CAST(us // 86400000000 AS BIGINT) * 86400 AS start, is_fraud FROM txn) SELECT start, count(*) AS n, NEAR(avg(is_fraud), 6) AS rate FROM d GROUP BY 1 HAVING (start + 90000) * 1000000 <= (SELECT max(us) FROM txn)",
     "stream_sliding_counts": f"WITH {TXN_SQL}, d AS (SELECT cc_num, (us // 43200000000 - k) * 43200 AS start FROM txn, (VALUES (0), (1)) AS v(k)) SELECT cc_num, CAST(start AS BIGINT) AS start, count(*) AS n FROM d GROUP BY 1, 2 HAVING (start + 90000) * 1000000 <= (SELECT max(us) FROM txn)",

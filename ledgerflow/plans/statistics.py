@@ -148,7 +148,7 @@ def target_encoding(spark, sf_dir):
 
 
 def exact_quantile(spark, sf_dir):
-    return st.exact_quantile(txn_ties(spark, sf_dir), "amount", 0.995, 200).select(*_n("quantile"))
+    return st.exact_quantile(txn_ties(spark, sf_dir), "amount", 0.995).select(*_n("quantile"))
 
 
 def identity_join(spark, sf_dir):
@@ -334,6 +334,7 @@ def top_anomalies(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, daily_rate_all, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, profile_items_all, fx_asof, shared_device, shared_device_all, cycles, cycles_all, fan_in_out, fan_in_out_all, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
+_pad = lambda x: bytes(b ^ x for b in b"new key".ljust(64, b"\0")).hex()
 _ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
 _STATS = "NEAR(avg(amount), 2) AS mean, NEAR(coalesce(stddev_samp(amount), 0), 2) AS std, NEAR(quantile_cont(amount, 0.5), 2) AS median, NEAR(quantile_cont(amount, 0.9), 2) AS p90, NEAR(quantile_cont(amount, 0.99), 2) AS p99"
 _EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, epoch_us(o_orderdate) AS us, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND o_orderkey % 20 = 0)"
@@ -387,6 +388,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "prefix_reference": f"{_T} SELECT CASE left(CAST(transaction_id AS VARCHAR), 1) WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '9' THEN 'nine' END AS issuer, count(*) AS n FROM txn GROUP BY 1",
     "canonical_type": "SELECT o_orderkey, ['debit', 'credit', 'transfer', 'other', 'payment'][1 + o_orderkey % 5] AS transaction_type FROM orders",
     "token_hash": f"{_T} SELECT transaction_id, sha256('pepper:' || CAST(cc_num AS VARCHAR)) AS token FROM txn",
+    "keyed_token": f"{_T} SELECT transaction_id, 2 AS key_version, sha256(from_hex('{_pad(0x5C)}') || from_hex(sha256(from_hex('{_pad(0x36)}') || encode(CAST(cc_num AS VARCHAR))))) AS token FROM txn",
     "merchant_clean": f"WITH {TXN_SQL} SELECT transaction_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(merchant_name), '^fraud_', ''), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS merchant FROM txn",
     "amount_transforms": f"WITH {TXN_SQL} SELECT transaction_id, NEAR(abs(amount), 4) AS abs_amount, NEAR(ln(1 + abs(amount)), 6) AS log_amount FROM txn",
     "cyclic_time": "SELECT event_id AS transaction_id, hour(ts) AS hour, isodow(ts) - 1 AS dow, month(ts) AS month, CAST(hour(ts) < 6 OR hour(ts) >= 22 AS BIGINT) AS is_night, CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend, NEAR(sin(hour(ts) * 2 * pi() / 24), 6) AS hour_sin, NEAR(cos(hour(ts) * 2 * pi() / 24), 6) AS hour_cos FROM events",

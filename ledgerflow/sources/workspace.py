@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -24,3 +24,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = f"file://{_own[app]}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written once and read back: what follows reads them as often as it needs, and lost executors cost nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources import sinks
+from ..operators import models, rules
 from ..sources.dictionary import harmonise
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 KEPT = 30 * DAY
-VELOCITY = "transaction_id long, cc_num long, us long, cnt_1h long, cnt_6h long, cnt_24h long, sum_24h double, new_merchant int, uniq_7d long, same_30d long"
+VELOCITY = "transaction_id long, cc_num long, us long, amount double, merchant_name string, cnt_1h long, cnt_6h long, cnt_24h long, sum_24h double, mean_24h double, std_24h double, new_merchant int, uniq_7d long, same_30d long"
+_FIELDS = [c.split()[0] for c in VELOCITY.split(", ")]
 
 
 def harmonise_stream(raw: DataFrame, source: str, dataset: str, path: str, checkpoint: str):
@@ -27,54 +31,136 @@ def harmonise_stream(raw: DataFrame, source: str, dataset: str, path: str, check
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str):
-    return df.writeStream.foreachBatch(lambda batch, _: sinks.append_parts(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append each batch once, by dataset: a batch that runs again overwrites the parts of its own number."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.partitionBy("dataset").mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class History:
+    """A card's rows in order of (time, id), with the features of each as the batch windows define them: of rows at or before it in that order."""
+
+    def __init__(self, us, ids, amounts, merchants, new) -> None:
+        order = np.lexsort((ids, us))
+        self.us, self.ids, self.amounts, self.new = (np.asarray(x)[order] for x in (us, ids, amounts, new))
+        self.merchants = [merchants[k] for k in order]
+
+    def features(self) -> dict[str, np.ndarray]:
+        """Of the new rows, in order."""
+        us, n = self.us, len(self.us)
+        at, size = np.arange(n), np.nan_to_num(np.abs(self.amounts))
+        first = {h: np.searchsorted(us, us - h * HOUR, "left") for h in (1, 6, 24)}
+        known = np.r_[0, np.cumsum(~np.isnan(self.amounts))]
+        count = known[at + 1] - known[first[24]]
+        sums = np.array([size[a : k + 1].sum() if new else 0.0 for k, (a, new) in enumerate(zip(first[24], self.new))])
+        mean = np.divide(sums, count, out=np.full(n, np.nan), where=count > 0)
+        var = np.array([((size[a : k + 1][~np.isnan(self.amounts[a : k + 1])] - mean[k]) ** 2).mean() if new and count[k] else 0.0 for k, (a, new) in enumerate(zip(first[24], self.new))])
+        uniq, same = self._merchants()
+        out = {f"cnt_{h}h": at - first[h] + 1 for h in (1, 6, 24)} | {"sum_24h": np.where(count > 0, sums, np.nan), "mean_24h": mean, "std_24h": np.sqrt(var), "uniq_7d": uniq, "same_30d": same}
+        return {name: x[self.new] for name, x in out.items()}
+
+    def _merchants(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct merchants of 7 days, by a window that moves along the rows; rows of the same merchant in 30 days, by its own times."""
+        uniq, same = np.zeros(len(self.us), np.int64), np.zeros(len(self.us), np.int64)
+        held, start, times = Counter(), 0, {}
+        for k, (t, m) in enumerate(zip(self.us.tolist(), self.merchants)):
+            if m is not None:
+                held[m] += 1
+            while self.us[start] < t - 7 * DAY:
+                if (gone := self.merchants[start]) is not None:
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                start += 1
+            own = times.setdefault(m, [])
+            own.append(t)
+            uniq[k], same[k] = len(held), len(own) - bisect_left(own, t - KEPT)
+        return uniq, same
 
 
 class Velocity(StatefulProcessor):
-    """A card's rows of the last 30 days and its merchants; gives each arriving row the features of the batch windows.
+    """A card's rows of the last 30 days, by day, and when it first met each merchant; gives each arriving row the features of the batch windows.
 
-    Rows of one call are taken in order of time and id. A timer on event time drops what left the window, so
-    a card without new rows holds no state for long. Old merchants stay, as first-seen flags need them.
+    A row that comes late sees the rows at or before its own time only, never later ones, and from then on counts for those that follow.
+    Rows given out already are not changed. Only the days that new rows look back on are read. Days that lie 30 days before
+    the watermark are dropped, and a timer drops the days of cards without new rows. First meetings stay, as first-seen flags need them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", "us long, amount double, merchant string")
-        self.seen = handle.getMapState("seen", "merchant string", "first long")
+        self.days = handle.getMapState("days", "day long", "us array<long>, ids array<long>, amounts array<double>, merchants array<string>")
+        self.seen = handle.getMapState("seen", "merchant string", "us long, id long")
         self.handle = handle
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["us", "transaction_id"])
-        held = list(self.rows.get()) if self.rows.exists() else []
-        out = []
-        for r in new.itertuples():
-            held = [h for h in held if r.us - h[0] <= KEPT]
-            held.append((int(r.us), float(abs(r.amount)), str(r.merchant_name)))
-            within = lambda span: [h for h in held if r.us - h[0] <= span]  # noqa: B023, E731
-            first = not self.seen.containsKey((str(r.merchant_name),))
-            if first:
-                self.seen.updateValue((str(r.merchant_name),), (int(r.us),))
-            day = within(DAY)
-            out.append((r.transaction_id, r.cc_num, r.us, len(within(HOUR)), len(within(6 * HOUR)), len(day), sum(h[1] for h in day), int(first), len({h[2] for h in within(7 * DAY)}), sum(h[2] == str(r.merchant_name) for h in held)))
-        self.rows.put(held)
+        new = pd.concat(list(rows)).sort_values(["us", "transaction_id"], kind="stable")
+        merchants = [m if isinstance(m, str) else None for m in new["merchant_name"]]
+        us, ids = new["us"].to_numpy(np.int64), new["transaction_id"].to_numpy(np.int64)
+        amounts = pd.to_numeric(new["amount"]).to_numpy(float)
+        first_day, last_day = int((us[0] - KEPT) // DAY), int(us[-1] // DAY)
+        closed = (timerValues.getCurrentWatermarkInMs() * 1000 - KEPT) // DAY
+        held = {}
+        for (day,) in list(self.days.keys()) if self.days.exists() else []:
+            if day < closed:
+                self.days.removeKey((day,))
+            elif first_day <= day <= last_day:
+                held[day] = [list(x) for x in self.days.getValue((day,))]
+        columns = [[v for d in held.values() for v in d[k]] for k in range(4)]
+        is_new = np.r_[np.zeros(len(columns[0]), bool), np.ones(len(us), bool)]
+        floats = [np.nan if a is None else a for a in columns[2]]
+        history = History(np.r_[np.array(columns[0], np.int64), us], np.r_[np.array(columns[1], np.int64), ids], np.r_[np.array(floats, float), amounts], columns[3] + merchants, is_new)
+        found = history.features() | {"new_merchant": self._first_meetings(us, ids, merchants)}
+        for k, day in enumerate((us // DAY).tolist()):
+            own = held.setdefault(day, [[], [], [], []])
+            for column, value in zip(own, (int(us[k]), int(ids[k]), None if np.isnan(amounts[k]) else float(amounts[k]), merchants[k])):
+                column.append(value)
+        for day in set((us // DAY).tolist()):
+            self.days.updateValue((day,), tuple(held[day]))
         for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((held[-1][0] + KEPT) // 1000 + 1)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in VELOCITY.split(", ")])
+            if t < (us[-1] + KEPT) // 1000 + 1:
+                self.handle.deleteTimer(t)
+        self.handle.registerTimer(int((us[-1] + KEPT) // 1000 + 1))
+        yield new.assign(**found, amount=amounts, merchant_name=merchants)[_FIELDS].reset_index(drop=True)
+
+    def _first_meetings(self, us, ids, merchants) -> list[int]:
+        """1 where no earlier row of the merchant is known."""
+        known, flags = {}, []
+        for t, i, m in zip(us.tolist(), ids.tolist(), merchants):
+            name = ("" if m is None else "+" + m,)
+            if name not in known:
+                known[name] = tuple(self.seen.getValue(name)) if self.seen.containsKey(name) else None
+            flags.append(int(known[name] is None or (t, i) < known[name]))
+            if flags[-1]:
+                known[name] = (t, i)
+                self.seen.updateValue(name, (t, i))
+        return flags
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.rows.clear()
-        yield pd.DataFrame({c.split()[0]: [] for c in VELOCITY.split(", ")})
+        self.days.clear()
+        yield pd.DataFrame({c: [] for c in _FIELDS})
 
     def close(self) -> None:
         pass
 
 
-def score_stream(payments: DataFrame) -> DataFrame:
+def score_stream(payments: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Velocity features of each arriving row; payments has transaction_id, cc_num, us, amount, merchant_name."""
-    timed = payments.withColumn("event_time", F.timestamp_micros("us")).withWatermark("event_time", "1 hour")
+    timed = payments.withColumn("event_time", F.timestamp_micros("us")).withWatermark("event_time", delay)
     return timed.groupBy("cc_num").transformWithStateInPandas(Velocity(), VELOCITY, "append", "eventTime")
 
 
+def decide_stream(payments: DataFrame, fitted: DataFrame, alert_at: float = 2.0) -> DataFrame:
+    """Each arriving row with its rules, their score and the decision; fitted: one row with p995, from training rows."""
+    scored = score_stream(payments).withColumns({"abs_amount": F.abs("amount"), "is_new_merchant": F.col("new_merchant")})
+    return rules.rules_b(scored, fitted).withColumn("alert", (F.col("rule_score") >= alert_at).cast("int"))
+
+
+def predict_stream(payments: DataFrame, model, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """Each arriving row with a fitted model's probability p; derived: columns that the model needs beyond the stream's own."""
+    return models.probability(model, score_stream(payments).withColumns(derived or {}), columns)
+
+
 def deduplicated(payments: DataFrame, time: str = "event_time", id_col: str = "transaction_id", delay: str = "1 hour") -> DataFrame:
     return payments.withWatermark(time, delay).dropDuplicatesWithinWatermark([id_col])
 
@@ -94,3 +180,26 @@ def split_late(batch: DataFrame, time: str, closed_until) -> tuple[DataFrame, Da
     """Rows in time, and rows for the side table."""
     late = F.coalesce(F.col(time) < F.lit(closed_until), F.lit(False))
     return batch.where(~late), batch.where(late)
+
+
+def split_stream(payments: DataFrame, path: str, checkpoint: str, time: str = "us", delay: int = HOUR):
+    """Rows in time go to path/main, later ones to path/late, by batch: a row is late if it lies before the latest time of earlier batches less the delay.
+
+    The latest time of each batch is kept beside its rows, so a batch that runs again splits alike and overwrites its own folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        latest = spark.read.schema("batch long, latest long").parquet(f"{path}/marks") if batch_id and _exists(spark, f"{path}/marks") else None
+        closed = latest.where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0] if latest is not None else None
+        in_time, late = split_late(batch, time, -(2**63) if closed is None else closed - delay)
+        in_time.write.mode("overwrite").parquet(f"{path}/main/batch={batch_id}")
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        batch.agg(F.max(time).alias("latest")).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+
+    return payments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -60,3 +60,24 @@ def test_as_of_by_key_with_ties_and_gaps(spark):
     rates = spark.createDataFrame([("a", 5, 1.0), ("a", 10, 2.0), ("a", 10, 2.0), ("b", 11, 3.0), ("a", 500, 9.0)], "k string, rt long, rate double")
     got = joins.as_of(rows, rates, "t", "rt", "rate", "k", bucket=20)
     assert sorted((r["id"], r["rate"]) for r in got.collect()) == [(1, 1.0), (2, 2.0), (3, 2.0), (4, None), (5, None), (6, None)]
+
+
+def test_usable_features_and_candidate_lift(spark):
+    from ledgerflow.functions import scalars
+
+    df = spark.range(1200).select(F.col("id").alias("transaction_id"), (F.col("id") * 7919 % 97).cast("double").alias("noise"), (F.col("id") * 31 % 101).cast("double").alias("signal"), F.lit("t").alias("s"))
+    df = df.withColumn("y", (F.col("signal") > 98).cast("int")).withColumn("us", F.col("transaction_id"))
+    assert scalars.usable_features(df, ["noise", "signal", "s", "absent", "transaction_id"], ("transaction_id",)) == ["noise", "signal"]
+    rows = {r["candidate"]: r for r in models.candidate_lift(df, ["noise"], {"good": ["signal"], "bad": ["us"]}, "y", ["us"], "transaction_id", depth=2, rounds=3).collect()}
+    assert rows["good"]["take"] and rows["good"]["lift_p_one"] > 0.5 and rows["good"]["lift_p_one"] > rows["bad"]["lift_p_one"]
+
+
+def test_ranked_items_are_whole_and_in_order(spark):
+    people = spark.createDataFrame([(1, 0.0), (2, 1.0)], "c long, likes double")
+    items = spark.createDataFrame([(10, 0.0), (11, 1.0), (12, 0.5)], "i long, kind double")
+    features = {"gap": F.abs(F.col("likes") - F.col("kind"))}
+    learnt = people.crossJoin(items).withColumns(features).withColumns({"rel": 1 - F.col("gap"), "weight": F.lit(1.0)})
+    model = models.fit_ranker(learnt, ["gap"], "rel", "weight", 2, 3)
+    got = sorted((r["c"], r["rank"], r["i"]) for r in ranking.rank_items(people, items, features, model, "c", "i").collect())
+    assert got == [(1, 1, 10), (1, 2, 12), (1, 3, 11), (2, 1, 11), (2, 2, 12), (2, 3, 10)]
+    assert ranking.rank_items(people, items, features, model, "c", "i", top=1).count() == 2
