@@ -246,10 +246,11 @@ def ranked(model, df: DataFrame, columns: list[str], session: str, tie: str) ->
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(session).orderBy(F.desc("score"), tie)))
 
 
-def smote(df: DataFrame, label: str, numbers: list[str], names: list[str], id_col: str, share: float = 0.1, k: int = 5) -> DataFrame:
+def smote(df: DataFrame, label: str, numbers: list[str], names: list[str], id_col: str, share: float = 0.1, k: int = 5, cell: int = 100) -> DataFrame:
     """Minority rows made between a row and one of its neighbours, until the minority has its share; numbers interpolate, names take the neighbours' mode.
 
-    Neighbours come from cells of a projection: rows meet those of their own and the next cell, so no row meets all.
+    Neighbours come from cells of `cell` rows along a projection: rows meet those of their own and the next cells, so no row meets all,
+    however many lie on one point. Neighbours that the projection sets apart are missed.
     """
     from pyspark.sql import Window as W
 
@@ -259,10 +260,8 @@ def smote(df: DataFrame, label: str, numbers: list[str], names: list[str], id_co
     if not ones or not want:
         return df.limit(0)
     line = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers[1:]), F.coalesce(F.col(numbers[0]).cast("double"), F.lit(0.0)))
-    low, high = rare.agg(F.min(line), F.max(line)).first()
-    cells = max(1, ones // 50)
-    cell = F.floor((line - F.lit(low)) / F.lit(max(high - low, 1e-9)) * cells)
-    own = rare.withColumn("cell", cell)
+    own = select.global_index(rare.withColumn("__line", line), "__line", id_col, out="__at")
+    own = own.withColumn("cell", F.floor(F.col("__at") / cell)).drop("__line", "__at")
     near = own.withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1, F.col("cell") - 1)))
     a, b = own.alias("a"), near.alias("b")
     gap = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in numbers[1:]), (F.col(f"a.{numbers[0]}") - F.col(f"b.{numbers[0]}")) ** 2)

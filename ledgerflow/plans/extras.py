@@ -91,21 +91,16 @@ def cast_failures(spark, sf_dir):
     return dictionary.cast_failures(named, dictionary.detect_and_harmonise(raw, "card"), "transaction_id")
 
 
-def leak_check_all(spark, sf_dir):
+def leak_check(spark, sf_dir):
     return se.leaks(read(spark, sf_dir, "documents"), _LEAKS)
 
 
-def epoch_times_all(spark, sf_dir):
+def epoch_times(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("bad")
     return read(spark, sf_dir, "orders").select("o_orderkey", s.step_epoch(k).alias("step_ts"), F.unix_seconds(s.relative_time(k * 86_400)).alias("rel_ts"), F.unix_seconds(s.lenient_time(text)).alias("parsed"))
 
 
-def identity_join_all(spark, sf_dir):
-    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
-    return j.left_on(o, l, "o_orderkey", "l_orderkey").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count("l_partkey").alias("matched"))
-
-
 def fold_encoding(spark, sf_dir):
     """Target encoding of merchants, fitted on each fold's training rows only."""
     folds = se.expanding_folds(txn_ties(spark, sf_dir), "us", "transaction_id")
@@ -147,7 +142,7 @@ def ranked_plans(spark, sf_dir):
     return ranking.rank_items(c, items, features, model, "c_custkey", "n_nationkey")
 
 
-QUERIES = {f.__name__: f for f in (payment_proxies, first_country, redact_signals, plan_extras, eligible_plans, recent_runs, stratified_sample, attribution_pairs, harmonised_card, cast_failures, leak_check_all, epoch_times_all, identity_join_all, fold_encoding, iqr_scaling, top_anomaly_categories, candidate_lift, model_variants, ranked_plans)}
+QUERIES = {f.__name__: f for f in (payment_proxies, first_country, redact_signals, plan_extras, eligible_plans, recent_runs, stratified_sample, attribution_pairs, harmonised_card, cast_failures, leak_check, epoch_times, fold_encoding, iqr_scaling, top_anomaly_categories, candidate_lift, model_variants, ranked_plans)}
 
 _T = f"WITH {TIES_SQL}"
 _quoted = lambda v: "[" + ", ".join(_quoted(x) if isinstance(x, tuple) else f"'{x}'" for x in v) + "]"
@@ -165,9 +160,8 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "attribution_pairs": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, NEAR(corr({a}, {b}), 6) AS corr FROM lineitem" for a, b in (("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax"))),
     "harmonised_card": "SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id, CASE WHEN o_orderkey % 10 <> 0 THEN NEAR(o_totalprice, 2) END AS amount, o_orderkey % 2 = 1 AS is_fraud, epoch_us(o_orderdate) // 1000000 AS event_time_ts FROM orders",
     "cast_failures": "SELECT 'amount' AS \"column\", count(*) FILTER (o_orderkey % 10 = 0) AS failures FROM orders UNION ALL SELECT 'event_time_ts', 0",
-    "leak_check_all": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{n}' AS pattern, count(*) FILTER (regexp_matches({c}, '{p}')) AS n FROM documents" for c in ("text", "lang", "source") for n, p in _LEAKS.items()),
-    "epoch_times_all": f"SELECT o_orderkey, {s.STEP_EPOCH}::BIGINT + o_orderkey * 3600 AS step_ts, {s.RELATIVE_EPOCH}::BIGINT + o_orderkey * 86400 AS rel_ts, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) END AS parsed FROM orders",
-    "identity_join_all": "SELECT o_orderstatus, count(*) AS n, count(l_partkey) AS matched FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
+    "leak_check": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{n}' AS pattern, count(*) FILTER (regexp_matches({c}, '{p}')) AS n FROM documents" for c in ("text", "lang", "source") for n, p in _LEAKS.items()),
+    "epoch_times": f"SELECT o_orderkey, {s.STEP_EPOCH}::BIGINT + o_orderkey * 3600 AS step_ts, {s.RELATIVE_EPOCH}::BIGINT + o_orderkey * 86400 AS rel_ts, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) END AS parsed FROM orders",
     "fold_encoding": f"{_T}, {_FOLDS}, g AS (SELECT fold, avg(is_fraud) AS m FROM f WHERE part = 'train' GROUP BY 1), e AS (SELECT fold, merchant_name, sum(is_fraud) AS s, count(*) AS n FROM f WHERE part = 'train' GROUP BY 1, 2) SELECT transaction_id, f.fold, part, NEAR(coalesce((s + 10 * m) / (n + 10), m), 6) AS encoded FROM f JOIN g ON f.fold = g.fold LEFT JOIN e ON f.fold = e.fold AND f.merchant_name = e.merchant_name",
     "iqr_scaling": f"{_T}, q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.5) AS b, quantile_cont(amount, 0.75) AS c FROM txn) SELECT transaction_id, NEAR((amount - b) / nullif(c - a, 0), 6) AS scaled FROM txn, q",
     "top_anomaly_categories": f"{_T}, t AS (SELECT operation_type FROM txn ORDER BY transaction_id * 7919 % 1000 DESC, transaction_id LIMIT 20) SELECT operation_type, count(*) AS n FROM t GROUP BY 1",

@@ -87,15 +87,7 @@ def banded_amounts(spark, sf_dir):
 
 
 def daily_rate(spark, sf_dir):
-    return _daily_rate(read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"))
-
-
-def daily_rate_all(spark, sf_dir):
-    return _daily_rate(read(spark, sf_dir, "orders"))
-
-
-def _daily_rate(orders):
-    df = orders.withColumn("is_fraud", (F.col("o_orderkey") % 40 == 0).cast("int"))
+    df = read(spark, sf_dir, "orders").withColumn("is_fraud", (F.col("o_orderkey") % 40 == 0).cast("int"))
     return st.daily_rate(df, "o_orderdate", "is_fraud").select(F.col("day").cast("string").alias("day"), "n", *_n("rate", places=6))
 
 
@@ -152,7 +144,7 @@ def exact_quantile(spark, sf_dir):
 
 
 def identity_join(spark, sf_dir):
-    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").where("l_linenumber = 7")  # noqa: E741
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
     return j.left_on(o, l, "o_orderkey", "l_orderkey").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count("l_partkey").alias("matched"))
 
 
@@ -162,15 +154,7 @@ def fact_dimensions(spark, sf_dir):
 
 
 def profile_items(spark, sf_dir):
-    return _profile_items(spark, sf_dir, read(spark, sf_dir, "customer").where("c_custkey <= 20"))
-
-
-def profile_items_all(spark, sf_dir):
-    return _profile_items(spark, sf_dir, read(spark, sf_dir, "customer"))
-
-
-def _profile_items(spark, sf_dir, customers):
-    c = customers.select("c_custkey", "c_acctbal")
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return j.pair_all(c, read(spark, sf_dir, "region")).select("c_custkey", "r_regionkey", (F.col("c_acctbal") * (F.col("r_regionkey") + 1)).alias("x")).select("c_custkey", "r_regionkey", *_n("x", places=2))
 
 
@@ -189,16 +173,11 @@ def _device_uses(spark, sf_dir):
 
 
 def shared_device(spark, sf_dir):
-    return j.shared_pairs(_device_uses(spark, sf_dir).where("customer % 3 = 0"), "device", "customer")
-
-
-def shared_device_all(spark, sf_dir):
-    """The pairs of all customers; shared_device has those of a third, which its SQL fixes."""
     return j.shared_pairs(_device_uses(spark, sf_dir), "device", "customer")
 
 
 def cycles(spark, sf_dir):
-    return j.cycles(_edges(spark, sf_dir), 20 * 86_400_000_000)
+    return j.cycles(_edges(spark, sf_dir), 20 * 86_400_000_000, id_col="line")
 
 
 def fan_in_out(spark, sf_dir):
@@ -206,23 +185,6 @@ def fan_in_out(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    o, l, s_, c = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "supplier", "customer"))
-    e = l.where("l_linenumber = 1").join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s_, F.col("l_suppkey") == F.col("s_suppkey"))
-    from .views import micros
-
-    return e.where("o_orderkey % 20 = 0").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), micros("o_orderdate").alias("us"), "o_orderkey")
-
-
-def cycles_all(spark, sf_dir):
-    """Cycles of all order lines; cycles has those of one order in twenty, which its SQL fixes."""
-    return j.cycles(_edges_all(spark, sf_dir), 20 * 86_400_000_000, id_col="line")
-
-
-def fan_in_out_all(spark, sf_dir):
-    return j.fan(_edges_all(spark, sf_dir))
-
-
-def _edges_all(spark, sf_dir):
     """A payment for each order line, from customer to supplier; accounts are their keys, numbered alike."""
     o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
     from .views import micros
@@ -279,10 +241,6 @@ def holiday(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", s.is_holiday(F.col("o_orderdate")).alias("is_holiday"))
 
 
-def epoch_times(spark, sf_dir):
-    return read(spark, sf_dir, "region").select("r_regionkey", s.step_epoch(F.col("r_regionkey")).alias("step_ts"), F.unix_seconds(s.relative_time(F.col("r_regionkey") * 86_400)).alias("rel_ts"), F.unix_seconds(s.lenient_time(F.when(F.col("r_regionkey") % 2 == 0, "2023-02-03").otherwise("bad"))).alias("parsed"))
-
-
 def category_mapping(spark, sf_dir):
     codes = [c[1] for c in s.CATEGORIES if c[0] == "card"]
     df = read(spark, sf_dir, "orders").select("o_orderkey", F.lit("card").alias("dataset"), F.element_at(F.array(*[F.lit(c) for c in [*codes, "none"]]), (F.col("o_orderkey") % (len(codes) + 1) + 1).cast("int")).alias("code"))
@@ -306,10 +264,6 @@ def pii_redact(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", s.redact(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def leak_check(spark, sf_dir):
-    return se.leaks(read(spark, sf_dir, "documents").select("text", "lang"), {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+", "card": "[0-9]{13,19}"})
-
-
 def cosine_match(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     anchor = e.where("vec_id = 0").select(F.col("embedding").alias("anchor"))
@@ -331,14 +285,13 @@ def top_anomalies(spark, sf_dir):
     return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
 
 
-QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, daily_rate_all, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, profile_items_all, fx_asof, shared_device, shared_device_all, cycles, cycles_all, fan_in_out, fan_in_out_all, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, epoch_times, category_mapping, confidence_band, label_encoding, pii_redact, leak_check, cosine_match)}
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, category_mapping, confidence_band, label_encoding, pii_redact, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _pad = lambda x: bytes(b ^ x for b in b"new key".ljust(64, b"\0")).hex()
 _ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
 _STATS = "NEAR(avg(amount), 2) AS mean, NEAR(coalesce(stddev_samp(amount), 0), 2) AS std, NEAR(quantile_cont(amount, 0.5), 2) AS median, NEAR(quantile_cont(amount, 0.9), 2) AS p90, NEAR(quantile_cont(amount, 0.99), 2) AS p99"
-_EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, epoch_us(o_orderdate) AS us, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND o_orderkey % 20 = 0)"
-_EDGES_ALL = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch_us(o_orderdate) AS us, concat(l_orderkey, '-', l_linenumber) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_EDGES = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch_us(o_orderdate) AS us, concat(l_orderkey, '-', l_linenumber) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _codes = [c for c in s.CATEGORIES if c[0] == "card"]
 _quote = lambda x: "'" + x.replace("'", "''") + "'"
 ORACLE_SQL = {name: near_sql(sql) for name, sql in {
@@ -359,7 +312,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "time_coverage": f"WITH {TXN_SQL} SELECT min(us) AS first, max(us) AS last FROM txn",
     "distinct_per_group": "SELECT l_partkey, count(DISTINCT o_custkey) AS customers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "banded_amounts": "WITH x AS (SELECT o_totalprice AS v, (o_orderkey % 101) / 100.0::DOUBLE AS s FROM orders), b AS (SELECT v, CASE WHEN s > 0 AND s <= 0.3 THEN '(0,0.3]' WHEN s > 0.3 AND s <= 0.6 THEN '(0.3,0.6]' WHEN s > 0.6 AND s <= 1 THEN '(0.6,1]' END AS band FROM x) SELECT band, NEAR(avg(v), 2) AS mean, NEAR(coalesce(stddev_samp(v), 0), 2) AS std, count(*) AS n FROM b WHERE band IS NOT NULL GROUP BY 1",
-    "daily_rate": "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, avg(CAST(o_orderkey % 40 = 0 AS INT)) AS rate FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n, NEAR(coalesce(rate, 0), 6) AS rate FROM s LEFT JOIN d USING (day)",
+    "daily_rate": "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, avg(CAST(o_orderkey % 40 = 0 AS INT)) AS rate FROM orders GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n, NEAR(coalesce(rate, 0), 6) AS rate FROM s LEFT JOIN d USING (day)",
     "drift_snapshot": f"WITH {TXN_SQL} SELECT operation_type, count(*) AS n, avg(CAST(amount IS NULL AS INT)) AS null_rate, NEAR(quantile_cont(amount, 0.5), 4) AS p50, NEAR(quantile_cont(amount, 0.9), 4) AS p90, NEAR(quantile_cont(amount, 0.99), 4) AS p99 FROM txn GROUP BY 1",
     "new_merchant_share": f"{_T} SELECT NEAR(avg(CAST(transaction_id % 37 <= 4 AS INT)), 6) AS new_share FROM txn",
     "psi": f"""{_T}, b AS (SELECT amount FROM txn WHERE transaction_id % 2 = 0), c AS (SELECT amount FROM txn WHERE transaction_id % 2 = 1 AND amount > 50000), q AS (SELECT unnest(quantile_cont(amount, [{', '.join(f'{k / 10}' for k in range(1, 10))}])) AS edge FROM b),
@@ -373,16 +326,13 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "correlations": " UNION ALL ".join(f"SELECT '{c}' AS feature, NEAR(corr({c}, l_extendedprice), 6) AS corr FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")),
     "target_encoding": f"{_T}, t AS (SELECT * FROM txn WHERE transaction_id % 5 <> 0) SELECT merchant_name, NEAR((sum(is_fraud) + 10 * (SELECT avg(is_fraud) FROM t)) / (count(*) + 10), 6) AS encoded FROM t GROUP BY 1",
     "exact_quantile": f"{_T} SELECT NEAR(quantile_cont(amount, 0.995), 4) AS quantile FROM txn",
-    "identity_join": "SELECT o_orderstatus, count(*) AS n, count(l_partkey) AS matched FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 7) ON o_orderkey = l_orderkey GROUP BY 1",
+    "identity_join": "SELECT o_orderstatus, count(*) AS n, count(l_partkey) AS matched FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "fact_dimensions": "SELECT r_name, count(*) AS n, NEAR(sum(c_acctbal), 2) AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
-    "profile_items": "SELECT c_custkey, r_regionkey, NEAR(c_acctbal * (r_regionkey + 1), 2) AS x FROM customer, region WHERE c_custkey <= 20",
+    "profile_items": "SELECT c_custkey, r_regionkey, NEAR(c_acctbal * (r_regionkey + 1), 2) AS x FROM customer, region",
     "fx_asof": f"{_T}, f(d, rate) AS (VALUES {', '.join(f"(epoch_us(TIMESTAMP '{d} 00:00:00'), {r}::DOUBLE)" for d, r in _RATES)}) SELECT transaction_id, rate, NEAR(amount * rate, 2) AS eur FROM txn ASOF LEFT JOIN f ON us >= d",
-    "shared_device": "WITH u AS (SELECT DISTINCT l_partkey AS d, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0) SELECT a.c AS a, b.c AS b, count(*) AS shared FROM u a JOIN u b ON a.d = b.d AND a.c < b.c GROUP BY 1, 2",
-    "shared_device_all": "WITH u AS (SELECT DISTINCT l_partkey AS d, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.c AS a, b.c AS b, count(*) AS shared FROM u a JOIN u b ON a.d = b.d AND a.c < b.c GROUP BY 1, 2",
-    "cycles": f"WITH {_EDGES} SELECT a.o_orderkey AS first, b.o_orderkey AS second, c.o_orderkey AS third FROM e a JOIN e b ON a.dst = b.src AND b.us > a.us JOIN e c ON b.dst = c.src AND c.us > b.us AND c.dst = a.src WHERE c.us - a.us <= {20 * 86_400_000_000} AND a.src <> a.dst AND b.src <> b.dst",
+    "shared_device": "WITH u AS (SELECT DISTINCT l_partkey AS d, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.c AS a, b.c AS b, count(*) AS shared FROM u a JOIN u b ON a.d = b.d AND a.c < b.c GROUP BY 1, 2",
+    "cycles": f"WITH {_EDGES} SELECT a.line AS first, b.line AS second, c.line AS third FROM e a JOIN e b ON a.dst = b.src AND b.us > a.us JOIN e c ON b.dst = c.src AND c.us > b.us AND c.dst = a.src WHERE c.us - a.us <= {20 * 86_400_000_000} AND a.src <> a.dst AND b.src <> b.dst",
     "fan_in_out": f"WITH {_EDGES} SELECT coalesce(o.src, i.dst) AS node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT src, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM e GROUP BY 1) i ON o.src = i.dst",
-    "cycles_all": f"WITH {_EDGES_ALL} SELECT a.line AS first, b.line AS second, c.line AS third FROM e a JOIN e b ON a.dst = b.src AND b.us > a.us JOIN e c ON b.dst = c.src AND c.us > b.us AND c.dst = a.src WHERE c.us - a.us <= {20 * 86_400_000_000} AND a.src <> a.dst AND b.src <> b.dst",
-    "fan_in_out_all": f"WITH {_EDGES_ALL} SELECT coalesce(o.src, i.dst) AS node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT src, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM e GROUP BY 1) i ON o.src = i.dst",
     "semi_anti": f"{_T}, k AS (SELECT DISTINCT merchant_name FROM txn WHERE is_fraud = 1 AND merchant_name < 'M2') SELECT count(*) AS n, 'in' AS side FROM txn WHERE merchant_name IN (SELECT merchant_name FROM k) UNION ALL SELECT count(*), 'out' FROM txn WHERE merchant_name NOT IN (SELECT merchant_name FROM k)",
     "range_risk": f"{_T} SELECT CASE WHEN floor(amount) BETWEEN 0 AND 49999 THEN 'low' WHEN floor(amount) BETWEEN 50000 AND 149999 THEN 'mid' WHEN floor(amount) BETWEEN 150000 AND 299999 THEN 'high' END AS band, count(*) AS n FROM txn GROUP BY 1",
     "prefix_reference": f"{_T} SELECT CASE left(CAST(transaction_id AS VARCHAR), 1) WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '9' THEN 'nine' END AS issuer, count(*) AS n FROM txn GROUP BY 1",
@@ -393,12 +343,13 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "amount_transforms": f"WITH {TXN_SQL} SELECT transaction_id, NEAR(abs(amount), 4) AS abs_amount, NEAR(ln(1 + abs(amount)), 6) AS log_amount FROM txn",
     "cyclic_time": "SELECT event_id AS transaction_id, hour(ts) AS hour, isodow(ts) - 1 AS dow, month(ts) AS month, CAST(hour(ts) < 6 OR hour(ts) >= 22 AS BIGINT) AS is_night, CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend, NEAR(sin(hour(ts) * 2 * pi() / 24), 6) AS hour_sin, NEAR(cos(hour(ts) * 2 * pi() / 24), 6) AS hour_cos FROM events",
     "holiday": f"SELECT o_orderkey, CAST(strftime(o_orderdate, '%m-%d') IN ({', '.join(map(_quote, s.HOLIDAYS))}) AS INT) AS is_holiday FROM orders",
-    "epoch_times": f"SELECT r_regionkey, {s.STEP_EPOCH}::BIGINT + r_regionkey * 3600 AS step_ts, {s.RELATIVE_EPOCH}::BIGINT + r_regionkey * 86400 AS rel_ts, CASE WHEN r_regionkey % 2 = 0 THEN 1675382400::BIGINT END AS parsed FROM region",
     "category_mapping": f"WITH m(i, category, subcategory) AS (VALUES {', '.join(f'({i}, {_quote(c[2])}, {_quote(c[3])})' for i, c in enumerate(_codes))}) SELECT category, subcategory, coalesce(CAST(subcategory IN ({', '.join(map(_quote, s.SUBSCRIPTIONS))}) AS INT), 0) AS is_subscription, count(*) AS n FROM orders LEFT JOIN m ON o_orderkey % {len(_codes) + 1} = i GROUP BY 1, 2, 3",
     "confidence_band": "WITH x AS (SELECT o_orderkey AS k, (CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 3 = 0 AS INT) + CAST(o_orderkey % 5 = 0 AS INT) + CAST(o_orderkey % 7 = 0 AS INT))::BIGINT AS n FROM orders), y AS (SELECT *, least(0.5::DOUBLE + 0.1::DOUBLE * n, 0.95::DOUBLE) AS c FROM x) SELECT k AS o_orderkey, n, NEAR(c, 4) AS confidence, CASE WHEN c >= 0.75::DOUBLE THEN 'high' WHEN c >= 0.6::DOUBLE THEN 'medium' WHEN c >= 0.45::DOUBLE THEN 'low' ELSE 'very_low' END AS band, NEAR(0.3::DOUBLE * CAST(k % 2 = 0 AS INT) + 0.2::DOUBLE * CAST(k % 3 = 0 AS INT) + 0.2::DOUBLE * CAST(k % 5 = 0 AS INT) + 0.3::DOUBLE * c, 4) AS quality FROM y",
     "label_encoding": f"{_T} SELECT transaction_id, dense_rank() OVER (ORDER BY operation_type) - 1 AS code FROM txn",
     "pii_redact": r"SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g'), '[0-9]{13,19}', '[CARD]', 'g') AS text FROM documents",
-    "leak_check": r"SELECT c AS column, p AS pattern, CAST(n AS BIGINT) AS n FROM (SELECT 'text' AS c, 'email' AS p, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+')) AS n FROM documents UNION ALL SELECT 'text', 'card', count(*) FILTER (regexp_matches(text, '[0-9]{13,19}')) FROM documents UNION ALL SELECT 'lang', 'email', 0 UNION ALL SELECT 'lang', 'card', 0)",
     "cosine_match": "WITH a AS (SELECT embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id = 0) SELECT vec_id, NEAR(list_cosine_similarity(embedding::DOUBLE[], a), 5) AS cos FROM embeddings, a",
 }.items()}
-ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(cut, "") for name, cut in {"daily_rate": " WHERE o_orderkey % 7 = 0", "profile_items": " WHERE c_custkey <= 20"}.items()}
+#: Names that queries over whole tables had beside others over a part.
+_ALSO = ("daily_rate", "profile_items", "shared_device", "cycles", "fan_in_out")
+QUERIES |= {f"{name}_all": QUERIES[name] for name in _ALSO}
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name] for name in _ALSO}
