@@ -1,4 +1,8 @@
-"""Connected components of an edge table: union-find inside partitions, then contraction until no edge is left."""
+"""Connected components of an edge table: union-find inside partitions, then contraction until no edge is left.
+
+Defined cases: an edge from a node to itself links nothing; edges that repeat, or stand both ways, count once; an edge with a null
+end is left out; without edges there are no components; further columns are not looked at.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,12 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+#: Nodes that a task holds before it gives out what it knows and starts anew.
+HELD = 1_000_000
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The edges of a partition as (node, smallest node that they lead to)."""
+    """The edges of a partition as (node, smallest node that they lead to); edges given out in parts link the same nodes."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -23,13 +31,19 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x], x = top, parent[x]
         return top
 
+    def known() -> pd.DataFrame:
+        found = [(x, root(x)) for x in list(parent)]
+        return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["a", "b"], dtype="int64")
+
     for batch in batches:
+        if len(parent) > HELD:
+            yield known()
+            parent.clear()
         for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    found = [(x, root(x)) for x in parent]
-    yield pd.DataFrame([f for f in found if f[0] != f[1]], columns=["a", "b"], dtype="int64")
+    yield known()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node takes its smallest neighbour for a parent, parents are followed to the top and the edges move
     to the tops. A round at least halves the nodes that still have edges; all tables stay distributed.
     """
-    left = staged(edges.select("a", "b").mapInPandas(_forest, "a long, b long"), "edges")
+    left = staged(edges.select("a", "b").dropna().mapInPandas(_forest, "a long, b long"), "edges")
     known = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -272,6 +272,30 @@ def test_components(spark):
     want = {k: (k - 1) // 20 * 20 + 1 for k in range(1, 61)} | {k: 100 for k in [*range(100, 140), 200]}
     assert {k: v for k, v in got.items() if k in want} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert [tuple(r) for r in components(spark.createDataFrame([(1, None), (None, 2), (5, 4), (4, 5), (5, 4)], "a long, b long")).orderBy("node").collect()] == [(4, 4), (5, 4)]
+
+
+def test_forest_given_out_in_parts(monkeypatch):
+    import importlib
+
+    import pandas as pd
+
+    module = importlib.import_module("ledgerflow.llm.components")
+    monkeypatch.setattr(module, "HELD", 10)
+    batches = [pd.DataFrame({"a": range(k, k + 8), "b": range(k + 1, k + 9)}) for k in range(0, 80, 8)]
+    top = {k: k for k in range(81)}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    parts = list(module._forest(iter(batches)))
+    for part in parts:
+        for a, b in part.itertuples(index=False):
+            a, b = root(a), root(b)
+            top[max(a, b)] = min(a, b)
+    assert len(parts) > 1 and {root(k) for k in range(81)} == {0}
 
 
 def exact_brute(rows):
