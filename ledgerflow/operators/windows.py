@@ -8,7 +8,7 @@ by the entity, alone or with a further key, and reuse that exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,6 +85,19 @@ def bucketed_count(df: DataFrame, micros: int, entity: str = "cc_num", time: str
     return counted.where(F.col("bucket") == own).drop("bucket")
 
 
+def bucketed(df: DataFrame, micros: int, aggregates: dict[str, Column], entity: str = "cc_num", time: str = "us", tie: str = "transaction_id") -> DataFrame:
+    """Any aggregates over the last `micros` for entities too large for one task; df is not prepared, so no exchange brings an entity together.
+
+    Rows are dealt by entity and time bucket. A bucket is as long as the window and also holds the rows of the one before, which only
+    the window sees. A column made of aggregates is not one itself: give these and combine them after.
+    """
+    own = F.floor(F.col(time) / micros)
+    rows = df.where(F.col(time).isNotNull()).withColumn("bucket", F.explode(F.array(own, own + 1))).repartition(F.col(entity), F.col("bucket"))
+    seq = F.row_number().over(W.partitionBy(entity, "bucket", time).orderBy(tie)) - 1
+    rows = rows.withColumn("ord", F.col(time) * TIES + seq)
+    return rows.withColumns({name: a.over(span(micros, entity, "bucket")) for name, a in aggregates.items()}).where(F.col("bucket") == own).drop("bucket", "ord")
+
+
 def recency(df: DataFrame, entity: str = "cc_num", time: str = "us") -> DataFrame:
     """Whole seconds since the entity's previous row; null for the first."""
     last = F.last(time, ignorenulls=True).over(before(entity))

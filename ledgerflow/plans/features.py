@@ -46,6 +46,13 @@ def velocity_bucketed(spark, sf_dir):
     return w.bucketed_count(w.prepared(txn_ties(spark, sf_dir)), 30 * w.DAY).select("transaction_id", "span_count")
 
 
+def features_bucketed(spark, sf_dir):
+    """Count, sum, mean, deviation and distinct merchants of 30 days, without an entity in one task."""
+    size = F.abs("amount")
+    df = w.bucketed(txn_ties(spark, sf_dir), 30 * w.DAY, {"n_30d": F.count(F.lit(1)), "sum_30d": F.sum(size), "mean_30d": F.avg(size), "std_30d": F.stddev_pop(size), "merchants": F.collect_set("merchant_name")})
+    return df.select("transaction_id", "n_30d", *[near(c, 2).alias(c) for c in ("sum_30d", "mean_30d", "std_30d")], F.size("merchants").cast("long").alias("uniq_30d"))
+
+
 def txn_recency(spark, sf_dir):
     df = w.recency(w.prepared(txn_ties(spark, sf_dir)))
     df = w.since_same(df, "merchant_name", "days_since_merchant", w.DAY)
@@ -109,7 +116,7 @@ def just_under_limit(spark, sf_dir):
     return w.repeats_under(w.prepared(txn_ties(spark, sf_dir)), 100_000.0, 0.8, 90 * w.DAY).select("transaction_id", "just_under")
 
 
-QUERIES = {f.__name__: f for f in (txn_velocity, velocity_ties, velocity_running_totals, velocity_bucketed, txn_recency, merchant_novelty, merchant_diversity, merchant_counts, category_transition, merchant_rarity, expanding_zscore, usual_category, merchant_share_long, balance_depletion, sudden_large_debit, just_under_limit)}
+QUERIES = {f.__name__: f for f in (txn_velocity, velocity_ties, velocity_running_totals, velocity_bucketed, features_bucketed, txn_recency, merchant_novelty, merchant_diversity, merchant_counts, category_transition, merchant_rarity, expanding_zscore, usual_category, merchant_share_long, balance_depletion, sudden_large_debit, just_under_limit)}
 
 _PAIR, _TYPE = "cc_num, merchant_name", "cc_num, operation_type"
 ORACLE_SQL = {
@@ -117,6 +124,7 @@ ORACLE_SQL = {
   NEAR(avg(abs(amount)) {_over(1, _D)}, 4) AS mean_24h, NEAR(coalesce(stddev_pop(abs(amount)) {_over(1, _D)}, 0), 4) AS std_24h FROM o""", TXN_SQL),
     "velocity_ties": _sql("SELECT transaction_id, " + ", ".join(f"count(*) {_over(h, _H)} AS n_{h}h, NEAR(sum(abs(amount)) {_over(h, _H)}, 4) AS sum_{h}h" for h in (24, 168, 720)) + " FROM o"),
     "velocity_running_totals": _sql(f"SELECT transaction_id, count(*) {_over(90, _D)} AS span_count, NEAR(sum(abs(amount)) {_over(90, _D)}, 2) AS span_sum FROM o"),
+    "features_bucketed": _sql(f"SELECT transaction_id, count(*) {_over(30, _D)} AS n_30d, NEAR(sum(abs(amount)) {_over(30, _D)}, 2) AS sum_30d, NEAR(avg(abs(amount)) {_over(30, _D)}, 2) AS mean_30d, NEAR(stddev_pop(abs(amount)) {_over(30, _D)}, 2) AS std_30d, count(DISTINCT merchant_name) {_over(30, _D)} AS uniq_30d FROM o"),
     "velocity_bucketed": _sql(f"SELECT transaction_id, count(*) {_over(30, _D)} AS span_count FROM o"),
     "txn_recency": _sql(f"""SELECT transaction_id, CAST(floor((us - lag(us) {_seq()}) / 1e6) AS BIGINT) AS secs_since_prev, CAST(floor((us - lag(us) {_seq(_PAIR)}) / 86400e6) AS BIGINT) AS days_since_merchant,
   CAST(floor((us - lag(us) {_seq(_TYPE)}) / 1e6) AS BIGINT) AS secs_since_category FROM o"""),
