@@ -31,8 +31,8 @@ from .common import staged, table
 
 K = 10
 #: Vectors that the index is fitted on at most, and their bytes; of the sample for each list at least; sample queries that set the probes.
-SAMPLE, SAMPLE_BYTES, PER_LIST, TRIALS = 20_000, 64 << 20, 32, 200
-TARGET = 0.98
+SAMPLE, SAMPLE_BYTES, PER_LIST, TRIALS = 20_000, 64 << 20, 32, 400
+TARGET = 0.99
 #: Vectors of a chunk of a list, queries of a chunk, dimensions of a column block, and the slack of the test.
 CHUNK, QUERIES, BLOCK, EPSILON = 8192, 4096, 16, 2.1
 SEED = 11
