@@ -19,6 +19,7 @@ import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ FOLDS, WORST, WORST_IN_ALL = 5, 3, 5000
 SEGMENT, ORDINARY_SEGMENT, MATCH = 24, 32, 8
 WINDOW, LEVEL, LEAST_GAIN = 32, 3, 2
 THRESHOLD = 0.5
+#: Texts whose windows are compressed together.
+SLICE = 256
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -64,7 +67,7 @@ def _trained(samples: list[bytes], size: int, share: int, segment: int) -> bytes
         return b" ".join(samples)[-size:]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)  # a worker meets one model at a time, and each takes some 15 MB
 def _compressors(ordinary: bytes, toxic: tuple[bytes, ...]):
     import zstandard
 
@@ -93,19 +96,27 @@ def worst_windows(text: str, ordinary: bytes, n: int) -> list[bytes]:
     return sorted(windows(text), key=lambda w: -len(plain(w)) / max(len(w), MATCH))[:n]
 
 
-def gains(text: str, ordinary: bytes, toxic: tuple[bytes, ...]) -> list[float]:
-    """Largest, two largest, sum and mean of what the windows save: by the mean of the toxic dictionaries, then by the second smallest."""
+def gains(texts: list[str], ordinary: bytes, toxic: tuple[bytes, ...]) -> np.ndarray:
+    """Of each text the largest, two largest, sum and mean of what its windows save: by the mean of the toxic dictionaries, then by the second smallest.
+
+    Texts are taken by the slice: a window that they share is compressed once, and one dictionary is used for all windows before the next.
+    """
+    out = np.zeros((len(texts), 8))
     if not toxic:
-        return [0.0] * 8
+        return out
     plain, *others = _compressors(ordinary, toxic)
-    saved = np.array([[n - len(other(w)) for other in others] for w in windows(text) for n in (len(plain(w)),)], float).reshape(-1, len(others))
-    if not len(saved):
-        return [0.0] * 8
-    saved.sort(axis=1)
-    out = []
-    for x in (saved.mean(1), saved[:, min(1, len(others) - 1)]):
-        top = np.sort(x)[::-1]
-        out += [float(top[0]), float(top[:2].sum()), float(np.log1p(top[top >= LEAST_GAIN].sum())), float(top.mean())]
+    for k in range(0, len(texts), SLICE):
+        cut = [list(windows(t)) for t in texts[k : k + SLICE]]
+        place = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        sizes = [np.fromiter(map(len, map(compress, place)), np.int64, len(place)) for compress in (plain, *others)]
+        saved = np.sort(sizes[0][:, None] - np.stack(sizes[1:], axis=1), axis=1)
+        kinds = saved.mean(axis=1), saved[:, min(1, len(others) - 1)].astype(float)
+        for row, own in zip(out[k:], cut):
+            if own:
+                at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+                for n, kind in enumerate(kinds):
+                    top = np.sort(kind[at])[::-1]
+                    row[4 * n : 4 * n + 4] = top[0], top[:2].sum(), np.log1p(top[top >= LEAST_GAIN].sum()), top.mean()
     return out
 
 
@@ -157,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([gains(t, ordinary, toxic) for t in batch], dtype=object)
+            yield pd.Series(list(gains(batch.tolist(), ordinary, toxic)), dtype=object)
 
     rows = sample.select("toxic", "doc_id", measured("text").alias("x")).orderBy("doc_id").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
@@ -174,7 +185,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             if len(weights) == 1:
                 yield pd.Series(np.zeros(len(batch)))
             else:
-                x = np.array([gains(t, ordinary, toxic) for t in batch]).reshape(len(batch), -1)
+                x = gains(batch.tolist(), ordinary, toxic)
                 yield pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))))
 
     return docs.withColumn("score", score(whole_text(text_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
