@@ -121,6 +121,7 @@ def _signed(batches: Iterator) -> Iterator:
             marks = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
             bands = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "n", "mark", "bands"])
+    _word_hashes.clear()  # workers outlive their tasks
 
 
 def _sets(batches: Iterator) -> Iterator:
@@ -132,6 +133,7 @@ def _sets(batches: Iterator) -> Iterator:
             rows = batch.slice(k, 256)
             sets = [shingles(t).view(np.int64) for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+    _word_hashes.clear()
 
 
 def _full_sets(nodes: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:

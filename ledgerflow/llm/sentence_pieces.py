@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table, whole_text
 
 MARK = "▁"
-REMEMBERED_PARTS, REMEMBERED_PAIRS = 400_000, 350_000
+REMEMBERED_PARTS, REMEMBERED_PAIRS = 200_000, 200_000
 SHIFT = 32
 #: Rows of one Arrow batch that leaves a task.
 ROWS = 512

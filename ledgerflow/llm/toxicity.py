@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +96,7 @@ def worst_windows(text: str, ordinary: bytes, n: int) -> list[bytes]:
     return sorted(windows(text), key=lambda w: -len(plain(w)) / max(len(w), MATCH))[:n]
 
 
-def gains(texts: list[str], ordinary: bytes, toxic: tuple[bytes, ...]) -> np.ndarray:
+def gains(texts: pa.Array, ordinary: bytes, toxic: tuple[bytes, ...]) -> np.ndarray:
     """Of each text the largest, two largest, sum and mean of what its windows save: by the mean of the toxic dictionaries, then by the second smallest.
 
     Texts are taken by the slice: a window that they share is compressed once, and one dictionary is used for all windows before the next.
@@ -106,7 +106,7 @@ def gains(texts: list[str], ordinary: bytes, toxic: tuple[bytes, ...]) -> np.nda
         return out
     plain, *others = _compressors(ordinary, toxic)
     for k in range(0, len(texts), SLICE):
-        cut = [list(windows(t)) for t in texts[k : k + SLICE]]
+        cut = [list(windows(t)) for t in texts[k : k + SLICE].to_pylist()]
         place = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
         sizes = [np.fromiter(map(len, map(compress, place)), np.int64, len(place)) for compress in (plain, *others)]
         saved = np.sort(sizes[0][:, None] - np.stack(sizes[1:], axis=1), axis=1)
@@ -154,10 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     each = max(WORST, -(-WORST_IN_ALL // max(1, sample.where("toxic = 1").count())))
 
-    @F.pandas_udf("array<binary>")
-    def worst(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<binary>")
+    def worst(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([worst_windows(t, ordinary, each) for t in batch], dtype=object)
+            yield pa.array([worst_windows(t.as_py(), ordinary, each) for t in batch], pa.list_(pa.binary()))
 
     rows = sample.where("toxic = 1").select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), "doc_id", worst("text").alias("windows")).orderBy("doc_id").collect()  # bounded by TOXIC_SAMPLE, WORST and WORST_IN_ALL
     parts = [[bytes(w) for r in rows if r["fold"] == k for w in r["windows"]] for k in range(FOLDS)]
@@ -165,10 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not ordinary or not toxic:
         return Model(b"", (), (0.0,))
 
-    @F.pandas_udf("array<double>")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(list(gains(batch.tolist(), ordinary, toxic)), dtype=object)
+            yield pa.array(list(gains(batch, ordinary, toxic)), pa.list_(pa.float64()))
 
     rows = sample.select("toxic", "doc_id", measured("text").alias("x")).orderBy("doc_id").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
@@ -179,14 +179,14 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     """docs with score (0 to 1) and predicted (1 from THRESHOLD on)."""
     ordinary, toxic, weights = model.ordinary, model.toxic, np.array(model.weights)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             if len(weights) == 1:
-                yield pd.Series(np.zeros(len(batch)))
+                yield pa.array(np.zeros(len(batch)))
             else:
-                x = gains(batch.tolist(), ordinary, toxic)
-                yield pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))))
+                x = gains(batch, ordinary, toxic)
+                yield pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))))
 
     return docs.withColumn("score", score(whole_text(text_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
