@@ -45,10 +45,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is staged: texts may be long, and a batch stands in memory on both sides.
+BATCH, _BATCH_CONF = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = work_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_BATCH_CONF)
+    conf.set(_BATCH_CONF, str(BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH_CONF, before)
     if _made:
         _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
