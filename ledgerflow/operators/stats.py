@@ -98,12 +98,6 @@ def entity_risk(df: DataFrame, entity: str, label: str) -> DataFrame:
     return df.withColumn("risk", F.avg(F.col(label).cast("double")).over(W.partitionBy(entity)))
 
 
-def prior_risk(df: DataFrame, entity: str, label: str, default: float = 0.0) -> DataFrame:
-    """The mean label of the entity's earlier rows."""
-    before = W.partitionBy(entity).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("prior_risk", F.coalesce(F.avg(F.col(label).cast("double")).over(before), F.lit(default)))
-
-
 def customer_profile(df: DataFrame, entity: str, amount: str, category: str, other: str) -> DataFrame:
     """Mean, deviation, count, distinct others and usual category, rounded to cents."""
     return df.groupBy(entity).agg(F.avg(amount).alias("mean_amount"), F.coalesce(F.stddev_samp(amount), F.lit(0.0)).alias("std_amount"), F.count(F.lit(1)).alias("n"), F.countDistinct(other).alias("n_other"), F.mode(category, True).alias("usual"))

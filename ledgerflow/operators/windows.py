@@ -1,28 +1,34 @@
 """Point-in-time windows: what was known of an entity when a row came in.
 
-Rows of an entity are ordered by time, ties by id, and a row never sees a later one of the same time. `prepared` gives each row
-`ord`, an integer key that rises by at least one from row to row, so that a RANGE frame over it is a time window closed at
-both ends without the peers that follow. It partitions the rows by the entity once; all windows here are
-by the entity, alone or with a further key, and reuse that exchange.
+Rows of an entity are ordered by time, ties by id, and a row never sees a later one of the same time. A time window is closed at both ends.
+It is made of two frames: the rows of earlier times, by a RANGE frame over the time itself, and the rows of the same time up to this
+one, by a ROWS frame over `ord`; their aggregates merge. So any number of rows may share an entity and a time. `prepared` partitions the
+rows by the entity once; all windows here are by the entity, alone or with a further key, and reuse that exchange.
+
+Aggregates over a time window (`counted`, `summed`, `averaged`, `deviation`) are measures: functions of the partition keys, which give a column.
+Distinct keys and quantiles of a window are in `sliding`; entities larger than a task are in `bucketed` and `scans`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Places for rows of one entity and time; microseconds times this still fit a long.
-TIES = 1 << 10
+from . import sliding
+
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+Measure = Callable[..., Column]
 
 
 def prepared(df: DataFrame, entity: str = "cc_num", time: str = "us", tie: str = "transaction_id") -> DataFrame:
-    """df's rows with a time, and ord; one exchange by entity."""
+    """df's rows with a time, named us, and ord, their number in the order of the entity; one exchange by entity."""
     df = df.where(F.col(time).isNotNull()).repartition(F.col(entity))
-    seq = F.row_number().over(W.partitionBy(entity, time).orderBy(tie)) - 1
-    return df.withColumn("ord", F.col(time) * TIES + seq)
+    df = df if time == "us" else df.withColumn("us", F.col(time))
+    return df.withColumn("ord", (F.row_number().over(W.partitionBy(entity).orderBy("us", tie)) - 1).cast("long"))
 
 
 def without_time(df: DataFrame, counts: list[str], time: str = "us") -> DataFrame:
@@ -30,36 +36,79 @@ def without_time(df: DataFrame, counts: list[str], time: str = "us") -> DataFram
     return df.where(F.col(time).isNull()).withColumns({c: F.lit(0).cast("long") for c in counts})
 
 
-def span(micros: int, *keys: str) -> W:
-    """The rows of the keys in the last `micros`, this row included."""
-    return W.partitionBy(*keys).orderBy("ord").rangeBetween(-(micros * TIES + TIES - 1), 0)
+def earlier(micros: int, *keys: str) -> W:
+    """The rows of the keys in the last `micros` whose time is before this row's."""
+    return W.partitionBy(*keys).orderBy("us").rangeBetween(-micros, -1)
+
+
+def same_time(*keys: str) -> W:
+    """The rows of the keys and of this row's time, up to this row."""
+    return W.partitionBy(*keys, "us").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+
+
+def up_to_time(micros: int, *keys: str) -> W:
+    """The window with all rows of this row's time: for its first row or time, which later rows of the same time don't change."""
+    return W.partitionBy(*keys).orderBy("us").rangeBetween(-micros, 0)
 
 
 def so_far(*keys: str) -> W:
-    return W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    return W.partitionBy(*keys).orderBy("us", "ord").rowsBetween(W.unboundedPreceding, 0)
 
 
 def before(*keys: str) -> W:
-    return W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    return W.partitionBy(*keys).orderBy("us", "ord").rowsBetween(W.unboundedPreceding, -1)
 
 
 def in_order(*keys: str) -> W:
-    return W.partitionBy(*keys).orderBy("ord")
+    return W.partitionBy(*keys).orderBy("us", "ord")
+
+
+def counted(micros: int, value: str | Column | None = None) -> Measure:
+    """Rows of the window, or those with a value."""
+    n = F.count(F.lit(1)) if value is None else F.count(F.col(value) if isinstance(value, str) else value)
+    return lambda *keys: n.over(earlier(micros, *keys)) + n.over(same_time(*keys))
+
+
+def summed(value: str | Column, micros: int) -> Measure:
+    total = F.sum(value)
+
+    def measure(*keys: str) -> Column:
+        a, b = total.over(earlier(micros, *keys)), total.over(same_time(*keys))
+        return F.coalesce(a + b, a, b)
+
+    return measure
+
+
+def averaged(value: str | Column, micros: int) -> Measure:
+    total, n = summed(value, micros), counted(micros, value)
+    return lambda *keys: F.try_divide(total(*keys), n(*keys))
+
+
+def deviation(value: str | Column, micros: int) -> Measure:
+    """Population deviation: the two frames' counts, means and squares merge."""
+
+    def measure(*keys: str) -> Column:
+        (n, m, v), (n2, m2, v2) = ([f(value).over(frame) for f in (F.count, F.avg, F.var_pop)] for frame in (earlier(micros, *keys), same_time(*keys)))
+        zero = F.lit(0.0)
+        squares = n * F.coalesce(v, zero) + n2 * F.coalesce(v2, zero) + F.coalesce(F.try_divide(n * n2 * (m - m2) * (m - m2), n + n2), zero)
+        return F.sqrt(F.try_divide(squares, n + n2))
+
+    return measure
 
 
 def velocity(df: DataFrame, entity: str = "cc_num", amount: str = "amount") -> DataFrame:
     """Counts in 1, 6 and 24 h; sum, mean and population deviation of the amounts in 24 h."""
-    day = span(DAY, entity)
     size = F.abs(F.col(amount))
-    return df.withColumns({f"cnt_{h}h": F.count(F.lit(1)).over(span(h * HOUR, entity)) for h in (1, 6, 24)} | {"sum_24h": F.sum(size).over(day), "mean_24h": F.avg(size).over(day), "std_24h": F.coalesce(F.stddev_pop(size).over(day), F.lit(0.0))})
+    out = {f"cnt_{h}h": counted(h * HOUR)(entity) for h in (1, 6, 24)}
+    return df.withColumns(out | {"sum_24h": summed(size, DAY)(entity), "mean_24h": averaged(size, DAY)(entity), "std_24h": F.coalesce(deviation(size, DAY)(entity), F.lit(0.0))})
 
 
 def spans(df: DataFrame, hours: tuple[int, ...] = (1, 6, 24, 168), entity: str = "cc_num", amount: str = "amount") -> DataFrame:
     """Count and sum for each number of hours."""
     out = {}
     for h in hours:
-        out[f"n_{h}h"] = F.count(F.lit(1)).over(span(h * HOUR, entity))
-        out[f"sum_{h}h"] = F.sum(F.abs(F.col(amount))).over(span(h * HOUR, entity))
+        out[f"n_{h}h"] = counted(h * HOUR)(entity)
+        out[f"sum_{h}h"] = summed(F.abs(F.col(amount)), h * HOUR)(entity)
     return df.withColumns(out)
 
 
@@ -68,34 +117,23 @@ def long_spans(df: DataFrame, micros: int, entity: str = "cc_num", amount: str =
 
     The frame's first row is found by a RANGE frame that only takes a minimum; totals before it are taken off.
     """
-    order, frame = in_order(entity), span(micros, entity)
-    df = df.withColumn("seq", F.row_number().over(order)).withColumn("total", F.sum(F.abs(F.col(amount))).over(so_far(entity)))
-    df = df.withColumn("first_seq", F.min("seq").over(frame)).withColumn("first_total", F.first(F.struct(F.col("total"), F.abs(F.col(amount)).alias("own"))).over(frame))
-    return df.withColumn("span_count", F.col("seq") - F.col("first_seq") + 1).withColumn("span_sum", F.col("total") - F.col("first_total.total") + F.col("first_total.own")).drop("seq", "total", "first_seq", "first_total")
-
-
-def bucketed_count(df: DataFrame, micros: int, entity: str = "cc_num", time: str = "us") -> DataFrame:
-    """The count of `span` for entities too large for one task: the window is by entity and time bucket.
-
-    A bucket is as long as the window; each row also goes into the next bucket, and only rows of the bucket itself are kept.
-    """
-    own = F.floor(F.col(time) / micros)
-    rows = df.withColumn("bucket", F.explode(F.array(own, own + 1)))
-    counted = rows.withColumn("span_count", F.count(F.lit(1)).over(span(micros, entity, "bucket")))
-    return counted.where(F.col("bucket") == own).drop("bucket")
+    size = F.abs(F.col(amount))
+    df = df.withColumn("total", F.sum(size).over(so_far(entity)))
+    df = df.withColumn("first", F.min(F.struct("ord", (F.col("total") - size).alias("ahead"))).over(up_to_time(micros, entity)))
+    return df.withColumn("span_count", F.col("ord") - F.col("first.ord") + 1).withColumn("span_sum", F.col("total") - F.col("first.ahead")).drop("total", "first")
 
 
-def bucketed(df: DataFrame, micros: int, aggregates: dict[str, Column], entity: str = "cc_num", time: str = "us", tie: str = "transaction_id") -> DataFrame:
-    """Any aggregates over the last `micros` for entities too large for one task; df is not prepared, so no exchange brings an entity together.
+def bucketed(df: DataFrame, micros: int, measures: dict[str, Measure], entity: str = "cc_num", time: str = "us", tie: str = "transaction_id") -> DataFrame:
+    """Measures of windows of at most `micros` for entities too large for one task; df is not prepared, so no exchange brings an entity together.
 
     Rows are dealt by entity and time bucket. A bucket is as long as the window and also holds the rows of the one before, which only
-    the window sees. A column made of aggregates is not one itself: give these and combine them after.
+    the window sees. What is made of several measures is made after.
     """
     own = F.floor(F.col(time) / micros)
-    rows = df.where(F.col(time).isNotNull()).withColumn("bucket", F.explode(F.array(own, own + 1))).repartition(F.col(entity), F.col("bucket"))
-    seq = F.row_number().over(W.partitionBy(entity, "bucket", time).orderBy(tie)) - 1
-    rows = rows.withColumn("ord", F.col(time) * TIES + seq)
-    return rows.withColumns({name: a.over(span(micros, entity, "bucket")) for name, a in aggregates.items()}).where(F.col("bucket") == own).drop("bucket", "ord")
+    rows = df.where(F.col(time).isNotNull()).withColumn("__bucket", F.explode(F.array(own, own + 1))).repartition(F.col(entity), F.col("__bucket"))
+    rows = rows if time == "us" else rows.withColumn("us", F.col(time))
+    rows = rows.withColumn("ord", F.row_number().over(W.partitionBy(entity, "__bucket").orderBy("us", tie)))
+    return rows.withColumns({name: m(entity, "__bucket") for name, m in measures.items()}).where(F.col("__bucket") == own).drop("__bucket", "ord")
 
 
 def recency(df: DataFrame, entity: str = "cc_num", time: str = "us") -> DataFrame:
@@ -119,20 +157,16 @@ def seen_within(df: DataFrame, key: str, out: str, micros: int, entity: str = "c
     return df.withColumn(out, F.coalesce((gap <= micros).cast("int"), F.lit(0)))
 
 
-def diversity(df: DataFrame, days: tuple[int, ...] = (7, 30), key: str = "merchant_name", entity: str = "cc_num", exact: bool = True) -> DataFrame:
-    """Distinct keys in the last days, and the share of first-seen ones; exact=False estimates, for very active entities."""
+def diversity(df: DataFrame, days: tuple[int, ...] = (7, 30), key: str = "merchant_name", entity: str = "cc_num", tie: str = "transaction_id") -> DataFrame:
+    """Distinct keys in the last days, and the share of first-seen ones. Call it after other windows: it deals the rows by entity and time bucket."""
     df = first_seen(df, key, "is_new", entity)
-    out = {}
-    for d in days:
-        frame = span(d * DAY, entity)
-        out[f"uniq_{d}d"] = F.size(F.collect_set(key).over(frame)).cast("long") if exact else F.approx_count_distinct(key).over(frame)
-        out[f"new_share_{d}d"] = F.avg("is_new").over(frame)
-    return df.withColumns(out)
+    df = df.withColumns({f"new_share_{d}d": averaged("is_new", d * DAY)(entity) for d in days})
+    return sliding.over_windows(df, {f"uniq_{d}d": sliding.Distinct(key, d * DAY) for d in days}, entity, "us", tie)
 
 
 def same_counts(df: DataFrame, days: tuple[int, ...] = (7, 30), key: str = "merchant_name", entity: str = "cc_num") -> DataFrame:
     """Rows of the entity with this key in the last days, with and without this row."""
-    out = {f"same_{d}d": F.count(F.lit(1)).over(span(d * DAY, entity, key)) for d in days}
+    out = {f"same_{d}d": counted(d * DAY)(entity, key) for d in days}
     return df.withColumns(out).withColumns({f"same_prior_{d}d": F.col(f"same_{d}d") - 1 for d in days})
 
 
@@ -165,25 +199,24 @@ def usual_key(df: DataFrame, key: str = "operation_type", entity: str = "cc_num"
 
 def mean_gap(df: DataFrame, days: int = 30, entity: str = "cc_num", time: str = "us") -> DataFrame:
     """Mean seconds between the rows of the last days."""
-    frame = span(days * DAY, entity)
-    n = F.count(F.lit(1)).over(frame)
-    return df.withColumn("mean_gap_s", F.try_divide((F.max(time).over(frame) - F.min(time).over(frame)) / 1e6, n - 1))
+    n, first = counted(days * DAY)(entity), F.min(time).over(up_to_time(days * DAY, entity))
+    return df.withColumn("mean_gap_s", F.try_divide((F.col(time) - first) / 1e6, n - 1))
 
 
 def depletion(df: DataFrame, balance: str, micros: int = DAY, entity: str = "cc_num", amount: str = "amount") -> DataFrame:
     """Debits of the window over the balance at its first row."""
-    frame = span(micros, entity)
-    return df.withColumn("depletion", F.try_divide(F.sum(F.abs(F.col(amount))).over(frame), F.first(balance).over(frame)))
+    first = F.min(F.struct("ord", F.col(balance).alias("balance"))).over(up_to_time(micros, entity))
+    return df.withColumn("depletion", F.try_divide(summed(F.abs(F.col(amount)), micros)(entity), first["balance"]))
 
 
-def sudden_large(df: DataFrame, factor: float = 3.0, quiet: int = 3, entity: str = "cc_num", amount: str = "amount") -> DataFrame:
-    """1 where the amount exceeds `factor` times the 30-day median after fewer than `quiet` rows in 7 days."""
-    median = F.percentile(F.abs(F.col(amount)), F.lit(0.5)).over(span(30 * DAY, entity))
-    few = F.count(F.lit(1)).over(span(7 * DAY, entity)) < quiet
-    return df.withColumn("sudden_large", ((F.abs(F.col(amount)) > factor * median) & few).cast("int"))
+def sudden_large(df: DataFrame, factor: float = 3.0, quiet: int = 3, entity: str = "cc_num", amount: str = "amount", tie: str = "transaction_id") -> DataFrame:
+    """1 where the amount exceeds `factor` times the 30-day median after fewer than `quiet` rows in 7 days; dealt by entity and time bucket."""
+    df = df.withColumns({"__size": F.abs(F.col(amount)), "__few": counted(7 * DAY)(entity) < quiet})
+    df = sliding.over_windows(df, {"__median": sliding.Quantile("__size", 0.5, 30 * DAY)}, entity, "us", tie)
+    return df.withColumn("sudden_large", ((F.col("__size") > factor * F.col("__median")) & F.col("__few")).cast("int")).drop("__size", "__few", "__median")
 
 
 def repeats_under(df: DataFrame, limit: float, share: float = 0.9, micros: int = 7 * DAY, entity: str = "cc_num", amount: str = "amount") -> DataFrame:
     """Rows of the window just under a limit."""
     near = ((F.col(amount) < limit) & (F.col(amount) >= limit * share)).cast("long")
-    return df.withColumn("just_under", F.sum(near).over(span(micros, entity)))
+    return df.withColumn("just_under", summed(near, micros)(entity))

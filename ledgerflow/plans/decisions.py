@@ -10,7 +10,7 @@ from ..operators import rules as ru
 from ..operators import select as se
 from ..operators import stats as st
 from ..operators import windows as w
-from .views import TIES_SQL, TXN_SQL, near, near_sql, read, txn, txn_ties
+from .views import ORD_SQL, TIES_SQL, TXN_SQL, near, near_sql, over_sql, read, txn, txn_ties
 
 _DAY = 86_400_000_000
 
@@ -280,9 +280,9 @@ def metric_lift(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (rule_alerts_capped, rules_b_scores, rules_c_scores, tau_per_category, tau_global, hybrid_alert, alert_summary, alert_concentration, decision_reasons, shadow_comparison, descriptor_rules, profile_features, chrono_split, expanding_folds, time_quantile_split, session_split, hash_split, seeded_flags, cap_per_entity, top_scores, best_order, dedupe, category_thresholds, threshold_eval, minimum_support, segment_membership, contamination_guard, union_sources, set_difference, avg_precision, avg_precision_by_category, pr_curve, roc_auc, precision_at_k, cost_curve, best_threshold, ndcg, position_ctr, session_metrics, group_correlation, quality_gates, operating_cost, rule_quality, quality_checks, snapshot, validity_flags, metric_lift)}
 
-_ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
+_ORD = ORD_SQL
 _FEATURES = f"""f AS (SELECT *, abs(amount) AS a, floor(us / {_DAY}.0)::BIGINT AS day, CAST(row_number() OVER (PARTITION BY cc_num, merchant_name ORDER BY ord) = 1 AS INT) AS is_new,
- count(*) OVER (PARTITION BY cc_num ORDER BY ord RANGE BETWEEN {w.HOUR * w.TIES + 1023} PRECEDING AND CURRENT ROW) AS h1, count(*) OVER (PARTITION BY cc_num ORDER BY ord RANGE BETWEEN {w.DAY * w.TIES + 1023} PRECEDING AND CURRENT ROW) AS h24,
+ count(*) {over_sql(w.HOUR)} AS h1, count(*) {over_sql(w.DAY)} AS h24,
  avg(abs(amount)) OVER (PARTITION BY cc_num) AS mu, nullif(stddev_samp(abs(amount)) OVER (PARTITION BY cc_num), 0) AS sd FROM o)"""
 _S = f"WITH {TIES_SQL}, x AS (SELECT *, (transaction_id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM txn)"
 _H = lambda key, salt: f"(('0x' || substr(md5('{salt}:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"

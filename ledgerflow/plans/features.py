@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import scans, sliding
 from ..operators import windows as w
-from .views import TIES_SQL, TXN_SQL, near, near_sql, txn, txn_ties
+from .views import ORD_SQL, TIES_SQL, TXN_SQL, near, near_sql, over_sql, txn, txn_ties
 
-_H, _D = w.HOUR * w.TIES, w.DAY * w.TIES
-_ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
+_H, _D = w.HOUR, w.DAY
 
 
 def _sql(select: str, view: str = TIES_SQL, more: str = "") -> str:
-    return near_sql(f"WITH {view}, {_ORD}{more} {select}")
+    return near_sql(f"WITH {view}, {ORD_SQL}{more} {select}")
 
 
 def _over(units: int, size: int, keys: str = "cc_num") -> str:
-    return f"OVER (PARTITION BY {keys} ORDER BY ord RANGE BETWEEN {units * size + 1023} PRECEDING AND CURRENT ROW)"
+    return over_sql(units * size, keys)
 
 
 def _seq(keys: str = "cc_num") -> str:
@@ -43,14 +43,21 @@ def velocity_running_totals(spark, sf_dir):
 
 
 def velocity_bucketed(spark, sf_dir):
-    return w.bucketed_count(w.prepared(txn_ties(spark, sf_dir)), 30 * w.DAY).select("transaction_id", "span_count")
+    return w.bucketed(txn_ties(spark, sf_dir), 30 * w.DAY, {"span_count": w.counted(30 * w.DAY)}).select("transaction_id", "span_count")
 
 
 def features_bucketed(spark, sf_dir):
     """Count, sum, mean, deviation and distinct merchants of 30 days, without an entity in one task."""
-    size = F.abs("amount")
-    df = w.bucketed(txn_ties(spark, sf_dir), 30 * w.DAY, {"n_30d": F.count(F.lit(1)), "sum_30d": F.sum(size), "mean_30d": F.avg(size), "std_30d": F.stddev_pop(size), "merchants": F.collect_set("merchant_name")})
-    return df.select("transaction_id", "n_30d", *[near(c, 2).alias(c) for c in ("sum_30d", "mean_30d", "std_30d")], F.size("merchants").cast("long").alias("uniq_30d"))
+    size, month = F.abs("amount"), 30 * w.DAY
+    df = w.bucketed(txn_ties(spark, sf_dir), month, {"n_30d": w.counted(month), "sum_30d": w.summed(size, month), "mean_30d": w.averaged(size, month), "std_30d": w.deviation(size, month)})
+    df = sliding.over_windows(df, {"uniq_30d": sliding.Distinct("merchant_name", month)})
+    return df.select("transaction_id", "n_30d", *[near(c, 2).alias(c) for c in ("sum_30d", "mean_30d", "std_30d")], "uniq_30d")
+
+
+def sliding_quantiles(spark, sf_dir):
+    """Median and 90 % quantile of the amounts of 7 and 30 days."""
+    measures = {f"p{round(q * 100)}_{d}d": sliding.Quantile("amount", q, d * w.DAY) for d in (7, 30) for q in (0.5, 0.9)}
+    return sliding.over_windows(txn_ties(spark, sf_dir), measures).select("transaction_id", *_r(*measures))
 
 
 def txn_recency(spark, sf_dir):
@@ -79,15 +86,15 @@ def merchant_counts(spark, sf_dir):
 
 
 def category_transition(spark, sf_dir):
-    return w.transitions(w.prepared(txn_ties(spark, sf_dir))).select("transaction_id", *_r("transition_rarity"))
+    return scans.transitions(txn_ties(spark, sf_dir)).select("transaction_id", *_r("transition_rarity"))
 
 
 def merchant_rarity(spark, sf_dir):
-    return w.shares(w.prepared(txn_ties(spark, sf_dir))).select("transaction_id", *_r("key_ratio", "key_rarity"))
+    return scans.shares(txn_ties(spark, sf_dir)).select("transaction_id", *_r("key_ratio", "key_rarity"))
 
 
 def expanding_zscore(spark, sf_dir):
-    df = w.running(w.prepared(txn_ties(spark, sf_dir)))
+    df = scans.expanding(txn_ties(spark, sf_dir))
     return df.select("transaction_id", "run_cnt", near("run_sum", 2).alias("run_sum"), near("run_mean", 2).alias("run_mean"), near("run_std", 2).alias("run_std"), near("run_z", 4).alias("run_z"))
 
 
@@ -99,7 +106,7 @@ def merchant_share_long(spark, sf_dir):
     df = w.same_counts(w.prepared(txn_ties(spark, sf_dir)), (30, 90))
     df = w.mean_gap(df, 90)
     for d in (30, 90):
-        df = df.withColumn(f"share_{d}d", F.col(f"same_{d}d") / F.count(F.lit(1)).over(w.span(d * w.DAY, "cc_num")))
+        df = df.withColumn(f"share_{d}d", F.col(f"same_{d}d") / w.counted(d * w.DAY)("cc_num"))
     return df.select("transaction_id", *_r("share_30d", "share_90d", "mean_gap_s"))
 
 
@@ -116,7 +123,7 @@ def just_under_limit(spark, sf_dir):
     return w.repeats_under(w.prepared(txn_ties(spark, sf_dir)), 100_000.0, 0.8, 90 * w.DAY).select("transaction_id", "just_under")
 
 
-QUERIES = {f.__name__: f for f in (txn_velocity, velocity_ties, velocity_running_totals, velocity_bucketed, features_bucketed, txn_recency, merchant_novelty, merchant_diversity, merchant_counts, category_transition, merchant_rarity, expanding_zscore, usual_category, merchant_share_long, balance_depletion, sudden_large_debit, just_under_limit)}
+QUERIES = {f.__name__: f for f in (txn_velocity, velocity_ties, velocity_running_totals, velocity_bucketed, features_bucketed, sliding_quantiles, txn_recency, merchant_novelty, merchant_diversity, merchant_counts, category_transition, merchant_rarity, expanding_zscore, usual_category, merchant_share_long, balance_depletion, sudden_large_debit, just_under_limit)}
 
 _PAIR, _TYPE = "cc_num, merchant_name", "cc_num, operation_type"
 ORACLE_SQL = {
@@ -125,6 +132,7 @@ ORACLE_SQL = {
     "velocity_ties": _sql("SELECT transaction_id, " + ", ".join(f"count(*) {_over(h, _H)} AS n_{h}h, NEAR(sum(abs(amount)) {_over(h, _H)}, 4) AS sum_{h}h" for h in (24, 168, 720)) + " FROM o"),
     "velocity_running_totals": _sql(f"SELECT transaction_id, count(*) {_over(90, _D)} AS span_count, NEAR(sum(abs(amount)) {_over(90, _D)}, 2) AS span_sum FROM o"),
     "features_bucketed": _sql(f"SELECT transaction_id, count(*) {_over(30, _D)} AS n_30d, NEAR(sum(abs(amount)) {_over(30, _D)}, 2) AS sum_30d, NEAR(avg(abs(amount)) {_over(30, _D)}, 2) AS mean_30d, NEAR(stddev_pop(abs(amount)) {_over(30, _D)}, 2) AS std_30d, count(DISTINCT merchant_name) {_over(30, _D)} AS uniq_30d FROM o"),
+    "sliding_quantiles": _sql("SELECT transaction_id, " + ", ".join(f"NEAR(quantile_cont(amount, {q}) {_over(d, _D)}, 4) AS p{round(q * 100)}_{d}d" for d in (7, 30) for q in (0.5, 0.9)) + " FROM o"),
     "velocity_bucketed": _sql(f"SELECT transaction_id, count(*) {_over(30, _D)} AS span_count FROM o"),
     "txn_recency": _sql(f"""SELECT transaction_id, CAST(floor((us - lag(us) {_seq()}) / 1e6) AS BIGINT) AS secs_since_prev, CAST(floor((us - lag(us) {_seq(_PAIR)}) / 86400e6) AS BIGINT) AS days_since_merchant,
   CAST(floor((us - lag(us) {_seq(_TYPE)}) / 1e6) AS BIGINT) AS secs_since_category FROM o"""),

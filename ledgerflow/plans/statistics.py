@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import joins as j
 from ..operators import rules as ru
+from ..operators import scans
 from ..operators import select as se
 from ..operators import stats as st
-from .views import TIES_SQL, TXN_SQL, near, near_sql, read, txn, txn_ties
+from .views import ORD_SQL, TIES_SQL, TXN_SQL, near, near_sql, read, txn, txn_ties
 
 
 def _n(*names: str, places: int = 4) -> list:
@@ -50,7 +51,7 @@ def entity_risk(spark, sf_dir):
 def prior_entity_risk(spark, sf_dir):
     from ..operators import windows as w
 
-    return st.prior_risk(w.prepared(txn_ties(spark, sf_dir)), "cc_num", "is_fraud").select("transaction_id", *_n("prior_risk", places=6))
+    return scans.prior_risk(txn_ties(spark, sf_dir), "cc_num", "is_fraud").select("transaction_id", *_n("prior_risk", places=6))
 
 
 def customer_profile(spark, sf_dir):
@@ -289,7 +290,7 @@ QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats,
 
 _T = f"WITH {TIES_SQL}"
 _pad = lambda x: bytes(b ^ x for b in b"new key".ljust(64, b"\0")).hex()
-_ORD = "o AS (SELECT *, us * 1024 + row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS ord FROM txn)"
+_ORD = ORD_SQL
 _STATS = "NEAR(avg(amount), 2) AS mean, NEAR(coalesce(stddev_samp(amount), 0), 2) AS std, NEAR(quantile_cont(amount, 0.5), 2) AS median, NEAR(quantile_cont(amount, 0.9), 2) AS p90, NEAR(quantile_cont(amount, 0.99), 2) AS p99"
 _EDGES = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch_us(o_orderdate) AS us, concat(l_orderkey, '-', l_linenumber) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _codes = [c for c in s.CATEGORIES if c[0] == "card"]

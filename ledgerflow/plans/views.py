@@ -10,6 +10,14 @@ TXN_SQL = """txn AS (SELECT event_id AS transaction_id, user_id AS cc_num, event
  concat('fraud_Shop ', json_extract_string(props, '$.k'), ', Ltd.') AS merchant_name, CAST(event_id % 50 = 0 AS INT) AS is_fraud, epoch_us(ts) AS us FROM events)"""
 TIES_SQL = """txn AS (SELECT o_orderkey AS transaction_id, o_custkey % 100 AS cc_num, o_orderpriority AS operation_type, o_totalprice AS amount,
  concat('M', o_orderkey % 37) AS merchant_name, CAST(o_orderkey % 40 = 0 AS INT) AS is_fraud, epoch_us(o_orderdate) AS us FROM orders)"""
+#: Rows in the order of their card: ties is more than the rows of any card and time, so that ord rises by time first, whatever the table.
+ORD_SQL = """tied AS (SELECT *, row_number() OVER (PARTITION BY cc_num, us ORDER BY transaction_id) - 1 AS seq FROM txn),
+ o AS (SELECT *, us::HUGEINT * (SELECT max(seq) + 1 FROM tied) + seq AS ord, (SELECT max(seq) + 1 FROM tied)::HUGEINT AS ties FROM tied)"""
+
+
+def over_sql(micros: int, keys: str = "cc_num") -> str:
+    """The rows of the keys in the last micros, up to this row."""
+    return f"OVER (PARTITION BY {keys} ORDER BY ord RANGE BETWEEN {micros} * ties + ties - 1 PRECEDING AND CURRENT ROW)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
