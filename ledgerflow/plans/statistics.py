@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators import graphs as g
 from ..operators import joins as j
 from ..operators import rules as ru
 from ..operators import scans
@@ -177,6 +178,13 @@ def shared_device(spark, sf_dir):
     return j.shared_pairs(_device_uses(spark, sf_dir), "device", "customer")
 
 
+def device_rings(spark, sf_dir):
+    """Customers whose order lines share a part and ship date, directly or through others; every 40th order is a confirmed fraud."""
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
+    uses = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.concat_ws("/", "l_partkey", "l_shipdate").alias("device"), F.col("o_custkey").alias("customer"), (F.col("o_orderkey") % 40 == 0).cast("int").alias("fraud"))
+    return g.rings(uses, "device", "customer", "fraud")
+
+
 def cycles(spark, sf_dir):
     return j.cycles(_edges(spark, sf_dir), 20 * 86_400_000_000, id_col="line")
 
@@ -286,7 +294,7 @@ def top_anomalies(spark, sf_dir):
     return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
 
 
-QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, category_mapping, confidence_band, label_encoding, pii_redact, cosine_match)}
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, device_rings, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, category_mapping, confidence_band, label_encoding, pii_redact, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _pad = lambda x: bytes(b ^ x for b in b"new key".ljust(64, b"\0")).hex()
@@ -332,6 +340,9 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "profile_items": "SELECT c_custkey, r_regionkey, NEAR(c_acctbal * (r_regionkey + 1), 2) AS x FROM customer, region",
     "fx_asof": f"{_T}, f(d, rate) AS (VALUES {', '.join(f"(epoch_us(TIMESTAMP '{d} 00:00:00'), {r}::DOUBLE)" for d, r in _RATES)}) SELECT transaction_id, rate, NEAR(amount * rate, 2) AS eur FROM txn ASOF LEFT JOIN f ON us >= d",
     "shared_device": "WITH u AS (SELECT DISTINCT l_partkey AS d, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.c AS a, b.c AS b, count(*) AS shared FROM u a JOIN u b ON a.d = b.d AND a.c < b.c GROUP BY 1, 2",
+    "device_rings": """WITH RECURSIVE u AS (SELECT concat_ws('/', l_partkey, l_shipdate) AS d, o_custkey AS c, CAST(o_orderkey % 40 = 0 AS INT) AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ p AS (SELECT DISTINCT a.c AS a, b.c AS b FROM u a JOIN u b ON a.d = b.d AND a.c <> b.c), r(c, s) AS (SELECT DISTINCT c, c FROM u UNION SELECT p.b, r.s FROM r JOIN p ON p.a = r.c), m AS (SELECT c, min(s) AS ring FROM r GROUP BY 1),
+ k AS (SELECT ring, count(DISTINCT c) AS members, count(DISTINCT d) AS keys, CAST(sum(f) AS BIGINT) AS confirmed FROM u JOIN m USING (c) GROUP BY 1) SELECT c AS customer, ring, members, keys, confirmed FROM m JOIN k USING (ring)""",
     "cycles": f"WITH {_EDGES} SELECT a.line AS first, b.line AS second, c.line AS third FROM e a JOIN e b ON a.dst = b.src AND b.us > a.us JOIN e c ON b.dst = c.src AND c.us > b.us AND c.dst = a.src WHERE c.us - a.us <= {20 * 86_400_000_000} AND a.src <> a.dst AND b.src <> b.dst",
     "fan_in_out": f"WITH {_EDGES} SELECT coalesce(o.src, i.dst) AS node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT src, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM e GROUP BY 1) i ON o.src = i.dst",
     "semi_anti": f"{_T}, k AS (SELECT DISTINCT merchant_name FROM txn WHERE is_fraud = 1 AND merchant_name < 'M2') SELECT count(*) AS n, 'in' AS side FROM txn WHERE merchant_name IN (SELECT merchant_name FROM k) UNION ALL SELECT count(*), 'out' FROM txn WHERE merchant_name NOT IN (SELECT merchant_name FROM k)",
