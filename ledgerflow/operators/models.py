@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import staged
-from . import metrics, select
+from . import metrics, neighbours, select
 from .quantiles import quantiles
 
 
@@ -246,31 +246,25 @@ def ranked(model, df: DataFrame, columns: list[str], session: str, tie: str) ->
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(session).orderBy(F.desc("score"), tie)))
 
 
-def smote(df: DataFrame, label: str, numbers: list[str], names: list[str], id_col: str, share: float = 0.1, k: int = 5, cell: int = 100) -> DataFrame:
-    """Minority rows made between a row and one of its neighbours, until the minority has its share; numbers interpolate, names take the neighbours' mode.
+def smote(df: DataFrame, label: str, numbers: list[str], names: list[str], id_col: str, share: float = 0.1, k: int = 5) -> DataFrame:
+    """Minority rows made between a row and one of its k nearest neighbours, until the minority has its share; numbers interpolate, names take the neighbours' mode.
 
-    Neighbours come from cells of `cell` rows along a projection: rows meet those of their own and the next cells, so no row meets all,
-    however many lie on one point. Neighbours that the projection sets apart are missed.
+    Neighbours are exact, by numbers and names (`neighbours`); a null number counts as 0.
     """
-    from pyspark.sql import Window as W
-
     rare = df.where(F.col(label) == 1)
     ones, n = rare.count(), df.count()
     want = max(0.0, share * (n - ones) / (1 - share) - ones)
     if not ones or not want:
-        return df.limit(0)
-    line = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers[1:]), F.coalesce(F.col(numbers[0]).cast("double"), F.lit(0.0)))
-    own = select.global_index(rare.withColumn("__line", line), "__line", id_col, out="__at")
-    own = own.withColumn("cell", F.floor(F.col("__at") / cell)).drop("__line", "__at")
-    near = own.withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1, F.col("cell") - 1)))
-    a, b = own.alias("a"), near.alias("b")
-    gap = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in numbers[1:]), (F.col(f"a.{numbers[0]}") - F.col(f"b.{numbers[0]}")) ** 2)
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col(f"a.{id_col}") != F.col(f"b.{id_col}")))
-    pairs = pairs.select(F.col(f"a.{id_col}").alias(id_col), *[F.col(f"a.{c}").alias(c) for c in numbers], F.struct(*[F.col(f"b.{c}").alias(c) for c in [*numbers, *names]]).alias("o"), gap.alias("gap"), F.col(f"b.{id_col}").alias("oid"))
-    best = pairs.withColumn("r", F.row_number().over(W.partitionBy(id_col).orderBy("gap", "oid"))).where(F.col("r") <= k)
-    groups = best.groupBy(id_col).agg(*[F.first(c).alias(c) for c in numbers], F.sort_array(F.collect_list(F.struct("r", "o"))).alias("near"), *[F.mode(f"o.{c}", True).alias(c) for c in names])
-    each = int(-(-want // ones))
-    made = groups.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(each)))).where(F.pmod(F.xxhash64(id_col, "copy"), F.lit(10_000)) < int(10_000 * want / (ones * each)))
-    pick = F.element_at("near", (F.pmod(F.xxhash64(F.lit(1), id_col, "copy"), F.size("near")) + 1).cast("int"))["o"]
-    t = F.pmod(F.xxhash64(F.lit(2), id_col, "copy"), F.lit(1_000_003)) / 1_000_003.0
-    return made.select(*[(F.col(c) + t * (pick[c] - F.col(c))).alias(c) for c in numbers], *names, F.lit(1).alias(label))
+        return df.select(*numbers, *names, label).limit(0)
+    rare = staged(rare.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers], *names), "minority")
+    near, spots = neighbours.nearest(rare, neighbours.space(rare, numbers, names), id_col, k)
+    # a neighbour's values are its point's
+    values = spots.select("pid", F.struct(*[F.col(f"key.x{i}").alias(c) for i, c in enumerate(numbers)], *[F.when(F.col(f"key.n{i}") != "", F.expr(f"substring(key.n{i}, 2)")).alias(c) for i, c in enumerate(names)]).alias("o"))
+    each = near.select("id", F.posexplode("near").alias("r", "other")).select("id", "r", F.col("other.pid").alias("pid")).join(values, "pid")
+    lists = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r", "o"))).alias("near"), *[F.mode(f"o.{c}", True).alias(c) for c in names])
+    groups = rare.select(F.col(id_col).cast("long").alias("id"), *numbers).join(lists, "id")
+    copies = int(-(-want // ones))
+    made = groups.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).where(F.pmod(F.xxhash64("id", "copy"), F.lit(10_000)) < int(10_000 * want / (ones * copies)))
+    pick = F.element_at("near", (F.pmod(F.xxhash64(F.lit(1), "id", "copy"), F.size("near")) + 1).cast("int"))["o"]
+    t = F.pmod(F.xxhash64(F.lit(2), "id", "copy"), F.lit(1_000_003)) / 1_000_003.0
+    return made.select(*[(F.col(c) + t * (pick[c] - F.col(c))).alias(c) for c in numbers], *[F.col(c).cast(df.schema[c].dataType).alias(c) for c in names], F.lit(1).alias(label))

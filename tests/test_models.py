@@ -37,7 +37,7 @@ def test_smote_reaches_the_share(spark):
     made = models.smote(df, "y", ["a"], ["c"], "id", 0.2)
     assert 45 <= made.count() <= 105
     one_point = spark.range(3000).select("id", F.lit(1.0).alias("a"), F.lit("n").alias("c"), (F.col("id") < 600).cast("int").alias("y"))
-    assert {r["a"] for r in models.smote(one_point, "y", ["a"], ["c"], "id", 0.4, cell=20).collect()} == {1.0}
+    assert {r["a"] for r in models.smote(one_point, "y", ["a"], ["c"], "id", 0.4).collect()} == {1.0}
 
 
 def test_diversified_prefers_unlike_items(spark):
