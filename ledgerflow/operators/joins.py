@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.workspace import staged
+
 
 def left_on(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     return a.join(b, a[left] == b[right], "left")
@@ -57,11 +59,65 @@ def as_of(df: DataFrame, facts: DataFrame, time: str, fact_time: str, value: str
     return keyed.join(valid, same, "left").select(*[keyed[c] for c in df.columns], value)
 
 
-def in_range(df: DataFrame, bands: DataFrame, value: str, low: str, high: str, bucket: int = 50_000) -> DataFrame:
-    """df with the band that holds its value, ends included; both sides meet by bucket, an equality."""
-    spread = bands.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))))
-    keyed = df.withColumn("__b", F.floor(F.col(value) / bucket))
-    return keyed.join(spread, (keyed["__b"] == spread["__b"]) & F.col(value).between(F.col(low), F.col(high)), "left").drop("__b")
+#: Range tables of up to so many nodes are broadcast; values and ends lie between plus and minus REACH.
+NODES, REACH = 1 << 18, 1 << 61
+
+
+def range_nodes(bands: DataFrame, low: str, high: str, tie: list[str]) -> DataFrame:
+    """(level, prefix, best): the bands cut into dyadic intervals, at most two a level, and in best the narrowest band of each interval.
+
+    Ends are whole numbers and belong to the band; a null end is open; a band whose ends are crossed holds nothing. Intervals that
+    several bands share keep the narrowest, then the lowest, then the first by the columns of tie.
+    """
+    a, b = F.coalesce(F.col(low).cast("long"), F.lit(-REACH)), F.coalesce(F.col(high).cast("long"), F.lit(REACH))
+    best = F.struct((b - a).alias("width"), a.alias("from"), F.struct(*[F.col(c).alias(c) for c in tie]).alias("row"))
+    # of ends moved to be positive: at each level the first whole interval, and the one behind the last
+    ends = bands.where(a <= b).select(best.alias("best"), (a + REACH).alias("a"), (b + REACH + 1).alias("b"))
+    first, last = "shiftright(a + shiftleft(1L, j) - 1L, j)", "shiftright(b, j)"
+    levels = F.expr(f"filter(transform(sequence(0, 62), j -> struct(j AS level, {first} AS first, {last} AS last)), s -> s.first < s.last)")
+    left = F.transform(F.filter("levels", lambda s: s["first"] % 2 == 1), lambda s: F.struct(s["level"].alias("level"), s["first"].alias("prefix")))
+    right = F.transform(F.filter("levels", lambda s: s["last"] % 2 == 1), lambda s: F.struct(s["level"].alias("level"), (s["last"] - 1).alias("prefix")))
+    nodes = ends.withColumn("levels", levels).select("best", F.explode(F.concat(left, right)).alias("node"))
+    return nodes.groupBy(F.col("node.level").alias("level"), F.col("node.prefix").alias("prefix")).agg(F.min("best").alias("best"))
+
+
+def in_range(df: DataFrame, bands: DataFrame, value: str, low: str, high: str, small: int = NODES) -> DataFrame:
+    """df with the columns of the narrowest band that holds its value, ends included; nulls where none does.
+
+    Bands may overlap, nest and be of any width: each is at most 124 dyadic intervals, and a value meets those that hold it by equality,
+    one for each level that the bands have. A table of at most `small` intervals is broadcast, and rows of df stay where they are; beyond it a row
+    is sent once for each level, and the narrowest of what it met comes back by the row's number.
+    """
+    nodes = staged(range_nodes(bands, low, high, bands.columns), "nodes")
+    levels = sorted(r["level"] for r in nodes.select("level").distinct().collect())  # 63 at most
+    at = F.col(value).cast("long") + REACH
+    columns = [F.col("__best.row")[c].alias(c) for c in bands.columns]
+    if not levels:
+        return df.select("*", *[F.lit(None).cast(bands.schema[c].dataType).alias(c) for c in bands.columns])
+    if nodes.count() <= small:
+        out = df.withColumn("__at", at)
+        for k in levels:
+            own = nodes.where(F.col("level") == k).select(F.col("prefix").alias(f"__p{k}"), F.col("best").alias(f"__b{k}"))
+            out = out.join(F.broadcast(own), F.shiftright("__at", k) == F.col(f"__p{k}"), "left").drop(f"__p{k}")
+        best = F.least(*[f"__b{k}" for k in levels]) if len(levels) > 1 else F.col(f"__b{levels[0]}")
+        return out.withColumn("__best", best).select(*[F.col(c) for c in df.columns], *columns)
+    rows = staged(df.withColumns({"__row": F.monotonically_increasing_id(), "__at": at}), "rows")
+    asked = rows.where("__at IS NOT NULL").select("__row", "__at", F.explode(F.array(*[F.lit(k) for k in levels])).alias("level")).withColumn("prefix", F.expr("shiftright(__at, level)"))
+    met = asked.join(nodes, ["level", "prefix"]).groupBy(F.col("__row").alias("__r")).agg(F.min("best").alias("__best"))
+    return rows.join(met, F.col("__row") == F.col("__r"), "left").select(*[F.col(c) for c in df.columns], *columns)
+
+
+def ip_number(address: Column) -> Column:
+    """An IPv4 address as a whole number; null for what isn't one."""
+    parts = F.split(F.when(address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), address), r"\.").cast("array<long>")
+    return F.when(F.forall(parts, lambda x: x <= 255), F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x))
+
+
+def network_ends(network: Column) -> tuple[Column, Column]:
+    """The first and last address, as numbers, of a network as in 10.0.0.0/8."""
+    size = F.pow(F.lit(2.0), 32 - F.split(network, "/")[1].cast("int")).cast("long")
+    first = F.floor(ip_number(F.split(network, "/")[0]) / size) * size
+    return first, first + size - 1
 
 
 def by_prefix(df: DataFrame, table: DataFrame, text: Column, n: int, prefix: str) -> DataFrame:

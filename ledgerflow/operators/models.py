@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import staged
-from . import metrics, neighbours, select
+from . import metrics, neighbours, select, shapley
 from .quantiles import quantiles
 
 
@@ -167,50 +167,21 @@ def candidate_lift(df: DataFrame, base: list[str], candidates: dict[str, list[st
     return metrics.lift_table(rows, "candidate", "", ["p_half", "p_one"], needed or {"p_half": 0.01, "p_one": 0.02})
 
 
-def contributions(model: GBTClassificationModel, df: DataFrame, columns: list[str], id_col: str, top: int = 5) -> DataFrame:
-    """(id, feature, contribution): how far each step of a row's path through every tree moves the expected value, by feature.
+def contributions(model: GBTClassificationModel, df: DataFrame, columns: list[str], id_col: str, top: int | None = 5) -> DataFrame:
+    """(id, feature, contribution): the features' Shapley values in the model's margin, the largest `top` of a row; all sum to the margin less `expected_margin`.
 
-    The node tables of the trees are small and bounded by depth and rounds; rows are scored in Arrow batches.
+    The trees' leaves are bounded by depth and rounds; rows are scored in Arrow batches.
     """
     import numpy as np
     import pandas as pd
 
-    trees = []
-    for weight, tree in zip(model.treeWeights, model.trees):
-        nodes = []
-
-        def walk(node, nodes=nodes) -> int:
-            at = len(nodes)
-            nodes.append(None)
-            inner = node.subtreeDepth() > 0
-            left, right = (walk(node.leftChild()), walk(node.rightChild())) if inner else (-1, -1)
-            split = node.split() if inner else None
-            nodes[at] = (split.featureIndex() if inner else -1, split.threshold() if inner and split.getClass().getSimpleName() == "ContinuousSplit" else 0.0, left, right, node.prediction(), float(node.impurityStats().count()))
-            return at
-
-        walk(tree._call_java("rootNode"))
-        for k in range(len(nodes) - 1, -1, -1):  # children stand after their parent
-            f, cut, left, right, value, count = nodes[k]
-            if f >= 0:
-                a, b = nodes[left], nodes[right]
-                value = (a[4] * a[5] + b[4] * b[5]) / max(a[5] + b[5], 1e-12)
-                nodes[k] = (f, cut, left, right, value, count)
-        trees.append((weight, [np.array(x) for x in zip(*nodes)]))
+    trees, many = shapley.trees(model), len(columns) if top is None else top
 
     def run(batches):
         for b in batches:
             x = np.array(b["x"].tolist(), float).reshape(len(b), len(columns))
-            total = np.zeros_like(x)
-            rows = np.arange(len(x))
-            for weight, (feature, cut, left, right, value, _) in trees:
-                at = np.zeros(len(x), int)
-                while (inner := feature[at] >= 0).any():
-                    f = np.maximum(feature[at], 0).astype(int)
-                    go = np.where(x[rows, f] <= cut[at], left[at], right[at]).astype(int)
-                    nxt = np.where(inner, go, at)
-                    np.add.at(total, (rows, f), np.where(inner, weight * (value[nxt] - value[at]), 0.0))
-                    at = nxt
-            order = np.argsort(-np.abs(total), axis=1)[:, :top]
+            total = shapley.values(trees, x)
+            order = np.argsort(-np.abs(total), axis=1, kind="stable")[:, :many]
             yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), order.shape[1]), "feature": np.array(columns)[order].ravel(), "contribution": np.take_along_axis(total, order, 1).ravel()})
 
     kind = dict(df.dtypes)[id_col]
@@ -218,6 +189,11 @@ def contributions(model: GBTClassificationModel, df: DataFrame, columns: list[st
     return out.withColumnRenamed("id", id_col)
 
 
+def expected_margin(model: GBTClassificationModel) -> float:
+    """The mean margin of the rows that the trees were grown on, as their nodes' counts tell it: what a row without any feature would get."""
+    return shapley.expectation(shapley.trees(model))
+
+
 def importance(contributed: DataFrame) -> DataFrame:
     return contributed.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.count(F.lit(1)).alias("n"))
 

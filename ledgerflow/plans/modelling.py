@@ -187,7 +187,7 @@ def _payments(events):
     from .views import micros
 
     merchant = F.concat(F.lit("fraud_Shop "), F.get_json_object("props", "$.k"), F.lit(", Ltd."))
-    return events.select(F.col("event_id").alias("transaction_id"), F.col("user_id").alias("cc_num"), F.col("value").alias("amount"), merchant.alias("merchant_name"), (F.col("event_id") % 50 == 0).cast("int").alias("is_fraud"), micros("ts").alias("us")).withColumn("event_time", F.timestamp_micros("us"))
+    return events.select(F.col("event_id").alias("transaction_id"), F.col("user_id").alias("cc_num"), F.col("event_type").alias("operation_type"), F.col("value").alias("amount"), merchant.alias("merchant_name"), (F.col("event_id") % 50 == 0).cast("int").alias("is_fraud"), micros("ts").alias("us")).withColumn("event_time", F.timestamp_micros("us"))
 
 
 def _run(spark, df, mode="append"):
@@ -242,6 +242,29 @@ def stream_alert_rate(spark, sf_dir):
     return out.select(F.unix_seconds("start").alias("start"), "n", near("rate", 6).alias("rate"))
 
 
+def stream_drift(spark, sf_dir):
+    """Drift of the amounts by type and day, against the first quarter of the time; rows that a last file brings late stand apart, by day."""
+    e = read(spark, sf_dir, "events")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    path, out = scratch(spark, "events"), scratch(spark, "split")
+    quarter = (high - low) / 4
+    late = (F.col("event_id") % 50 == 7) & (F.col("ts") < F.lit(low + quarter))
+    in_time = e.where(~late)
+    for k in range(4):
+        part = in_time.where(F.col("ts") >= F.lit(low + k * quarter)) if k else in_time
+        (part.where(F.col("ts") < F.lit(low + (k + 1) * quarter)) if k < 3 else part).coalesce(1).write.mode("append").parquet(path)
+    e.where(late).coalesce(1).write.mode("append").parquet(path)
+    jobs.split_stream(_payments(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)), out, f"{out}-log").awaitTermination()
+    columns = spark.read.parquet(f"{out}/main").schema
+    baseline = jobs.drift_baseline(_payments(e.where(F.col("ts") < F.lit(low + quarter))), "amount", "operation_type")
+    main = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{out}/main")
+    found = _run(spark, jobs.drift(main, baseline, "event_time", "amount", "operation_type"))
+    day = F.floor(F.col("us") / 86_400_000_000) * 86_400
+    aside = spark.read.parquet(f"{out}/late").groupBy("operation_type", day.alias("start")).agg(F.count(F.lit(1)).alias("late"))
+    found = found.select("operation_type", F.unix_seconds("start").alias("start"), "n", near("psi", 5).alias("psi"), near("kl", 5).alias("kl"))
+    return found.join(aside, ["operation_type", "start"], "left").na.fill(0, ["late"])
+
+
 def stream_sliding_counts(spark, sf_dir):
     out = _run(spark, jobs.sliding(_payments(_events_stream(spark, sf_dir)), "event_time", "cc_num", "1 day", "12 hours"))
     return out.select("cc_num", F.unix_seconds("start").alias("start"), "n")
@@ -294,7 +317,7 @@ def lookup_versions(spark, sf_dir):
     return sinks.load_lookup(spark, path, "frequency").select("merchant_name", near("freq", 6).alias("freq"))
 
 
-QUERIES = {f.__name__: f for f in (isolation_forest, forest_grid, boosted_alerts, alert_reasons, attribution_summary, segment_models, grid_search, feature_ablation, forest_classifier, impute_medians, standardised, one_hot_merchants, hashed_merchants, rank_scaling, reconstruction_error, learned_ranking, diversified_ranking, plan_features, oversampled, stream_velocity, stream_decisions, stream_late_rows, stream_dedupe, stream_alert_rate, stream_sliding_counts, stream_append, late_rows, partitioned_append, relational_append, alert_files, lookup_versions)}
+QUERIES = {f.__name__: f for f in (isolation_forest, forest_grid, boosted_alerts, alert_reasons, attribution_summary, segment_models, grid_search, feature_ablation, forest_classifier, impute_medians, standardised, one_hot_merchants, hashed_merchants, rank_scaling, reconstruction_error, learned_ranking, diversified_ranking, plan_features, oversampled, stream_velocity, stream_decisions, stream_late_rows, stream_dedupe, stream_alert_rate, stream_drift, stream_sliding_counts, stream_append, late_rows, partitioned_append, relational_append, alert_files, lookup_versions)}
 
 _PAIR = "cc_num, merchant_name"
 _PLAN = "['Bronze', 'Silver', 'Gold', 'Platinum'][1 + p_partkey % 4]"
@@ -311,6 +334,17 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
  FROM (SELECT transaction_id, CAST(abs(amount) >= (SELECT quantile_cont(abs(amount), 0.995) FROM txn) AS INT) AS a, row_number() {_seq(_PAIR)} = 1 AS is_new, count(*) {_over(1, _D)} AS n FROM o)""", TXN_SQL),
     "stream_late_rows": f"WITH {TXN_SQL}, t AS (SELECT *, (SELECT min(us) + (max(us) - min(us)) * 3 // 4 FROM txn) AS cut FROM txn), f AS (SELECT *, transaction_id % 2 = 0 AS first FROM t WHERE transaction_id % 2 = 1 OR us <= cut), l AS (SELECT transaction_id, NOT first AND us < (SELECT max(us) FROM f WHERE first) - 3600000000 AS late FROM f) SELECT count(*) AS n, CAST(sum(transaction_id) AS BIGINT) AS ids, CASE WHEN late THEN 'late' ELSE 'main' END AS side FROM l GROUP BY 3",
     "stream_dedupe": f"WITH {TXN_SQL} SELECT transaction_id FROM txn",
+    "stream_drift": f"""WITH {TXN_SQL}, q AS (SELECT min(us) AS low, (max(us) - min(us)) / 4.0 AS quarter FROM txn), b AS (SELECT operation_type, amount FROM txn, q WHERE us < low + quarter),
+ e AS (SELECT operation_type, quantile_cont(amount, [{', '.join(f'{k / 10}' for k in range(1, 10))}]) AS edges FROM b GROUP BY 1),
+ m AS (SELECT transaction_id, operation_type, amount, us // 86400000000 * 86400 AS start, transaction_id % 50 = 7 AND us < low + quarter AS late FROM txn, q),
+ x AS (SELECT operation_type, -1 AS start, amount FROM b UNION ALL SELECT operation_type, start, amount FROM m WHERE NOT late),
+ c AS (SELECT operation_type, start, len(list_filter(edges, lambda v: v < amount)) AS bin, count(*) AS k FROM x JOIN e USING (operation_type) GROUP BY 1, 2, 3),
+ g AS (SELECT operation_type, start, sum(k) AS n FROM c GROUP BY 1, 2),
+ h AS (SELECT g.operation_type, g.start, g.n, greatest(coalesce(c.k, 0)::DOUBLE / g.n, 1e-4) AS share, i.bin FROM g CROSS JOIN (SELECT unnest(range(10)) AS bin) i LEFT JOIN c ON c.operation_type = g.operation_type AND c.start = g.start AND c.bin = i.bin),
+ l AS (SELECT operation_type, start, count(*) AS late FROM m WHERE late GROUP BY 1, 2)
+ SELECT c.operation_type, CAST(c.start AS BIGINT) AS start, CAST(any_value(c.n) AS BIGINT) AS n, NEAR(sum((c.share - b.share) * ln(c.share / b.share)), 5) AS psi, NEAR(sum(c.share * ln(c.share / b.share)), 5) AS kl, coalesce(any_value(l.late), 0) AS late
+ FROM h c JOIN h b ON b.start = -1 AND b.operation_type = c.operation_type AND b.bin = c.bin LEFT JOIN l ON l.operation_type = c.operation_type AND l.start = c.start
+ WHERE c.start >= 0 AND (c.start + 90000) * 1000000 <= (SELECT max(us) FROM txn) GROUP BY 1, 2""",
     "stream_alert_rate": f"WITH {TXN_SQL}, d AS (SELECT CAST(us // 86400000000 AS BIGINT) * 86400 AS start, is_fraud FROM txn) SELECT start, count(*) AS n, NEAR(avg(is_fraud), 6) AS rate FROM d GROUP BY 1 HAVING (start + 90000) * 1000000 <= (SELECT max(us) FROM txn)",
     "stream_sliding_counts": f"WITH {TXN_SQL}, d AS (SELECT cc_num, (us // 43200000000 - k) * 43200 AS start FROM txn, (VALUES (0), (1)) AS v(k)) SELECT cc_num, CAST(start AS BIGINT) AS start, count(*) AS n FROM d GROUP BY 1, 2 HAVING (start + 90000) * 1000000 <= (SELECT max(us) FROM txn)",
     "stream_append": f"WITH {TXN_SQL} SELECT concat('d', cc_num % 3) AS dataset, count(*) AS n, CAST(sum(transaction_id) AS BIGINT) AS ids FROM txn GROUP BY 1",

@@ -213,6 +213,20 @@ def range_risk(spark, sf_dir):
     return j.in_range(txn_ties(spark, sf_dir).withColumn("v", F.floor("amount")), bands, "v", "lo", "hi").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NETWORKS = [("0.0.0.0/1", 1), ("64.0.0.0/3", 2), ("80.0.0.0/5", 3), ("81.0.0.0/8", 4), ("81.128.0.0/9", 5), ("128.0.0.0/2", 6), ("200.0.0.0/6", 7), ("200.16.0.0/12", 8), ("81.200.7.0/24", 9)]
+
+
+def ip_risk(spark, sf_dir):
+    """The most specific network of an address, and its risk."""
+    networks = spark.createDataFrame(_NETWORKS, "network string, risk int")
+    first, last = j.network_ends(F.col("network"))
+    k = F.col("o_orderkey") * 2654435761 % 4294967296
+    byte = lambda n: F.shiftright(k, n) % 256
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(".", *[byte(n).cast("string") for n in (24, 16, 8, 0)]).alias("address"))
+    met = j.in_range(df.withColumn("number", j.ip_number(F.col("address"))), networks.select("network", "risk", first.alias("first"), last.alias("last")), "number", "first", "last")
+    return met.select("o_orderkey", "address", "network", "risk")
+
+
 def prefix_reference(spark, sf_dir):
     ref = spark.createDataFrame([("1", "one"), ("2", "two"), ("9", "nine")], "prefix string, issuer string")
     return j.by_prefix(txn_ties(spark, sf_dir), ref, F.col("transaction_id").cast("string"), 1, "prefix").groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
@@ -294,13 +308,22 @@ def top_anomalies(spark, sf_dir):
     return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
 
 
-QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, device_rings, cycles, fan_in_out, semi_anti, range_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, category_mapping, confidence_band, label_encoding, pii_redact, cosine_match)}
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, device_rings, cycles, fan_in_out, semi_anti, range_risk, ip_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, category_mapping, confidence_band, label_encoding, pii_redact, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _pad = lambda x: bytes(b ^ x for b in b"new key".ljust(64, b"\0")).hex()
 _ORD = ORD_SQL
 _STATS = "NEAR(avg(amount), 2) AS mean, NEAR(coalesce(stddev_samp(amount), 0), 2) AS std, NEAR(quantile_cont(amount, 0.5), 2) AS median, NEAR(quantile_cont(amount, 0.9), 2) AS p90, NEAR(quantile_cont(amount, 0.99), 2) AS p99"
 _EDGES = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch_us(o_orderdate) AS us, concat(l_orderkey, '-', l_linenumber) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def _ends(network: str) -> tuple[int, int]:
+    import ipaddress
+
+    own = ipaddress.ip_network(network)
+    return int(own.network_address), int(own.broadcast_address)
+
+
 _codes = [c for c in s.CATEGORIES if c[0] == "card"]
 _quote = lambda x: "'" + x.replace("'", "''") + "'"
 ORACLE_SQL = {name: near_sql(sql) for name, sql in {
@@ -347,6 +370,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "fan_in_out": f"WITH {_EDGES} SELECT coalesce(o.src, i.dst) AS node, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT src, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM e GROUP BY 1) i ON o.src = i.dst",
     "semi_anti": f"{_T}, k AS (SELECT DISTINCT merchant_name FROM txn WHERE is_fraud = 1 AND merchant_name < 'M2') SELECT count(*) AS n, 'in' AS side FROM txn WHERE merchant_name IN (SELECT merchant_name FROM k) UNION ALL SELECT count(*), 'out' FROM txn WHERE merchant_name NOT IN (SELECT merchant_name FROM k)",
     "range_risk": f"{_T} SELECT CASE WHEN floor(amount) BETWEEN 0 AND 49999 THEN 'low' WHEN floor(amount) BETWEEN 50000 AND 149999 THEN 'mid' WHEN floor(amount) BETWEEN 150000 AND 299999 THEN 'high' END AS band, count(*) AS n FROM txn GROUP BY 1",
+    "ip_risk": f"WITH n(network, risk, first, last) AS (VALUES {', '.join(f"('{c}', {r}, {_ends(c)[0]}, {_ends(c)[1]})" for c, r in _NETWORKS)}), a AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS k FROM orders), m AS (SELECT o_orderkey, k, arg_min(network, last - first) AS network, arg_min(risk, last - first) AS risk FROM a LEFT JOIN n ON k BETWEEN first AND last GROUP BY 1, 2) SELECT o_orderkey, concat_ws('.', k >> 24, (k >> 16) % 256, (k >> 8) % 256, k % 256) AS address, network, risk FROM m",
     "prefix_reference": f"{_T} SELECT CASE left(CAST(transaction_id AS VARCHAR), 1) WHEN '1' THEN 'one' WHEN '2' THEN 'two' WHEN '9' THEN 'nine' END AS issuer, count(*) AS n FROM txn GROUP BY 1",
     "canonical_type": "SELECT o_orderkey, ['debit', 'credit', 'transfer', 'other', 'payment'][1 + o_orderkey % 5] AS transaction_type FROM orders",
     "token_hash": f"{_T} SELECT transaction_id, sha256('pepper:' || CAST(cc_num AS VARCHAR)) AS token FROM txn",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import models, rules
+from ..operators import models, quantiles, rules
 from ..sources.dictionary import harmonise
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -171,6 +172,45 @@ def tumbling(payments: DataFrame, time: str, label: str, size: str = "1 hour", d
     return w.select(F.col("window.start").alias("start"), "n", "rate")
 
 
+def drift_baseline(base: DataFrame, value: str, *by: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
+    """(by, edges, shares, nulls): quantile edges of the baseline's values, the share of each bin, and the share of nulls; one row, or one for each group.
+
+    Fitted once on a table; a null group is a group.
+    """
+    cuts = {f"__e{k}": k / bins for k in range(1, bins)}
+    edges = quantiles.quantiles(base, value, cuts, *by).select(*[F.col(c).alias(f"__{c}") for c in by], F.array(*cuts).alias("edges"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    met = base.join(F.broadcast(edges), same) if by else base.crossJoin(F.broadcast(edges))  # a row a group
+    n = F.count(F.lit(1))
+    found = met.groupBy(*by, "edges").agg(*_binned(value, bins), n.alias("__rows"), F.count(value).alias("__n"))
+    shares = F.transform("bins", lambda c: F.greatest(F.coalesce(F.try_divide(c, F.col("__n")), F.lit(0.0)), F.lit(floor)))
+    return found.select(*by, "edges", shares.alias("shares"), (1 - F.col("__n") / F.col("__rows")).alias("nulls"))
+
+
+def _binned(value: str, bins: int) -> list[Column]:
+    """An array of the counts of each bin: values above k edges stand in bin k."""
+    at = F.size(F.filter("edges", lambda e: e < F.col(value)))
+    return [F.array(*[F.count(F.when(F.col(value).isNotNull() & (at == k), F.lit(1))) for k in range(bins)]).alias("bins")]
+
+
+def drift(payments: DataFrame, baseline: DataFrame, time: str, value: str, *by: str, bins: int = 10, size: str = "1 day", delay: str = "1 hour", floor: float = 1e-4) -> DataFrame:
+    """(by, start, n, nulls, psi, kl, null_gap) of each window, once it is closed: how the values' histogram departs from the baseline's.
+
+    The state of a window is its bins' counts, which every task sums for its own rows first. Groups without a baseline are left out; rows
+    behind the watermark count nowhere here, `split_stream` keeps them apart.
+    """
+    timed = payments.withWatermark(time, delay)
+    fixed = baseline.select(*[F.col(c).alias(f"__{c}") for c in by], "edges", "shares", F.col("nulls").alias("base_nulls"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    met = timed.join(F.broadcast(fixed), same) if by else timed.crossJoin(F.broadcast(fixed))  # a row a group
+    counts = met.groupBy(*by, F.window(time, size), "edges", "shares", "base_nulls").agg(*_binned(value, bins), F.count(F.lit(1)).alias("n"), F.count(value).alias("filled"))
+    now = F.transform("bins", lambda c: F.greatest(F.coalesce(F.try_divide(c, F.col("filled")), F.lit(0.0)), F.lit(floor)))
+    total = lambda f: F.aggregate(F.zip_with(F.col("now"), F.col("shares"), f), F.lit(0.0), lambda a, x: a + x)
+    nulls = 1 - F.col("filled") / F.col("n")
+    found = counts.withColumn("now", now)
+    return found.select(*by, F.col("window.start").alias("start"), "n", nulls.alias("nulls"), total(lambda c, b: (c - b) * F.log(c / b)).alias("psi"), total(lambda c, b: c * F.log(c / b)).alias("kl"), (nulls - F.col("base_nulls")).alias("null_gap"))
+
+
 def sliding(payments: DataFrame, time: str, entity: str, size: str = "1 hour", step: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
     w = payments.withWatermark(time, delay).groupBy(entity, F.window(time, size, step)).agg(F.count(F.lit(1)).alias("n"))
     return w.select(entity, F.col("window.start").alias("start"), "n")

@@ -39,3 +39,31 @@ def test_fan_in_out_all_has_all_orders(spark):
     pairs = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("o_custkey", "l_suppkey").distinct().count()
     total = found.selectExpr("sum(fan_out)", "sum(fan_in)").first()
     assert tuple(total) == (pairs, pairs)
+
+
+def test_ranges_that_nest_and_overlap(spark):
+    rng = random.Random(4)
+    bands = [(a := rng.randrange(-500, 3000), a + rng.choice([0, 1, 3, 64, 500, 2000]), f"b{k}") for k in range(80)]
+    bands += [(None, -400, "low"), (2900, None, "high"), (10, 5, "crossed"), (0, 2**40, "wide"), (-(2**60), 2**60, "all but few")]
+    values = [*range(-600, 3400, 7), 2**40, 2**40 + 1, 2**60, 2**60 + 1, -(2**61), None]
+    far = 2**61
+    want = []
+    for v in values:
+        held = [(hi2 - lo2, lo2, lo, hi, n) for lo, hi, n in bands for lo2, hi2 in [(-far if lo is None else lo, far if hi is None else hi)] if v is not None and lo2 <= v <= hi2]
+        want.append((v, min(held, key=lambda h: (h[:2], h[4]))[0] if held else None))
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    table = spark.createDataFrame(bands, "lo long, hi long, name string")
+    for small in (j.NODES, 0):
+        got = [(r["v"], None if r["name"] is None else (far if r["hi"] is None else r["hi"]) - (-far if r["lo"] is None else r["lo"])) for r in j.in_range(df, table, "v", "lo", "hi", small).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert j.in_range(df, table.limit(0), "v", "lo", "hi").where("name IS NOT NULL").count() == 0
+
+
+def test_a_range_of_any_width_is_few_intervals(spark):
+    nodes = j.range_nodes(spark.createDataFrame([(1, 2**60 - 2, "x")], "lo long, hi long, name string"), "lo", "hi", ["name"])
+    assert nodes.count() <= 124
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([("1.2.3.4",), ("255.255.255.255",), ("1.2.3",), ("1.2.3.256",), (None,)], "a string")
+    assert [r[0] for r in df.select(j.ip_number(df["a"])).collect()] == [16909060, 4294967295, None, None, None]

@@ -116,3 +116,27 @@ def test_stratified_draws_agree_and_have_their_shares(spark):
     for r in a.collect():
         counts[r["label"]] += 1
     assert 430 < counts["x"] < 570 and counts["y"] == 0 and {r["id"] for r in a.collect()} == {r["id"] for r in b.collect()}
+
+
+def test_drift_over_batches(spark, tmp_path):
+    schema = "us long, kind string, amount double"
+    day = 24 * HOUR
+    base = [(0, k, float(i)) for k in ("a", None) for i in range(100)] + [(0, "a", None)] * 25
+    batches = [[(d * day + i * HOUR // 2, k, None if i % 10 == 3 else float(i * (1 + d * d))) for d in days for k in ("a", None, "new") for i in range(40)] for days in ((10, 11), (12,), (13, 14), (15,))]
+    batches[3].append((10 * day + 5, "a", 1e9))  # its window is closed
+    df = spark.createDataFrame(base, schema)
+    fitted = jobs.drift_baseline(df, "amount", "kind", bins=5)
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("t", F.timestamp_micros("us"))
+    found = jobs.drift(stream, fitted, "t", "amount", "kind", bins=5)
+    found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = {(r["kind"], r["start"].day): r for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()}
+    assert set(rows) == {(k, d + 1) for k in ("a", None) for d in (10, 11, 12, 13, 14)}  # each once, the last day is open
+    from ledgerflow.operators import stats
+
+    for (kind, d), r in rows.items():
+        now = [x for b in batches[: 3] for x in b if x[1] == kind and x[0] // day == d - 1]
+        want = stats.psi(df.where(F.col("kind").eqNullSafe(kind)), spark.createDataFrame(now, schema), "amount", 5).first()
+        assert r["n"] == 40 and r["nulls"] == pytest.approx(0.1) and r["null_gap"] == pytest.approx(0.1 - (0.2 if kind else 0.0))
+        assert (r["psi"], r["kl"]) == (pytest.approx(want["psi"]), pytest.approx(want["kl"]))
