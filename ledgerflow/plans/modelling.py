@@ -293,11 +293,11 @@ def partitioned_append(spark, sf_dir):
 
 
 def relational_append(spark, sf_dir):
-    """A table that is created, then gains a column; read back."""
+    """A table that is created, then gains a column; a batch that comes twice counts once; read back."""
     url, driver = f"jdbc:derby:memory:ledger{scratch(spark, 'x')[-12:]};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
     df = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.substring("c_mktsegment", 1, 20).alias("segment"))
-    sinks.append_table(df.where("id % 2 = 0").drop("segment"), url, "customers", driver, "VARCHAR(100)", connections=2)
-    sinks.append_table(df.where("id % 2 = 1"), url, "customers", driver, "VARCHAR(100)", connections=2)
+    for name, rows in (("even", df.where("id % 2 = 0").drop("segment")), ("odd", df.where("id % 2 = 1")), ("odd", df.where("id % 2 = 1"))):
+        sinks.append_table(rows, url, "customers", driver, name, "VARCHAR(100)", connections=2)
     back = spark.read.format("jdbc").options(url=url, dbtable="customers", driver=driver).load()
     return back.groupBy(F.col("segment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), near(F.sum("balance"), 2).alias("balance"))
 

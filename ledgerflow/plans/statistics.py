@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import graphs as g
 from ..operators import joins as j
+from ..operators import rolling
 from ..operators import rules as ru
 from ..operators import scans
 from ..operators import select as se
 from ..operators import stats as st
+from ..sources.workspace import scratch, staged
 from .views import ORD_SQL, TIES_SQL, TXN_SQL, near, near_sql, read, txn, txn_ties
 
 
@@ -119,6 +123,19 @@ def category_refresh(spark, sf_dir):
     return st.group_stats(recent, "operation_type", "amount").select("operation_type", *_n("mean", "std", "median", "p90", "p99", places=2))
 
 
+def category_refresh_daily(spark, sf_dir):
+    """Statistics of 90 days from stored daily states: a first load, then ten days one after another, each reading its own rows only."""
+    df = txn_ties(spark, sf_dir).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    # files of ranges of days, so that a day's rows are read from one or two
+    paid = staged(df.select("operation_type", "amount", "day").repartitionByRange("day"), "payments")
+    last = paid.agg(F.max("day")).first()[0]
+    states = rolling.DailyStates(spark, scratch(spark, "states"))
+    states.load(paid.where(F.col("day").between(last - 99, last - 10)), "operation_type", "amount", "day")
+    for day in range(last - 9, last + 1):
+        state = states.refresh(paid.where(F.col("day") == day), "operation_type", "amount", day)
+    return rolling.figures(state, {"median": 0.5, "p99": 0.99}).select(F.col("key").alias("operation_type"), "n", *_n("mean", "std", places=2), *_n("median", "p99", places=0))
+
+
 def score_histogram(spark, sf_dir):
     df = txn_ties(spark, sf_dir).withColumn("score", F.col("transaction_id") * 7919 % 1000 / 1000)
     return st.histogram(df, "score", "is_fraud")
@@ -308,12 +325,14 @@ def top_anomalies(spark, sf_dir):
     return st.top_summary(df, "score", "transaction_id", "confidence", "quality").select("n", *_n("confidence", "quality", "low_share"))
 
 
-QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, device_rings, cycles, fan_in_out, semi_anti, range_risk, ip_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, category_mapping, confidence_band, label_encoding, pii_redact, cosine_match)}
+QUERIES = {f.__name__: f for f in (account_flags, top_anomalies, account_stats, robust_z, category_z, value_counts, freq_encode, chain_merchant, entity_risk, prior_entity_risk, customer_profile, column_profile, missingness, label_distribution, time_coverage, distinct_per_group, banded_amounts, daily_rate, drift_snapshot, new_merchant_share, psi, k_anonymity, category_refresh, category_refresh_daily, score_histogram, latency_summary, class_weight, correlations, target_encoding, exact_quantile, identity_join, fact_dimensions, profile_items, fx_asof, shared_device, device_rings, cycles, fan_in_out, semi_anti, range_risk, ip_risk, prefix_reference, canonical_type, token_hash, keyed_token, merchant_clean, amount_transforms, cyclic_time, holiday, category_mapping, confidence_band, label_encoding, pii_redact, cosine_match)}
 
 _T = f"WITH {TIES_SQL}"
 _pad = lambda x: bytes(b ^ x for b in b"new key".ljust(64, b"\0")).hex()
 _ORD = ORD_SQL
 _STATS = "NEAR(avg(amount), 2) AS mean, NEAR(coalesce(stddev_samp(amount), 0), 2) AS std, NEAR(quantile_cont(amount, 0.5), 2) AS median, NEAR(quantile_cont(amount, 0.9), 2) AS p90, NEAR(quantile_cont(amount, 0.99), 2) AS p99"
+_GROWTH = (1 + rolling.ACCURACY) / (1 - rolling.ACCURACY)
+_RATIO = math.log(_GROWTH)
 _EDGES = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch_us(o_orderdate) AS us, concat(l_orderkey, '-', l_linenumber) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
@@ -352,6 +371,11 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
  f AS (SELECT bin, coalesce(max(p) FILTER (t = 0), 1e-4) AS b, coalesce(max(p) FILTER (t = 1), 1e-4) AS c FROM z GROUP BY 1) SELECT NEAR(sum((c - b) * ln(c / b)), 5) AS psi, NEAR(sum(c * ln(c / b)), 5) AS kl FROM f""",
     "k_anonymity": "SELECT c_custkey, CASE WHEN n >= 12 THEN c_nationkey END AS c_nationkey, CASE WHEN n >= 12 THEN c_mktsegment END AS c_mktsegment FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer)",
     "category_refresh": f"{_T} SELECT operation_type, {_STATS} FROM txn WHERE us >= (SELECT max(us) FROM txn) - {90 * 86_400_000_000} GROUP BY 1",
+    "category_refresh_daily": f"""{_T}, r AS (SELECT operation_type, amount, CAST(ceil(ln(amount) / {_RATIO!r}::DOUBLE) AS BIGINT) AS b FROM txn WHERE us // 86400000000 > (SELECT max(us) FROM txn) // 86400000000 - 90),
+ o AS (SELECT *, row_number() OVER (PARTITION BY operation_type ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY operation_type) AS c FROM r),
+ q AS (SELECT operation_type, max(b) FILTER (i = floor((c - 1) * 0.5::DOUBLE)) AS m, max(b) FILTER (i = floor((c - 1) * 0.99::DOUBLE)) AS p FROM o GROUP BY 1)
+ SELECT operation_type, count(*) AS n, NEAR(avg(amount), 2) AS mean, NEAR(coalesce(stddev_samp(amount), 0), 2) AS std, NEAR(any_value(2 * pow({_GROWTH!r}::DOUBLE, m) / ({_GROWTH!r}::DOUBLE + 1)), 0) AS median, NEAR(any_value(2 * pow({_GROWTH!r}::DOUBLE, p) / ({_GROWTH!r}::DOUBLE + 1)), 0) AS p99
+ FROM r JOIN q USING (operation_type) GROUP BY 1""",
     "score_histogram": f"{_T} SELECT least(CAST(floor((transaction_id * 7919 % 1000) / 1000.0::DOUBLE * 50) AS BIGINT), 49) AS bin, is_fraud, count(*) AS n FROM txn GROUP BY 1, 2",
     "latency_summary": f"WITH {TXN_SQL} SELECT NEAR(avg(amount), 4) AS mean, NEAR(quantile_cont(amount, 0.95), 4) AS p95, NEAR(max(amount), 4) AS max, NEAR(avg(CAST(amount < 50 AS INT)), 4) AS under FROM txn",
     "class_weight": f"WITH {TXN_SQL} SELECT NEAR(100.0 * (count(*) - sum(is_fraud)) / greatest(sum(is_fraud), 1), 4) AS pos_weight FROM txn",

@@ -35,6 +35,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Remove what this application wrote as scratch; for long-lived sessions, once their results are written."""
-    path = scratch(spark, "x").rpartition("/")[0]
+    removed(spark, scratch(spark, "x").rpartition("/")[0])
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
