@@ -32,8 +32,8 @@ from .common import staged, table
 LEAST_DOCS = 3
 TOP = 200
 BILLION = 1_000_000_000
-#: Entries of a task's table of terms, after which it is given out; bytes of a text that are cut into terms at a time.
-HELD, SLICE = 200_000, 1 << 20
+#: Entries of a task's table of terms, after which it is given out, and how many of them at a time; bytes of a text that are cut into terms at a time.
+HELD, GIVEN, SLICE = 200_000, 20_000, 1 << 20
 #: Bytes of terms, A-Z in lower case; others are spaces. Bytes from 0x80 on belong to letters outside ASCII.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -65,7 +65,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of this task by group and term: occurrences and documents; a row without a term for each group."""
     counts, docs, held = {}, {}, 0
 
-    def known() -> pa.RecordBatch:
+    def known() -> Iterator[pa.RecordBatch]:
         langs, sources, found, n, d = [], [], [], [], []
         for group, own in counts.items():
             langs += [group[0]] * (len(own) + 1)
@@ -73,7 +73,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found += [None, *(t.decode("utf-8") for t in own)]
             n += [0, *own.values()]
             d += [0, *map(docs[group].__getitem__, own)]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "docs"])
+        whole = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "docs"])
+        for at in range(0, whole.num_rows, GIVEN):
+            yield whole.slice(at, GIVEN)
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -87,10 +89,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs[group].update(own.keys())
             held += len(counts[group]) - before
             if held >= HELD:
-                yield known()
+                yield from known()
                 counts, docs, held = {}, {}, 0
     if counts:
-        yield known()
+        yield from known()
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
