@@ -107,7 +107,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], type=kind))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, names: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, most: int, names: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Turns in order to pieces; a conversation that may go on in a task beside this one is not whole."""
     vocab, part = vocabulary(path), TaskContext.get().partitionId()
     at, held, first = 0, 0, True  # pieces given out of the conversation, its tokens held, whether it may have begun elsewhere
@@ -139,7 +139,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, names: list[str
                         if turns:
                             ready.append(piece(True))
                         at, first = 0, False
-                    elif held >= PIECE:
+                    elif held >= most:
                         ready.append(piece(False))
                 now = conv
                 ids.append(tokens[begin:end])
@@ -155,10 +155,10 @@ def _schema(kind: T.DataType, more: str) -> T.StructType:
     return T._parse_datatype_string(f"conv_id {kind.simpleString()}, {more}")
 
 
-def chat_pieces(conversations: DataFrame, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def chat_pieces(conversations: DataFrame, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most: int = PIECE) -> DataFrame:
     """(conv_id, part, piece, whole, n_turns, ids, loss_mask): a conversation's pieces in the order of (part, piece) are its tokens and their mask.
 
-    whole: this piece is all of the conversation. path: a vocabulary file of ranks.
+    whole: this piece is all of the conversation. path: a vocabulary file of ranks. A piece ends with the turn that brings it to `most` tokens.
     """
     kind = conversations.schema[conv_col].dataType
     name = lambda c: F.col(f"`{c}`")
@@ -167,7 +167,7 @@ def chat_pieces(conversations: DataFrame, path: str | None = None, conv_col: str
     dealt = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, HEAD)).sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = _schema(kind, "part int, piece int, whole boolean, n_turns long, ids array<int>, loss_mask array<tinyint>")
     names, arrow = schema.names, to_arrow_type(kind)
-    return dealt.select("conv_id", "role", "text").mapInArrow(lambda batches: _pieces(batches, path, names, arrow), schema)
+    return dealt.select("conv_id", "role", "text").mapInArrow(lambda batches: _pieces(batches, path, most, names, arrow), schema)
 
 
 def read_back(ids: np.ndarray, mask: np.ndarray, vocab: Vocabulary) -> tuple[list[tuple[str, str]], list[str], int]:
