@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.workspace import staged
@@ -34,10 +36,20 @@ def impute(df: DataFrame, fitted: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in cols}).drop(*[f"__{c}" for c in cols])
 
 
-def vocabulary(df: DataFrame, col: str, least: int = 10, most: int = 10_000) -> list[str]:
-    """The most frequent values with enough rows, a list of bounded length."""
-    rows = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), col).limit(most).collect()
-    return [r[col] for r in rows]
+def vocabulary(df: DataFrame, col: str, least: int = 10) -> DataFrame:
+    """(value, place): all values with enough rows, numbered from the most frequent on; a table, however many there are."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return staged(select.global_index(counts.withColumn("down", -F.col("n")), "down", "value", out="place").select("value", "place"), "vocabulary")
+
+
+def one_hot_frequent(df: DataFrame, col: str, words: DataFrame, out: str) -> DataFrame:
+    """A sparse vector with a place for each value of a vocabulary; other values are zeros. The vocabulary meets the rows by a join."""
+    n = words.count()
+    placed = df.join(words.withColumnsRenamed({"value": "__value", "place": "__place"}), F.col(col).cast("string") == F.col("__value"), "left")
+    known = placed.withColumn("__place", F.coalesce(F.col("__place").cast("double"), F.lit(float(n))))
+    encoder = OneHotEncoder(inputCols=["__place"], outputCols=[out], dropLast=True)  # the last place is that of other values
+    largest = df.sparkSession.createDataFrame([(float(n),)], "__place double")
+    return encoder.fit(largest).transform(known).drop("__value", "__place")
 
 
 def one_hot(df: DataFrame, col: str, words: list[str], out: str) -> DataFrame:
@@ -64,10 +76,10 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
     return df.crossJoin(F.broadcast(row)).withColumn("weight", F.when(F.col(label) == 1, F.col("__w")).otherwise(1.0)).drop("__w")
 
 
-def fit_boosted(train: DataFrame, columns: list[str], label: str, depth: int = 4, rounds: int = 20, rate: float = 0.1, held: str | None = None, tolerance: float = 0.01) -> GBTClassificationModel:
-    """Boosted trees weighed by class. held: a boolean column; its rows are not learnt from, and rounds stop where their error falls by less than the tolerance."""
+def fit_boosted(train: DataFrame, columns: list[str], label: str, depth: int = 4, rounds: int = 20, rate: float = 0.1, least: int = 1, gain: float = 0.0, held: str | None = None, tolerance: float = 0.01) -> GBTClassificationModel:
+    """Boosted trees weighed by class. least: rows of a leaf; gain: what a split must gain. held: a boolean column; its rows are not learnt from, and rounds stop where their error falls by less than the tolerance."""
     df = assemble(with_weights(train, label), columns).withColumn("label", F.col(label).cast("double"))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=rate, seed=3)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=rate, minInstancesPerNode=least, minInfoGain=gain, seed=3)
     return (trees.setParams(validationIndicatorCol=held, validationTol=tolerance) if held else trees).fit(df)
 
 
@@ -94,51 +106,57 @@ def by_segment(df: DataFrame, key: str, columns: list[str], label: str, top: int
 
     df has part (train or test); the test rows come back with p.
     """
-    df = select.segments(df, key, top)
+    df = staged(select.segments(df, key, top), "segments")
     sizes = {r["segment"]: r["n"] for r in df.where("part = 'train'").groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}  # top + 1 rows
-    out = None
-    for segment, n in sorted(sizes.items()):
+
+    def scored(segment: str) -> DataFrame:
         own = df.where(F.col("segment") == segment)
         test = own.where("part = 'test'")
-        scored = probability(fit_boosted(own.where("part = 'train'"), columns, label, **params), test, columns) if n >= least else test.withColumn("p", F.lit(0.0))
-        out = scored if out is None else out.unionByName(scored, allowMissingColumns=True)
-    return out
+        return probability(fit_boosted(own.where("part = 'train'"), columns, label, **params), test, columns) if sizes[segment] >= least else test.withColumn("p", F.lit(0.0))
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), together([partial(scored, s) for s in sorted(sizes)]))
+
+
+def together(tasks: list, at_once: int = 4) -> list:
+    """The results of functions that start Spark jobs, some at once, so that the cluster isn't idle while one fit ends."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.getActiveSession())(t)) for t in tasks]]
 
 
 def grid(df: DataFrame, columns: list[str], label: str, order: list[str], tie: str, options: dict[str, list]) -> DataFrame:
-    """(options, fold, ap): every combination over expanding time folds."""
-    folds = select.expanding_folds(df, *order)
-    rows = None
-    for values in product(*options.values()):
-        params = dict(zip(options, values))
-        for k in (0, 1):
-            own = folds.where(F.col("fold") == k)
-            scored = probability(fit_boosted(own.where("part = 'train'"), columns, label, **params), own.where("part = 'test'"), columns)
-            row = metrics.average_precision(scored, "p", label).withColumn("fold", F.lit(k)).withColumns({n: F.lit(v) for n, v in params.items()})
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+    """(options, fold, ap): every combination over expanding time folds, which are written once; fits run side by side."""
+    folds = staged(select.expanding_folds(df, *order), "folds")
+
+    def scored(params: dict, k: int) -> DataFrame:
+        own = folds.where(F.col("fold") == k)
+        found = staged(probability(fit_boosted(own.where("part = 'train'"), columns, label, **params), own.where("part = 'test'"), columns).select("p", label), "scored")
+        return metrics.average_precision(found, "p", label).withColumn("fold", F.lit(k)).withColumns({n: F.lit(v) for n, v in params.items()})
+
+    return reduce(DataFrame.unionByName, together([partial(scored, dict(zip(options, values)), k) for values in product(*options.values()) for k in (0, 1)]))
 
 
 def ablation(train: DataFrame, test: DataFrame, blocks: dict[str, list[str]], label: str, tie: str, **params) -> DataFrame:
     """(block, ap, p_at): metrics as blocks of columns are added one after another."""
-    columns, rows = [], None
-    for name, block in blocks.items():
-        columns = [*columns, *block]
-        scored = probability(fit_boosted(train, columns, label, **params), test, columns)
-        row = metrics.average_precision(scored, "p", label).crossJoin(metrics.precision_at(scored, "p", label, 0.01, tie).select(F.col("precision").alias("p_at"))).withColumn("block", F.lit(name))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    train, test, names = staged(train, "train"), staged(test, "test"), list(blocks)
+
+    def scored(k: int) -> DataFrame:
+        columns = [c for name in names[: k + 1] for c in blocks[name]]
+        found = staged(probability(fit_boosted(train, columns, label, **params), test, columns).select(tie, "p", label), "scored")
+        return metrics.average_precision(found, "p", label).crossJoin(metrics.precision_at(found, "p", label, 0.01, tie).select(F.col("precision").alias("p_at"))).withColumn("block", F.lit(names[k]))
+
+    return reduce(DataFrame.unionByName, together([partial(scored, k) for k in range(len(names))]))
 
 
 def compare_variants(train: DataFrame, test: DataFrame, variants: dict[str, list[str]], label: str, tie: str, **params) -> DataFrame:
     """(variant, features, ap, auc, p_at): a model for each list of columns, on the same rows."""
-    rows = None
-    for name, columns in variants.items():
+    train, test = staged(train, "train"), staged(test, "test")
+
+    def compared(name: str, columns: list[str]) -> DataFrame:
         scored = staged(probability(fit_boosted(train, columns, label, **params), test, columns).select(tie, "p", label), "variant")
         row = metrics.average_precision(scored, "p", label).crossJoin(metrics.roc_auc(scored, "p", label)).crossJoin(metrics.precision_at(scored, "p", label, 0.01, tie).select(F.col("precision").alias("p_at")))
-        row = row.select(F.lit(name).alias("variant"), F.lit(len(columns)).alias("features"), "ap", "auc", "p_at")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        return row.select(F.lit(name).alias("variant"), F.lit(len(columns)).alias("features"), "ap", "auc", "p_at")
+
+    return reduce(DataFrame.unionByName, together([partial(compared, *v) for v in variants.items()]))
 
 
 def selected_features(model: GBTClassificationModel, columns: list[str], share: float = 0.9) -> list[str]:

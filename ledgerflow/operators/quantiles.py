@@ -32,18 +32,19 @@ def running_total(df: DataFrame, order: str | list[str], value: str, out: str) -
     return part.withColumn("__in", inside).join(F.broadcast(before), "__p").withColumn(out, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")  # one row a range
 
 
-def at_places(narrow: DataFrame, value: str, at: dict[str, tuple[float, Callable[[Column, Column], Column]]], *keys: str) -> DataFrame:
+def at_places(narrow: DataFrame, value: str, at: dict[str, tuple[float, Callable[[Column, Column], Column]]], *keys: str, slack: float = SLACK) -> DataFrame:
     """(keys, a column of each name): the interpolated values at places of each key's ascending order; nulls have no place.
 
-    at: name -> (about the share of the rows below, place from (values, rows), counted from 0). A key without values gives nulls.
+    at: name -> (about the share of the rows below, place from (values, rows), counted from 0). A key without values gives nulls. Where a
+    bracket turns out not to hold its place, brackets eight times as wide are taken.
     """
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     v = narrow.select(*keys, F.col(value).cast("double").alias("__v"))
-    low, high = ([min(1.0, max(0.0, q + s)) for q, _ in at.values()] for s in (-SLACK, SLACK))
+    low, high = ([min(1.0, max(0.0, q + s)) for q, _ in at.values()] for s in (-slack, slack))
     sketch = lambda shares: F.percentile_approx("__v", F.array(*[F.lit(x) for x in shares]), F.lit(ACCURACY))
     found = v.groupBy(*keys).agg(F.count("__v").alias("__n"), F.count(F.lit(1)).alias("__rows"), sketch(low).alias("__low"), sketch(high).alias("__high"))
     # few values are bracketed whole
-    few = F.col("__n") * SLACK < 8
+    few = (F.col("__n") * slack < 8) | F.lit(slack >= 1)
     found = found.withColumns({"__low": F.when(few, F.array_repeat(F.lit(float("-inf")), len(at))).otherwise(F.col("__low")), "__high": F.when(few, F.array_repeat(F.lit(float("inf")), len(at))).otherwise(F.col("__high"))})
     found = staged(found.select(*[F.col(k).alias(f"__{k}") for k in keys], "__n", "__rows", "__low", "__high"), "brackets")
     joined = v.where("__v IS NOT NULL")
@@ -56,7 +57,11 @@ def at_places(narrow: DataFrame, value: str, at: dict[str, tuple[float, Callable
     starts = ranked.groupBy(*keys, "__which").agg(F.min(F.col("__upto") - F.col("__c")).alias("__start")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__which").alias("__which_s"), "__start")
     ranked = ranked.join(starts, on=_all([F.col("__which") == F.col("__which_s"), *same])).drop("__which_s", *[f"__{k}" for k in keys])
     places = {k: place(F.col("__n"), F.col("__rows")) for k, (_, place) in enumerate(at.values())}
-    return _interpolated(ranked, found, below.withColumnsRenamed({k: f"__{k}" for k in keys}), list(at), places, keys)
+    below = below.withColumnsRenamed({k: f"__{k}" for k in keys})
+    facts = _facts(found, below, places, keys)
+    if _missed(ranked, facts, len(at), keys):
+        return at_places(narrow, value, at, *keys, slack=slack * 8)
+    return _interpolated(ranked, facts, list(at), keys)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -66,12 +71,30 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _interpolated(ranked: DataFrame, found: DataFrame, below: DataFrame, names: list[str], places: dict[int, Column], keys: tuple[str, ...]) -> DataFrame:
+def _facts(found: DataFrame, below: DataFrame, places: dict[int, Column], keys: tuple[str, ...]) -> DataFrame:
+    """One row a key: values, wanted places, and the rows below each bracket."""
     own = [f"__{k}" for k in keys]
     facts = found.select(*own, "__n", *[p.alias(f"__place{k}") for k, p in places.items()])
     below = below.withColumnsRenamed({k: f"_b{k}" for k in own})
     facts = facts.join(below, on=_all([F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in own]), how="left").drop(*[f"_b{k}" for k in own]) if keys else facts.crossJoin(F.broadcast(below))
-    facts = staged(facts, "places")
+    return staged(facts, "places")
+
+
+def _missed(ranked: DataFrame, facts: DataFrame, n: int, keys: tuple[str, ...]) -> bool:
+    """Whether a wanted place lies outside its bracket."""
+    upto = F.col("__upto") - F.col("__start")
+    inside = ranked.groupBy(*[F.col(k).alias(f"_i{k}") for k in keys]).agg(*[F.coalesce(F.max(F.when(F.col("__which") == k, upto)), F.lit(0)).alias(f"__inside{k}") for k in range(n)])
+    met = facts.join(inside, on=_all([F.col(f"__{k}").eqNullSafe(F.col(f"_i{k}")) for k in keys]), how="left") if keys else facts.crossJoin(F.broadcast(inside))
+    want = [F.col(f"__place{k}") - F.col(f"__below{k}") for k in range(n)]
+    out = [(F.floor(w) < 0) | (F.ceil(w) >= F.coalesce(F.col(f"__inside{k}"), F.lit(0))) for k, w in enumerate(want)]
+    wrong = out[0]
+    for o in out[1:]:
+        wrong = F.coalesce(wrong, F.lit(False)) | F.coalesce(o, F.lit(False))
+    return not met.where((F.col("__n") > 0) & wrong).isEmpty()
+
+
+def _interpolated(ranked: DataFrame, facts: DataFrame, names: list[str], keys: tuple[str, ...]) -> DataFrame:
+    own = [f"__{k}" for k in keys]
     met = ranked.join(facts, on=_all([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])) if keys else ranked.crossJoin(F.broadcast(facts))
     upto = F.col("__upto") - F.col("__start")
     want = [F.col(f"__place{k}") - F.col(f"__below{k}") for k in range(len(names))]

@@ -86,7 +86,7 @@ def best_row(df: DataFrame, key: str, by: str, *cols: str) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row a key, the first of the order."""
+    """One row a key, the first of the order; every task keeps its own first row of a key before they meet."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("__r") == 1).drop("__r")
 
 
@@ -109,8 +109,8 @@ def legit_below(df: DataFrame, label: str, amount: str, at: float = 0.995) -> Da
 
 
 def label_index(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Codes from 0 in the order of the distinct values."""
-    codes = df.select(F.col(col).alias("__v")).distinct().withColumn(out, F.dense_rank().over(W.orderBy("__v")) - 1)  # one row a value
+    """Codes from 0 in the order of the distinct values; a null has none."""
+    codes = global_index(df.select(F.col(col).alias("__v")).where(F.col(col).isNotNull()).distinct(), "__v", out=out)  # one row a value, by ranges
     return df.join(codes, df[col] == codes["__v"], "left").drop("__v")
 
 

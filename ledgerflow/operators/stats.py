@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.workspace import staged
 from . import quantiles as qs
 
 
@@ -34,6 +35,25 @@ def by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
+def beside(df: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """df with the columns of facts, one row for each combination of keys, null a key like others.
+
+    In place of a window over whole keys: facts are aggregates, which tasks take of their own rows first, and the join splits a large key's rows.
+    """
+    named = facts.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(named, same).drop(*[f"__key_{k}" for k in keys])
+
+
+def rank_share(df: DataFrame, key: str, value: str, out: str = "rank_share") -> DataFrame:
+    """The share of the key's other rows whose value is less (null less than all), from counts of values and running totals: no key in one task."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = staged(qs.running_total(counts, [key, value], "__c", "__upto"), "ranked")
+    ends = ranked.groupBy(key).agg(F.min(F.col("__upto") - F.col("__c")).alias("__start"), F.sum("__c").alias("__n"))
+    facts = beside(ranked, ends, key).select(key, value, F.coalesce(F.try_divide(F.col("__upto") - F.col("__c") - F.col("__start"), F.col("__n") - 1), F.lit(0.0)).alias(out))
+    return beside(df, facts, key, value)
+
+
 def robust_fit(df: DataFrame, key: str, value: str, cap_at: float = 0.995) -> DataFrame:
     """(key, cap, median, iqr): the statistics are those of the capped values."""
     rows = df.where(F.col(key).isNotNull()).select(key, value)
@@ -51,9 +71,9 @@ def robust_apply(df: DataFrame, fitted: DataFrame, key: str, value: str) -> Data
 
 def category_z(df: DataFrame, key: str, value: str) -> DataFrame:
     """Distance from the mean in deviations; no deviation counts as 1."""
-    w = W.partitionBy(key)
-    std = F.coalesce(F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)), F.lit(1.0))
-    return df.withColumn("category_z", (F.abs(value) - F.avg(value).over(w)) / std)
+    std = F.coalesce(F.nullif(F.stddev_samp(value), F.lit(0.0)), F.lit(1.0))
+    facts = df.groupBy(key).agg(F.avg(value).alias("__mean"), std.alias("__std"))
+    return beside(df, facts, key).withColumn("category_z", (F.abs(value) - F.col("__mean")) / F.col("__std")).drop("__mean", "__std")
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -95,7 +115,7 @@ def time_coverage(df: DataFrame, time: str) -> DataFrame:
 
 def entity_risk(df: DataFrame, entity: str, label: str) -> DataFrame:
     """The entity's mean label over the table; it knows each row's own label."""
-    return df.withColumn("risk", F.avg(F.col(label).cast("double")).over(W.partitionBy(entity)))
+    return beside(df, df.groupBy(entity).agg(F.avg(F.col(label).cast("double")).alias("risk")), entity)
 
 
 def customer_profile(df: DataFrame, entity: str, amount: str, category: str, other: str) -> DataFrame:
@@ -153,8 +173,7 @@ def psi(base: DataFrame, now: DataFrame, value: str, bins: int = 10, floor: floa
 
 def k_anonymous(df: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     """Groups below k lose their key values."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    return df.withColumn("__n", n).withColumns({c: F.when(F.col("__n") >= k, F.col(c)) for c in keys}).drop("__n")
+    return beside(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), *keys).withColumns({c: F.when(F.col("__n") >= k, F.col(c)) for c in keys}).drop("__n")
 
 
 def class_weight(df: DataFrame, label: str, factor: float = 1.0) -> DataFrame:

@@ -84,7 +84,7 @@ def segment_models(spark, sf_dir):
 
 
 def grid_search(spark, sf_dir):
-    return models.grid(_table(spark, sf_dir).drop("idx", "part"), COLUMNS[:3], "is_fraud", ["us", "transaction_id"], "transaction_id", {"depth": [2, 3], "rate": [0.1]})
+    return models.grid(_table(spark, sf_dir).drop("idx", "part"), COLUMNS[:3], "is_fraud", ["us", "transaction_id"], "transaction_id", {"depth": [3, 4], "least": [20, 50], "gain": [1e-3, 3e-3], "rounds": [3]})
 
 
 def feature_ablation(spark, sf_dir):
@@ -115,7 +115,7 @@ def one_hot_merchants(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
     df = txn_ties(spark, sf_dir)
-    out = models.one_hot(df, "merchant_name", models.vocabulary(df, "merchant_name", 406), "hot")
+    out = models.one_hot_frequent(df, "merchant_name", models.vocabulary(df, "merchant_name", 406), "hot")
     return out.select("transaction_id", F.aggregate(vector_to_array("hot"), F.lit(0.0), lambda a, x: a + x).cast("int").alias("known"))
 
 
@@ -124,8 +124,7 @@ def hashed_merchants(spark, sf_dir):
 
 
 def rank_scaling(spark, sf_dir):
-    by = W.partitionBy("operation_type").orderBy("amount")
-    return txn_ties(spark, sf_dir).select("transaction_id", near(F.percent_rank().over(by), 6).alias("rank_share"))
+    return st.rank_share(txn_ties(spark, sf_dir), "operation_type", "amount").select("transaction_id", near("rank_share", 6).alias("rank_share"))
 
 
 def reconstruction_error(spark, sf_dir):
@@ -216,7 +215,8 @@ def stream_late_rows(spark, sf_dir):
     path, out = scratch(spark, "events"), scratch(spark, "split")
     for k in (0, 1):
         half = e.where(F.col("event_id") % 2 == k)
-        half = half if k else half.where(F.col("ts") <= F.lit(low + (high - low) * 0.75))
+        cut = F.lit(low + (high - low) * 0.75)
+        half = e.where((F.col("event_id") % 2 == 1) | (F.col("ts") > cut)) if k else half.where(F.col("ts") <= cut)
         half.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
     jobs.split_stream(_payments(stream), out, f"{out}-log").awaitTermination()
@@ -332,7 +332,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
  count(DISTINCT merchant_name) {_over(7, _D)} AS uniq_7d, count(*) {_over(30, _D, _PAIR)} AS same_30d FROM o""", TXN_SQL),
     "stream_decisions": _sql(f"""SELECT transaction_id, a AS rule_high, CAST(a = 1 AND is_new AS INT) AS rule_new_high, CAST(n >= 10 AS INT) AS rule_rapid, a * 1.5::DOUBLE + CAST(a = 1 AND is_new AS INT) + CAST(n >= 10 AS INT) * 0.5::DOUBLE AS rule_score, CAST(a * 1.5::DOUBLE + CAST(a = 1 AND is_new AS INT) + CAST(n >= 10 AS INT) * 0.5::DOUBLE >= 2 AS INT) AS alert
  FROM (SELECT transaction_id, CAST(abs(amount) >= (SELECT quantile_cont(abs(amount), 0.995) FROM txn) AS INT) AS a, row_number() {_seq(_PAIR)} = 1 AS is_new, count(*) {_over(1, _D)} AS n FROM o)""", TXN_SQL),
-    "stream_late_rows": f"WITH {TXN_SQL}, t AS (SELECT *, (SELECT min(us) + (max(us) - min(us)) * 3 // 4 FROM txn) AS cut FROM txn), f AS (SELECT *, transaction_id % 2 = 0 AS first FROM t WHERE transaction_id % 2 = 1 OR us <= cut), l AS (SELECT transaction_id, NOT first AND us < (SELECT max(us) FROM f WHERE first) - 3600000000 AS late FROM f) SELECT count(*) AS n, CAST(sum(transaction_id) AS BIGINT) AS ids, CASE WHEN late THEN 'late' ELSE 'main' END AS side FROM l GROUP BY 3",
+    "stream_late_rows": f"WITH {TXN_SQL}, t AS (SELECT *, (SELECT min(us) + (max(us) - min(us)) * 3 // 4 FROM txn) AS cut FROM txn), f AS (SELECT *, transaction_id % 2 = 0 AND us <= cut AS first FROM t), l AS (SELECT transaction_id, NOT first AND us < (SELECT max(us) FROM f WHERE first) - 3600000000 AS late FROM f) SELECT count(*) AS n, CAST(sum(transaction_id) AS BIGINT) AS ids, CASE WHEN late THEN 'late' ELSE 'main' END AS side FROM l GROUP BY 3",
     "stream_dedupe": f"WITH {TXN_SQL} SELECT transaction_id FROM txn",
     "stream_drift": f"""WITH {TXN_SQL}, q AS (SELECT min(us) AS low, (max(us) - min(us)) / 4.0 AS quarter FROM txn), b AS (SELECT operation_type, amount FROM txn, q WHERE us < low + quarter),
  e AS (SELECT operation_type, quantile_cont(amount, [{', '.join(f'{k / 10}' for k in range(1, 10))}]) AS edges FROM b GROUP BY 1),

@@ -108,7 +108,7 @@ def new_merchant_share(spark, sf_dir):
 
 def psi(spark, sf_dir):
     df = txn_ties(spark, sf_dir)
-    return st.psi(df.where("transaction_id % 2 = 0"), df.where("transaction_id % 2 = 1 AND amount > 50000"), "amount").select(*_n("psi", "kl", places=5))
+    return st.psi(df.where("transaction_id % 2 = 0"), df.where("transaction_id % 2 = 1").withColumn("amount", F.col("amount") * 1.25 + 1000), "amount").select(*_n("psi", "kl", places=5))
 
 
 def k_anonymity(spark, sf_dir):
@@ -155,7 +155,9 @@ def correlations(spark, sf_dir):
 
 
 def target_encoding(spark, sf_dir):
-    return st.target_encoding(txn_ties(spark, sf_dir).where("transaction_id % 5 <> 0"), "merchant_name", "is_fraud").select("merchant_name", *_n("encoded", places=6))
+    """Every row's merchant, encoded as four fifths of the rows know it."""
+    df = txn_ties(spark, sf_dir)
+    return j.lookup(df, st.target_encoding(df.where("transaction_id % 5 <> 0"), "merchant_name", "is_fraud"), "merchant_name", {}).select("transaction_id", *_n("encoded", places=6))
 
 
 def exact_quantile(spark, sf_dir):
@@ -366,7 +368,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "daily_rate": "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, avg(CAST(o_orderkey % 40 = 0 AS INT)) AS rate FROM orders GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n, NEAR(coalesce(rate, 0), 6) AS rate FROM s LEFT JOIN d USING (day)",
     "drift_snapshot": f"WITH {TXN_SQL} SELECT operation_type, count(*) AS n, avg(CAST(amount IS NULL AS INT)) AS null_rate, NEAR(quantile_cont(amount, 0.5), 4) AS p50, NEAR(quantile_cont(amount, 0.9), 4) AS p90, NEAR(quantile_cont(amount, 0.99), 4) AS p99 FROM txn GROUP BY 1",
     "new_merchant_share": f"{_T} SELECT NEAR(avg(CAST(transaction_id % 37 <= 4 AS INT)), 6) AS new_share FROM txn",
-    "psi": f"""{_T}, b AS (SELECT amount FROM txn WHERE transaction_id % 2 = 0), c AS (SELECT amount FROM txn WHERE transaction_id % 2 = 1 AND amount > 50000), q AS (SELECT unnest(quantile_cont(amount, [{', '.join(f'{k / 10}' for k in range(1, 10))}])) AS edge FROM b),
+    "psi": f"""{_T}, b AS (SELECT amount FROM txn WHERE transaction_id % 2 = 0), c AS (SELECT amount * 1.25::DOUBLE + 1000 AS amount FROM txn WHERE transaction_id % 2 = 1), q AS (SELECT unnest(quantile_cont(amount, [{', '.join(f'{k / 10}' for k in range(1, 10))}])) AS edge FROM b),
  x AS (SELECT amount, 0 AS t FROM b UNION ALL SELECT amount, 1 FROM c), y AS (SELECT t, (SELECT count(*) FROM q WHERE edge < amount) AS bin FROM x), z AS (SELECT t, bin, greatest(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY t), 1e-4) AS p FROM y GROUP BY 1, 2),
  f AS (SELECT bin, coalesce(max(p) FILTER (t = 0), 1e-4) AS b, coalesce(max(p) FILTER (t = 1), 1e-4) AS c FROM z GROUP BY 1) SELECT NEAR(sum((c - b) * ln(c / b)), 5) AS psi, NEAR(sum(c * ln(c / b)), 5) AS kl FROM f""",
     "k_anonymity": "SELECT c_custkey, CASE WHEN n >= 12 THEN c_nationkey END AS c_nationkey, CASE WHEN n >= 12 THEN c_mktsegment END AS c_mktsegment FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer)",
@@ -380,7 +382,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "latency_summary": f"WITH {TXN_SQL} SELECT NEAR(avg(amount), 4) AS mean, NEAR(quantile_cont(amount, 0.95), 4) AS p95, NEAR(max(amount), 4) AS max, NEAR(avg(CAST(amount < 50 AS INT)), 4) AS under FROM txn",
     "class_weight": f"WITH {TXN_SQL} SELECT NEAR(100.0 * (count(*) - sum(is_fraud)) / greatest(sum(is_fraud), 1), 4) AS pos_weight FROM txn",
     "correlations": " UNION ALL ".join(f"SELECT '{c}' AS feature, NEAR(corr({c}, l_extendedprice), 6) AS corr FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")),
-    "target_encoding": f"{_T}, t AS (SELECT * FROM txn WHERE transaction_id % 5 <> 0) SELECT merchant_name, NEAR((sum(is_fraud) + 10 * (SELECT avg(is_fraud) FROM t)) / (count(*) + 10), 6) AS encoded FROM t GROUP BY 1",
+    "target_encoding": f"{_T}, t AS (SELECT * FROM txn WHERE transaction_id % 5 <> 0), e AS (SELECT merchant_name, (sum(is_fraud) + 10 * (SELECT avg(is_fraud) FROM t)) / (count(*) + 10) AS encoded FROM t GROUP BY 1) SELECT transaction_id, NEAR(encoded, 6) AS encoded FROM txn LEFT JOIN e USING (merchant_name)",
     "exact_quantile": f"{_T} SELECT NEAR(quantile_cont(amount, 0.995), 4) AS quantile FROM txn",
     "identity_join": "SELECT o_orderstatus, count(*) AS n, count(l_partkey) AS matched FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "fact_dimensions": "SELECT r_name, count(*) AS n, NEAR(sum(c_acctbal), 2) AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1",

@@ -55,9 +55,13 @@ class History:
         first = {h: np.searchsorted(us, us - h * HOUR, "left") for h in (1, 6, 24)}
         known = np.r_[0, np.cumsum(~np.isnan(self.amounts))]
         count = known[at + 1] - known[first[24]]
-        sums = np.array([size[a : k + 1].sum() if new else 0.0 for k, (a, new) in enumerate(zip(first[24], self.new))])
-        mean = np.divide(sums, count, out=np.full(n, np.nan), where=count > 0)
-        var = np.array([((size[a : k + 1][~np.isnan(self.amounts[a : k + 1])] - mean[k]) ** 2).mean() if new and count[k] else 0.0 for k, (a, new) in enumerate(zip(first[24], self.new))])
+        # running sums, of distances from the card's mean, so that large amounts don't drown small deviations
+        centre = size.sum() / max(known[-1], 1)
+        off = np.where(np.isnan(self.amounts), 0.0, size - centre)
+        within = lambda x: (total := np.r_[0.0, np.cumsum(x)])[at + 1] - total[first[24]]
+        gap = np.divide(within(off), count, out=np.full(n, np.nan), where=count > 0)
+        mean, var = centre + gap, np.maximum(np.divide(within(off**2), count, out=np.zeros(n), where=count > 0) - np.nan_to_num(gap) ** 2, 0.0)
+        sums = np.nan_to_num(mean) * count
         uniq, same = self._merchants()
         out = {f"cnt_{h}h": at - first[h] + 1 for h in (1, 6, 24)} | {"sum_24h": np.where(count > 0, sums, np.nan), "mean_24h": mean, "std_24h": np.sqrt(var), "uniq_7d": uniq, "same_30d": same}
         return {name: x[self.new] for name, x in out.items()}
