@@ -7,12 +7,15 @@ has just ended. Running sums take n log n steps in the number of matches; pieces
 takes quadratic time or deep recursion.
 
 A protected entity is a distinct value, a term a run of three or more letters and digits in lower case. Everything is counted in
-occurrences of terms: N in all documents, n_t of the term, m_e of any terms within CONTEXT code points of the entity, n_te of the term there.
+occurrences of terms outside base spans: N in all documents, n_t of the term, m_e of any terms within CONTEXT code points of the entity, n_te of the term there.
 PMI = log2(N n_te / (n_t m_e)) is what the term tells of the entity, and IC = -log2(m_e / N) is all that there is to tell; PMI / IC is 1
-for a term that stands nowhere else. Every pair is tested, those seen once too: the log-likelihood ratio G2 must be so large that chance alone
-gives fewer than CHANCE such pairs among all entities and terms there are, and is significant at LEVEL: every context holds some rare term,
-but in a large corpus only what comes back beside the same entity is more than that. Terms with PMI / IC from GENERALISE on are generalised, from REMOVE
-on removed, in all documents, those without a base span included, where they overlap no base span.
+for a term that stands nowhere else. Terms with PMI / IC from GENERALISE on are generalised, from REMOVE on removed, in all documents, those without a
+base span included, where they overlap no base span.
+
+Every pair is tested, those seen once too: a name beside one address in one document discloses the most. But a rare ordinary word has the same
+counts. What tells them apart is how many such pairs there are: terms that stand near no entity show how often an ordinary term has a count, and so how
+many pairs of each cell (n_te, n_t, entities of about one m_e) chance alone puts side by side. Where these are more than 1 - SURE of the pairs
+that the cell holds, its terms pass for ordinary. Both numbers grow with the corpus alike, so the bar doesn't.
 
 Defined cases: a null text is an empty one without spans; rows that repeat an id, or have none, are reported each and counted each;
 an empty table gives an empty result; further columns are left out by find() and kept by sanitise(), whatever their names.
@@ -20,7 +23,6 @@ an empty table gives an empty result; further columns are left out by find() and
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +42,8 @@ _IN = r"[\p{L}\p{M}\p{N}]"
 TERM = rf"{_IN}{{3,}}+"
 CONTEXT = 80
 GENERALISE, REMOVE = 0.75, 0.9
-#: Pairs that may pass the test by chance, and the level of the test of one pair at most.
-CHANCE, LEVEL = 1.0, 0.05
+#: The share of a cell's pairs that chance must leave unexplained.
+SURE = 0.5
 #: Code points of a chunk.
 CHUNK = 256
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -163,22 +165,41 @@ def revealing_terms(marked: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = staged(each.groupBy("entity", F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_te")), "beside")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    counts = staged(texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_t")), "terms")
-    n, terms = counts.agg(F.sum("n_t"), F.count(F.lit(1))).first()
-    m = pairs.groupBy("entity").agg(F.sum("n_te").alias("m_e"))
-    least = least_g2(m.count() * terms)
-    rated = pairs.join(m, "entity").join(counts, "term").withColumn("n_te", F.least("n_te", "n_t"))
-    rated = rated.withColumn("ratio", disclosed(n)).where((F.col("ratio") >= GENERALISE) & (significance(n) >= least))
-    return staged(rated.select("entity", "term", "ratio"), "revealing")
-
-
-def least_g2(pairs: int) -> float:
-    """The quantile of the chi-squared distribution with one degree of freedom that leaves a share of CHANCE / pairs, LEVEL at most, above it."""
-    share, low, high = min(LEVEL, CHANCE / max(pairs, 1)), 0.0, 1000.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if math.erfc(math.sqrt(middle / 2)) > share else (low, middle)
-    return high
+    # terms of the entities themselves don't count
+    inside = marked.where(F.size("base") > 0).select(F.explode("base.value").alias("value")).select(F.explode(_terms(F.col("value"))).alias("term"), F.lit(-1).alias("one"))
+    every = texts.select(F.explode(_terms(F.col("text"))).alias("term"), F.lit(1).alias("one")).unionByName(inside)
+    counts = staged(every.groupBy(F.lower("term").alias("term")).agg(F.sum("one").alias("n_t")).where("n_t > 0"), "terms")
+    n = counts.agg(F.sum("n_t")).first()[0]
+    if n is None:  # whatever stands beside an entity stands in another
+        return pairs.select("entity", "term", F.lit(0.0).alias("ratio")).limit(0)
+    m = staged(pairs.groupBy("entity").agg(F.sum("n_te").alias("m_e")), "entities")
+    rated = staged(pairs.join(m, "entity").join(counts, "term").withColumns({"n_te": F.least("n_te", "n_t"), "about": _about()}), "pairs")
+    cells = expected_by_chance(rated, m, counts, n).where(F.col("expected") <= (1 - SURE) * F.col("seen"))
+    told = rated.withColumn("ratio", disclosed(n)).where(F.col("ratio") >= GENERALISE)
+    return staged(told.join(cells, ["n_te", "n_t", "about"], "left_semi").select("entity", "term", "ratio"), "revealing")
+
+
+def _about() -> Column:
+    return F.floor(F.log2(F.col("m_e").cast("double"))).cast("int")
+
+
+def expected_by_chance(rated: DataFrame, m: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """(n_te, n_t, about, seen, expected): the pairs that a cell holds, and those that it would hold if its terms stood anywhere.
+
+    q is an entity's share of the occurrences outside contexts, were its context one of them. Of terms with n_t occurrences that stand in no context
+    there are Z; then Z n_t q pairs of one occurrence are expected, and at most Z 2^(n_t H(n_te / n_t)) q^n_te of more (H: the binary entropy,
+    which bounds the number of ways).
+    """
+    away = counts.groupBy("n_t").agg(F.count(F.lit(1)).alias("all")).join(rated.select("term", "n_t").distinct().groupBy("n_t").agg(F.count(F.lit(1)).alias("near")), "n_t")
+    away = away.select("n_t", (F.col("all") - F.col("near")).cast("double").alias("z"))  # a row a count
+    outside = F.greatest(F.lit(float(n)) - F.sum("m_e"), F.lit(1.0))
+    q = m.crossJoin(F.broadcast(m.agg(outside.alias("outside")))).withColumns({"q": F.col("m_e") / F.col("outside"), "about": _about()})  # one row
+    groups = q.groupBy("about").agg(F.sum("q").alias("q_sum"), F.max("q").alias("q_max"), F.count(F.lit(1)).alias("entities"))  # a row a power of two
+    cells = rated.groupBy("n_te", "n_t", "about").agg(F.count(F.lit(1)).alias("seen")).join(away, "n_t").join(groups, "about")
+    a, b = F.col("n_te").cast("double"), F.col("n_t").cast("double")
+    part = lambda x: F.when(x > 0, x * F.log2(b / x)).otherwise(0.0)
+    several = F.col("z") * F.col("entities") * F.pow(F.lit(2.0), F.least(part(a) + part(b - a) + a * F.log2("q_max"), F.lit(500.0)))
+    return cells.select("n_te", "n_t", "about", "seen", F.when(F.col("n_te") == 1, F.col("z") * b * F.col("q_sum")).otherwise(several).alias("expected"))
 
 
 def disclosed(n: int) -> Column:
@@ -187,16 +208,6 @@ def disclosed(n: int) -> Column:
     return F.coalesce(F.try_divide(pmi, F.log2(F.lit(float(n)) / F.col("m_e"))), F.lit(0.0))
 
 
-def significance(n: int) -> Column:
-    """The log-likelihood ratio G2 of the four counts that n_te, n_t, m_e and n make."""
-    te, t, e, all_ = F.col("n_te"), F.col("n_t"), F.col("m_e"), F.lit(float(n))
-
-    def part(seen: Column, row: Column, col: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * all_ / (row * col))).otherwise(0.0)
-
-    return 2 * (part(te, t, e) + part(t - te, t, all_ - e) + part(e - te, all_ - t, e) + part(all_ - t - e + te, all_ - t, all_ - e))
-
-
 def _apart(terms: Column, base: Column) -> Column:
     """The spans of terms that overlap no base span; both in order of start, terms without overlaps."""
     as_rows = lambda spans, is_term: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_term).alias("term"), s["end"].alias("end"), s["value"].alias("value")))

@@ -415,7 +415,7 @@ def test_sieve_loses_no_key(spark):
 
 
 def terms_brute(texts):
-    """The added spans of each text by counting: (PMI / IC, G2) of every pair of entity and term."""
+    """The added spans of each text by counting: PMI / IC of every pair of entity and term, and how many pairs of its cell chance explains."""
     token = re.compile(r"[^\W_]{3,}")
     entities = {}
     for text in texts:
@@ -424,16 +424,29 @@ def terms_brute(texts):
             near = [t for t in re.finditer(r"[^\W_]+", text) if len(t.group()) >= 3 and (max(0, m.start() - 80) <= t.start() and t.end() <= m.start() or m.end() <= t.start() and t.end() <= m.end() + 80)]
             entities.setdefault(m.group().lower(), Counter()).update(t.group().lower() for t in near)
     counts = Counter(t.group().lower() for text in texts for t in token.finditer(text))
+    for text in texts:
+        for span in filter(None, base(text).split(",")):
+            counts.subtract(t.group().lower() for t in token.finditer(text[slice(*map(int, span.split(":")[1:]))]))
+    counts = Counter({t: k for t, k in counts.items() if k > 0})
     n, best = sum(counts.values()), {}
-    share = min(0.05, 1 / (len(entities) * len(counts)))
-    for beside in entities.values():
-        m_e = sum(beside.values())
+    entities = {e: Counter({t: k for t, k in beside.items() if counts[t]}) for e, beside in entities.items()}
+    m = {e: sum(beside.values()) for e, beside in entities.items()}
+    about = lambda e: int(math.log2(m[e]))
+    outside = max(n - sum(m.values()), 1)
+    seen = Counter((min(k, counts[t]), counts[t], about(e)) for e, beside in entities.items() for t, k in beside.items())
+    away = Counter(counts.values())
+    away.subtract(counts[t] for t in {t for beside in entities.values() for t in beside})
+
+    def expected(a, b, g):
+        q = [m[e] / outside for e in m if m[e] and about(e) == g]
+        h = sum(x * math.log2(b / x) for x in (a, b - a) if x)
+        return away[b] * b * sum(q) if a == 1 else away[b] * len(q) * 2 ** (h + a * math.log2(max(q)))
+
+    for e, beside in entities.items():
         for term, n_te in beside.items():
-            n_te, n_t = min(n_te, counts[term]), counts[term]
-            cells = [(n_te, n_t, m_e), (n_t - n_te, n_t, n - m_e), (m_e - n_te, n - n_t, m_e), (n - n_t - m_e + n_te, n - n_t, n - m_e)]
-            g2 = 2 * sum(x * np.log(x * n / (r * c)) for x, r, c in cells if x > 0)
-            ratio = np.log2(n * n_te / (n_t * m_e)) / np.log2(n / m_e) if n > m_e else 0
-            if ratio >= 0.75 and math.erfc(math.sqrt(max(g2, 0) / 2)) <= share:
+            cell = (min(n_te, counts[term]), counts[term], about(e))
+            ratio = np.log2(n * cell[0] / (cell[1] * m[e])) / np.log2(n / m[e]) if n > m[e] else 0
+            if ratio >= 0.75 and expected(*cell) <= 0.5 * seen[cell]:
                 best[term] = max(best.get(term, 0), ratio)
     out = []
     for text in texts:
@@ -463,6 +476,36 @@ def test_pii_terms_against_counting(spark):
     assert any(w and not base(t) for w, t in zip(want, texts)) and rows[len(texts) - 1]
 
 
+def _name(k):
+    return "".join(chr(97 + k // 17**i % 17) for i in range(4)).capitalize() + "son"
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_names_beside_one_address_go_whatever_the_tables_size(spark, n):
+    """Each name stands beside one address and nowhere else; the other words are ordinary."""
+    rng = random.Random(n)
+    words = ["please", "write", "about", "the", "order", "and", "invoice", "today", "with", "thanks"]
+    texts = [" ".join([*rng.choices(words, k=4), _name(k), "at", f"user{k}@mail{k}.example", *rng.choices(words, k=4)]) for k in range(n)]
+    texts += [" ".join(rng.choices(words, k=30)) for _ in range(n)]
+    rows = {r["doc_id"]: r["added"] for r in pii.find(docs(spark, [*enumerate(texts)])).collect()}
+    found = [[texts[k][s["start"] : s["end"]] for s in rows[k]] for k in range(2 * n)]
+    assert all(found[k] == [_name(k)] for k in range(n)) and not any(found[n:])
+
+
+def test_rare_ordinary_words_beside_addresses_mostly_stay(spark):
+    """A long-tailed vocabulary stands everywhere; of its rare words some stand beside addresses by chance."""
+    rng = np.random.default_rng(8)
+    draw = lambda k: [f"w{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}{chr(97 + x // 676 % 26)}{chr(97 + x // 17576 % 26)}" for x in np.minimum(rng.zipf(1.25, k), 450_000).tolist()]
+    texts = [" ".join([*draw(60), f"user{k}@mail{k}.example", *draw(60)] if k % 4 == 0 else draw(120)) for k in range(1200)]
+    # a person who stands beside one address again and again
+    texts += [" ".join([*draw(20), "Zorrothefox", "z@fox.example", *draw(20)]) for _ in range(4)]
+    rows = {r["doc_id"]: r["added"] for r in pii.find(docs(spark, [*enumerate(texts)])).collect()}
+    words = sum(len(t.split()) for t in texts[::4])
+    ordinary = [s for k, added in rows.items() for s in added if texts[k][s["start"] : s["end"]] != "Zorrothefox"]
+    assert len(ordinary) < 0.01 * words and sum(k % 4 > 0 for k, added in rows.items() for s in added if k < 1200) < 20
+    assert all(any(texts[k][s["start"] : s["end"]] == "Zorrothefox" for s in rows[k]) for k in range(1200, 1204))
+
+
 def test_pii_of_many_matches_is_not_quadratic(spark):
     import time
 
