@@ -1,18 +1,17 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Token counts add up by source (a partial aggregate, so a source that holds most rows costs no more than the rest);
-targets come from the weights; each document is then taken floor(rate) times and once more if a hash of its id falls
-below the rate's fraction, so a lost task that runs again takes the same copies.
+targets come from the weights; each document is then taken floor(rate) times and once more if its draw, a hash of its id and text, falls
+below a bound, so a lost task that runs again takes the same copies. The bound stands about where the rate's fraction does: of all bounds it is the one
+for which the words of the source's documents below it come nearest to what is left of the target. Each document is below it with about the
+probability of the fraction, and what a source takes is off its target by half a document at most.
 
 Targets: the sources share `share` of all tokens by weight; no target exceeds `cap` times its source's size. In the
 order of cap / weight, the sources that reach their cap come first; the level is what is left over for each unit of
-weight. 
-How near: each draw is independent, so what a source takes differs from its target by a deviation of sqrt(f (1 - f) sum of squared
-sizes), f the fraction of its rate; `taken_deviation` gives it. A source of many documents is near its target, one of few long documents
-may miss it by as much as one of these.
+weight.
 
 Defined cases: a null text has size 0 and is taken like any other; rows without a source form one source, the last;
-rows that repeat an id are taken alike; a source of size 0 has target 0 and none of its rows is taken; an empty table
+rows that repeat an id and a text are taken alike; a source of size 0 has target 0 and none of its rows is taken; an empty table
 gives an empty result; further columns are kept as they are.
 """
 
@@ -52,38 +51,61 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return steps.crossJoin(F.broadcast(levels)).select("source", "source_size", target.alias("target"))
 
 
-def copies_of(id_col: Column, rate: Column, seed: str = SEED) -> Column:
-    """floor(rate), and one more with the probability of the fraction, by a hash of the id."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+def draw_of(id_col: Column, text: Column, seed: str = SEED) -> Column:
+    """48 bits of a hash of the id and the text."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(text))), 1, 12), 16, 10).cast("long")
 
 
-def _with_copies(docs: DataFrame, sizes: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    rated = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(sizes["*"], targets["source_size"], targets["target"])
-    return rated.withColumn("copies", copies_of(F.col("doc_id"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)), seed))
+def bounds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, source_size, target, times, upto): documents are taken `times`, and once more where their draw is at most upto (-1: none).
+
+    sizes: (source, size, draw). Words below each draw are running sums over ranges, so no source is in one task.
+    """
+    words = sizes.groupBy("source", "draw").agg(F.sum("size").alias("words"))
+    summed = staged(running_sums(words, [F.col("source").asc_nulls_last(), F.col("draw")], {"ahead": "words"}), "draws")
+    times = F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+    facts = targets.withColumn("times", times).withColumn("left", F.greatest(F.col("target") - F.col("times") * F.col("source_size"), F.lit(0.0)))
+    starts = summed.groupBy(F.col("source").alias("own")).agg(F.min("ahead").alias("start"))
+    facts = staged(facts.join(starts, F.col("source").eqNullSafe(F.col("own"))).drop("own"), "facts")
+    off = F.abs(F.col("ahead") + F.col("words") - F.col("start") - F.col("left"))
+    met = summed.withColumnRenamed("source", "own").join(facts.select("source", "start", "left"), F.col("own").eqNullSafe(F.col("source")))
+    best = met.groupBy("own").agg(F.min(F.struct(off.alias("off"), "draw")).alias("best"))
+    found = facts.join(best, F.col("source").eqNullSafe(F.col("own")))
+    return found.select("source", "source_size", "target", "times", F.when(F.col("best.off") < F.col("left"), F.col("best.draw")).otherwise(F.lit(-1).cast("long")).alias("upto"))
+
+
+def _sized(docs: DataFrame, id_col: str, seed: str) -> DataFrame:
+    """(doc_id, source, size, draw) per row of docs, written once."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), "source", word_count(whole_text()).alias("size"), draw_of(F.col(f"`{id_col}`"), whole_text(), seed).alias("draw"))
+    return staged(rows, "sizes")
+
+
+def _copies() -> Column:
+    return (F.col("times") + (F.col("draw") <= F.col("upto")).cast("int")).cast("int")
 
 
 def mix_table(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) per row of docs."""
-    sizes = staged(docs.select(F.col(id_col).alias("doc_id"), "source", word_count(whole_text()).alias("size")), "sizes")
-    return _with_copies(docs, sizes, source_targets(sizes), seed)
+    sizes = _sized(docs, id_col, seed)
+    known = bounds(sizes, source_targets(sizes)).withColumnRenamed("source", "own")
+    met = sizes.join(known, F.col("source").eqNullSafe(F.col("own")))
+    return met.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; the columns of docs, whatever their names.
 
-    The rows carry their whole text past no shuffle: only the targets, one row a source, meet them.
+    The rows carry their whole text past no shuffle: only the bounds, one row a source, meet them.
     """
-    sizes = docs.select("source", word_count(whole_text()).alias("size"))
-    targets = staged(source_targets(sizes).select("source", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")), "targets")
-    rows = packed(docs, F.col("source").alias("own"), F.col(id_col).alias("id"))
-    out = rows.join(targets, F.col("own").eqNullSafe(F.col("source")))
-    copies = F.explode(F.array_repeat(F.lit(0), copies_of(F.col("id"), F.col("rate"), seed)))
-    return out.select("row", copies.alias("copy")).select("row.*")
+    sizes = _sized(docs, id_col, seed)
+    known = staged(bounds(sizes, source_targets(sizes)).select("source", "times", "upto"), "bounds")
+    rows = packed(docs, F.col("source").alias("own"), draw_of(F.col(f"`{id_col}`"), whole_text(), seed).alias("draw"))
+    out = rows.join(known, F.col("own").eqNullSafe(F.col("source")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), _copies())).alias("copy")).select("row.*")
 
 
 def taken_deviation(mixed: DataFrame) -> DataFrame:
-    """(source, source_size, target, taken, deviation) from mix_table()'s rows: the standard deviation of what the draws take."""
+    """(source, source_size, target, taken, deviation) from mix_table()'s rows: the standard deviation that independent draws would have."""
     rate = F.coalesce(F.try_divide(F.first("target"), F.first("source_size")), F.lit(0.0))
     f = rate - F.floor(rate)
     squares = F.sum((F.col("size") * F.col("size")).cast("double"))
@@ -96,14 +118,17 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  ('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS draw FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, source_size * 2.0::DOUBLE AS bound FROM s),
 r AS (SELECT *, bound / weight AS ratio, (SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE AS total FROM w),
 l AS (SELECT *, (total - coalesce(sum(bound) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM r),
 m AS (SELECT max(lv) AS level FROM l WHERE lv <= ratio),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL OR ratio <= level THEN bound ELSE level * weight END AS target FROM l, m),
-u AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0.0::DOUBLE) AS rate,
-  ('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u
+u AS (SELECT d.doc_id, d.size, d.draw, t.source, t.source_size, t.target, floor(coalesce(t.target / nullif(t.source_size, 0), 0.0::DOUBLE)) AS times FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT source, draw, sum(size) AS words, any_value(greatest(target - times * source_size, 0.0::DOUBLE)) AS rest FROM u GROUP BY 1, 2),
+h AS (SELECT *, abs(sum(words) OVER (PARTITION BY source ORDER BY draw) - rest) AS off FROM g),
+b AS (SELECT source, CASE WHEN min(off) < any_value(rest) THEN first(draw ORDER BY off, draw) ELSE -1 END AS upto FROM h GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN draw <= upto THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source
 """

@@ -600,6 +600,32 @@ def test_mixing_is_as_near_as_its_draws(spark):
     assert all(abs(r["taken"] - r["target"]) < 1e-6 for r in rows if not r["deviation"])
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_sources_come_within_a_document_of_their_targets(spark, folder):
+    rows = mixing.mix_table(spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")).groupBy("source").agg(
+        F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("size").alias("longest"), F.max("copies").alias("most"), F.first("source_size").alias("size")
+    )
+    rows = rows.collect()
+    assert all(abs(r["taken"] - r["target"]) <= r["longest"] / 2 + 1e-6 and r["most"] <= 2 for r in rows)
+    print(folder, sorted(abs(r["taken"] / r["target"] - 1) for r in rows if r["target"])[::-1][:3])
+    assert np.median([abs(r["taken"] / r["target"] - 1) for r in rows if r["target"]]) < 0.02
+
+
+def test_a_document_is_taken_again_with_the_fraction_of_its_rate(spark):
+    """Over many seeds a document is taken about as often as its rate says."""
+    rows = spark.createDataFrame([(k, "w " * (1 + k % 5), None, "big" if k % 4 else "small", None, "x", 5, None) for k in range(200)], DOCS)
+    taken = Counter()
+    for seed in range(25):
+        table = mixing.mix_table(rows, seed=f"s{seed}").collect()
+        for r in table:
+            taken[r["doc_id"]] += r["copies"]
+    rate = {r["doc_id"]: r["target"] / r["source_size"] for r in table}
+    for source in ("big", "small"):
+        own = [r["doc_id"] for r in table if r["source"] == source]
+        assert np.mean([taken[k] / 25 for k in own]) == pytest.approx(rate[own[0]], abs=0.05)
+        assert max(abs(taken[k] / 25 - rate[k]) for k in own) < 0.45
+
+
 def test_targets_of_many_sources(spark):
     sizes = spark.range(3000).select(F.format_string("s%04d", "id").alias("source"), (F.col("id") % 97 + 1).alias("size"))
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
