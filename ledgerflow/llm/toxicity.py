@@ -4,13 +4,17 @@ Training takes a sample of labelled documents of bounded size, near copies left
 ordinary documents. The toxic documents are dealt over FOLDS parts, and the library trains a small toxic dictionary on each part's windows that
 the ordinary dictionary compresses worst: what ordinary text doesn't have stands there. A text is cut at white space into
 windows of about WINDOW bytes; what a window saves with a toxic dictionary at hand beside the ordinary one, over the ordinary one alone, is its gain.
+In ROUNDS more rounds each part's dictionary is trained on the windows that gain most from the other parts' dictionaries: what toxic documents share stays,
+and what one of them happens to hold goes.
 Fragments of prose that a toxic dictionary keeps by chance differ from part to part, toxic words don't, so a window counts by the mean
 gain of all toxic dictionaries and by the second smallest. A logistic curve over the largest, the two largest, the summed
-and the mean of both is calibrated on the sample; score 0.5 is the threshold.
+and the mean of both is calibrated on documents that the dictionaries haven't seen: toxic ones without their own part's dictionary, ordinary ones of a
+part that the ordinary dictionary leaves out. The threshold, score 0.5, stands where the share of the caught less FALSE_ALARM times that of the
+false alarms is largest among them.
 
 Defined cases: a null text is an empty one and has no window; documents that labels mark both ways, or not at all, are not learnt
-from; samples too small for the library's trainer are dictionaries as they are; without labels of both kinds all scores are 0; rows that
-repeat an id are scored each; an empty table gives an empty result; score columns take the place of columns of these names.
+from; a row without an id is held out, as the hash of an empty one is; samples too small for the library's trainer are dictionaries as they are; without labels of both kinds all scores are 0; rows that
+repeat an id are scored each; a text of any length is scored whole, its windows a few dozen bytes each; an empty table gives an empty result; score columns take the place of columns of these names.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 3000, 9000, 100_000
 #: Pieces of ordinary documents that the ordinary dictionary is trained on at most, and their code points.
 PIECES, PIECE = 6000, 2048
 #: Bytes of the ordinary dictionary and of a toxic one at most, and the share of its samples' bytes that a dictionary holds at most.
-ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SHARE, TOXIC_SHARE = 262_144, 4096, 4, 9
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SHARE, TOXIC_SHARE = 262_144, 4096, 4, 4
 #: Toxic dictionaries; windows that each toxic document gives to one at least, and windows of all together at least.
-FOLDS, WORST, WORST_IN_ALL = 5, 3, 5000
+FOLDS, WORST, WORST_IN_ALL, ROUNDS = 5, 3, 10_000, 2
+#: What a window must gain to be trained on again, and what a share of false alarms costs against one of the caught.
+AGAIN, FALSE_ALARM = 1.0, 5.0
 #: The trainer's segment and match sizes for toxic and ordinary text.
-SEGMENT, ORDINARY_SEGMENT, MATCH = 24, 32, 8
+SEGMENT, ORDINARY_SEGMENT, MATCH = 32, 32, 8
 WINDOW, LEVEL, LEAST_GAIN = 32, 3, 2
 THRESHOLD = 0.5
 #: Texts whose windows are compressed together.
@@ -53,7 +59,7 @@ class Model:
 
 
 def held_out(id_col: Column) -> Column:
-    return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0
+    return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
 def _trained(samples: list[bytes], size: int, share: int, segment: int) -> bytes:
@@ -96,30 +102,63 @@ def worst_windows(text: str, ordinary: bytes, n: int) -> list[bytes]:
     return sorted(windows(text), key=lambda w: -len(plain(w)) / max(len(w), MATCH))[:n]
 
 
-def gains(texts: pa.Array, ordinary: bytes, toxic: tuple[bytes, ...]) -> np.ndarray:
+def _saved(cut: list[list[bytes]], ordinary: bytes, toxic: tuple[bytes, ...]) -> tuple[dict[bytes, int], np.ndarray]:
+    """The different windows with their places, and what each saves with each toxic dictionary; one dictionary is used for all windows before the next."""
+    plain, *others = _compressors(ordinary, toxic)
+    place = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+    sizes = [np.fromiter(map(len, map(compress, place)), np.int64, len(place)) for compress in (plain, *others)]
+    return place, sizes[0][:, None] - np.stack(sizes[1:], axis=1)
+
+
+def _kinds(saved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the mean gain and the second smallest."""
+    return saved.mean(axis=1), np.sort(saved, axis=1)[:, min(1, saved.shape[1] - 1)].astype(float)
+
+
+def gains(texts: pa.Array, ordinary: bytes, toxic: tuple[bytes, ...], without: list[int] | None = None) -> np.ndarray:
     """Of each text the largest, two largest, sum and mean of what its windows save: by the mean of the toxic dictionaries, then by the second smallest.
 
-    Texts are taken by the slice: a window that they share is compressed once, and one dictionary is used for all windows before the next.
+    Texts are taken by the slice: a window that they share is compressed once. without: the dictionary that doesn't count for each text.
     """
     out = np.zeros((len(texts), 8))
     if not toxic:
         return out
-    plain, *others = _compressors(ordinary, toxic)
     for k in range(0, len(texts), SLICE):
         cut = [list(windows(t)) for t in texts[k : k + SLICE].to_pylist()]
-        place = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-        sizes = [np.fromiter(map(len, map(compress, place)), np.int64, len(place)) for compress in (plain, *others)]
-        saved = np.sort(sizes[0][:, None] - np.stack(sizes[1:], axis=1), axis=1)
-        kinds = saved.mean(axis=1), saved[:, min(1, len(others) - 1)].astype(float)
-        for row, own in zip(out[k:], cut):
+        place, saved = _saved(cut, ordinary, toxic)
+        left = without[k : k + SLICE] if without and len(toxic) > 1 else [-1] * len(cut)
+        kinds = {x: _kinds(saved[:, [j for j in range(len(toxic)) if j != x]]) for x in set(left)}
+        for row, own, x in zip(out[k:], cut, left):
             if own:
                 at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                for n, kind in enumerate(kinds):
+                for n, kind in enumerate(kinds[x]):
                     top = np.sort(kind[at])[::-1]
                     row[4 * n : 4 * n + 4] = top[0], top[:2].sum(), np.log1p(top[top >= LEAST_GAIN].sum()), top.mean()
     return out
 
 
+def shared_windows(texts: list[str], ordinary: bytes, toxic: tuple[bytes, ...], without: list[int]) -> list[list[bytes]]:
+    """Of each text the WORST windows that gain most from the dictionaries of the other parts, where they gain AGAIN at least."""
+    found = []
+    for k in range(0, len(texts), SLICE):
+        cut = [list(dict.fromkeys(windows(t))) for t in texts[k : k + SLICE]]
+        place, saved = _saved(cut, ordinary, toxic)
+        for own, x in zip(cut, without[k : k + SLICE]):
+            gain = saved[[place[w] for w in own]][:, [j for j in range(len(toxic)) if j != x or len(toxic) == 1]].mean(axis=1)
+            found.append([own[n] for n in np.argsort(-gain, kind="stable")[:WORST] if gain[n] >= AGAIN])
+    return found
+
+
+def threshold(logit: np.ndarray, toxic: np.ndarray) -> float:
+    """The logit from which on the share of the caught less FALSE_ALARM times that of the false alarms is largest; 0 without documents of both kinds."""
+    bad, good = np.sort(logit[toxic == 1]), np.sort(logit[toxic == 0])
+    if not len(bad) or not len(good):
+        return 0.0
+    at = np.sort(logit)[::-1]
+    worth = (len(bad) - np.searchsorted(bad, at)) / len(bad) - FALSE_ALARM * (len(good) - np.searchsorted(good, at)) / len(good)
+    return float(at[np.argmax(worth)])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     x = np.c_[np.ones(len(x)), x]
     w, penalty = np.zeros(x.shape[1]), np.r_[1e-6, np.full(x.shape[1] - 1, ridge)]
@@ -148,31 +187,57 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lear
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_from: Column | None = None) -> Model:
     """learn_from: a condition on labels' rows; by default those that are not held out."""
     sample = _sample(docs, labels, id_col, text_col, ~held_out(F.col(id_col)) if learn_from is None else learn_from)
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     pieces = F.regexp_extract_all(F.lower("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    pieces = sample.where("toxic = 0").select("doc_id", F.posexplode(pieces).alias("at", "piece")).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(PIECES)
+    seen = sample.where("toxic = 0 AND fold <> 0")
+    pieces = seen.select("doc_id", F.posexplode(pieces).alias("at", "piece")).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(PIECES)
     ordinary = _trained([r["piece"].encode("utf-8", "replace") for r in pieces.select("piece").collect()], ORDINARY_BYTES, ORDINARY_SHARE, ORDINARY_SEGMENT)  # PIECES rows at most
 
-    each = max(WORST, -(-WORST_IN_ALL // max(1, sample.where("toxic = 1").count())))
+    bad = sample.where("toxic = 1")
+    each = max(WORST, -(-WORST_IN_ALL // max(1, bad.count())))
 
     @F.arrow_udf("array<binary>")
     def worst(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([worst_windows(t.as_py(), ordinary, each) for t in batch], pa.list_(pa.binary()))
 
-    rows = sample.where("toxic = 1").select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), "doc_id", worst("text").alias("windows")).orderBy("doc_id").collect()  # bounded by TOXIC_SAMPLE, WORST and WORST_IN_ALL
-    parts = [[bytes(w) for r in rows if r["fold"] == k for w in r["windows"]] for k in range(FOLDS)]
-    toxic = tuple(_trained(part, TOXIC_BYTES, TOXIC_SHARE, SEGMENT) for part in parts if part)
+    toxic, place = _by_part(bad.select("fold", "doc_id", worst("text").alias("windows")))
     if not ordinary or not toxic:
         return Model(b"", (), (0.0,))
+    for _ in range(ROUNDS):
+        before, known = toxic, place
 
-    @F.arrow_udf("array<double>")
-    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(list(gains(batch, ordinary, toxic)), pa.list_(pa.float64()))
+        @F.arrow_udf("array<binary>")
+        def shared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, folds in batches:
+                own = [known.get(f, -1) for f in folds.to_pylist()]  # noqa: B023
+                yield pa.array(shared_windows(texts.to_pylist(), ordinary, before, own), pa.list_(pa.binary()))  # noqa: B023
 
-    rows = sample.select("toxic", "doc_id", measured("text").alias("x")).orderBy("doc_id").collect()
+        toxic, place = _by_part(bad.select("fold", "doc_id", shared("text", "fold").alias("windows")))
+        if not toxic:  # nothing is shared
+            toxic, place = before, known
+
+    @F.arrow_udf("array<double>")
+    def measured(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, folds in batches:
+            own = [place.get(f, -1) for f in folds.to_pylist()]
+            yield pa.array(list(gains(texts, ordinary, toxic, own)), pa.list_(pa.float64()))
+
+    # an ordinary document does without one dictionary too, so that all are measured alike
+    unseen = sample.where("toxic = 1 OR fold = 0").withColumn("fold", F.when(F.col("toxic") == 0, F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)).cast("int")).otherwise(F.col("fold")))
+    rows = unseen.select("toxic", "doc_id", measured("text", "fold").alias("x")).orderBy("doc_id").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
-    return Model(ordinary, toxic, tuple(map(float, _logistic(x, y))))
+    weights = _logistic(x, y)
+    weights[0] -= threshold(weights[0] + x @ weights[1:], y)
+    return Model(ordinary, toxic, tuple(map(float, weights)))
+
+
+def _by_part(rows: DataFrame) -> tuple[tuple[bytes, ...], dict[int, int]]:
+    """A toxic dictionary for each part that has windows, and its place; rows: (fold, doc_id, windows), bounded by TOXIC_SAMPLE, WORST and WORST_IN_ALL."""
+    found = rows.orderBy("doc_id").collect()
+    parts = {k: [bytes(w) for r in found if r["fold"] == k for w in r["windows"]] for k in range(FOLDS)}
+    kept = [k for k, part in parts.items() if part]
+    return tuple(_trained(parts[k], TOXIC_BYTES, TOXIC_SHARE, SEGMENT) for k in kept), {k: n for n, k in enumerate(kept)}
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
