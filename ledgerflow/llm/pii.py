@@ -9,8 +9,9 @@ takes quadratic time or deep recursion.
 A protected entity is a distinct value, a term a run of three or more letters and digits in lower case. Everything is counted in
 occurrences of terms outside base spans: N in all documents, n_t of the term, m_e of any terms within CONTEXT code points of the entity, n_te of the term there.
 PMI = log2(N n_te / (n_t m_e)) is what the term tells of the entity, and IC = -log2(m_e / N) is all that there is to tell; PMI / IC is 1
-for a term that stands nowhere else. Terms with PMI / IC from GENERALISE on are generalised, from REMOVE on removed, in all documents, those without a
-base span included, where they overlap no base span.
+for a term that stands nowhere else. As IC grows with the corpus, a share of it alone would let ever more ordinary words pass; so a term must also leave at
+most LEFT bits of IC untold, which doesn't depend on the corpus: at LEFT = 1 half of its occurrences stand beside the entity. Such terms with PMI / IC
+from GENERALISE on are generalised, from REMOVE on removed, in all documents, those without a base span included, where they overlap no base span.
 
 Every pair is tested, those seen once too: a name beside one address in one document discloses the most. But a rare ordinary word has the same
 counts. What tells them apart is how many such pairs there are: terms that stand near no entity show how often an ordinary term has a count, and so how
@@ -42,8 +43,8 @@ _IN = r"[\p{L}\p{M}\p{N}]"
 TERM = rf"{_IN}{{3,}}+"
 CONTEXT = 80
 GENERALISE, REMOVE = 0.75, 0.9
-#: The share of a cell's pairs that chance must leave unexplained.
-SURE = 0.5
+#: Bits of an entity's IC that a term may leave untold, and the share of a cell's pairs that chance must leave unexplained.
+LEFT, SURE = 1.0, 0.5
 #: Code points of a chunk.
 CHUNK = 256
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -175,7 +176,7 @@ def revealing_terms(marked: DataFrame, texts: DataFrame) -> DataFrame:
     m = staged(pairs.groupBy("entity").agg(F.sum("n_te").alias("m_e")), "entities")
     rated = staged(pairs.join(m, "entity").join(counts, "term").withColumns({"n_te": F.least("n_te", "n_t"), "about": _about()}), "pairs")
     cells = expected_by_chance(rated, m, counts, n).where(F.col("expected") <= (1 - SURE) * F.col("seen"))
-    told = rated.withColumn("ratio", disclosed(n)).where(F.col("ratio") >= GENERALISE)
+    told = rated.withColumn("ratio", disclosed(n)).where((F.col("ratio") >= GENERALISE) & (F.log2(F.col("n_t") / F.col("n_te")) <= LEFT))
     return staged(told.join(cells, ["n_te", "n_t", "about"], "left_semi").select("entity", "term", "ratio"), "revealing")
 
 

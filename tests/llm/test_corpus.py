@@ -446,7 +446,7 @@ def terms_brute(texts):
         for term, n_te in beside.items():
             cell = (min(n_te, counts[term]), counts[term], about(e))
             ratio = np.log2(n * cell[0] / (cell[1] * m[e])) / np.log2(n / m[e]) if n > m[e] else 0
-            if ratio >= 0.75 and expected(*cell) <= 0.5 * seen[cell]:
+            if ratio >= 0.75 and cell[1] <= 2 * cell[0] and expected(*cell) <= 0.5 * seen[cell]:
                 best[term] = max(best.get(term, 0), ratio)
     out = []
     for text in texts:
