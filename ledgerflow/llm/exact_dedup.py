@@ -7,7 +7,7 @@ single row is shuffled, and a group of any size is one text for each task. Group
 
 Defined cases: a null text is an empty one, and all empty texts are equal; a null id is a document of its own kind that
 survives only where its group has no row with an id and the same length; rows that repeat an id and a text count each
-and share one decision; an empty table gives an empty result; further columns are not looked at, and kept by exact_dedup().
+and share one decision; texts of any length are read whole; an empty table gives an empty result; further columns are not looked at, and kept by exact_dedup().
 """
 
 from __future__ import annotations

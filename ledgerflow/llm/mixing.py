@@ -12,7 +12,7 @@ weight.
 
 Defined cases: a null text has size 0 and is taken like any other; rows without a source form one source, the last;
 rows that repeat an id and a text are taken alike; a source of size 0 has target 0 and none of its rows is taken; an empty table
-gives an empty result; further columns are kept as they are.
+gives an empty result; a text of any length is counted whole; further columns are kept as they are.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ open, each gets more hubs. Every pair of a bucket is either confirmed, refused,
 
 Defined cases: a null text is an empty one; a document without words has an empty set and is linked with nothing; with fewer
 than five words the sequence of words is the one shingle; rows without an id are linked by equal sets only; rows that
-repeat an id and a text get the same result each; an empty table gives an empty result; further columns are not looked at.
+repeat an id and a text get the same result each; all shingles of a text of any length count, and its set stands whole in memory; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ that no piece of two or more characters holds; the results of such parts are rem
 The vocabulary and scores are read from the model file; both properties are checked when it is loaded.
 
 Defined cases: a null text is an empty one and has no ids; characters outside the vocabulary become their bytes; nulls
-elsewhere and repeated rows pass through, further columns are left out; an empty table gives an empty result.
+elsewhere and repeated rows pass through, further columns are left out; a text of any length is encoded whole, in memory that grows
+with its characters; an empty table gives an empty result.
 """
 
 from __future__ import annotations

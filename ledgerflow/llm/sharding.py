@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, table, whole_text
+from .common import packed, staged, table, whole_text
 
 #: Bytes that a shard holds at most, and the bits of a prefix at most.
 LIMIT, DEPTH = 1 << 20, 48
@@ -80,14 +80,19 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     return fits.unionByName(dealt.join(sizes, "shard").select(*kept, "shard", "shard_bytes"))
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", limit: int = LIMIT) -> None:
-    """docs as Parquet, one folder for each shard.
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", limit: int = LIMIT, text_col: str = "text", folder: str = "shard") -> str:
+    """docs as Parquet, one folder for each shard; returns the name of the folders' column.
 
-    Rows get a number and are staged with it, so that each goes to its own shard also where ids repeat or are null.
+    Rows get a number and are staged with it, so that each goes to its own shard also where ids repeat or are null. All columns are kept, whatever
+    their names: where one is called like the folders, these get underscores.
     """
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    own = shards(numbered, id_col, limit=limit, row_col="__row").select("__row", "shard")
-    numbered.join(own, "__row").drop("__row").repartition("shard").write.partitionBy("shard").parquet(path)
+    while folder.lower() in {c.lower() for c in docs.columns}:
+        folder += "_"
+    numbered = staged(packed(docs, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("number")), "numbered")
+    own = shards(numbered, limit=limit, row_col="number").select("number", "shard")
+    placed = numbered.select("row", "number").join(own, "number").repartition("shard")
+    placed.select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    return folder
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

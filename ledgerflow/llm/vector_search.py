@@ -14,7 +14,7 @@ so that no task holds a list, however many vectors crowd in it.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components or have another length than the most
 frequent take no part; fewer than K candidates give all of them; ties go to the smaller id; rows that repeat an id are one
-candidate for each distinct vector; rows without an id take no part; an empty table gives an empty result.
+candidate for each distinct vector; rows without an id take no part; further columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations

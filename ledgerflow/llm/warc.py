@@ -8,7 +8,8 @@ neighbouring ranges into one read, parses the records and checks the digest of e
 
 Defined cases: a null payload is an empty one; a null URL is written as the record's id; a row without an id is a response
 only where no row with an id has its payload; rows that repeat the smallest id are responses each; record ids of rows that repeat
-a page id, or have none, get a fragment of their own; an empty table gives an empty result; further columns are left out.
+a page id, or have none, get a fragment of their own; a payload of any length stands whole in the memory of the task
+that writes or reads it; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations

@@ -135,6 +135,14 @@ def test_shards_of_one_id_are_written_apart(spark, tmp_path):
     assert max(sizes.values()) <= 1000
 
 
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(k, "x" * 50, f"s{k}", k * 2, "t", 1.0) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, shard string, number long, row string, __row double")
+    folder = sharding.write_shards(table, str(tmp_path / "s"), limit=500)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert folder == "shard_" and sorted(tuple(r)[:6] for r in back.select(*table.columns).collect()) == rows and back.select(folder).distinct().count() > 3
+
+
 def brute_nearest(ids, x, queries_, k):
     out = []
     for q in queries_:
@@ -381,6 +389,7 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.with_scores(docs(spark, [(1, "a")]), toxicity.fit(docs(spark, [(1, "a")]), none)).collect()
     assert [(r["score"], r["predicted"]) for r in rows] == [(0.0, 0)]
+    assert [r["h"] for r in spark.createDataFrame([(None,), (0,)], "doc_id long").select(toxicity.held_out(F.col("doc_id")).alias("h")).collect()] == [True, zlib.crc32(b"0") % 5 == 0]
     assert toxicity.drop_toxic(docs(spark, []), none).count() == 0
 
 
