@@ -97,6 +97,19 @@ def drop_staged(spark: SparkSession) -> None:
     removed(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
+def tidy() -> None:
+    """Give back what a Python worker has freed; for the end of a task, since workers outlive their tasks and keep what they once took."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """rows with the sum of a column over the rows before each in a total order, by sums {out: column}.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_hash, sieve, staged, table, whole_text, without_rows
+from .common import row_hash, sieve, staged, table, tidy, whole_text, without_rows
 from .components import components
 
 WORDS, SLOTS, ROWS = 5, 128, 4
@@ -122,6 +122,7 @@ def _signed(batches: Iterator) -> Iterator:
             bands = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "n", "mark", "bands"])
     _word_hashes.clear()  # workers outlive their tasks
+    tidy()
 
 
 def _sets(batches: Iterator) -> Iterator:
@@ -134,6 +135,7 @@ def _sets(batches: Iterator) -> Iterator:
             sets = [shingles(t).view(np.int64) for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
     _word_hashes.clear()
+    tidy()
 
 
 def _full_sets(nodes: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import table, tidy, whole_text
 
 MARK = "▁"
 REMEMBERED_PARTS, REMEMBERED_PAIRS = 200_000, 200_000
@@ -147,6 +147,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        tidy()  # what tasks of other kinds have left
         own = prefix_table(path)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):

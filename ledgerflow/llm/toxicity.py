@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, staged, table, whole_text
+from .common import packed, staged, table, tidy, whole_text
 
 #: Labelled documents that training takes at most, by class, of those that are no longer than this.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 3000, 9000, 100_000
@@ -252,6 +252,8 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             else:
                 x = gains(batch, ordinary, toxic)
                 yield pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))))
+        _compressors.cache_clear()
+        tidy()
 
     return docs.withColumn("score", score(whole_text(text_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
