@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.workspace import staged
+from .graphs import FEW, HEAVY, heavy_join
 
 
 def left_on(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
@@ -145,8 +147,24 @@ def shared_pairs(uses: DataFrame, by: str, who: str, block: int = 500) -> DataFr
     return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def cycles(edges: DataFrame, within: int, src: str = "src", dst: str = "dst", time: str = "us", id_col: str = "o_orderkey") -> DataFrame:
-    """A to B to C to A in rising time, all within a span; edges meet by node and by the first edge's time bucket, which spans `within`."""
+#: Edges of an account in a time bucket up to which its edges meet in one task.
+HUB = 4096
+
+
+def cycles(edges: DataFrame, within: int, src: str = "src", dst: str = "dst", time: str = "us", id_col: str = "o_orderkey", hub: int = HUB) -> DataFrame:
+    """(first, second, third): A to B to C to A in rising time, all within a span.
+
+    Edges are dealt by time bucket, as long as the span; a later edge stands in the first one's bucket or in the next. Where no account has more
+    than `hub` edges in a bucket, they simply meet by account and bucket; otherwise by triangles, whose cost no hub drives up.
+    """
+    e = edges.where(F.col(src) != F.col(dst))
+    bucket = F.floor(F.col(time) / max(1, within)).alias("w")
+    ends = e.select(bucket, F.col(src).alias("node")).unionByName(e.select(bucket, F.col(dst).alias("node")))
+    most = ends.groupBy("w", "node").count().agg(F.max("count")).first()[0]
+    return (_cycles_by_account if (most or 0) <= hub else cycles_by_triangles)(edges, within, src, dst, time, id_col)
+
+
+def _cycles_by_account(edges: DataFrame, within: int, src: str, dst: str, time: str, id_col: str) -> DataFrame:
     e = edges.where(F.col(src) != F.col(dst))
     a, b, c = (e.select(F.col(src).alias(f"s{k}"), F.col(dst).alias(f"d{k}"), F.col(time).alias(f"t{k}"), F.col(id_col).alias(k)) for k in ("first", "second", "third"))
     bucket = lambda k: F.floor(F.col(f"t{k}") / max(1, within))
@@ -158,6 +176,42 @@ def cycles(edges: DataFrame, within: int, src: str = "src", dst: str = "dst", ti
     return three.select("first", "second", "third")
 
 
+def cycles_by_triangles(edges: DataFrame, within: int, src: str = "src", dst: str = "dst", time: str = "us", id_col: str = "o_orderkey", block: int = 1000, heavy: int = HEAVY, few: int = FEW) -> DataFrame:
+    """The rows of cycles(), from the triangles of each bucket.
+
+    In a bucket the accounts that trade with each other are a graph, and only its triangles can hold cycles. They are listed from their account of least
+    degree: such an account has at most the root of twice the bucket's pairs of larger ones beside it, however many a hub has; these neighbours meet in a
+    grid of blocks. What is known of a hub goes to its pairs by `heavy_join`. The edges of a triangle then meet in each of its six orders.
+    """
+    e = edges.where(F.col(src) != F.col(dst)).select(F.col(src).alias("s"), F.col(dst).alias("d"), F.col(time).alias("t"), F.col(id_col).alias("id"))
+    own = F.floor(F.col("t") / max(1, within))
+    later = staged(e.withColumn("w", F.explode(F.array(own, own - 1))), "edges")
+    pairs = staged(later.select("w", F.least("s", "d").alias("x"), F.greatest("s", "d").alias("y")).distinct(), "pairs")
+    account = lambda c: F.struct("w", F.col(c).alias("node"))
+    ends = pairs.select(account("x").alias("k")).unionByName(pairs.select(account("y").alias("k")))
+    degrees = staged(ends.groupBy("k").agg(F.count(F.lit(1)).alias("degree")).withColumn("n", F.col("degree")), "degrees")
+    known = pairs
+    for c in ("x", "y"):
+        known = heavy_join(known.withColumn("k", account(c)), degrees, "k", "n", heavy, few).withColumnRenamed("degree", f"{c}_degree").drop("k")
+    lower = F.struct("x_degree", "x") < F.struct(F.col("y_degree").alias("x_degree"), F.col("y").alias("x"))
+    out = staged(known.select("w", F.when(lower, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(lower, F.col("y")).otherwise(F.col("x")).alias("v")), "out")
+    sizes = out.groupBy("w", "u").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dealt = out.join(sizes, ["w", "u"]).withColumn("k", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    left = dealt.select("w", "u", F.col("v").alias("b"), F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("w", "u", F.col("v").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("i"), F.col("k").alias("j"))
+    wedges = left.join(right, ["w", "u", "i", "j"]).where("i < j OR b < c").where("b <> c").select("w", "u", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"))
+    triangles = wedges.join(pairs, ["w", "x", "y"])
+    nodes = ("u", "x", "y")
+    orders = [F.struct(*[F.col(n).alias(k) for n, k in zip(order, ("a", "b", "c"))]) for order in permutations(nodes)]
+    walks = staged(triangles.select("w", F.explode(F.array(*orders)).alias("o")).select("w", "o.*"), "walks")
+    step = lambda k, start, end: later.select("w", F.col("s").alias(start), F.col("d").alias(end), F.col("t").alias(f"t{k}"), F.col("id").alias(k))
+    first = step("first", "a", "b").where(F.floor(F.col("tfirst") / max(1, within)) == F.col("w"))
+    one = walks.join(first, ["w", "a", "b"])
+    two = one.join(step("second", "b", "c"), ["w", "b", "c"]).where((F.col("tsecond") > F.col("tfirst")) & (F.col("tsecond") - F.col("tfirst") <= within))
+    three = two.join(step("third", "c", "a"), ["w", "c", "a"]).where((F.col("tthird") > F.col("tsecond")) & (F.col("tthird") - F.col("tfirst") <= within))
+    return three.select("first", "second", "third")
+
+
 def fan(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     out = edges.groupBy(F.col(src).alias("node")).agg(F.countDistinct(dst).alias("fan_out"))
     into = edges.groupBy(F.col(dst).alias("node")).agg(F.countDistinct(src).alias("fan_in"))

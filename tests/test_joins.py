@@ -33,6 +33,21 @@ def test_cycles_by_brute_force(spark):
     assert want and sorted(tuple(r) for r in found.collect()) == want
 
 
+def test_cycles_through_an_account_of_a_third_of_the_edges(spark):
+    rng = random.Random(5)
+    edges = [(0, rng.randrange(1, 120), rng.randrange(400), k) if k % 6 == 0 else (rng.randrange(1, 120), 0, rng.randrange(400), k) if k % 6 == 3 else (rng.randrange(120), rng.randrange(120), rng.randrange(400), k) for k in range(900)]
+    e = [x for x in edges if x[0] != x[1]]
+    out = {}
+    for x in e:
+        out.setdefault(x[0], []).append(x)
+    want = sorted((a[3], b[3], c[3]) for a in e for b in out.get(a[1], ()) if a[2] < b[2] <= a[2] + 40 for c in out.get(b[1], ()) if c[1] == a[0] and b[2] < c[2] <= a[2] + 40)
+    df = spark.createDataFrame(edges, "src long, dst long, us long, o_orderkey long")
+    assert any(0 in (x[0], x[1]) for x in e if x[3] in {w for t in want for w in t})
+    for hub in (j.HUB, 0):
+        assert sorted(tuple(r) for r in j.cycles(df, 40, hub=hub).collect()) == want
+    assert sorted(tuple(r) for r in j.cycles_by_triangles(df, 40, block=3, heavy=20, few=0).collect()) == want
+
+
 def test_fan_in_out_all_has_all_orders(spark):
     found = catalogue.QUERIES["fan_in_out_all"](spark, DATA)
     orders, lines = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("orders", "lineitem"))
