@@ -46,11 +46,12 @@ def diversified(df: DataFrame, session: str, item: str, score: str, vector: str,
         g = g.sort_values([score, item], ascending=[False, True]).reset_index(drop=True)
         x = np.array(g[vector].tolist(), float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        like, left, chosen = np.full(len(g), 0.0), list(range(len(g))), []
-        while left and len(chosen) < k:
-            best = max(left, key=lambda i: (share * g[score][i] - (1 - share) * like[i], -i))
+        worth, like, chosen = share * g[score].to_numpy(float), np.zeros(len(g)), []
+        while len(chosen) < min(k, len(g)):
+            value = worth - (1 - share) * like
+            value[chosen] = -np.inf
+            best = int(np.argmax(value))  # the first of equals
             chosen.append(best)
-            left.remove(best)
             like = np.maximum(like, x @ x[best]) if len(chosen) > 1 else x @ x[best]
         return pd.DataFrame({session: g[session].iloc[0], item: g[item].iloc[chosen].to_numpy(), "place": np.arange(1, len(chosen) + 1, dtype="int32")})
 
