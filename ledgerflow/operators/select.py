@@ -82,7 +82,9 @@ def kth_largest(df: DataFrame, key: str, value: str, share: float, tie: str | No
 
 
 def best_row(df: DataFrame, key: str, by: str, *cols: str) -> DataFrame:
-    return df.groupBy(key).agg(F.max_by(F.struct(*cols), by).alias("b")).select(key, "b.*")
+    """(key, cols): the row with a key's largest value of by; of equal values the one that is largest by cols, in their order. A key without values gets nulls."""
+    row = F.struct(*cols)
+    return df.groupBy(key).agg(F.max_by(row, F.when(F.col(by).isNotNull(), F.struct(F.col(by), row))).alias("b")).select(key, "b.*")
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -141,6 +141,7 @@ def top_scores(spark, sf_dir):
 
 
 def best_order(spark, sf_dir):
+    """Each customer's order of the highest price; of equal prices the one with the largest order key."""
     return se.best_row(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey", "o_orderpriority")
 
 
@@ -314,7 +315,7 @@ ORACLE_SQL = {name: near_sql(sql) for name, sql in {
     "seeded_flags": f"WITH {TIES_SQL} SELECT transaction_id, CAST({_H('transaction_id', 'site')} < 0.4 AS INT) AS site, CASE WHEN {_H('transaction_id', 'sources')} < 0.3 THEN 1 WHEN {_H('transaction_id', 'sources')} < 0.8 THEN 2 ELSE 3 END AS sources FROM txn",
     "cap_per_entity": f"WITH {TIES_SQL} SELECT transaction_id, cc_num FROM (SELECT *, row_number() OVER (PARTITION BY cc_num ORDER BY {_H('transaction_id', 'cap')}, transaction_id) AS r FROM txn) WHERE r <= 20",
     "top_scores": f"{_S} SELECT transaction_id, score FROM x ORDER BY score DESC, transaction_id LIMIT 20",
-    "best_order": "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey, arg_max(o_orderpriority, o_totalprice) AS o_orderpriority FROM orders GROUP BY 1",
+    "best_order": "SELECT o_custkey, b.o_orderkey, b.o_orderpriority FROM (SELECT o_custkey, arg_max({'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority}, (o_totalprice, o_orderkey, o_orderpriority)) FILTER (o_totalprice IS NOT NULL) AS b FROM orders GROUP BY 1)",
     "dedupe": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
     "category_thresholds": f"{_S} SELECT operation_type, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY operation_type ORDER BY score DESC, transaction_id) AS r, greatest(1, floor(count(*) OVER (PARTITION BY operation_type) * 0.01::DOUBLE)) AS k FROM x) WHERE r = k",
     "threshold_eval": f"{_S}, t AS (SELECT operation_type, score AS t FROM (SELECT *, row_number() OVER (PARTITION BY operation_type ORDER BY score DESC, transaction_id) AS r, greatest(1, floor(count(*) OVER (PARTITION BY operation_type) * 0.01::DOUBLE)) AS k FROM x WHERE transaction_id % 2 = 0) WHERE r = k) SELECT count(*) FILTER (score >= t) AS alerts, NEAR(coalesce(avg(is_fraud) FILTER (score >= t), 0), 6) AS precision FROM x LEFT JOIN t USING (operation_type) WHERE transaction_id % 2 = 1",
