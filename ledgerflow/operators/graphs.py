@@ -1,6 +1,7 @@
 """Rings: connected components of a use graph, without listing the pairs that a shared key makes.
 
-Who uses what is an edge between a member and a key; a ring is a component of that graph, so a key of n members is n edges, not n^2 pairs.
+A key links its members to the smallest of them, so a key of n members is n - 1 edges, not n^2 pairs, and one of a single member is none; a ring is a
+component of that graph over the members.
 Components are found by contraction: in turn every node links its larger neighbours, then its smaller ones, to the smallest node that it knows,
 until nothing moves; the edges are then a star around each component's smallest node. Rounds grow with the logarithm of
 the nodes. What a node knows is an aggregate, which each task takes of its own rows first; it goes back to the node's edges by `heavy_join`,
@@ -65,16 +66,15 @@ def rings(uses: DataFrame, by: str, who: str, confirmed: str, heavy: int = HEAVY
 
     Uses without a member are left out; a use without a key makes its member a ring of its own, unless it has others.
     """
-    rows = uses.where(F.col(who).isNotNull())
-    # members come before keys, so that a component's smallest node is a member
-    none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in (by, who)}
-    member, key = F.struct(F.lit(0).alias("side"), F.col(who).alias("who"), none[by].alias("key")), F.struct(F.lit(1).alias("side"), none[who].alias("who"), F.col(by).alias("key"))
-    edges = rows.where(F.col(by).isNotNull()).select(member.alias("a"), key.alias("b"))
-    found = staged(components(edges, heavy, few), "components")
-    each = rows.groupBy(who).agg(F.sum(F.coalesce(F.col(confirmed).cast("long"), F.lit(0))).alias("__own"))
-    ring = found.where("node.side = 0").select(F.col("node.who").alias("__who"), F.col("component.who").alias("__ring"))
-    each = staged(each.join(ring, F.col(who) == F.col("__who"), "left").select(who, "__own", F.coalesce("__ring", who).alias("ring")), "members")
-    totals = each.groupBy("ring").agg(F.count(F.lit(1)).alias("members"), F.sum("__own").alias("confirmed"))
-    keys = found.where("node.side = 1").groupBy(F.col("component.who").alias("__r")).agg(F.count(F.lit(1)).alias("keys"))
-    totals = totals.join(keys, F.col("ring") == F.col("__r"), "left").select("ring", "members", F.coalesce("keys", F.lit(0)).alias("keys"), "confirmed", F.col("members").alias("__n"))
-    return heavy_join(each, staged(totals, "rings"), "ring", "__n", heavy, few).select(who, "ring", "members", "keys", "confirmed")
+    rows = staged(uses.select(by, who, F.coalesce(F.col(confirmed).cast("long"), F.lit(0)).alias("__own")).where(F.col(who).isNotNull()), "uses")
+    # every key stands for its smallest member; only keys of several members link any
+    facts = staged(rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(who).alias("__least"), F.max(who).alias("__most"), F.count(F.lit(1)).alias("__n")), "keys")
+    shared = facts.where(F.col("__least") < F.col("__most")).drop("__most")
+    edges = heavy_join(rows.drop("__own"), shared, by, "__n", heavy, few).select(F.col(who).alias("a"), F.col("__least").alias("b"))
+    ring = staged(components(edges, heavy, few), "components").select(F.col("node").alias("__who"), F.col("component").alias("__ring"))
+    each = rows.groupBy(who).agg(F.sum("__own").alias("__own"))
+    first = facts.groupBy(F.col("__least").alias("__first")).agg(F.count(F.lit(1)).alias("__keys"))
+    each = each.join(ring, F.col(who) == F.col("__who"), "left").join(first, F.col(who) == F.col("__first"), "left")
+    each = staged(each.select(who, "__own", F.coalesce("__keys", F.lit(0)).alias("__keys"), F.coalesce("__ring", who).alias("ring")), "members")
+    totals = each.groupBy("ring").agg(F.count(F.lit(1)).alias("members"), F.sum("__keys").alias("keys"), F.sum("__own").alias("confirmed"), F.count(F.lit(1)).alias("__n"))
+    return heavy_join(each.select(who, "ring"), staged(totals, "rings"), "ring", "__n", heavy, few).select(who, "ring", "members", "keys", "confirmed")

@@ -58,3 +58,11 @@ def test_a_hub_is_not_shuffled(spark):
     joined = g.heavy_join(rows, facts.withColumn("x", facts["a"] * 2), "a", "count", 10, 0)
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, joined.collect())) == sorted((a, b, a * 2) for a, b in map(tuple, rows.collect()))
+
+
+def test_keys_of_one_member_add_no_edge(spark, monkeypatch):
+    uses = [(f"own{k}", k % 40, k % 2) for k in range(400)] + [("both", 3, 1), ("both", 7, 0), ("both", 3, 0)]
+    real, seen = g.components, []
+    monkeypatch.setattr(g, "components", lambda edges, *more: seen.append(edges.where("a <> b").count()) or real(edges, *more))
+    rows = {r[0]: tuple(r)[1:] for r in g.rings(spark.createDataFrame(uses, "device string, customer long, fraud int"), "device", "customer", "fraud").collect()}
+    assert seen == [1] and rows[7] == rows[3] == (3, 2, 21, 21) and rows[1] == (1, 1, 10, 10) and len(rows) == 40
