@@ -56,32 +56,30 @@ def fit(df: DataFrame, columns: list[str], id_col: str, trees: int = 100, sample
     return drawn.groupBy("tree").applyInPandas(lambda g: _grow(g, columns, sample, seed), NODES)
 
 
+def _dense(tree: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tree, by node number: feature (-1: a leaf), cut, and the path that a row which ends there counts."""
+    node = tree["node"].to_numpy()
+    feature, cut, path = np.full(node.max() + 1, -1), np.zeros(node.max() + 1), np.zeros(node.max() + 1)
+    feature[node], cut[node] = tree["feature"], tree["cut"]
+    path[node] = [n.bit_length() - 1 + expected_path(size) for n, size in zip(node.tolist(), tree["size"])]
+    return feature, cut, path
+
+
 def score(df: DataFrame, nodes: DataFrame, columns: list[str], sample: int = 256, out: str = "anomaly") -> DataFrame:
     """df with the anomaly score in (0, 1]; the node table's size is bounded by its parameters."""
-    table = nodes.toPandas()
-    trees = [(t["node"].to_numpy(), t["feature"].to_numpy(), t["cut"].to_numpy(), t["size"].to_numpy()) for _, t in table.groupby("tree")]
+    trees = [_dense(t) for _, t in nodes.toPandas().groupby("tree")]
     packed = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ready = []
-        for node, feature, cut, size in packed.value:
-            order = np.argsort(node)
-            ready.append((node[order], feature[order], cut[order], size[order]))
         for b in batches:
             x = np.array(b.tolist(), float).reshape(len(b), len(columns))
-            total = np.zeros(len(x))
-            for node, feature, cut, size in ready:
-                at, depth = np.ones(len(x), np.int64), np.zeros(len(x))
-                while True:
-                    k = np.searchsorted(node, at)
-                    inner = feature[k] >= 0
-                    if not inner.any():
-                        break
-                    value = x[np.arange(len(x)), np.maximum(feature[k], 0)]
-                    at = np.where(inner, 2 * at + (value >= cut[k]), at)
-                    depth += inner
-                total += depth + np.array([expected_path(s) for s in size[k]])
-            yield pd.Series(2.0 ** (-total / max(len(ready), 1) / max(expected_path(sample), 1e-9)))
+            row, total = np.arange(len(x)), np.zeros(len(x))
+            for feature, cut, path in packed.value:
+                at = np.ones(len(x), np.int64)
+                while (inner := (f := feature[at]) >= 0).any():
+                    at = np.where(inner, 2 * at + (x[row, f] >= cut[at]), at)
+                total += path[at]
+            yield pd.Series(2.0 ** (-total / max(len(packed.value), 1) / max(expected_path(sample), 1e-9)))
 
     return df.withColumn(out, run(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])))
