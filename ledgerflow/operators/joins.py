@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.workspace import staged
+from ..sources.workspace import dealt, staged
 from .graphs import FEW, HEAVY, heavy_join
 
 
@@ -130,21 +130,24 @@ def members(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFra
     return df.join(keys, on, "left_semi"), df.join(keys, on, "left_anti")
 
 
-def shared_pairs(uses: DataFrame, by: str, who: str, block: int = 500) -> DataFrame:
+def shared_pairs(uses: DataFrame, by: str, who: str, block: int = 500, rows: int = 1 << 21) -> DataFrame:
     """(a, b, shared): pairs a < b and how many keys they share.
 
     The users of a key are dealt by hash over blocks of about `block`, and blocks meet pairwise, so that a hot key's pairs
-    are found by many tasks and none is lost.
+    are found by many tasks and none is lost; a task counts about `rows` of all pairs.
     """
-    uses = uses.select(by, who).where(F.col(by).isNotNull() & F.col(who).isNotNull()).distinct()
+    uses = staged(uses.select(by, who).where(F.col(by).isNotNull() & F.col(who).isNotNull()).distinct(), "uses")
     sizes = uses.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    dealt = uses.join(sizes, by).withColumn("__blocks", F.ceil(F.col("__n") / block))
-    dealt = dealt.withColumn("__k", F.pmod(F.xxhash64(who), F.col("__blocks")))
+    cells = uses.join(sizes, by).withColumn("__blocks", F.ceil(F.col("__n") / block))
+    cells = cells.withColumn("__k", F.pmod(F.xxhash64(who), F.col("__blocks")))
     # each pair of blocks i <= j is one cell: a row is on the left of the cells of its row, on the right of those of its column
-    left = dealt.select(by, F.col(who).alias("x"), F.col("__k").alias("__i"), F.explode(F.sequence(F.col("__k"), F.col("__blocks") - 1)).alias("__j"))
-    right = dealt.select(by, F.col(who).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k"))).alias("__i"), F.col("__k").alias("__j"))
-    met = left.join(right, [by, "__i", "__j"]).where("__i < __j OR x < y")
-    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    left = cells.select(by, F.col(who).alias("x"), F.col("__k").alias("__i"), F.explode(F.sequence(F.col("__k"), F.col("__blocks") - 1)).alias("__j"))
+    right = cells.select(by, F.col(who).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k"))).alias("__i"), F.col("__k").alias("__j"))
+    # pairs are many more than uses: tasks by the pairs that they find and count, not by the bytes that they read
+    n = sizes.agg(F.sum(F.col("__n") * (F.col("__n") - 1) / 2)).first()[0] or 0
+    left, right = (dealt(x, by, "__i", "__j", rows=rows, n=int(n)) for x in (left, right))
+    met = left.join(right.hint("merge"), [by, "__i", "__j"]).where("__i < __j OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return dealt(met, "a", "b", rows=rows, n=int(n)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 #: Edges of an account in a time bucket up to which its edges meet in one task.

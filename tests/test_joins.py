@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from ledgerflow.operators import joins as j
 from ledgerflow.plans import catalogue
@@ -82,3 +83,12 @@ def test_a_range_of_any_width_is_few_intervals(spark):
 def test_addresses(spark):
     df = spark.createDataFrame([("1.2.3.4",), ("255.255.255.255",), ("1.2.3",), ("1.2.3.256",), (None,)], "a string")
     assert [r[0] for r in df.select(j.ip_number(df["a"])).collect()] == [16909060, 4294967295, None, None, None]
+
+
+def test_a_task_counts_a_bounded_number_of_pairs(spark):
+    uses = spark.range(0, 4000, 1, 2).select((F.col("id") % 20).alias("d"), (F.col("id") * 7919 % 1009).alias("c")).distinct()
+    want = uses.alias("l").join(uses.alias("r"), "d").where("l.c < r.c").groupBy("l.c", "r.c").count().toDF("a", "b", "shared")
+    found = j.shared_pairs(uses, "d", "c", 40, rows=20_000)
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.sum("shared").alias("n")).collect()]
+    assert sum(sizes) == want.agg(F.sum("shared")).first()[0] and max(sizes) <= 30_000
+    assert found.exceptAll(want).count() == 0 == want.exceptAll(found).count()
