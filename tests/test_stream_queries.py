@@ -26,3 +26,13 @@ def unordered(spark, tmp_path_factory):
 def test_files_in_any_order(spark, unordered, name):
     base, con = unordered
     assert_same(modelling.QUERIES[name](spark, base), con.execute(modelling.ORACLE_SQL[name]))
+
+
+def test_drift_of_batches_in_several_files(spark, unordered):
+    """A quarter's rows lie in several files in no order of time; they are one batch, so none counts as late."""
+    base, con = unordered
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 100)
+    try:
+        assert_same(modelling.QUERIES["stream_drift"](spark, base), con.execute(modelling.ORACLE_SQL["stream_drift"]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
