@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.workspace import dealt, staged
+from . import packing, select
 from .graphs import FEW, HEAVY, heavy_join
 
 
@@ -133,21 +135,51 @@ def members(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFra
 def shared_pairs(uses: DataFrame, by: str, who: str, block: int = 500, rows: int = 1 << 21) -> DataFrame:
     """(a, b, shared): pairs a < b and how many keys they share.
 
-    The users of a key are dealt by hash over blocks of about `block`, and blocks meet pairwise, so that a hot key's pairs
-    are found by many tasks and none is lost; a task counts about `rows` of all pairs.
+    The users of a key are dealt over lists of at most `block`, and lists meet pairwise, so that a hot key's pairs are found by many tasks and none is
+    lost. Pairs aren't shuffled as rows: a user goes with the later users of a list, packed in a few bytes each, to one task, which counts about `rows` of all
+    pairs. A user's pairs are at most as many as there are uses.
     """
-    uses = staged(uses.select(by, who).where(F.col(by).isNotNull() & F.col(who).isNotNull()).distinct(), "uses")
-    sizes = uses.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    cells = uses.join(sizes, by).withColumn("__blocks", F.ceil(F.col("__n") / block))
-    cells = cells.withColumn("__k", F.pmod(F.xxhash64(who), F.col("__blocks")))
-    # each pair of blocks i <= j is one cell: a row is on the left of the cells of its row, on the right of those of its column
-    left = cells.select(by, F.col(who).alias("x"), F.col("__k").alias("__i"), F.explode(F.sequence(F.col("__k"), F.col("__blocks") - 1)).alias("__j"))
-    right = cells.select(by, F.col(who).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k"))).alias("__i"), F.col("__k").alias("__j"))
-    # pairs are many more than uses: tasks by the pairs that they find and count, not by the bytes that they read
-    n = sizes.agg(F.sum(F.col("__n") * (F.col("__n") - 1) / 2)).first()[0] or 0
-    left, right = (dealt(x, by, "__i", "__j", rows=rows, n=int(n)) for x in (left, right))
-    met = left.join(right.hint("merge"), [by, "__i", "__j"]).where("__i < __j OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return dealt(met, "a", "b", rows=rows, n=int(n)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    kind = uses.schema[who].dataType
+    uses = uses.select(by, who).where(F.col(by).isNotNull() & F.col(who).isNotNull())
+    if not isinstance(kind, T.IntegralType):
+        return _numbered_pairs(uses, by, who, block, rows)
+    block = min(block, (1 << 16) - 1)  # lengths are sent in two bytes
+    kept = T.StructType([uses.schema[by], T.StructField("users", T.ArrayType(T.LongType()))])
+    # a hot key lies in many ranges of (key, user)
+    sorted_uses = uses.withColumn(who, F.col(who).cast("long")).repartitionByRange(by, who).sortWithinPartitions(by, who)
+    lists = staged(sorted_uses.mapInArrow(partial(packing.lists, block=block), kept), "users").withColumn("n", F.size("users").cast("long"))
+    low, high, inner = lists.agg(F.min(F.col("users")[0]), F.max(F.element_at("users", -1)), F.sum(F.expr("n * (n - 1) div 2"))).first()
+    if low is None:
+        return uses.sparkSession.createDataFrame([], f"a {kind.simpleString()}, b {kind.simpleString()}, shared long")
+    if high - low >= 1 << 32:
+        return _numbered_pairs(lists.select(by, F.explode(F.col("users").cast(T.ArrayType(kind))).alias(who)), by, who, block, rows)
+    width = max(1, -(-(high - low).bit_length() // 8))
+    # keys of several lists: large ones, and those that two ranges share
+    several = staged(lists.groupBy(by).agg(F.count(F.lit(1)).alias("lists"), F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("pairs")).where("lists > 1"), "several")
+    outer = several.agg(F.sum("pairs")).first()[0] or 0
+    lists = lists.withColumn("users", F.transform("users", lambda x: (x - F.lit(low)).cast("int" if width < 4 else "long")))
+    met = dealt(lists.where("n > 1").select(F.col("users").alias("xs"), F.lit(None).cast(lists.schema["users"].dataType).alias("ys")), rows=rows, n=inner)
+    if outer:
+        # lists i < j of a key meet: all users of the first are before those of the second
+        own = lists.join(several.drop("pairs"), by).withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.col("users")[0])))
+        left = own.where("k < lists").select(by, F.col("k").alias("__i"), F.explode(F.expr("sequence(k + 1L, lists)")).alias("__j"), F.col("users").alias("xs"))
+        right = own.where("k > 1").select(by, F.explode(F.expr("sequence(1L, k - 1L)")).alias("__i"), F.col("k").alias("__j"), F.col("users").alias("ys"))
+        left, right = (dealt(x, by, "__i", "__j", rows=rows, n=int(outer)) for x in (left, right))
+        met = met.unionByName(left.join(right.hint("merge"), [by, "__i", "__j"]).select("xs", "ys"))
+    tasks = max(8, -(-int(inner + outer) // rows))
+    sent = met.mapInArrow(partial(packing.packed, tasks=tasks, width=width), "task int, owners binary, counts binary, others binary")
+    found = sent.repartitionById(tasks, F.col("task")).mapInArrow(partial(packing.counted, low=low, width=width), "a long, b long, shared long")
+    return found.select(*[F.col(c).cast(kind).alias(c) for c in ("a", "b")], "shared")
+
+
+def _numbered_pairs(uses: DataFrame, by: str, who: str, block: int, rows: int) -> DataFrame:
+    """shared_pairs of users that are no whole numbers, or lie far apart: by numbers in their order."""
+    uses = staged(uses.distinct(), "uses")
+    numbers = staged(select.global_index(uses.select(who).distinct(), who, out="__n"), "numbers")
+    out = shared_pairs(uses.join(numbers, who).select(by, "__n"), by, "__n", block, rows)
+    for c in ("a", "b"):
+        out = out.join(numbers.select(F.col("__n").alias(c), F.col(who).alias(f"__{c}")), c).drop(c)
+    return out.select(F.col("__a").alias("a"), F.col("__b").alias("b"), "shared")
 
 
 #: Edges of an account in a time bucket up to which its edges meet in one task.
