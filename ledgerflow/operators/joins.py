@@ -161,9 +161,9 @@ def shared_pairs(uses: DataFrame, by: str, who: str, block: int = 500, rows: int
     met = dealt(lists.where("n > 1").select(F.col("users").alias("xs"), F.lit(None).cast(lists.schema["users"].dataType).alias("ys")), rows=rows, n=inner)
     if outer:
         # lists i < j of a key meet: all users of the first are before those of the second
-        own = lists.join(several.drop("pairs"), by).withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.col("users")[0])))
-        left = own.where("k < lists").select(by, F.col("k").alias("__i"), F.explode(F.expr("sequence(k + 1L, lists)")).alias("__j"), F.col("users").alias("xs"))
-        right = own.where("k > 1").select(by, F.explode(F.expr("sequence(1L, k - 1L)")).alias("__i"), F.col("k").alias("__j"), F.col("users").alias("ys"))
+        own = lists.join(several.drop("pairs"), by).withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.col("users")[0])).cast("long"))
+        left = own.where("k < lists").select(by, F.col("k").alias("__i"), F.explode(F.expr("sequence(k + 1, lists)")).alias("__j"), F.col("users").alias("xs"))
+        right = own.where("k > 1").select(by, F.explode(F.expr("sequence(1L, k - 1)")).alias("__i"), F.col("k").alias("__j"), F.col("users").alias("ys"))
         left, right = (dealt(x, by, "__i", "__j", rows=rows, n=int(outer)) for x in (left, right))
         met = met.unionByName(left.join(right.hint("merge"), [by, "__i", "__j"]).select("xs", "ys"))
     tasks = max(8, -(-int(inner + outer) // rows))

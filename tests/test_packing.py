@@ -6,10 +6,12 @@ from itertools import combinations
 
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import joins as j
 from ledgerflow.operators import packing
+from ledgerflow.plans import catalogue
 
 
 def by_force(uses):
@@ -40,6 +42,21 @@ def test_users_of_any_kind(spark, of, kind):
     assert j.shared_pairs(spark.createDataFrame([], f"d string, c {kind}"), "d", "c").collect() == []
 
 
+def test_the_name_all_is_the_same_query(spark):
+    one, other = (catalogue.QUERIES[name] for name in ("shared_device", "shared_device_all"))
+    assert one is other and catalogue.ORACLE_SQL["shared_device"] == catalogue.ORACLE_SQL["shared_device_all"]
+    plan = other(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "owners" in plan and "REPARTITION_BY_NUM" in plan  # packed pairs, no rows of them
+
+
+def test_lists_of_a_hot_key_meet_in_many_tasks(spark):
+    uses = spark.range(0, 3000, 1, 4).select(F.lit(1).alias("d"), F.col("id").alias("c"))
+    found = j.shared_pairs(uses, "d", "c", 100, rows=1 << 17)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and "ENSURE_REQUIREMENTS" not in plan.split("SortMergeJoin")[1].split("REPARTITION")[0]
+    assert found.agg(F.count("a"), F.sum("shared"), F.min(F.col("b") - F.col("a"))).first() == (3000 * 2999 // 2, 3000 * 2999 // 2, 1)
+
+
 def batch(rows, *names):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], list(names))
 
