@@ -9,7 +9,7 @@ from ledgerflow.operators import models
 from ledgerflow.plans import catalogue
 
 #: How many fits, rounds, depths and largest number of features.
-WHOLE = {"candidate_lift": (6, 200, {8}, 4), "feature_ablation": (3, 300, {8}, 6), "model_variants": (3, 200, {8}, 6)}
+WHOLE = {"candidate_lift": (6, 200, {8}, 4), "feature_ablation": (3, 300, {8}, 6), "model_variants": (3, 200, {8}, 6), "grid_search": (16, 300, {6, 8}, 6)}
 
 
 @pytest.mark.parametrize("name", WHOLE)
